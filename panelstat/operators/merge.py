@@ -62,15 +62,18 @@ def merge_runs(model_runs: DataFrame, human_runs: DataFrame) -> DataFrame:
         .groupBy(*keys)
         .agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
     )
-    bad = seen.filter("lo <> hi").agg(F.count("*").alias("n_bad"))
-    union = model_runs.unionByName(human_runs)
-    checked = union.join(F.broadcast(bad)).withColumn(
-        "case_id",
-        F.when(F.col("n_bad") == 0, F.col("case_id")).otherwise(
-            F.raise_error(F.lit("a rater occurs on both sides of a case"))
-        ),
+    n_bad = seen.filter("lo <> hi").agg(F.count("*")).scalar()
+    return (
+        model_runs.unionByName(human_runs)
+        .withColumn("_bad", n_bad)
+        .withColumn(
+            "case_id",
+            F.when(F.col("_bad") == 0, F.col("case_id")).otherwise(
+                F.raise_error(F.lit("a rater occurs on both sides of a case"))
+            ),
+        )
+        .drop("_bad")
     )
-    return checked.drop("n_bad")
 
 
 def lookup_cases(wanted: DataFrame, first: DataFrame, then: DataFrame, columns: list[str]) -> DataFrame:
@@ -109,9 +112,9 @@ def sync_summary(local: DataFrame, sheet: DataFrame) -> DataFrame:
     return m.join(s, "case_id", "full").agg(
         F.count("l").alias("local_count"),
         F.count("s").alias("sheet_count"),
-        F.count_if("s is null").alias("local_only"),
-        F.count_if("l is not null and s is not null").alias("in_both"),
-        F.count_if("l is null").alias("sheet_only"),
+        F.count_if(F.expr("s is null")).alias("local_only"),
+        F.count_if(F.expr("l is not null and s is not null")).alias("in_both"),
+        F.count_if(F.expr("l is null")).alias("sheet_only"),
     )
 
 
@@ -172,10 +175,10 @@ def common_cases(cells: DataFrame, raters: list[str]) -> DataFrame:
 
 def ordered_union(first: DataFrame, second: DataFrame, key: str, position: str) -> DataFrame:
     """Distinct keys of two lists in order of first appearance."""
-    both = first.select(key, F.struct(F.lit(0).alias("list"), F.col(position).alias("pos")).alias("at")).unionByName(
-        second.select(key, F.struct(F.lit(1).alias("list"), F.col(position).alias("pos")).alias("at"))
+    both = first.select(key, F.struct(F.lit(0).alias("src"), F.col(position).alias("pos")).alias("at")).unionByName(
+        second.select(key, F.struct(F.lit(1).alias("src"), F.col(position).alias("pos")).alias("at"))
     )
-    return both.groupBy(key).agg(F.min("at").alias("at")).select(key, "at.list", "at.pos")
+    return both.groupBy(key).agg(F.min("at").alias("at")).select(key, "at.src", "at.pos")
 
 
 def select_cases(records: DataFrame, mode: str = "approved", ids: list[str] | None = None) -> DataFrame:

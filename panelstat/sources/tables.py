@@ -73,10 +73,10 @@ def model_runs(spark, folder) -> DataFrame:
 def events(spark, folder) -> DataFrame:
     """Events with the person behind each and the case it is about."""
     e = table(spark, folder, "events")
-    # one-row aggregate: every event is about one of the existing cases
-    n = table(spark, folder, "part").agg(F.count("*").alias("n_cases"))
+    # every event is about one of the existing cases
+    n = table(spark, folder, "part").agg(F.count("*")).scalar()
     person = F.col("user_id").cast("string")
-    return e.join(F.broadcast(n)).select(
+    return e.select(
         "event_id",
         "ts",
         "user_id",
@@ -84,7 +84,7 @@ def events(spark, folder) -> DataFrame:
         "value",
         F.concat(F.lit("User "), person).alias("name"),
         F.concat(F.lit("u"), person, F.lit("@example.org")).alias("email"),
-        F.expr("event_id % n_cases").alias("case_key"),
+        (F.col("event_id") % n).alias("case_key"),
     )
 
 
