@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from panelstat.plans import catalog_metrics, catalog_stats  # noqa: F401
+from panelstat.plans import (  # noqa: F401
+    catalog_metrics,
+    catalog_review,
+    catalog_similarity,
+    catalog_stats,
+    catalog_survey,
+)
 from panelstat.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
