@@ -5,6 +5,7 @@ from panelstat.plans import (  # noqa: F401
     catalog_review,
     catalog_similarity,
     catalog_stats,
+    catalog_streaming,
     catalog_survey,
 )
 from panelstat.plans.registry import ORACLES, QUERIES

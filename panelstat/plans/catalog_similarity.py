@@ -56,9 +56,9 @@ def k5_empty(spark, folder):
     return SIM.diversity_gate(e, e.filter(F.lit(False)))
 
 
-@query("k7_near_duplicates", _SIMS + f""" SELECT q AS id, arg_max(o, sim) AS nearest_id, {r6('max(sim)', 'similarity')}, count(*) FILTER (sim>=0.6) AS n_similar FROM s GROUP BY q HAVING max(sim)>=0.6""")
+@query("k7_near_duplicates", _SIMS + f""" SELECT q AS id, arg_max(o, sim) AS nearest_id, {r6('max(sim)', 'similarity')}, count(*) FILTER (sim>=0.35) AS n_similar FROM s GROUP BY q HAVING max(sim)>=0.35""")
 def k7(spark, folder):
-    return rounded(SIM.near_duplicates(T.embeddings(spark, folder), 0.6, q_blocks=2), 6)
+    return rounded(SIM.near_duplicates(T.embeddings(spark, folder), 0.35, q_blocks=2), 6)
 
 
 @query("k8_projection")
@@ -116,7 +116,7 @@ def v12(spark, folder):
 
 @query("j12_similar_cases", _SIMS.replace("WITH ", with_ctes("records", "votes", "iters", extra=_SUM).rstrip() + ", ", 1) + f""",
   r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim,12) DESC, o) AS rank FROM s), k AS (SELECT q, o, sim FROM r WHERE rank<=5),
-  o AS (SELECT o_orderkey::varchar AS id, {uuid_sql('o_orderkey', 'record')} AS case_id, o_orderpriority || ' ' || o_totalprice::int AS vignette FROM orders)
+  o AS (SELECT o_orderkey::varchar AS id, {uuid_sql('o_orderkey', 'record')} AS case_id, o_orderpriority || ' ' || floor(o_totalprice)::int AS vignette FROM orders)
   SELECT q AS query, k.o AS other, {r6('sim', 'similarity')}, trunc(sim*100)::int AS similarity_pct, vignette AS vignette_preview, approve_count, reject_count, num_evaluations
   FROM k JOIN o ON o.id=k.o JOIN rs ON rs.case_id=o.case_id""")
 def j12(spark, folder):
@@ -124,7 +124,7 @@ def j12(spark, folder):
     hits = SIM.top_k_similar(e, e, 5).drop("rank")
     o = T.table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), T.uuid_of("o_orderkey", "record").alias("case_id"),
-        F.concat("o_orderpriority", F.lit(" "), F.round("o_totalprice").cast("int").cast("string")).alias("vignette"))
+        F.concat("o_orderpriority", F.lit(" "), F.floor("o_totalprice").cast("int").cast("string")).alias("vignette"))
     counts = _summary(spark, folder).join(o.select("id", "case_id"), "case_id").drop("case_id").withColumnRenamed("id", "case_id")
     cases = o.select(F.col("id").alias("case_id"), "vignette")
     return rounded(SIM.enrich_similar(hits, cases, counts), 6)
