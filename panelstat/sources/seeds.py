@@ -12,7 +12,7 @@ from panelstat.schema import SEED
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of seeds with its position in the file."""
     fields = SEED.replace(" STRING", ": STRING")
-    lines = spark.read.option("wholetext", True).text(path).select(
+    lines = spark.read.text(path, wholetext=True).select(
         F.from_json("value", f"array<struct<{fields}>>").alias("items")
     )
     return lines.select(F.posexplode("items").alias("pos", "s")).select("pos", "s.*")

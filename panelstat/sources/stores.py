@@ -27,7 +27,7 @@ def read_registry(spark: SparkSession, path: str, rows: bool = False) -> DataFra
     try:
         if rows:
             return _times(spark.read.schema(_REGISTRY_ROW).json(path))
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
