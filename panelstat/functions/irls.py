@@ -34,14 +34,18 @@ def fit(X, n, s, ridge=None, max_iter=100, tol=1e-14):
     lam = np.zeros(P) if ridge is None else ridge
     beta = np.zeros((G, P))
 
+    XT = X.transpose(0, 2, 1)
+
+    def predict(b):
+        return (X @ b[:, :, None])[:, :, 0]
+
     def objective(b):
-        return _loglik(np.einsum("gcp,gp->gc", X, b), n, s) - 0.5 * (lam * b * b).sum(axis=1)
+        return _loglik(predict(b), n, s) - 0.5 * (lam * b * b).sum(axis=1)
 
     def information(b):
-        eta = np.einsum("gcp,gp->gc", X, b)
-        mu = 0.5 * (1.0 + np.tanh(0.5 * eta))
+        mu = 0.5 * (1.0 + np.tanh(0.5 * predict(b)))
         w = n * mu * (1.0 - mu)
-        return mu, np.einsum("gcp,gc,gcq->gpq", X, w, X)
+        return mu, (XT * w[:, None, :]) @ X
 
     current = objective(beta)
     done = np.zeros(G, dtype=bool)
@@ -50,8 +54,8 @@ def fit(X, n, s, ridge=None, max_iter=100, tol=1e-14):
         if not live.any():
             break
         mu, info = information(beta)
-        grad = np.einsum("gcp,gc->gp", X, s - n * mu) - lam * beta
-        step = np.einsum("gpq,gq->gp", np.linalg.pinv(info + np.diag(lam), rcond=1e-10, hermitian=True), grad)
+        grad = (XT @ (s - n * mu)[:, :, None])[:, :, 0] - lam * beta
+        step = (np.linalg.pinv(info + np.diag(lam), rcond=1e-10, hermitian=True) @ grad[:, :, None])[:, :, 0]
         step[done] = 0.0
         for _ in range(30):
             new = objective(beta + step)
@@ -63,7 +67,7 @@ def fit(X, n, s, ridge=None, max_iter=100, tol=1e-14):
         done |= np.abs(new - current) <= tol * (1 + np.abs(new))
         current = new
     _, info = information(beta)
-    return beta, info, _loglik(np.einsum("gcp,gp->gc", X, beta), n, s), done
+    return beta, info, _loglik(predict(beta), n, s), done
 
 
 def _dense(col: pa.ListArray, lo: int, hi: int):
@@ -118,8 +122,8 @@ def fit_batches(terms: str, ridges: list[float], n_attributes: int, sandwich: bo
                 zero = flat_y | flat_x
                 inverse = np.linalg.pinv(info, rcond=1e-10, hermitian=True)
                 if sandwich:
-                    mu = 0.5 * (1.0 + np.tanh(0.5 * np.einsum("gcp,gp->gc", X, beta)))
-                    meat = np.einsum("gcp,gc,gcq->gpq", X, q - 2 * mu * s + mu * mu * n, X)
+                    mu = 0.5 * (1.0 + np.tanh(0.5 * (X @ beta[:, :, None])[:, :, 0]))
+                    meat = (X.transpose(0, 2, 1) * (q - 2 * mu * s + mu * mu * n)[:, None, :]) @ X
                     robust = inverse @ meat @ inverse
                 else:
                     robust = inverse

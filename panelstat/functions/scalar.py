@@ -112,30 +112,24 @@ def normalise_review_decision(decision) -> Column:
 
 
 def json_string(text) -> Column:
-    """The text as an ASCII JSON string literal, non-ASCII as UTF-16 escapes.
+    """The text as an ASCII JSON string literal with lower-case UTF-16 escapes.
 
-    Plain printable text takes the fast branch; only other texts are walked character by character.
+    The writer's escapes have upper-case digits, so texts that contain any get them lowered; doubled
+    backslashes are set aside meanwhile because a text may itself contain a backslash and a u.
     """
     t = _c(text)
-    plain = F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-
-    def escape(ch: Column) -> Column:
-        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        return (
-            F.when(ch == "\\", F.lit("\\\\"))
-            .when(ch == '"', F.lit('\\"'))
-            .when(ch == "\n", F.lit("\\n"))
-            .when(ch == "\r", F.lit("\\r"))
-            .when(ch == "\t", F.lit("\\t"))
-            .when(ch == "\b", F.lit("\\b"))
-            .when(ch == "\f", F.lit("\\f"))
-            .when(ch.rlike(r"^[\x20-\x7F]$"), ch)
-            .otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
-        )
-
-    walked = F.array_join(F.transform(F.split(t, ""), escape), "")
-    body = F.when(t.rlike(r"^[\x20-\x7E]*$"), plain).otherwise(walked)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    doc = F.to_json(F.struct(t.alias("s")), {"writeNonAsciiCharacterAsCodePoint": "true"})
+    body = F.substr(doc, F.lit(7), F.length(doc) - 8)
+    aside = F.replace(F.replace(body, F.lit("\\\\"), F.lit("\x01")), F.lit("\x7f"), F.lit("\\u007f"))
+    parts = F.split(aside, r"\\u")
+    lowered = F.array_join(F.transform(parts, lambda p: F.concat(F.lower(F.substring(p, 1, 4)), F.substr(p, F.lit(5)))), "\\u")
+    first = F.element_at(parts, 1)
+    # the text before the first escape is not one
+    fixed = F.concat(first, F.substr(lowered, F.length(first) + 1))
+    out = F.when(F.contains(aside, F.lit("\\u")), F.replace(fixed, F.lit("\x01"), F.lit("\\\\"))).otherwise(
+        F.replace(aside, F.lit("\x01"), F.lit("\\\\"))
+    )
+    return F.when(t.isNotNull(), F.concat(F.lit('"'), out, F.lit('"')))
 
 
 def content_hash(vignette, choice_1: dict, choice_2: dict) -> Column:

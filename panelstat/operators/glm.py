@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstat.functions.irls import fit_batches
 from panelstat.functions.tails import chi2_3_p, normal_p
+from panelstat.plans.gram import shuffle_partitions
 from panelstat.schema import ATTRIBUTES
 
 
@@ -56,7 +57,9 @@ def fit_cells(
     """One fit per key (A21): status, coefficients, covariance, likelihood pieces and totals."""
     d = [F.col(c).cast("double").alias(c) for c in _d(attributes)]
     totals = ["trials", "successes", "binomial", "saturated"]
-    packed = cells.groupBy(*keys).agg(
+    # the fits are the work here, so their number of tasks must not shrink with the bytes
+    spread = cells.repartition(shuffle_partitions(cells), *keys)
+    packed = spread.groupBy(*keys).agg(
         F.collect_list(F.struct(*d, "trials", "successes", "squares")).alias("cells"),
         *[F.sum(c).alias(c) for c in totals],
         F.sum("n_cases").alias("n_cases"),

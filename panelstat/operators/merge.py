@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_responses(responses: DataFrame) -> DataFrame:
+def latest_responses(responses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One response per (participant, case): the newest wins, ties by event id.
 
     An ordered-struct maximum pre-aggregates on the map side, so a participant who holds a large
     share of the rows never becomes one sorted window partition.
     """
-    keys = ["case_id", "participant_id"]
+    keys = keys or ["case_id", "participant_id"]
     rest = [c for c in responses.columns if c not in keys]
     order = ["ts", "event_id"] + [c for c in rest if c not in ("ts", "event_id")]
     return (

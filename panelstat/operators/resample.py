@@ -143,29 +143,90 @@ def _member_positions(members: DataFrame, group: str) -> DataFrame:
     return p.withColumn("n", n)
 
 
-def symmetric(matrix: DataFrame) -> DataFrame:
-    """Both orders of every pair."""
-    return matrix.select("a", "b", "jsd").unionByName(matrix.select(F.col("b").alias("a"), F.col("a").alias("b"), "jsd"))
+def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Base-2 Jensen-Shannon divergence of every row of p with every row of q."""
+    out = np.zeros((len(p), len(q)))
+    for k in range(p.shape[1]):
+        a, b = p[:, k, None], q[None, :, k]
+        m = (a + b) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out += np.where(a > 0, a * np.log2(a / m), 0.0) + np.where(b > 0, b * np.log2(b / m), 0.0)
+    return np.maximum(out / 2, 0.0)
+
+
+def _cell_sums(n_draws: int, n_keys: int):
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        lo, hi = key[-2].as_py(), key[-1].as_py()
+        block = cell.column("block").to_numpy()
+
+        def side(which):
+            t = cell.filter(pa.array(block == which)).combine_chunks()
+            if t.num_rows == 0:
+                return np.zeros((0, 1)), np.zeros((0, n_draws))
+            prof, draws = (t.column(c).combine_chunks() for c in ("profile", "draws"))
+            p = prof.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            w = np.zeros((t.num_rows, n_draws))
+            flat = draws.flatten()
+            rows = np.repeat(np.arange(t.num_rows), np.diff(draws.offsets.to_numpy()))
+            w[rows, flat.field(0).to_numpy(zero_copy_only=False)] = flat.field(1).to_numpy(zero_copy_only=False)
+            return p, w
+
+        p, wp = side(lo)
+        q, wq = (p, wp) if lo == hi else side(hi)
+        total = np.zeros(n_draws)
+        if len(p) and len(q):
+            total = ((_divergence(p, q) @ wq) * wp).sum(axis=0) * (0.5 if lo == hi else 1.0)
+        d = np.nonzero(total)[0]
+        ons = [pa.array([k.as_py()] * len(d), k.type) for k in key[:n_keys]]
+        names = [f"k{i}" for i in range(n_keys)] + ["d", "s"]
+        return pa.table(ons + [pa.array(d.astype(np.int32)), pa.array(total[d])], names=names)
+
+    return run
+
+
+def paired_sums(items: DataFrame, key: str, n_draws: int, on: list[str] = (), n_blocks: int = 8) -> DataFrame:
+    """(on..., d, s): per draw d, the sum over pairs of items of both weights times their divergence.
+
+    Items carry ``profile`` and ``draws``, a list of (draw, weight). They meet block against block;
+    a cell multiplies its divergence matrix with the weights of all draws at once, so neither the
+    pairs nor pairs times draws are ever rows, and no cell holds more than two blocks.
+    """
+    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
+    spread = items.select(
+        *on, block.alias("block"), "profile", "draws", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_o")
+    )
+    cells = spread.select(
+        *on, F.least("block", "_o").alias("_lo"), F.greatest("block", "_o").alias("_hi"), "block", "profile", "draws"
+    )
+    types = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    schema = "".join(f"k{i} {types[c]}, " for i, c in enumerate(on)) + "d int, s double"
+    parts = cells.groupBy(*on, "_lo", "_hi").applyInArrow(_cell_sums(n_draws, len(on)), schema)
+    for i, c in enumerate(on):
+        parts = parts.withColumnRenamed(f"k{i}", c)
+    return parts.groupBy(*on, "d").agg(F.sum("s").alias("s"))
 
 
-def bootstrap_mean_jsd(matrix: DataFrame, members: DataFrame, groups: tuple[str, str], n_samples: int, seed: int) -> DataFrame:
+def _with_profiles(items: DataFrame, profs: DataFrame) -> DataFrame:
+    return items.join(profs.select(F.col("rater").alias("member"), "profile"), "member")
+
+
+def bootstrap_mean_jsd(profs: DataFrame, members: DataFrame, groups: tuple[str, str], n_samples: int, seed: int) -> DataFrame:
     """(b, mean_a, mean_b, difference): mean within-group divergence of resampled groups.
 
     Copies of one member are at distance zero, so a draw's mean over position pairs equals the sum
     over member pairs weighted with both counts.
     """
-    pairs = matrix.select(F.col("a").alias("m1"), F.col("b").alias("m2"), "jsd")
-    side = []
+    out = profs.sparkSession.range(n_samples).select(F.col("id").cast("int").alias("b"))
     for g, name in zip(groups, ("mean_a", "mean_b")):
         pos = _member_positions(members, g)
         draws = bootstrap_draws(pos, n_samples, f"{seed}|{g}", "member")
+        entry = F.struct(F.col("b").cast("int").alias("d"), F.col("weight").cast("double").alias("w"))
+        items = _with_profiles(draws.groupBy("member").agg(F.collect_list(entry).alias("draws")), profs)
         n = pos.agg(F.max("n")).scalar()
-        w1 = draws.select("b", F.col("member").alias("m1"), F.col("weight").alias("w1"))
-        w2 = draws.select("b", F.col("member").alias("m2"), F.col("weight").alias("w2"))
-        hit = w1.join(pairs, "m1").join(w2, ["b", "m2"]).groupBy("b").agg(F.sum(F.col("w1") * F.col("w2") * F.col("jsd")).alias("s"))
-        every = draws.select("b").distinct().join(hit, "b", "left").withColumn("n", n)
-        side.append(every.select("b", (F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1) / 2)).alias(name)))
-    return side[0].join(side[1], "b").withColumn("difference", F.col("mean_a") - F.col("mean_b"))
+        sums = paired_sums(items, "member", n_samples).select(F.col("d").alias("b"), "s")
+        joined = out.join(sums, "b", "left").withColumn("_n", n)
+        out = joined.withColumn(name, F.coalesce("s", F.lit(0.0)) / (F.col("_n") * (F.col("_n") - 1) / 2)).drop("s", "_n")
+    return out.withColumn("difference", F.col("mean_a") - F.col("mean_b"))
 
 
 def _relabelled(members: DataFrame, groups: tuple[str, str], n_permutations: int, seed: int) -> DataFrame:
@@ -182,26 +243,47 @@ def _relabelled(members: DataFrame, groups: tuple[str, str], n_permutations: int
     return rows.withColumn("rn", rank).withColumn("first", F.col("rn") <= n_first).drop("rn")
 
 
-def permutation_null_jsd(matrix: DataFrame, members: DataFrame, groups: tuple[str, str], n_permutations: int, seed: int) -> DataFrame:
+def _mean_gap(sums: DataFrame, members: DataFrame, groups: tuple[str, str], by: str) -> DataFrame:
+    """|mean of the first - mean of the second| from pair sums flagged ``first``, per ``by``."""
+    size = lambda g: members.filter(F.col("group") == g).agg(F.count("*")).scalar()
+    s = sums.withColumn("_a", size(groups[0])).withColumn("_b", size(groups[1]))
+    k = F.when(F.col("first"), F.col("_a")).otherwise(F.col("_b"))
+    mean = F.col("s") / (k * (k - 1) / 2)
+    return s.groupBy(by).agg(F.abs(F.sum(F.when(F.col("first"), mean).otherwise(-mean))).alias("statistic"))
+
+
+def permutation_null_jsd(profs: DataFrame, members: DataFrame, groups: tuple[str, str], n_permutations: int, seed: int) -> DataFrame:
     """(perm, statistic): |difference of mean within-group divergence| under random labels."""
     labels = _relabelled(members, groups, n_permutations, seed)
-    sizes = labels.groupBy("perm", "first").agg(F.count("*").alias("k"))
-    pairs = matrix.select(F.col("a").alias("m1"), F.col("b").alias("m2"), "jsd")
-    l1 = labels.select("perm", "first", F.col("member").alias("m1"))
-    l2 = labels.select("perm", "first", F.col("member").alias("m2"))
-    sums = l1.join(pairs, "m1").join(l2, ["perm", "first", "m2"]).groupBy("perm", "first").agg(F.sum("jsd").alias("s"))
-    mean = F.coalesce("s", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1) / 2)
-    per = sizes.join(sums, ["perm", "first"], "left").select("perm", F.when(F.col("first"), mean).otherwise(-mean).alias("m"))
-    return per.groupBy("perm").agg(F.abs(F.sum("m")).alias("statistic"))
+    # draws 0..P-1 hold the first group of each permutation, P..2P-1 the second
+    d = F.col("perm") + F.when(F.col("first"), 0).otherwise(n_permutations)
+    entry = F.struct(d.cast("int").alias("d"), F.lit(1.0).alias("w"))
+    items = labels.groupBy("group", "member").agg(F.collect_list(entry).alias("draws"))
+    items = _with_profiles(items, profs).withColumn("position", F.concat_ws("|", "group", "member"))
+    sums = paired_sums(items, "position", 2 * n_permutations).select(
+        (F.col("d") % n_permutations).alias("perm"), (F.col("d") < n_permutations).alias("first"), "s"
+    )
+    gap = _mean_gap(sums, members, groups, "perm")
+    every = profs.sparkSession.range(n_permutations).select(F.col("id").cast("int").alias("perm"))
+    return every.join(gap, "perm", "left").fillna(0.0, ["statistic"])
+
+
+def observed_gap_jsd(profs: DataFrame, members: DataFrame, groups: tuple[str, str]) -> DataFrame:
+    """(statistic): |difference of the two groups' mean within-group divergence|."""
+    own = members.filter(F.col("group").isin(*groups)).withColumn(
+        "draws", F.array(F.struct(F.lit(0).alias("d"), F.lit(1.0).alias("w")))
+    )
+    sums = paired_sums(_with_profiles(own, profs), "member", 1, ["group"])
+    flagged = sums.select("d", (F.col("group") == groups[0]).alias("first"), "s")
+    return _mean_gap(flagged, members, groups, "d").select("statistic")
 
 
 def permutation_test_jsd(
-    matrix: DataFrame, members: DataFrame, groups: tuple[str, str], n_permutations: int, seed: int, add_one: bool = False
+    profs: DataFrame, members: DataFrame, groups: tuple[str, str], n_permutations: int, seed: int, add_one: bool = False
 ) -> DataFrame:
     """Observed difference and the share of the null at least as large."""
-    means = profiles.mean_within_group(matrix, members.filter(F.col("group").isin(*groups)))
-    observed = means.agg(F.abs(F.sum(F.when(F.col("group") == groups[0], F.col("mean_jsd")).otherwise(-F.col("mean_jsd"))))).scalar()
-    null = permutation_null_jsd(matrix, members, groups, n_permutations, seed).withColumn("observed", observed)
+    observed = observed_gap_jsd(profs, members, groups).scalar()
+    null = permutation_null_jsd(profs, members, groups, n_permutations, seed).withColumn("observed", observed)
     hits = F.count_if(F.col("statistic") >= F.col("observed") - TIE)
     extra = 1 if add_one else 0
     return null.agg(

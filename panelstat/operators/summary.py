@@ -31,9 +31,12 @@ def _counts(choice: str = "parsed_choice"):
     ]
 
 
-def run_summary(runs: DataFrame) -> DataFrame:
-    """Counts, majority (a tie goes to choice_1), share and entropy per (case, rater) (A1, A2)."""
-    counts = runs.groupBy("case_id", "rater").agg(*_counts())
+def run_summary(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Counts, majority (a tie goes to choice_1), share and entropy per (case, rater) (A1, A2).
+
+    ``keys`` names other columns that identify case and rater, such as narrow numeric keys.
+    """
+    counts = runs.groupBy(*(keys or ["case_id", "rater"])).agg(*_counts())
     majority = F.when(F.col("valid") == 0, F.lit(None)).when(F.col("c1") >= F.col("c2"), "choice_1").otherwise("choice_2")
     return _derived(counts, majority)
 

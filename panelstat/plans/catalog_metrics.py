@@ -19,7 +19,7 @@ PANEL = T.MODELS + [CONSENSUS]
 
 
 def summary(spark, folder):
-    return SM.with_consensus(SM.run_summary(T.runs(spark, folder)))
+    return SM.with_consensus(T.summary(spark, folder))
 
 
 def rounded(df, digits=9, **cols):
@@ -41,7 +41,7 @@ def a1(spark, folder):
 @query("a3_human_consensus", with_ctes("consensus") + f"""SELECT case_id, majority AS majority_choice, c1 AS choice_1_votes,
   c2 AS choice_2_votes, refusals AS refusal_votes, valid AS total_votes, {r9('majority_probability', 'confidence')} FROM consensus""")
 def a3(spark, folder):
-    return rounded(SM.human_consensus(SM.run_summary(T.human_runs(spark, folder))))
+    return rounded(SM.human_consensus(T.human_summary(spark, folder)))
 
 
 @query("a4_value_preference", with_ctes("pref") + f"""SELECT rater, attribute, {r9('avg(value)', 'preference')}, count(*) AS n_cases
@@ -105,7 +105,7 @@ _KAPPA = """kt AS (SELECT case_id, count(*) FILTER (majority='choice_1') AS choi
 
 @query("a12_kappa_table", with_ctes("own", extra=_KAPPA) + "SELECT * FROM kt")
 def a12(spark, folder):
-    return M.kappa_table(SM.run_summary(T.human_runs(spark, folder)))
+    return M.kappa_table(T.human_summary(spark, folder))
 
 
 @query("a13_fleiss_kappa", with_ctes("own", extra=_KAPPA + """,
@@ -114,7 +114,7 @@ def a12(spark, folder):
     (sum(a)::double/sum(n))**2 + (sum(b)::double/sum(n))**2 p_e FROM k WHERE n>1)""") +
   f"SELECT {r9('(p_bar-p_e)/(1-p_e)', 'kappa')}, {r9('p_bar', 'p_bar')}, {r9('p_e', 'p_e')}, n_cases FROM f")
 def a13(spark, folder):
-    table = M.kappa_table(SM.run_summary(T.human_runs(spark, folder)))
+    table = M.kappa_table(T.human_summary(spark, folder))
     return rounded(M.fleiss_kappa(table, ["choice_1_count", "choice_2_count"], strict=False))
 
 
@@ -143,7 +143,7 @@ def a15_incidence(spark, folder):
 @query("a16_panel_pluralism", with_ctes("consensus") + f"""SELECT count(*) FILTER (majority_probability<0.7) AS n_below,
   count(*) AS n_cases, {r9('quantile_cont(majority_probability,0.5)', 'median_plurality')} FROM consensus WHERE majority_probability IS NOT NULL""")
 def a16(spark, folder):
-    return rounded(M.panel_pluralism(SM.human_consensus(SM.run_summary(T.human_runs(spark, folder)))))
+    return rounded(M.panel_pluralism(SM.human_consensus(T.human_summary(spark, folder))))
 
 
 _DET = """det AS (SELECT rater, avg((greatest(c1,c2)*10>=valid*9)::int) AS near_deterministic,
@@ -153,13 +153,13 @@ _DET = """det AS (SELECT rater, avg((greatest(c1,c2)*10>=valid*9)::int) AS near_
 @query("a17_near_determinism", with_ctes("own", extra=_DET) + f"""SELECT rater, {r9('near_deterministic', 'near_deterministic')},
   {r9('p75', 'p75')}, n_cases FROM det""")
 def a17(spark, folder):
-    return rounded(M.near_determinism(SM.run_summary(T.runs(spark, folder))))
+    return rounded(M.near_determinism(T.summary(spark, folder)))
 
 
 @query("a17_determinism_overview", with_ctes("own", extra=_DET) + f"""SELECT count(*) FILTER (p75>0) AS n_varied, count(*) AS n_raters,
   {r9('quantile_cont(near_deterministic,0.5)', 'median_share')}, {r9('quantile_cont(near_deterministic,0.75)', 'p75_share')} FROM det""")
 def a17_overview(spark, folder):
-    return rounded(M.determinism_overview(M.near_determinism(SM.run_summary(T.runs(spark, folder)))))
+    return rounded(M.determinism_overview(M.near_determinism(T.summary(spark, folder))))
 
 
 @query("w4_case_positions", with_ctes("positions") + "SELECT case_id, pos, n FROM positions")
@@ -184,7 +184,7 @@ def w6_twice(spark, folder):
 @query("v10_with_humans", with_ctes("own") + """SELECT case_id, rater, c1, c2, refusals FROM own
   WHERE case_id IN (SELECT case_id FROM own WHERE rater LIKE 'human/%')""")
 def v10(spark, folder):
-    return J.with_humans(SM.run_summary(T.runs(spark, folder))).select("case_id", "rater", "c1", "c2", "refusals")
+    return J.with_humans(T.summary(spark, folder)).select("case_id", "rater", "c1", "c2", "refusals")
 
 
 @query("u1_all_case_ids", f"""SELECT {uuid_sql('p_partkey')} AS case_id FROM part UNION SELECT {uuid_sql('l_partkey')} FROM lineitem""")
@@ -259,5 +259,5 @@ def j2(spark, folder):
   (SELECT c.case_id, m.rater, coalesce(s.runs_completed,0) AS done FROM cases c CROSS JOIN models14 m
    LEFT JOIN own s ON s.case_id=c.case_id AND s.rater=m.rater) WHERE done<4""")
 def j6(spark, folder):
-    done = SM.run_summary(T.model_runs(spark, folder))
+    done = T.model_summary(spark, folder)
     return J.pending_work(T.cases(spark, folder), done, T.MODELS, 4)

@@ -20,21 +20,21 @@ A = ATTRIBUTES
 CAP = [f"{a.capitalize()} C{o}" for o in (1, 2) for a in A]
 
 
-def _hex(k: str) -> str:
-    return f"substr(md5('{k}|' || d.doc_id),1,1)"
+def _hex(i: int) -> str:
+    return f"substr(md5('row|' || d.doc_id),{i},1)"
 
 
-def _rtag(k: str) -> str:
-    return (f"CASE WHEN {_hex(k)}<'5' THEN 'promotes' WHEN {_hex(k)}<'a' THEN ' Violates' WHEN {_hex(k)}<'f' THEN 'neutral' "
-            f"WHEN {_hex('x' + k)}<'8' THEN '' ELSE 'both' END")
+def _rtag(i: int) -> str:
+    return (f"CASE WHEN {_hex(i)}<'5' THEN 'promotes' WHEN {_hex(i)}<'a' THEN ' Violates' WHEN {_hex(i)}<'f' THEN 'neutral' "
+            f"WHEN {_hex(i + 8)}<'8' THEN '' ELSE 'both' END")
 
 
-CTES["review"] = ([], f"""SELECT CASE WHEN {_hex('id')}<'f' THEN {uuid_sql('d.doc_id', 'doc')} ELSE '' END AS "Case ID",
+CTES["review"] = ([], f"""SELECT CASE WHEN {_hex(31)}<'f' THEN {uuid_sql('d.doc_id', 'doc')} ELSE '' END AS "Case ID",
   CASE WHEN quality IS NOT NULL THEN 'ada' ELSE '' END AS "R1", CASE WHEN quality=1 THEN 'Approve' ELSE '' END AS "R1 Decision?",
   CASE WHEN toxic IS NOT NULL THEN 'ben' ELSE '' END AS "R2", CASE WHEN toxic=1 THEN 'Reject' WHEN toxic=0 THEN 'approve' ELSE '' END AS "R2 Decision?",
   '' AS "R3", '' AS "R3 Decision?", CASE WHEN toxic=1 THEN 'deprecated' WHEN toxic=0 THEN 'approved' ELSE 'needs_review' END AS "Status",
-  text AS "Vignette", 'Keep ' || source AS "Choice 1", CASE WHEN {_hex('c2')}<'f' THEN 'Drop ' || source ELSE '' END AS "Choice 2",
-  """ + ", ".join(f"{_rtag(f'{a}{o}')} AS \"{a.capitalize()} C{o}\"" for o in (1, 2) for a in A) +
+  text AS "Vignette", 'Keep ' || source AS "Choice 1", CASE WHEN {_hex(32)}<'f' THEN 'Drop ' || source ELSE '' END AS "Choice 2",
+  """ + ", ".join(f"{_rtag(4 * o + i - 3)} AS \"{a.capitalize()} C{o}\"" for o in (1, 2) for i, a in enumerate(A)) +
   """, lang AS "Reviewer Comments" FROM documents d LEFT JOIN labels USING (doc_id)""")
 CTES["records"] = ([], f"""SELECT {uuid_sql('o_orderkey', 'record')} AS case_id, o_orderdate AS created_at,
   CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'needs_review' ELSE 'completed' END AS status,

@@ -155,6 +155,6 @@ def f4(spark, folder):
     """A responder that fails for one rater, whose rows stay pending."""
     from panelstat.operators import summary as SM
 
-    work = J.pending_work(T.cases(spark, folder), SM.run_summary(T.model_runs(spark, folder)), T.MODELS, 4)
+    work = J.pending_work(T.cases(spark, folder), T.model_summary(spark, folder), T.MODELS, 4)
     answered = H.respond(work, lambda pdf: [None if r == "model/m7O" else "choice 1" for r in pdf["rater"]])
     return answered.select("case_id", "rater", "run")

@@ -251,7 +251,7 @@ def a27(spark, folder):
 
 
 def _subset_cells(spark, folder, name="panel"):
-    pooled = SM.pool(SM.models(SM.run_summary(T.model_runs(spark, folder))), name)
+    pooled = SM.pool(SM.models(T.model_summary(spark, folder)), name)
     return G.design_cells(G.design_matrix(pooled, T.tags(spark, folder)), ["rater"])
 
 
@@ -399,7 +399,7 @@ def r2(spark, folder):
 @query("r2_bootstrap_refusal", with_ctes("positions", "own", extra=_DR) + f"""SELECT rater, b, {r9('sum(weight*refusals::double/(valid+refusals))/sum(weight)', 'mean')}
   FROM dr JOIN own USING (case_id) GROUP BY ALL""")
 def r2_refusal(spark, folder):
-    s = SM.run_summary(T.runs(spark, folder))
+    s = T.summary(spark, folder)
     values = s.select("case_id", "rater", (F.col("refusals") / (F.col("valid") + F.col("refusals"))).alias("value"))
     out = RS.bootstrap_means(values, case_positions(T.cases(spark, folder)), ["rater"], DRAWS, SEED)
     return rounded(out).withColumn("b", F.col("b").cast("bigint"))
@@ -436,7 +436,7 @@ WEIGHT_DRAWS = 10
   bd AS (SELECT * FROM md JOIN dr USING (case_id)), bcells AS MATERIALIZED ({cells_sql('bd', 'rater, b', 'weight')}), """ + join_ctes(_BF)) +
   f"SELECT rater, b, t.attribute, {r6('t.beta', 'beta')} FROM bfit, LATERAL (VALUES {_LONG}) t(attribute, beta)")
 def r3(spark, folder):
-    d = G.design_matrix(SM.run_summary(T.model_runs(spark, folder)), T.tags(spark, folder))
+    d = G.design_matrix(T.model_summary(spark, folder), T.tags(spark, folder))
     fit = RS.bootstrap_weights(d, case_positions(T.cases(spark, folder)), WEIGHT_DRAWS, SEED)
     long = G.long_weights(fit, ["rater", "b"]).select("rater", F.col("b").cast("bigint").alias("b"), "attribute", "beta")
     return rounded(long, 6)
@@ -459,8 +459,8 @@ def _side_mean(g: str) -> str:
        "".join(f", sm_{g} AS {_side_mean(g)}" for g in GROUPS)) + f"""SELECT m.b, {r6('m.m', 'mean_a')}, {r6('h.m', 'mean_b')}, {r6('m.m-h.m', 'difference')}
   FROM sm_models m JOIN sm_humans h USING (b)""")
 def r6_query(spark, folder):
-    matrix, who = matrix_and_members(spark, folder)
-    out = RS.bootstrap_mean_jsd(matrix, who, GROUPS, DRAWS, SEED)
+    p = shared_profs(spark, folder)
+    out = RS.bootstrap_mean_jsd(p, members(p), GROUPS, DRAWS, SEED)
     return rounded(out, 6).withColumn("b", F.col("b").cast("bigint"))
 
 
@@ -473,8 +473,8 @@ _NULL = _PERM + """, pm AS (SELECT x.perm, x.first, avg(jsd) AS m FROM jsdm JOIN
 
 @query("r7_permutation_null", with_ctes("jsdm", "members", extra=_NULL) + f"SELECT perm, {r6('statistic', 'statistic')} FROM nul")
 def r7_null(spark, folder):
-    matrix, who = matrix_and_members(spark, folder)
-    out = RS.permutation_null_jsd(matrix, who, GROUPS, PERMUTATIONS, SEED)
+    p = shared_profs(spark, folder)
+    out = RS.permutation_null_jsd(p, members(p), GROUPS, PERMUTATIONS, SEED)
     return rounded(out, 6).withColumn("perm", F.col("perm").cast("bigint"))
 
 
@@ -483,8 +483,8 @@ def r7_null(spark, folder):
     JOIN members y ON y.member=b AND y.grp=x.grp GROUP BY x.grp))""") +
   f"SELECT {r6('any_value(o)', 'observed_diff')}, {r9('avg((statistic>=o-1e-12)::int)', 'p_value')}, count(*) AS n_permutations FROM nul, ob")
 def r7(spark, folder):
-    matrix, who = matrix_and_members(spark, folder)
-    out = RS.permutation_test_jsd(matrix, who, GROUPS, PERMUTATIONS, SEED)
+    p = shared_profs(spark, folder)
+    out = RS.permutation_test_jsd(p, members(p), GROUPS, PERMUTATIONS, SEED)
     return rounded(out, observed_diff=6, p_value=9)
 
 
@@ -501,8 +501,8 @@ def r9_query(spark, folder):
 @query("a43_null_histogram", with_ctes("jsdm", "members", extra=_NULL + """, lim AS (SELECT min(statistic) AS lo, max(statistic) AS hi FROM nul)""") +
        "SELECT least(floor((statistic-lo)/((hi-lo)/80)),79)::int AS bin, count(*) AS n FROM nul, lim GROUP BY 1")
 def a43(spark, folder):
-    matrix, who = matrix_and_members(spark, folder)
-    return RS.histogram(RS.permutation_null_jsd(matrix, who, GROUPS, PERMUTATIONS, SEED), "statistic")
+    p = shared_profs(spark, folder)
+    return RS.histogram(RS.permutation_null_jsd(p, members(p), GROUPS, PERMUTATIONS, SEED), "statistic")
 
 
 PANEL_DRAWS = 5

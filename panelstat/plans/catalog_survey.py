@@ -102,7 +102,7 @@ def p10(spark, folder):
 
 def _json_sql(t: str) -> str:
     return f"""('"' || array_to_string(list_transform(string_split({t},''), lambda c: CASE WHEN c=chr(92) THEN chr(92)||chr(92) WHEN c='"' THEN chr(92)||'"' WHEN c=chr(10) THEN chr(92)||'n'
-      WHEN c=chr(13) THEN chr(92)||'r' WHEN c=chr(9) THEN chr(92)||'t' WHEN c=chr(8) THEN chr(92)||'b' WHEN c=chr(12) THEN chr(92)||'f' WHEN unicode(c) BETWEEN 32 AND 127 THEN c
+      WHEN c=chr(13) THEN chr(92)||'r' WHEN c=chr(9) THEN chr(92)||'t' WHEN c=chr(8) THEN chr(92)||'b' WHEN c=chr(12) THEN chr(92)||'f' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
       WHEN unicode(c)<65536 THEN chr(92) || printf('u%04x', unicode(c)) ELSE chr(92) || printf('u%04x', 55296+((unicode(c)-65536)//1024)) || chr(92) || printf('u%04x', 56320+((unicode(c)-65536)%1024)) END),'') || '"')"""
 
 

@@ -9,6 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 _OUT = "item_a string, item_b string, n bigint, sx double, sy double, sxx double, syy double, sxy double"
 
 
@@ -102,6 +108,8 @@ def pair_moments(cells: DataFrame, by: str, item: str, value: str, n_blocks: int
     rows = (
         cells.filter(F.col(value).isNotNull())
         .select(by, F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("value"), block.alias("block"))
+        # a fixed number of partitions keeps the products parallel however few bytes the rows have
+        .repartition(shuffle_partitions(cells), by)
         .groupBy(by, "block")
         .agg(F.collect_list(F.struct("item", "value")).alias("v"))
     )

@@ -23,11 +23,9 @@ def entropy_sql(k: str, n: str) -> str:
     )
 
 
-def _tag(attr: str, k: int) -> str:
-    return (
-        f"CASE {u32(f"'tag|' || p_partkey || '|' || {attr} || '|{k}'")} % 3 "
-        f"WHEN 0 THEN 'promotes' WHEN 1 THEN 'violates' ELSE 'neutral' END"
-    )
+def _tag(k: int) -> str:
+    h = f"substr(md5('tag|' || p_partkey), i*8+{4 * k - 3}, 4)"
+    return f"CASE ('0x' || {h})::int % 3 WHEN 0 THEN 'promotes' WHEN 1 THEN 'violates' ELSE 'neutral' END"
 
 
 def _align(t: str) -> str:
@@ -45,8 +43,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "cases": ([], f"""SELECT {uuid_sql('p_partkey')} AS case_id, p_name || ' ' || p_type AS vignette,
       'Take ' || p_brand AS choice_1, 'Leave ' || p_brand AS choice_2 FROM part"""),
     "raw_tags": ([], f"""SELECT {uuid_sql('p_partkey')} AS case_id, attribute,
-      {_tag('attribute', 1)} AS tag_1, {_tag('attribute', 2)} AS tag_2
-      FROM part, (VALUES ('autonomy'),('beneficence'),('nonmaleficence'),('justice')) a(attribute)"""),
+      {_tag(1)} AS tag_1, {_tag(2)} AS tag_2
+      FROM part, (VALUES (0,'autonomy'),(1,'beneficence'),(2,'nonmaleficence'),(3,'justice')) a(i, attribute)"""),
     "tags": (["raw_tags"], f"""SELECT *, {_align('tag_1')} AS align_1, {_align('tag_2')} AS align_2,
       {_align('tag_1')} - {_align('tag_2')} AS delta FROM raw_tags"""),
     "model_runs": ([], f"""SELECT {uuid_sql('l_partkey')} AS case_id,

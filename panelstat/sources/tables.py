@@ -38,36 +38,36 @@ def cases(spark, folder) -> DataFrame:
     )
 
 
-def _tag(attribute, option: int):
-    h = S.hash_u32(F.lit("tag"), F.col("p_partkey"), attribute, F.lit(option)) % 3
-    return F.when(h == 0, "promotes").when(h == 1, "violates").otherwise("neutral")
-
-
 def tags(spark, folder) -> DataFrame:
     """One row per (case, attribute): both tags, both alignments and their difference."""
-    long = table(spark, folder, "part").select(
-        "p_partkey", F.explode(F.array(*[F.lit(a) for a in ATTRIBUTES])).alias("attribute")
-    )
-    tagged = long.select(
-        uuid_of("p_partkey").alias("case_id"),
-        "attribute",
-        _tag(F.col("attribute"), 1).alias("tag_1"),
-        _tag(F.col("attribute"), 2).alias("tag_2"),
+    digest = F.md5(F.concat(F.lit("tag|"), F.col("p_partkey").cast("string")))
+    long = table(spark, folder, "part").select(uuid_of("p_partkey").alias("case_id"), digest.alias("h")).select(
+        "case_id", "h", F.posexplode(F.array(*[F.lit(a) for a in ATTRIBUTES])).alias("i", "attribute")
     )
+
+    def tag(option: int):
+        v = F.conv(F.substr("h", F.col("i") * 8 + (4 * option - 3), F.lit(4)), 16, 10).cast("int") % 3
+        return F.when(v == 0, "promotes").when(v == 1, "violates").otherwise("neutral")
+
+    tagged = long.select("case_id", "attribute", tag(1).alias("tag_1"), tag(2).alias("tag_2"))
     return tagged.select(
         "*", S.align("tag_1").alias("align_1"), S.align("tag_2").alias("align_2")
     ).withColumn("delta", F.col("align_1") - F.col("align_2"))
 
 
+def _model_choices(spark, folder) -> DataFrame:
+    flag = F.col("l_returnflag")
+    choice = F.when(flag == "A", "choice_1").when(flag == "R", "choice_2").otherwise("REFUSAL")
+    return table(spark, folder, "lineitem").select("l_partkey", "l_linenumber", "l_linestatus", choice.alias("parsed_choice"))
+
+
+def _model_ids():
+    rater = F.concat(F.lit("model/m"), F.col("l_linenumber").cast("string"), "l_linestatus")
+    return [uuid_of("l_partkey").alias("case_id"), rater.alias("rater")]
+
+
 def model_runs(spark, folder) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
-        uuid_of("l_partkey").alias("case_id"),
-        F.concat(F.lit("model/m"), F.col("l_linenumber").cast("string"), "l_linestatus").alias("rater"),
-        F.when(F.col("l_returnflag") == "A", "choice_1")
-        .when(F.col("l_returnflag") == "R", "choice_2")
-        .otherwise("REFUSAL")
-        .alias("parsed_choice"),
-    )
+    return _model_choices(spark, folder).select(*_model_ids(), "parsed_choice")
 
 
 def events(spark, folder) -> DataFrame:
@@ -75,41 +75,44 @@ def events(spark, folder) -> DataFrame:
     e = table(spark, folder, "events")
     # every event is about one of the existing cases
     n = table(spark, folder, "part").agg(F.count("*")).scalar()
-    person = F.col("user_id").cast("string")
-    return e.select(
-        "event_id",
-        "ts",
-        "user_id",
-        "event_type",
-        "value",
-        F.concat(F.lit("User "), person).alias("name"),
-        F.concat(F.lit("u"), person, F.lit("@example.org")).alias("email"),
-        (F.col("event_id") % n).alias("case_key"),
-    )
+    return e.select("event_id", "ts", "user_id", "event_type", "value", (F.col("event_id") % n).alias("case_key"))
+
+
+def _name():
+    return F.concat(F.lit("User "), F.col("user_id").cast("string"))
+
+
+def _email():
+    return F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org"))
+
+
+def _event_choice():
+    kind = F.col("event_type")
+    return F.when(kind.isin("click", "purchase"), "choice_1").when(kind.isin("view", "signup"), "choice_2").otherwise("REFUSAL")
 
 
 def responses(spark, folder) -> DataFrame:
     """All human responses, repeats included: the input of the upsert."""
-    e = events(spark, folder)
-    return e.select(
-        uuid_of("case_key").alias("case_id"),
-        S.participant_id("name", "email").alias("participant_id"),
-        F.when(F.col("event_type").isin("click", "purchase"), "choice_1")
-        .when(F.col("event_type").isin("view", "signup"), "choice_2")
-        .otherwise("REFUSAL")
-        .alias("parsed_choice"),
-        "ts",
-        "event_id",
+    return events(spark, folder).select(
+        uuid_of("case_key").alias("case_id"), S.participant_id(_name(), _email()).alias("participant_id"),
+        _event_choice().alias("parsed_choice"), "ts", "event_id",
     )
 
 
-def human_runs(spark, folder) -> DataFrame:
+def _latest_choices(spark, folder) -> DataFrame:
     from panelstat.operators.merge import latest_responses
 
-    latest = latest_responses(responses(spark, folder))
-    return latest.select(
-        "case_id", F.concat(F.lit(HUMAN_PREFIX), "participant_id").alias("rater"), "parsed_choice"
-    )
+    numbered = events(spark, folder).select("case_key", "user_id", _event_choice().alias("parsed_choice"), "ts", "event_id")
+    return latest_responses(numbered, ["case_key", "user_id"])
+
+
+def _human_ids():
+    rater = F.concat(F.lit(HUMAN_PREFIX), S.participant_id(_name(), _email()))
+    return [uuid_of("case_key").alias("case_id"), rater.alias("rater")]
+
+
+def human_runs(spark, folder) -> DataFrame:
+    return _latest_choices(spark, folder).select(*_human_ids(), "parsed_choice")
 
 
 def runs(spark, folder) -> DataFrame:
@@ -117,11 +120,34 @@ def runs(spark, folder) -> DataFrame:
     return model_runs(spark, folder).unionByName(human_runs(spark, folder))
 
 
+def _decorated(summary: DataFrame, ids: list, native: list[str]) -> DataFrame:
+    return summary.select(*ids, *[c for c in summary.columns if c not in native])
+
+
+def model_summary(spark, folder) -> DataFrame:
+    """Summary of the model runs, counted on the narrow native keys; ids are attached to the result."""
+    from panelstat.operators.summary import run_summary
+
+    keys = ["l_partkey", "l_linenumber", "l_linestatus"]
+    return _decorated(run_summary(_model_choices(spark, folder), keys), _model_ids(), keys)
+
+
+def human_summary(spark, folder) -> DataFrame:
+    from panelstat.operators.summary import run_summary
+
+    keys = ["case_key", "user_id"]
+    return _decorated(run_summary(_latest_choices(spark, folder), keys), _human_ids(), keys)
+
+
+def summary(spark, folder) -> DataFrame:
+    return model_summary(spark, folder).unionByName(human_summary(spark, folder))
+
+
 def participants_input(spark, folder) -> DataFrame:
     return events(spark, folder).select(
-        S.participant_id("name", "email").alias("participant_id"),
-        "name",
-        "email",
+        S.participant_id(_name(), _email()).alias("participant_id"),
+        _name().alias("name"),
+        _email().alias("email"),
         F.when(F.col("event_type") == "signup", F.concat(F.lit("topic "), F.col("case_key").cast("string")))
         .otherwise("")
         .alias("expertise"),
@@ -132,20 +158,19 @@ def participants_input(spark, folder) -> DataFrame:
 
 def review_rows(spark, folder) -> DataFrame:
     """Review table: one row per document, with two reviewers from the labels."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents").withColumn("h", F.md5(F.concat(F.lit("row|"), F.col("doc_id").cast("string"))))
     l = table(spark, folder, "labels")
-    doc = F.col("doc_id").cast("string")
-    odd = lambda k: F.substring(F.md5(F.concat(F.lit(f"{k}|"), doc)), 1, 1)
-    tag = lambda k: (
-        F.when(odd(k) < "5", "promotes").when(odd(k) < "a", " Violates").when(odd(k) < "f", "neutral")
-        .otherwise(F.when(odd("x" + k) < "8", "").otherwise("both"))
+    digit = lambda i: F.substring("h", i, 1)
+    tag = lambda i: (
+        F.when(digit(i) < "5", "promotes").when(digit(i) < "a", " Violates").when(digit(i) < "f", "neutral")
+        .otherwise(F.when(digit(i + 8) < "8", "").otherwise("both"))
     )
     named = {}
-    for o in ("1", "2"):
-        for a in ATTRIBUTES:
-            named[f"{a.capitalize()} C{o}"] = tag(f"{a}{o}")
+    for o in (1, 2):
+        for i, a in enumerate(ATTRIBUTES):
+            named[f"{a.capitalize()} C{o}"] = tag(4 * o + i - 3)
     return d.join(l, "doc_id", "left").select(
-        F.when(odd("id") < "f", uuid_of("doc_id", "doc")).otherwise("").alias("Case ID"),
+        F.when(digit(31) < "f", uuid_of("doc_id", "doc")).otherwise("").alias("Case ID"),
         F.when(F.col("quality").isNotNull(), "ada").otherwise("").alias("R1"),
         F.when(F.col("quality") == 1, "Approve").otherwise("").alias("R1 Decision?"),
         F.when(F.col("toxic").isNotNull(), "ben").otherwise("").alias("R2"),
@@ -156,7 +181,7 @@ def review_rows(spark, folder) -> DataFrame:
         .otherwise("needs_review").alias("Status"),
         F.col("text").alias("Vignette"),
         F.concat(F.lit("Keep "), "source").alias("Choice 1"),
-        F.when(odd("c2") < "f", F.concat(F.lit("Drop "), "source")).otherwise("").alias("Choice 2"),
+        F.when(digit(32) < "f", F.concat(F.lit("Drop "), "source")).otherwise("").alias("Choice 2"),
         *[c.alias(n) for n, c in named.items()],
         F.col("lang").alias("Reviewer Comments"),
     )

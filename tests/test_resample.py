@@ -84,7 +84,7 @@ def panel(spark):
     prof = {f"{g}{i}": rng.dirichlet(np.ones(4)) for g, n in (("a", 6), ("b", 8)) for i in range(n)}
     df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in prof.items()], "rater string, profile array<double>")
     members = spark.createDataFrame([("A" if k[0] == "a" else "B", k) for k in prof] + [("B", "a0")], "group string, member string").cache()
-    return prof, P.jsd_matrix(df).cache(), members
+    return prof, df.cache(), members
 
 
 def mean_js(prof, ids):
@@ -93,8 +93,8 @@ def mean_js(prof, ids):
 
 
 def test_bootstrap_mean_jsd(panel):
-    prof, matrix, members = panel
-    got = {r.b: r for r in RS.bootstrap_mean_jsd(matrix, members, ("A", "B"), 5, 3).collect()}
+    prof, df, members = panel
+    got = {r.b: r for r in RS.bootstrap_mean_jsd(df, members, ("A", "B"), 5, 3).collect()}
     for g, name in (("A", "mean_a"), ("B", "mean_b")):
         pos = dense_position(members.filter(F.col("group") == g), "member")
         for b, d in enumerate(draws_of(pos, 5, f"3|{g}", "member")):
@@ -103,25 +103,25 @@ def test_bootstrap_mean_jsd(panel):
 
 
 def test_too_small_a_group_fails(spark, panel):
-    _, matrix, members = panel
+    _, df, members = panel
     alone = members.filter("member = 'a1'").union(members.filter("group = 'B'"))
     with pytest.raises(Exception, match="two members"):
-        RS.bootstrap_mean_jsd(matrix, alone, ("A", "B"), 2, 1).collect()
+        RS.bootstrap_mean_jsd(df, alone, ("A", "B"), 2, 1).collect()
 
 
 def test_permutation(panel):
-    prof, matrix, members = panel
+    prof, df, members = panel
     pool = [("A", m) for m in sorted(prof) if m[0] == "a"] + [("B", m) for m in sorted(prof) if m[0] == "b"] + [("B", "a0")]
-    null = {r.perm: r.statistic for r in RS.permutation_null_jsd(matrix, members, ("A", "B"), 20, 5).collect()}
+    null = {r.perm: r.statistic for r in RS.permutation_null_jsd(df, members, ("A", "B"), 20, 5).collect()}
     want = []
     for p in range(20):
         order = sorted(pool, key=lambda gm: (hashlib.md5(f"5|{p}|{gm[0]}|{gm[1]}".encode()).hexdigest(), gm))
         want.append(abs(mean_js(prof, [m for _, m in order[:6]]) - mean_js(prof, [m for _, m in order[6:]])))
     assert [null[p] for p in range(20)] == pytest.approx(want)
-    r = RS.permutation_test_jsd(matrix, members, ("A", "B"), 20, 5).first()
+    r = RS.permutation_test_jsd(df, members, ("A", "B"), 20, 5).first()
     obs = abs(mean_js(prof, [m for g, m in pool if g == "A"]) - mean_js(prof, [m for g, m in pool if g == "B"]))
     assert r.observed_diff == pytest.approx(obs) and r.p_value == pytest.approx(np.mean(np.array(want) >= obs))
-    plus = RS.permutation_test_jsd(matrix, members, ("A", "B"), 20, 5, add_one=True).first()
+    plus = RS.permutation_test_jsd(df, members, ("A", "B"), 20, 5, add_one=True).first()
     assert plus.p_value == pytest.approx((round(r.p_value * 20) + 1) / 21)
 
 

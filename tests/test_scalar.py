@@ -34,7 +34,7 @@ def test_timestamps(spark):
 
 
 def test_content_hash_of_any_text(spark):
-    texts = ['plain "quoted" \\ text', "naïve café\n\ttab", "emoji \U0001f600 end", "\x01\x1f control", ""]
+    texts = ['plain "quoted" \\ text', "naïve café\n\ttab", "emoji \U0001f600 end", "\x01\x1f \x7f control", "C:\\u00E9\\U \\\\u00AB", "ÉÀ at the start", ""]
     for t in texts:
         doc = {"vignette": t, "choice_1": {"choice": t, "autonomy": "neutral"}, "choice_2": {"choice": "b", "autonomy": "promotes"}}
         want = hashlib.sha256(json.dumps(doc, sort_keys=True).encode()).hexdigest()[:12]
