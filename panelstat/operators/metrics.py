@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstat.functions import scalar as S
 from panelstat.plans.gram import pair_moments
-from panelstat.schema import CONSENSUS, HUMAN_PREFIX
+from panelstat.schema import ATTRIBUTES, CONSENSUS
 
 
 def value_preference_per_case(summary: DataFrame, tags: DataFrame) -> DataFrame:
@@ -20,13 +20,25 @@ def value_preference_per_case(summary: DataFrame, tags: DataFrame) -> DataFrame:
     return answered.join(engaged, "case_id").select("case_id", "rater", "attribute", value.alias("value"))
 
 
-def value_preference(summary: DataFrame, tags: DataFrame) -> DataFrame:
-    """Mean expected alignment per rater and attribute (A4)."""
-    return (
-        value_preference_per_case(summary, tags)
-        .groupBy("rater", "attribute")
-        .agg(F.avg("value").alias("preference"), F.count("*").alias("n_cases"))
+def value_preference(summary: DataFrame, tags: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
+    """Mean expected alignment per rater and attribute (A4).
+
+    Tags are made one row per case first, so each answer is joined once and not once per attribute.
+    """
+    is_a = lambda a: F.col("attribute") == a
+    wide = tags.groupBy("case_id").agg(
+        *[F.max(F.when(is_a(a), F.col(f"align_{o}"))).alias(f"a{o}_{i}") for i, a in enumerate(attributes) for o in (1, 2)]
     )
+    answered = summary.filter("valid > 0").select("case_id", "rater", "c1", "c2", "valid")
+    values, entries = [], []
+    for i, a in enumerate(attributes):
+        one, two = F.col(f"a1_{i}"), F.col(f"a2_{i}")
+        value = F.when((one != 0) | (two != 0), (F.col("c1") * one + F.col("c2") * two) / F.col("valid"))
+        values += [F.sum(value).alias(f"s{i}"), F.count(value).alias(f"n{i}")]
+        entries.append(F.struct(F.lit(a).alias("attribute"), F.col(f"s{i}").alias("s"), F.col(f"n{i}").alias("n_cases")))
+    sums = answered.join(wide, "case_id").groupBy("rater").agg(*values)
+    long = sums.select("rater", F.explode(F.array(*entries)).alias("e")).select("rater", "e.*").filter("n_cases > 0")
+    return long.select("rater", "attribute", (F.col("s") / F.col("n_cases")).alias("preference"), "n_cases")
 
 
 def require_rows(df: DataFrame, key: str, wanted: list[str], message: str) -> DataFrame:

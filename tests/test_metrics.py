@@ -50,12 +50,12 @@ def test_refusal_rate_is_a_mean_of_ratios(summary):
 
 def test_preference_skips_neutral_cases(spark, summary):
     tags = spark.createDataFrame([("a", "x", 1, -1), ("b", "x", 1, 0), ("c", "x", 0, 0), ("c", "y", -1, 1)], "case_id string, attribute string, align_1 int, align_2 int")
-    p = by(M.value_preference(summary, tags), "rater", "attribute")
+    p = by(M.value_preference(summary, tags, ["x", "y"]), "rater", "attribute")
     assert p["m", "x"].preference == 0.0 and p["m", "x"].n_cases == 1
     assert p["n", "x"].preference == -1.0 and p["n", "y"].preference == 1.0
     with pytest.raises(Exception, match="nobody"):
-        M.require_rows(M.value_preference(summary, tags), "rater", ["m", "nobody"], "no valid runs").collect()
-    assert M.require_rows(M.value_preference(summary, tags), "rater", ["m"], "no valid runs").count() == 2
+        M.require_rows(M.value_preference(summary, tags, ["x", "y"]), "rater", ["m", "nobody"], "no valid runs").collect()
+    assert M.require_rows(M.value_preference(summary, tags, ["x", "y"]), "rater", ["m"], "no valid runs").count() == 2
 
 
 def test_agreement(summary):
