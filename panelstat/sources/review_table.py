@@ -35,5 +35,9 @@ def read_review_rows(spark: SparkSession, path: str, status: str | None = None)
 
 def write_review_rows(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write or append the fixed columns; filter with an anti join first when appending."""
-    rows.select(*[f"`{c}`" for c in REVIEW_COLUMNS]).write.mode(mode).option("header", True).option(
-        "quote", '"').option("escape", '"').csv(path)
+    (
+        rows.select(*[f"`{c}`" for c in REVIEW_COLUMNS]).write.mode(mode)
+        .option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )

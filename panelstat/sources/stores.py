@@ -42,9 +42,12 @@ def write_registry(participants: DataFrame, path: str, mode: str = "overwrite")
     participants.select("participant_id", "name", "email", "expertise", iso("first_seen"), iso("last_seen")).write.mode(mode).json(path)
 
 
-def read_case_records(spark: SparkSession, path: str) -> DataFrame:
-    """Case records, leniently: malformed files are left out, file and its time are kept."""
-    raw = spark.read.schema(CASE_RECORD).option("multiLine", True).option("mode", "PERMISSIVE").option(
+def read_case_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Case records, leniently: malformed ones are left out, file and its time are kept.
+
+    ``lines`` reads one record per line, which can be split, instead of one per file.
+    """
+    raw = spark.read.schema(CASE_RECORD).option("multiLine", not lines).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record").json(path)
     kept = raw.select(
         "*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
@@ -105,9 +108,9 @@ def write_embeddings(vectors: DataFrame, path: str, mode: str = "overwrite") ->
     vectors.write.mode(mode).parquet(path)
 
 
-def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    """Archived reviewer votes below a folder."""
-    return spark.read.schema(EVALUATION).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_evaluations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Archived reviewer votes below a folder (S12), one per file or one per line."""
+    return spark.read.schema(EVALUATION).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
