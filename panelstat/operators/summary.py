@@ -59,9 +59,12 @@ def models(summary: DataFrame) -> DataFrame:
     return summary.filter(~F.col("rater").startswith(HUMAN_PREFIX) & (F.col("rater") != CONSENSUS))
 
 
-def with_consensus(summary: DataFrame) -> DataFrame:
-    """The summary plus the virtual rater, so that every metric is one code path."""
-    return summary.unionByName(pool(humans(summary), CONSENSUS))
+def with_consensus(summary: DataFrame, human: DataFrame | None = None) -> DataFrame:
+    """The summary plus the virtual rater, so that every metric is one code path.
+
+    A caller that holds the human rows apart passes them and saves a second pass over the models.
+    """
+    return summary.unionByName(pool(humans(summary) if human is None else human, CONSENSUS))
 
 
 def human_consensus(summary: DataFrame) -> DataFrame:

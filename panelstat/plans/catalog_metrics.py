@@ -19,7 +19,7 @@ PANEL = T.MODELS + [CONSENSUS]
 
 
 def summary(spark, folder):
-    return SM.with_consensus(T.summary(spark, folder))
+    return SM.with_consensus(T.summary(spark, folder), T.human_summary(spark, folder))
 
 
 def rounded(df, digits=9, **cols):

@@ -54,29 +54,75 @@ def _grow(total, shape):
     return bigger
 
 
+def _add_short_rows(total: np.ndarray, codes, values, starts, lengths) -> None:
+    """Add the pairs of rows with few entries one by one; both orders, as the products do."""
+    k = total.shape[1]
+    flat = total.reshape(6, -1)
+    for length in np.unique(lengths[lengths > 1]):
+        at = starts[lengths == length][:, None] + np.arange(length)
+        i, j = np.triu_indices(length, 1)
+        a, b = codes[at][:, i].ravel(), codes[at][:, j].ravel()
+        x, y = values[at][:, i].ravel(), values[at][:, j].ravel()
+        a, b, x, y = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([x, y]), np.concatenate([y, x])
+        cell = a * k + b
+        for m, w in enumerate((None, x, y, x * x, y * y, x * y)):
+            flat[m] += np.bincount(cell, w, minlength=k * k)
+
+
+def _same_block(side: _Side, total, col: pa.ListArray):
+    """Add one batch of rows to the moments of a block with itself.
+
+    Rows that hold a small part of the items are cheaper pair by pair than as a dense product.
+    """
+    _, items, values = _flatten(col)
+    lengths = np.diff(col.offsets.to_numpy())
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    enc = items.dictionary_encode()
+    local = np.array([side.index.setdefault(x, len(side.index)) for x in enc.dictionary.to_pylist()], dtype=np.int64)
+    k = len(side.index)
+    total = _grow(total, (k, k))
+    codes = local[enc.indices.to_numpy()] if len(values) else np.zeros(0, dtype=np.int64)
+    short = lengths * lengths * 16 < k * k
+    _add_short_rows(total, codes, values, starts[short], lengths[short])
+    rest = np.nonzero(~short)[0]
+    if len(rest):
+        x = np.full((len(rest), k), np.nan)
+        row = np.repeat(np.arange(len(rest)), lengths[rest])
+        at = np.concatenate([np.arange(starts[r], starts[r] + lengths[r]) for r in rest])
+        x[row, codes[at]] = values[at]
+        _add_products(total, x, x)
+    return total
+
+
+def _add_products(total: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    mx, my = ~np.isnan(x), ~np.isnan(y)
+    x0, y0 = np.where(mx, x, 0.0), np.where(my, y, 0.0)
+    mx, my = mx.astype(float), my.astype(float)
+    for m, (p, q) in enumerate(((mx, my), (x0, my), (mx, y0), (x0**2, my), (mx, y0**2), (x0, y0))):
+        total[m] += p.T @ q
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sides, totals = {}, {}
     for batch in batches:
-        key = (batch.column("lo"), batch.column("hi"))
-        pair_ids = np.stack([k.to_numpy() for k in key], axis=1)
+        pair_ids = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], axis=1)
         for lo, hi in np.unique(pair_ids, axis=0):
-            keep = pa.array((pair_ids == (lo, hi)).all(axis=1))
-            part = batch.filter(keep)
-            left = sides.setdefault(lo, _Side())
-            right = sides.setdefault(hi, _Side())
+            part = batch.filter(pa.array((pair_ids == (lo, hi)).all(axis=1)))
+            left, right = sides.setdefault((lo, hi, 0), _Side()), sides.setdefault((lo, hi, 1), _Side())
             for start in range(0, part.num_rows, 4096):
                 piece = part.slice(start, 4096)
-                x = left.dense(pa.concat_arrays([piece.column("a")]), piece.num_rows)
-                y = x if lo == hi else right.dense(pa.concat_arrays([piece.column("b")]), piece.num_rows)
-                mx, my = ~np.isnan(x), ~np.isnan(y)
-                x0, y0 = np.where(mx, x, 0.0), np.where(my, y, 0.0)
-                mx, my = mx.astype(float), my.astype(float)
+                col = pa.concat_arrays([piece.column("a")])
+                if lo == hi:
+                    totals[(lo, hi)] = _same_block(left, totals.get((lo, hi)), col)
+                    continue
+                x = left.dense(col, piece.num_rows)
+                y = right.dense(pa.concat_arrays([piece.column("b")]), piece.num_rows)
                 t = _grow(totals.get((lo, hi)), (len(left.index), len(right.index)))
-                t += np.stack([mx.T @ my, x0.T @ my, mx.T @ y0, (x0**2).T @ my, mx.T @ (y0**2), x0.T @ y0])
+                _add_products(t, x, y)
                 totals[(lo, hi)] = t
     for (lo, hi), t in totals.items():
-        a = np.array(list(sides[lo].index), dtype=object)
-        b = np.array(list(sides[hi].index), dtype=object)
+        a = np.array(list(sides[(lo, hi, 0)].index), dtype=object)
+        b = a if lo == hi else np.array(list(sides[(lo, hi, 1)].index), dtype=object)
         i, j = np.nonzero(t[0])
         if lo == hi:
             keep = a[i] < b[j]
