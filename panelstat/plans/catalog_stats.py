@@ -162,19 +162,28 @@ def a21(spark, folder):
     return rounded(long.select("rater", "attribute", "beta", "status"), 6)
 
 
-@query("a22_sandwich_errors")
+_ERR = ", ".join(f"('{a}', b{i}, e{i})" for i, a in enumerate(ATTRS))
+
+
+@query("a22_sandwich_errors", with_ctes("sand") + f"""SELECT rater, t.attribute, {r6('t.beta', 'beta')}, {r6('t.se', 'std_error')}
+  FROM sand, LATERAL (VALUES {_ERR}) t(attribute, beta, se)""")
 def a22(spark, folder):
-    return rounded(G.long_weights(fits(spark, folder, sandwich=True), ["rater"]), 6)
+    long = G.long_weights(fits(spark, folder, sandwich=True), ["rater"])
+    return rounded(long.select("rater", "attribute", "beta", "std_error"), 6)
 
 
-_EXPECT = " + ".join(f"b{i}*x{i}" for i in range(4))
+@query("a22_weight_p_values")
+def a22_p(spark, folder):
+    return rounded(G.long_weights(fits(spark, folder, sandwich=True), ["rater"]), 6)
 
 
-@query("a22_leverage_errors")
+@query("a22_leverage_errors", with_ctes("lev") + f"""SELECT rater, t.attribute, {r6('t.se', 'std_error')}
+  FROM lev, LATERAL (VALUES {_ERR}) t(attribute, beta, se)""")
 def a22_hc3(spark, folder):
     return rounded(G.leverage_errors(design(spark, folder), fits(spark, folder)), 6)
 
 
+_EXPECT = " + ".join(f"b{i}*x{i}" for i in range(4))
 _GOF = f"""lik AS (SELECT rater, sum(successes*eta - trials*ln(1+exp(eta))) AS ll, sum(binomial) AS k, sum(saturated) AS sat,
   sum(trials) AS n, sum(successes) AS s, sum(n_cases)::bigint AS n_cases FROM (SELECT *, {_EXPECT} AS eta FROM cells JOIN fit USING (rater)) GROUP BY rater),
   nul AS (SELECT *, s*ln(s/n) + (n-s)*ln(1-s/n) + k AS ll0 FROM lik)"""

@@ -192,3 +192,49 @@ CTES["prof"] = (["fit"], softmax_sql("fit", "rater", 0.262))
 CTES["jsdm"] = (["prof"], f"SELECT a.rater AS a, b.rater AS b, {jsd_sql('a', 'b')} AS jsd FROM prof a JOIN prof b ON a.rater<b.rater")
 CTES["members"] = (["prof"], """SELECT CASE WHEN rater LIKE 'human/%' THEN 'humans' ELSE 'models' END AS grp, rater AS member
   FROM prof WHERE rater<>'human_consensus'""")
+
+
+def inverse_steps(k: int = 4) -> tuple[list[str], dict]:
+    """Select items that invert the symmetric matrix h<i><j>, and the names of the inverse's entries."""
+    a = {(i, j): f"h{min(i, j)}{max(i, j)}" for i in range(k) for j in range(k)}
+    rhs = {(i, c): "1.0" if i == c else "0.0" for i in range(k) for c in range(k)}
+    steps = []
+
+    def put(name, expr):
+        steps.append(f"{expr} AS {name}")
+        return name
+
+    for p in range(k):
+        for i in range(p + 1, k):
+            f = put(f"f_{p}_{i}", f"{a[i, p]}/{a[p, p]}")
+            for j in range(p + 1, k):
+                a[i, j] = put(f"a_{p}_{i}_{j}", f"{a[i, j]}-{f}*{a[p, j]}")
+            for c in range(k):
+                rhs[i, c] = put(f"r_{p}_{i}_{c}", f"{rhs[i, c]}-{f}*{rhs[p, c]}")
+    inv = {}
+    for i in reversed(range(k)):
+        for c in range(k):
+            tail = "".join(f"-{a[i, j]}*{inv[j, c]}" for j in range(i + 1, k))
+            inv[i, c] = put(f"v{i}{c}", f"({rhs[i, c]}{tail})/{a[i, i]}")
+    return steps, inv
+
+
+_MU = "1/(1+exp(-(" + "+".join(f"b{i}*x{i}" for i in range(4)) + ")))"
+_UP = [(i, j) for i in range(4) for j in range(i, 4)]
+_STEPS, _INV = inverse_steps()
+CTES["invs"] = (["cells", "fit"], f"""SELECT rater, b0, b1, b2, b3, {', '.join(f'v{i}{j}' for i in range(4) for j in range(4))} FROM (SELECT *, {', '.join(_STEPS)} FROM
+  (SELECT rater, b0, b1, b2, b3, {', '.join(f'sum(trials*mu*(1-mu)*x{i}*x{j}) AS h{i}{j}' for i, j in _UP)} FROM (SELECT *, {_MU} AS mu FROM cells JOIN fit USING (rater)) GROUP BY ALL))""")
+
+
+def _errors(src: str, weight: str) -> str:
+    m = ", ".join(f"sum({weight}*x{i}*x{j}) AS m{i}{j}" for i, j in _UP)
+    var = lambda a: "+".join(f"v{a}{i}*m{min(i, j)}{max(i, j)}*v{j}{a}" for i in range(4) for j in range(4))
+    return f"SELECT rater, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(4))}, " + ", ".join(
+        f"sqrt({var(a)}) AS e{a}" for a in range(4)) + f""" FROM (SELECT rater, {m} FROM {src} GROUP BY rater) JOIN invs USING (rater)
+      GROUP BY rater, {', '.join(f'v{i}{j}' for i in range(4) for j in range(4))}, {', '.join(f'm{i}{j}' for i, j in _UP)}"""
+
+
+CTES["sand"] = (["invs"], _errors(f"(SELECT *, {_MU} AS mu FROM cells JOIN fit USING (rater))", "(squares-2*mu*successes+mu*mu*trials)"))
+_QUAD = "+".join(f"x{i}*x{j}*v{i}{j}" for i in range(4) for j in range(4))
+CTES["lev"] = (["invs", "design"], _errors(
+    f"(SELECT *, n*(c1/n-mu)/(1-n*mu*(1-mu)*({_QUAD})) AS g FROM (SELECT *, {_MU} AS mu FROM design JOIN invs USING (rater)))", "g*g"))

@@ -20,13 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def uuid_of(key, label: str = "case"):
-    """A UUID-shaped id from a numeric key."""
+    """A UUID-shaped id from a numeric key.
+
+    Never NULL: a nullable expression would be evaluated once more per input row, for the null check
+    that a join pushes down to the scan.
+    """
     h = F.md5(F.concat(F.lit(label + "|"), F.col(key).cast("string")))
     part = lambda a, n: F.substring(h, a, n)
-    return F.concat(
+    text = F.concat(
         part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-"), part(17, 4),
         F.lit("-"), part(21, 12),
     )
+    return F.coalesce(text, F.lit(""))
 
 
 def cases(spark, folder) -> DataFrame:
@@ -63,7 +68,7 @@ def _model_choices(spark, folder) -> DataFrame:
 
 def _model_ids():
     rater = F.concat(F.lit("model/m"), F.col("l_linenumber").cast("string"), "l_linestatus")
-    return [uuid_of("l_partkey").alias("case_id"), rater.alias("rater")]
+    return [uuid_of("l_partkey").alias("case_id"), F.coalesce(rater, F.lit("")).alias("rater")]
 
 
 def model_runs(spark, folder) -> DataFrame:
@@ -108,7 +113,7 @@ def _latest_choices(spark, folder) -> DataFrame:
 
 def _human_ids():
     rater = F.concat(F.lit(HUMAN_PREFIX), S.participant_id(_name(), _email()))
-    return [uuid_of("case_key").alias("case_id"), rater.alias("rater")]
+    return [uuid_of("case_key").alias("case_id"), F.coalesce(rater, F.lit("")).alias("rater")]
 
 
 def human_runs(spark, folder) -> DataFrame:
