@@ -43,10 +43,31 @@ def bootstrap_draws(positions: DataFrame, n_samples: int, seed: int, key: str =
     return drawn.join(names, "idx").select("b", key, "weight")
 
 
+# numbers a task holds at a time while it sums values over draws
+SUM_LIMIT = 10_000_000
+
+
 def _weighted_sums(n_samples: int):
+    """Arrow function: per item and draw, the sums of weight * value and of weight over its rows.
+
+    Sums are handed on and started anew when they grow past the limit; they are added up afterwards,
+    so memory does not depend on how many items there are.
+    """
+
+    def emit(index, sums):
+        names = np.array(list(index), dtype=object)
+        i, b = np.nonzero(sums[1][: len(names)])
+        for lo in range(0, len(i), 100_000):
+            s = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[i[s]], pa.string()), pa.array(b[s].astype(np.int32)), pa.array(sums[0][i[s], b[s]]), pa.array(sums[1][i[s], b[s]])],
+                names=["item", "b", "total", "weight"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[str, int] = {}
         sums = np.zeros((2, 0, n_samples))
+        step = max(1, SUM_LIMIT // n_samples)
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 piece = batch.slice(start, 2048)
@@ -55,40 +76,37 @@ def _weighted_sums(n_samples: int):
                 w = np.zeros((n, n_samples))
                 np.add.at(w, (np.repeat(np.arange(n), np.diff(draws.offsets.to_numpy())), draws.flatten().to_numpy()), 1.0)
                 flat = values.flatten()
-                enc = flat.field(0).dictionary_encode()
-                local = np.array([index.setdefault(x, len(index)) for x in enc.dictionary.to_pylist()], dtype=np.int64)
-                if len(index) > sums.shape[1]:
-                    grown = np.zeros((2, len(index), n_samples))
-                    grown[:, : sums.shape[1]] = sums
-                    sums = grown
                 rows = np.repeat(np.arange(n), np.diff(values.offsets.to_numpy()))
-                x = np.zeros((n, len(index)))
-                has = np.zeros((n, len(index)))
-                if len(rows):
-                    cols = local[enc.indices.to_numpy()]
-                    x[rows, cols] = flat.field(1).to_numpy(zero_copy_only=False)
-                    has[rows, cols] = 1.0
-                sums[0] += x.T @ w
-                sums[1] += has.T @ w
-        names = np.array(list(index), dtype=object)
-        i, b = np.nonzero(sums[1])
-        for lo in range(0, len(i), 100_000):
-            s = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[i[s]], pa.string()), pa.array(b[s].astype(np.int32)), pa.array(sums[0][i[s], b[s]]), pa.array(sums[1][i[s], b[s]])],
-                names=["item", "b", "total", "weight"],
-            )
+                for lo in range(0, len(rows), step):
+                    part = pa.concat_arrays([flat.slice(lo, step).field(0)]).dictionary_encode()
+                    local = np.array([index.setdefault(x, len(index)) for x in part.dictionary.to_pylist()], dtype=np.int64)
+                    if len(index) > sums.shape[1]:
+                        grown = np.zeros((2, 2 * len(index), n_samples))
+                        grown[:, : sums.shape[1]] = sums
+                        sums = grown
+                    item = local[part.indices.to_numpy()]
+                    order = np.argsort(item, kind="stable")
+                    item, at = item[order], rows[lo : lo + step][order]
+                    x = flat.slice(lo, step).field(1).to_numpy(zero_copy_only=False)[order]
+                    first = np.concatenate([[0], np.nonzero(np.diff(item))[0] + 1])
+                    sums[0][item[first]] += np.add.reduceat(x[:, None] * w[at], first, axis=0)
+                    sums[1][item[first]] += np.add.reduceat(w[at], first, axis=0)
+                if len(index) * n_samples > SUM_LIMIT:
+                    yield from emit(index, sums)
+                    index, sums = {}, np.zeros((2, 0, n_samples))
+        yield from emit(index, sums)
 
     return run
 
 
 def bootstrap_means(
-    values: DataFrame, positions: DataFrame, keys: list[str], n_samples: int, seed: int, key: str = "case_id", value: str = "value"
+    values: DataFrame, positions: DataFrame, keys: list[str], n_samples: int, seed: int, key: str = "case_id", value: str = "value", n_blocks: int = 1
 ) -> DataFrame:
     """(keys..., b, mean): mean of a per-case metric over the drawn cases that have a value (R2).
 
-    Values and draw numbers meet once per case; each task multiplies its block of values with its
-    block of draw counts, so only keys times draws partial sums are shuffled afterwards.
+    Values and draw numbers meet once per case and each task sums them per key and draw, so only
+    those partial sums are shuffled afterwards. ``n_blocks`` splits the values of one case by key,
+    for cases with very many raters.
     """
     drawn = _drawn(positions, n_samples, seed).groupBy("idx").agg(F.collect_list("b").alias("draws"))
     by_case = positions.select(F.col("pos").alias("idx"), key).join(drawn, "idx").select(key, "draws")
@@ -96,7 +114,7 @@ def bootstrap_means(
     items = (
         values.filter(F.col(value).isNotNull())
         .select(key, F.struct(label.alias("item"), F.col(value).cast("double").alias("value")).alias("c"))
-        .groupBy(key)
+        .groupBy(key, F.pmod(F.xxhash64("c.item"), F.lit(n_blocks)))
         .agg(F.collect_list("c").alias("v"))
     )
     parts = items.join(by_case, key).select("v", "draws").mapInArrow(

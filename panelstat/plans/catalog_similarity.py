@@ -67,7 +67,7 @@ def k8(spark, folder):
 
 
 def _half(spark, folder):
-    """Stored side: the vectors whose label is even."""
+    """All vectors, and those of the lower labels as the ones already stored."""
     e = T.embeddings(spark, folder).select("case_id", "embedding", "label")
     return e, e.filter("label < 5")
 

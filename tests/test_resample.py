@@ -50,6 +50,17 @@ def test_bootstrap_means(spark, positions):
         assert got[b] == pytest.approx(np.mean([vals[c] for c in d if c in vals]))
 
 
+def test_many_raters_on_one_case(spark, positions, monkeypatch):
+    rows = [(f"r{j}", "c3", float(j)) for j in range(3000)] + [("r1", f"c{i}", 1.0) for i in range(10, 30)]
+    df = spark.createDataFrame(rows, "rater string, case_id string, value double")
+    once = {(r.rater, r.b): r["mean"] for r in RS.bootstrap_means(df, positions, ["rater"], 8, 9).collect()}
+    monkeypatch.setattr(RS, "SUM_LIMIT", 500)  # the function is built here and carries the smaller limit along
+    split = {(r.rater, r.b): r["mean"] for r in RS.bootstrap_means(df, positions, ["rater"], 8, 9, n_blocks=4).collect()}
+    assert once.keys() == split.keys() and all(split[k] == pytest.approx(v) for k, v in once.items())
+    drawn = {b for b, d in enumerate(draws_of(positions, 8, 9)) if "c3" in d}
+    assert {b for r, b in once if r == "r7"} == drawn and once["r7", min(drawn)] == 7
+
+
 def test_draw_without_data_is_absent(spark, positions):
     df = spark.createDataFrame([("r", "c0", 1.0)], "rater string, case_id string, value double")
     got = {r.b for r in RS.bootstrap_means(df, positions, ["rater"], 30, 9).collect()}
