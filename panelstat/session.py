@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str | None] = {}
+
 
 def local_session(cores: str = "8", app: str = "panelstat") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -23,15 +26,20 @@ def local_session(cores: str = "8", app: str = "panelstat") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint directory.
+    """A fresh folder below the cluster's shared checkpoint directory, deleted when the driver's JVM ends.
 
-    Only where the session names no such directory (tests on one machine) a local one is made.
+    A session on one machine (master ``local``) that names no such directory gets a temporary one; on
+    a cluster that is an error, because executors could not see each other's files.
     """
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="panelstat-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL.setdefault("base", None) or tempfile.mkdtemp(prefix="panelstat-")
+        _LOCAL["base"] = base
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
