@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelstat.llm import mixing, sharding
+from panelstat.llm import mixing, sharding, simhash, substring
 from panelstat.llm.common import table
 
 QUERIES: dict = {}
@@ -49,3 +50,26 @@ from r join s on starts_with(r.b, s.shard) where s.shard_bytes <= {sharding.LIMI
 @_query(OP10_SQL)
 def op10_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"))
+
+
+@_query()
+def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+OP8_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+r as (select doc_id, len(w) n, s, list_aggregate(w[s:s + 12], 'string_agg', ' ') k from w, unnest(range(1, len(w) - 11)) u(s)),
+f as (select k, min(doc_id) first from r group by k),
+c as (select distinct doc_id, p from r join f using (k), unnest(range(s, s + 13)) u(p) where f.first < r.doc_id),
+g as (select doc_id, list(p) gone from c group by doc_id)
+select w.doc_id, len(w.w)::bigint n_words, coalesce(len(gone), 0)::bigint n_removed,
+  sha256(array_to_string([x for x, i in w.w if not coalesce(list_contains(gone, i), false)], ' ')) kept_sha256
+from w left join g using (doc_id)
+"""
+
+
+@_query(OP8_SQL)
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring.dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
