@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import mixing, sharding, simhash, substring
+from panelstat.llm import mixing, sharding, simhash, substring, warc
 from panelstat.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,17 @@ from w left join g using (doc_id)
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substring.dedup(table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = f"""
+with p as (select page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) d from pages),
+f as (select d, min(page_id) first from p where n >= {warc.MIN_REVISIT} group by d)
+select page_id, n::bigint payload_bytes, d payload_digest, case when page_id > first then 'revisit' else 'response' end record_type,
+  case when page_id > first then first end refers_to
+from p left join f using (d)
+"""
+
+
+@_query(OP5_SQL)
+def op5_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
