@@ -122,7 +122,8 @@ def close_pairs(fps: DataFrame, radius: int = RADIUS, blanks: int = BLANKS) -> D
         first = F.when(n <= 2 * half, centre.bitwiseXOR(middle)).otherwise(first)
     left = values.select("value", F.col("fp").alias("a"))
     right = values.select(F.col("value"), F.col("fp").alias("b"))
-    return left.join(right, "value").filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & (F.col("value") == first)).select("a", "b")
+    # the planner does not see that each fingerprint becomes many values and would broadcast them
+    return left.hint("merge").join(right.hint("merge"), "value").filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & (F.col("value") == first)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blanks: int = BLANKS) -> DataFrame:
