@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import mixing, sharding, simhash, substring, warc
+from panelstat.llm import imatch, mixing, sharding, simhash, substring, vptree, warc
 from panelstat.llm.common import table
 
 QUERIES: dict = {}
@@ -87,3 +87,24 @@ from p left join f using (d)
 @_query(OP5_SQL)
 def op5_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+OP1_SQL = f"""
+with v as (select vec_id, min(embedding::double[]) v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+  group by vec_id),
+p as (select q.vec_id query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), i -> (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), (a, b) -> a + b)) score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= {vptree.K}
+"""
+
+
+@_query(OP1_SQL)
+def op1_vp_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query()
+def op2_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.with_edits(table(spark, folder, "documents"))
