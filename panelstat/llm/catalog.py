@@ -91,9 +91,9 @@ def op5_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 OP1_SQL = f"""
 with v as (select vec_id, min(embedding::double[]) v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
   group by vec_id),
-p as (select q.vec_id query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), i -> (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), (a, b) -> a + b)) score
+p as (select q.vec_id query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) score
   from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
 r as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from p)
 select query_id, rank, vec_id, score from r where rank <= {vptree.K}
