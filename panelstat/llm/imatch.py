@@ -31,7 +31,7 @@ from panelstat.llm import words as W
 from panelstat.llm.common import n_blocks
 
 LOW, HIGH = 1 / 2000, 1 / 5
-RATES = (1 / 8, 1 / 32, 1 / 128, 1 / 512)
+RATES = (1 / 64, 1 / 128, 1 / 256, 1 / 512)
 PER_RATE = 8
 MAX_LEXICON = 4_000_000
 BLOCK_BYTES = 16 << 20
