@@ -29,39 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelstat.llm import words as W
+from panelstat.llm.arrays import blobs, grouped, ids_of, member
 from panelstat.llm.common import n_blocks, text_bytes
 
 WIDTH, PERIOD, COVER = 13, 7, (0, 1, 3)
 BLOCK_BYTES, PART_ANCHORS = 8 << 20, 1 << 18
-_U, _NULL = np.uint64, np.int64(2**63 - 1)
-
-
-def _ids(column: pa.ChunkedArray) -> np.ndarray:
-    return np.asarray(column.combine_chunks().cast(pa.int64()).fill_null(int(_NULL)), np.int64)
-
-
-def _parts(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Partition of each sorted hash by its leading bits: the partitions that occur and where each begins (one end more)."""
-    part = (h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(h) else np.zeros(0, np.int64)
-    return part[at], np.append(at, len(h))
-
-
-def _grouped(h: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct h, ascending, with the least and the largest v of each."""
-    if not len(h):
-        return h, v, v
-    order = np.argsort(h)
-    h, v = h[order], v[order]
-    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[at], np.minimum.reduceat(v, at), np.maximum.reduceat(v, at)
-
-
-def _member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which x are in the sorted array ``among``."""
-    if not len(among):
-        return np.zeros(len(x), bool)
-    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
+_U = np.uint64
 
 
 def _anchors(hashed: np.ndarray, rows: np.ndarray, anchor: int, period: int, cover: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -75,25 +48,19 @@ def _anchors(hashed: np.ndarray, rows: np.ndarray, anchor: int, period: int, cov
     return at, h[at]
 
 
-def _blobs(block: int, bits: int, h: np.ndarray, *payloads: np.ndarray) -> pa.Table:
-    part, at = _parts(h, bits)
-    cols = [[p[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for p in payloads]
-    return pa.table([pa.array(part, pa.int64()), pa.array(np.full(len(part), block), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["_part", "_block", *[f"_p{i}" for i in range(len(cols))]])
-
-
 def _send_anchors(bits: int, anchor: int, period: int, cover: tuple):
     def send(t: pa.Table) -> pa.Table:
-        ids = _ids(t["doc_id"])
+        ids = ids_of(t["doc_id"])
         hs, ds = [], []
         for a, b, data, offsets in W.chunks(t["text"]):
             starts, ends, rows = W.spans(data, offsets)
             at, h = _anchors(W.hashes(data, starts, ends), rows, anchor, period, cover)
             hs.append(h)
             ds.append(ids[a:b][np.searchsorted(rows, at, "right") - 1])
-        h, low, high = _grouped(np.concatenate(hs or [np.zeros(0, _U)]), np.concatenate(ds or [np.zeros(0, np.int64)]))
+        h, low, high = grouped(np.concatenate(hs or [np.zeros(0, _U)]), np.concatenate(ds or [np.zeros(0, np.int64)]))
         # 32 bits below the partition's: chance matches are sorted out by the next step
         short = (h >> _U(32 - bits)).astype(np.uint32)
-        return _blobs(t["_block"][0].as_py(), bits, h, short, low != high)
+        return blobs(t["_block"][0].as_py(), bits, h, short, low != high)
 
     return send
 
@@ -109,23 +76,23 @@ def _shared_anchors(t: pa.Table) -> pa.Table:
     # a match within one block that its flag denies is a chance match of shortened hashes and does no harm
     twice = several[order] | np.append(False, same) | np.append(same, False)
     shared = np.unique(s[twice])
-    kept = [p[_member(p, shared)] for p in parts]
+    kept = [p[member(p, shared)] for p in parts]
     return pa.table([t["_block"].combine_chunks(), t["_part"].combine_chunks(), pa.array([k.tobytes() for k in kept], pa.binary())], names=["_block", "_part", "_p0"]).filter(pa.array([len(k) > 0 for k in kept], pa.bool_()))
 
 
 def _send_runs(bits: int, width: int, anchor: int, period: int, cover: tuple):
     def send(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows or not answers.num_rows:
-            return _blobs(0, bits, np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+            return blobs(0, bits, np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
         parts = zip(answers["_part"].to_pylist(), answers["_p0"], strict=True)
         shared = np.sort(np.concatenate([(_U(p) << _U(32)) | np.frombuffer(x.as_py(), np.uint32).astype(_U) for p, x in parts]))
-        ids = _ids(t["doc_id"])
+        ids = ids_of(t["doc_id"])
         hs, ds = [], []
         for a, b, data, offsets in W.chunks(t["text"]):
             starts, ends, rows = W.spans(data, offsets)
             hashed = W.hashes(data, starts, ends)
             at, h = _anchors(hashed, rows, anchor, period, cover)
-            at = at[_member(h >> _U(32 - bits), shared)]
+            at = at[member(h >> _U(32 - bits), shared)]
             if not len(at):
                 continue
             # an anchor at p can lie in the runs that begin from p - (period - 1) to p
@@ -138,8 +105,8 @@ def _send_runs(bits: int, width: int, anchor: int, period: int, cover: tuple):
             runs, row = runs[ok], row[ok]
             hs.append(W.windows(hashed, width)[runs])
             ds.append(ids[a:b][row])
-        h, low, _ = _grouped(np.concatenate(hs or [np.zeros(0, _U)]), np.concatenate(ds or [np.zeros(0, np.int64)]))
-        return _blobs(t["_block"][0].as_py(), bits, h, h, low)
+        h, low, _ = grouped(np.concatenate(hs or [np.zeros(0, _U)]), np.concatenate(ds or [np.zeros(0, np.int64)]))
+        return blobs(t["_block"][0].as_py(), bits, h, h, low)
 
     return send
 
@@ -148,14 +115,14 @@ def _earlier_runs(t: pa.Table) -> pa.Table:
     """Of one partition of runs: to each block those of its runs that a smaller doc_id of another block has."""
     hs = [np.frombuffer(x.as_py(), _U) for x in t["_p0"]]
     ds = [np.frombuffer(x.as_py(), np.int64) for x in t["_p1"]]
-    h, low, _ = _grouped(np.concatenate(hs), np.concatenate(ds))
+    h, low, _ = grouped(np.concatenate(hs), np.concatenate(ds))
     kept = [x[low[np.searchsorted(h, x)] < d] for x, d in zip(hs, ds, strict=True)]
     return pa.table([t["_block"].combine_chunks(), pa.array([k.tobytes() for k in kept], pa.binary())], names=["_block", "_p0"]).filter(pa.array([len(k) > 0 for k in kept], pa.bool_()))
 
 
 def _cut_runs(width: int, carried: list[str]):
     def cut(t: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = _ids(t["doc_id"]) if t.num_rows else np.zeros(0, np.int64)
+        ids = ids_of(t["doc_id"]) if t.num_rows else np.zeros(0, np.int64)
         earlier = np.sort(np.concatenate([np.frombuffer(x.as_py(), _U) for x in answers["_p0"]])) if answers.num_rows else np.zeros(0, _U)
         seen, hs, ds = [], [], []
         for a, b, data, offsets in W.chunks(t["text"]):
@@ -167,7 +134,7 @@ def _cut_runs(width: int, carried: list[str]):
             hs.append(h[runs])
             ds.append(ids[a:b][row[runs]])
         all_h, all_d = np.concatenate(hs or [np.zeros(0, _U)]), np.concatenate(ds or [np.zeros(0, np.int64)])
-        gone = _member(all_h, earlier)
+        gone = member(all_h, earlier)
         # runs that repeat between documents of this block
         order = np.argsort(all_h)
         s = all_h[order]
