@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import imatch, mixing, sharding, simhash, substring, vptree, warc
+from panelstat.llm import imatch, mixing, packing, ppm, sharding, simhash, substring, toxicity, vptree, warc
 from panelstat.llm.common import table
 
 QUERIES: dict = {}
@@ -108,3 +108,28 @@ def op1_vp_tree_search(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op2_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.with_edits(table(spark, folder, "documents"))
+
+
+@_query()
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def _held_out(parts: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == 1, F.lit(False))
+
+
+@_query()
+def op6_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.scores(table(spark, folder, "documents"), ~_held_out(5))
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, ~_held_out(3))
+
+
+@_query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = toxicity.score(docs, learn_toxicity(docs, table(spark, folder, "labels")))
+    return out.select("doc_id", _held_out(3).alias("held_out"), "score", "predicted")

@@ -110,7 +110,21 @@ def tilt(hist: DataFrame, targets: DataFrame, max_rate: int = MAX_RATE, steps: i
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: int = MAX_RATE, rows_per_window: int = 20_000, offsets: int = OFFSETS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
-    slim = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_h")), "mix-sizes")
+    return _mix(docs, [], weights, max_rate, rows_per_window, offsets)
+
+
+def mix_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
+    """The rows of ``docs`` in their columns, each as often as the mix takes it."""
+    names = docs.columns
+    numbered = cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    plain = numbered.select("_doc.doc_id", "_doc.source", "_doc.text", "_row")
+    taken = _mix(plain, ["_row"], weights, max_rate, 20_000, OFFSETS).filter(F.col("copies") > 0).select(F.col("_row").alias("_r"), "copies")
+    out = numbered.join(taken, F.col("_row") == F.col("_r")).select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in names])
+
+
+def _mix(docs: DataFrame, more: list[str], weights: Sequence[float], max_rate: int, rows_per_window: int, offsets: int) -> DataFrame:
+    slim = cut(docs.select("doc_id", "source", *more, n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_h")), "mix-sizes")
     hist = cut(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     targets = cut(source_targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), weights, max_rate).coalesce(1), "mix-targets")
     duals = tilt(hist, targets, max_rate)
@@ -147,4 +161,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: int = MAX
     per = F.floor(F.col("_k") / F.col("_m"))
     n_copies = (per + F.when(rank <= F.col("_k") - per * F.col("_m"), 1).otherwise(0)).cast("long")
     return rows.withColumn("copies", n_copies).select(
-        "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        *more, "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

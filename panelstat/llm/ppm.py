@@ -1,9 +1,9 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-The model is a trie of byte contexts up to ``order``. A byte's probability in a context is its count over the
-context's count plus its distinct bytes; the escape to the next shorter context gets the distinct bytes as its
-count. In the shorter context the bytes of the longer one are excluded, because the escape has said it is none
-of them. Below the empty context the bytes left are equally likely.
+The model is a trie of byte contexts up to ``order``. In a context, every distinct byte gives half a count to the escape
+(PPM's method D), which leads to the next shorter context; counts that the model does not keep (below) are the
+escape's too. In the shorter context the bytes of the longer one are excluded, because the escape has said it is
+none of them. Below the empty context the bytes left are equally likely.
 
 Pretrained: the counts of all (order + 1)-grams of the training documents are summed by Spark; counts of shorter
 grams are sums of these. Grams with at least ``share`` of all training bytes are kept, which are at most 1 / share of
@@ -34,7 +34,7 @@ from panelstat.llm import words as W
 from panelstat.llm.arrays import blobs, grouped, parts
 from panelstat.llm.common import cut, n_blocks, text_bytes
 
-ORDER, SHARE = 4, 1e-7
+ORDER, SHARE = 6, 2e-7
 BLOCK_BYTES, PART_WORDS = 16 << 20, 1 << 18
 END = 10
 _U = np.uint64
@@ -73,7 +73,7 @@ class HashTable:
     """Numbers to values by open addressing; lookups are array operations."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 4).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())  # between a quarter and half full
         self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
         self.keys, self.full, self.values = np.zeros(1 << bits, _U), np.zeros(1 << bits, bool), np.zeros(1 << bits)
         slot, left = self._slot(keys), np.arange(len(keys))
@@ -108,24 +108,29 @@ class HashTable:
 class Trie:
     """Contexts of each length with their counts, from sorted (gram, count) arrays by context length."""
 
-    def __init__(self, by_order: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, by_order: list[tuple[np.ndarray, np.ndarray]], n_bytes: int):
         self.order = len(by_order) - 1
         self.grams = by_order
         self.contexts = []
         for k, (g, c) in enumerate(by_order):
             ctx = g >> _U(8)
             at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(g) else np.zeros(0, np.int64)
-            total = np.add.reduceat(c, at) if len(g) else c
+            kept = np.add.reduceat(c, at) if len(g) else c
+            total = np.full(len(at), n_bytes)
+            if k:  # how often the context itself was seen, whatever followed
+                where, found = self._find(by_order[k - 1][0], ctx[at])
+                total = np.where(found, by_order[k - 1][1][where], 0) if len(by_order[k - 1][0]) else np.zeros(len(at), np.int64)
+            total = np.maximum(total, kept)
             distinct = np.diff(np.append(at, len(g)))
             excluded = np.zeros(len(at), np.int64)
             if k and len(g):  # what the shorter context has for the bytes of this one
                 shorter, counts = by_order[k - 1]
                 low = counts[np.searchsorted(shorter, g & _U((1 << 8 * k) - 1))]
                 excluded = np.add.reduceat(low, at)
-            self.contexts.append((ctx[at], total, distinct, excluded))
+            self.contexts.append((ctx[at], total, total - kept + distinct / 2, distinct, excluded))
         g, c = by_order[-1]
-        _, total, distinct, _ = self.contexts[-1]
-        self.table = HashTable(g, np.log10(c / np.repeat(total + distinct, distinct)) if len(g) else np.zeros(0))
+        _, total, _, distinct, _ = self.contexts[-1]
+        self.table = HashTable(g, np.log10((c - 0.5) / np.repeat(total, distinct)) if len(g) else np.zeros(0))
 
     @staticmethod
     def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,17 +151,19 @@ class Trie:
         open_ = np.arange(len(x))
         less, fewer = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)  # excluded counts and bytes
         for k in range(self.order, -1, -1):
-            keys, total, distinct, excluded = self.contexts[k]
+            keys, total, escape, distinct, excluded = self.contexts[k]
             own = x[open_] & _U((1 << 8 * (k + 1)) - 1)
             at, seen = self._find(keys, own >> _U(8))
-            left = np.where(seen, (distinct[at] if len(keys) else 0) - fewer[open_], 0)
-            whole = np.where(seen, (total[at] if len(keys) else 0) - less[open_], 0) + left
+            if not seen.any():
+                continue
+            whole = np.where(seen, total[at] - less[open_], 0)
+            out_of = np.where(seen, escape[at] - fewer[open_] / 2, 0)
             g, c = self.grams[k]
             where, hit = self._find(g, own)
-            out[open_[hit]] += np.log10(c[where[hit]] / whole[hit]) if hit.any() else 0
-            escape = ~hit & seen & (left > 0)
-            out[open_[escape]] += np.log10(left[escape] / whole[escape])
+            out[open_[hit]] += np.log10((c[where[hit]] - 0.5) / whole[hit])
             on = seen & ~hit
+            costs = on & (out_of > 0)  # a context whose bytes are all excluded says nothing
+            out[open_[costs]] += np.log10(out_of[costs] / whole[costs])
             less[open_[on]], fewer[open_[on]] = excluded[at[on]], distinct[at[on]]
             open_ = open_[~hit]
         out[open_] -= np.log10(256 - fewer[open_])
@@ -173,11 +180,11 @@ def adaptive_log10(data: bytes, order: int = ORDER) -> float:
             seen = {b: n for b, n in contexts.get(data[i - k: i], {}).items() if b not in excluded}
             if not seen:
                 continue
-            whole = sum(seen.values()) + len(seen)
+            whole = sum(seen.values())
             if x in seen:
-                total += np.log10(seen[x] / whole)
+                total += np.log10((seen[x] - 0.5) / whole)
                 break
-            total += np.log10(len(seen) / whole)
+            total += np.log10(len(seen) / 2 / whole)
             excluded |= seen.keys()
         else:
             total -= np.log10(256 - len(excluded))
@@ -305,7 +312,7 @@ def trie_of(counts: DataFrame, order: int, share: float) -> Trie:
         own, m = g[k == x].view(_U), n[k == x]
         at = np.argsort(own)
         by_order.append((own[at], m[at]))
-    return Trie(by_order)
+    return Trie(by_order, int(total))
 
 
 def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER, share: float = SHARE) -> DataFrame:

@@ -25,10 +25,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstat.llm.common import cut
+from panelstat.llm import words as W
+from panelstat.llm.common import cut, n_blocks
 from panelstat.llm.components import components
 
 SHINGLE, RADIUS, BLANKS, SEED = 3, 3, 3, 42
@@ -140,3 +141,168 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = member.join(smallest, "root").join(links, "fp", "left").select(F.col("fp").alias("_fp"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return fps.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+# Near copies by similarity: long signatures judge, short ones find.
+
+WIDE, BANDS, BAND_BITS = 5, 4, 32
+MOST = 26  # of 128 bits: similarity 0.8 of shingle sets comes to 19 or 20, with a standard deviation of 4
+
+
+def _signs(h: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
+    """n SimHashes of 64 bits from independent hashes of the features."""
+    out = np.zeros(n, np.uint64)
+    for k in range(n):
+        own = W._mixed(h ^ W._mixed(np.array([k + 1], np.uint64)))
+        total = np.zeros(64)
+        for a in range(0, len(own), 1 << 14):
+            bits = np.unpackbits(own[a: a + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            total += bits.sum(axis=0, dtype=np.int32) * 2.0 - len(bits) if weights is None else (2 * weights[a: a + (1 << 14)]) @ bits - weights[a: a + (1 << 14)].sum()
+        out[k] = np.packbits(total > 0).view(">u8")[0]
+    return out
+
+
+def signature(words: np.ndarray, width: int = WIDE, bands: int = BANDS) -> np.ndarray:
+    """Of a text's word hashes: two words of 64 bits over its distinct shingles, then the bands over its words, two to a number.
+
+    Words weigh the logarithm of one more than their count, so that neither a repeated word nor a common one decides alone.
+    """
+    shingles = np.unique(W.windows(words, width)) if len(words) >= width else np.unique(W.windows(words, len(words))) if len(words) else words
+    distinct, counts = np.unique(words, return_counts=True)
+    return np.concatenate([_signs(shingles, None, 2), _signs(distinct, np.log1p(counts).astype(np.float32), -(-bands // 2))])
+
+
+def _node(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return W._mixed(a ^ W._mixed(b + np.uint64(1))).view(np.int64)
+
+
+def signatures(docs: DataFrame, width: int = WIDE, bands: int = BANDS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) as doc_id, node, s0, s1 and an array of bands."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for _, _, data, offsets in W.chunks(b.column(1)):
+                data = W.lowered(data)
+                starts, ends, first = W.spans(data, offsets)
+                h = W.hashes(data, starts, ends)
+                rows += [signature(h[x:y], width, bands) for x, y in zip(first[:-1], first[1:], strict=True)]
+            s = np.array(rows, np.uint64).reshape(len(rows), -1)
+            short = np.stack([(s[:, 2 + k // 2] >> np.uint64(32 * (k % 2))) & np.uint64(0xFFFFFFFF) for k in range(bands)], 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array(_node(s[:, 0], s[:, 1])), pa.array(s[:, 0].view(np.int64)), pa.array(s[:, 1].view(np.int64)),
+                pa.array(list(short), pa.list_(pa.int64())),
+            ], names=["doc_id", "node", "s0", "s1", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, bands array<long>")
+
+
+class _Forest:
+    """Joins nodes and keeps the edges that joined two trees."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        new = self.label[a] != self.label[b]
+        if not new.any():
+            return
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
+            u, v = find(int(self.label[x])), find(int(self.label[y]))
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                self.edges.append((x, y))
+        to = np.arange(len(self.label))
+        for u in parent:
+            to[u] = find(u)
+        self.label = to[self.label]
+
+
+def _links(most: int):
+    """Of one partition of ball values: edges that join all signatures which share a value and differ in at most ``most`` bits."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[np.asarray(c, np.int64) for c in b.columns] for b in batches]
+        key, s0, s1 = (np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)]) for i in range(3))
+        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        ids, which = np.unique(_node(s0, s1), return_inverse=True)
+        at = which[order]
+        s0, s1 = s0[order], s1[order]
+        forest = _Forest(len(ids))
+        left, step = np.arange(len(key)), 1
+        while True:
+            left = left[left + step < len(key)]
+            left = left[key[left] == key[left + step]]
+            if not len(left):
+                break
+            near = left[np.bitwise_count(s0[left] ^ s0[left + step]).astype(np.int64) + np.bitwise_count(s1[left] ^ s1[left + step]) <= most]
+            forest.add(at[near], at[near + step])
+            step += 1
+        a, b = (np.array([e[i] for e in forest.edges], np.int64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    return links
+
+
+def near_copies(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most: int = MOST) -> DataFrame:
+    """(doc_id, component_id, node, root) of every row: documents whose shingle sets are about 0.8 alike, or more, are linked.
+
+    Linked are signatures (128-bit SimHash over distinct shingles) that differ in at most ``most`` bits and of whose bands
+    (32-bit SimHash over words) one differs in at most 2. Every band emits all values within 1 bit, values meet in the
+    shuffle, and their partition compares the signatures that met. Of all links it hands on a forest: enough to
+    join the same documents, and never more edges than it has signatures, however many copies met.
+    """
+    own = cut(signatures(docs, width, bands), "simhash-signatures")
+    classes = own.groupBy("node").agg(F.min(F.struct("s0", "s1", "bands")).alias("s"), F.min("doc_id").alias("first_id"))
+    classes = cut(classes.select("node", "s.*", "first_id"), "simhash-classes")
+    flips = F.array(*[F.lit(f).cast("long") for f in [0, *[1 << b for b in range(BAND_BITS)]]])
+    balls = classes.select("s0", "s1", F.posexplode("bands").alias("k", "band")).select("s0", "s1", F.shiftleft(F.col("k").cast("long"), BAND_BITS).bitwiseOR(F.col("band")).alias("centre"), F.explode(flips).alias("flip"))
+    values = balls.select(F.col("centre").bitwiseXOR(F.col("flip")).alias("value"), "s0", "s1")
+    parts = n_blocks(docs.sparkSession, classes.count() * bands * (BAND_BITS + 1), 1 << 20)
+    edges = cut(values.repartition(parts, "value").mapInArrow(_links(most), "a long, b long"), "simhash-links")
+    member = classes.select("node", "first_id").join(components(edges).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    member = member.select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    member = member.join(smallest, "root").select(F.col("node").alias("_n"), "component_id", "root")
+    return own.join(member, F.col("node") == F.col("_n")).select("doc_id", "component_id", "node", "root")
+
+
+def first_of_each(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most: int = MOST) -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies: that with the smallest doc_id, of equal ids the first by text.
+
+    Groups without any doc_id keep their first row by text.
+    """
+    found = cut(near_copies(docs, width, bands, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "simhash-firsts")
+    found = found.withColumnRenamed("doc_id", "_id")
+    rows = found.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    own_id = F.col("doc_id").cast("long")
+    plain = docs.join(rows.filter("_n = 1 and _id is not null").select("_id"), own_id == F.col("_id"), "left_semi")
+
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, _, data, offsets in W.chunks(texts):
+            data = W.lowered(data)
+            starts, ends, first = W.spans(data, offsets)
+            h = W.hashes(data, starts, ends)
+            out += [signature(h[x:y], width, 0) for x, y in zip(first[:-1], first[1:], strict=True)]
+        s = np.array(out, np.uint64).reshape(len(out), -1)
+        return pa.array(_node(s[:, 0], s[:, 1]))
+
+    # ids that several such rows share: the node tells which group a row belongs to
+    shared = docs.join(rows.filter("_n > 1 or _id is null").select("_id"), own_id.eqNullSafe(F.col("_id")), "left_semi")
+    shared = shared.select(F.struct("*").alias("_doc"), own_id.alias("_own"), node_of("text").alias("_node"), F.col("text").alias("_text"))
+    groups = found.select("_id", F.col("node").alias("_n"), "root").distinct()
+    first = F.row_number().over(Window.partitionBy("_own", "root").orderBy("_text", F.xxhash64("_doc")))
+    shared = shared.join(groups, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n"))).withColumn("_first", first).filter("_first = 1").select("_doc.*")
+    return plain.unionByName(shared)

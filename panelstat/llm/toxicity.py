@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstat.llm import words as W
@@ -221,19 +221,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, samp
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)))
         model = train(pa.array([r[1] for r in rows], pa.string()), np.array([r[2] for r in rows]), **options)
-        model.embeddings = model.embeddings.astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        kept = (model.embeddings.astype(np.float32), model.weights, model.bias, model.width, model.prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(kept)], pa.binary())], names=["model"])
 
     found = chosen[0].unionByName(chosen[1]).select("_h", "text", "y").coalesce(1).mapInArrow(learn, "model binary").collect()
-    return pickle.loads(found[0][0]) if found else train(pa.array([], pa.string()), np.zeros(0))
+    return Model(*pickle.loads(found[0][0])) if found else train(pa.array([], pa.string()), np.zeros(0))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with toxic_score (0 to 1) and is_toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """A function from a text column to its score."""
+    sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(sent.value.scores(texts), pa.float64())
 
-    return docs.withColumn("toxic_score", scored("text")).withColumn("is_toxic", F.col("toxic_score") >= threshold)
+    return scored
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted (1 from the threshold on) of every row."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs.sparkSession, model)("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` below the threshold."""
+    return docs.filter(scorer(docs.sparkSession, model)("text") < threshold)
