@@ -74,13 +74,15 @@ def tilt(hist: DataFrame, targets: DataFrame, max_rate: int = MAX_RATE, steps: i
         F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("miss"),
     )
     state = cut(state.coalesce(1), "tilt")
+    # decimals add up to the same whatever the order, so reruns agree to the last bit
+    exact = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
     for _ in range(steps):
         h = hist.withColumnRenamed("source", "_s")
         z = F.col("size") / F.col("mean_size")
         rate = _rate(F.col("lam"), z, max_rate)
         words = F.col("n") * F.col("size") * rate
         sums = h.join(state, F.col("_s").eqNullSafe(F.col("source"))).filter(~F.col("saturated")).groupBy("source").agg(
-            F.sum(words).alias("got"), F.sum(F.when(rate < max_rate, words * z).otherwise(0.0)).alias("slope"))
+            exact(words).alias("got"), exact(F.when(rate < max_rate, words * z).otherwise(0.0)).alias("slope"))
         sums = sums.withColumnRenamed("source", "_s")
         joined = state.join(sums, F.col("_s").eqNullSafe(F.col("source")), "left")
         over = F.col("got") > F.col("target")
