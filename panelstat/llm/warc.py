@@ -8,20 +8,25 @@ pushes filters down without it), and from the options below. With option ``paylo
 
 Options: ``record_types`` (comma-separated), ``header.<Name>`` (a header that must have this value),
 ``payload`` (true/false), ``max_file_bytes`` (writing: a file is closed when it is that long, so no read partition is
-much larger).
+much larger), ``compress`` (writing: true for .warc.gz with a gzip member for each record, false for plain files).
+
+A member that this writer makes names its own compressed length in a gzip extra field ("sl"). Reading, a task inflates
+the start of a member, which holds the record's header, and seeks over the rest of a member that no one wants.
 
 Writing: a task writes files under a temporary name; the commit on the driver gives them their own.
 Files of lost or repeated attempts keep the temporary name, which readers skip and the commit removes.
 
 Defined cases: a null payload is an empty one; white space and control characters in header values
-are percent-encoded; files that end in .gz are read as gzip members; a truncated last record is an error.
+are percent-encoded; gzip files without the extra field are read through from the start; a truncated last record is an error.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -100,6 +105,8 @@ def records(f, wanted=lambda head: True, payload: bool = True, skip=None) -> Ite
             while taken < size:
                 line = f.readline()
                 taken += len(line)
+                if not line.endswith(b"\n"):
+                    raise ValueError("truncated WARC record")
                 if line in (b"\r\n", b"\n"):
                     break
                 name, _, value = line.partition(b":")
@@ -117,6 +124,39 @@ def records(f, wanted=lambda head: True, payload: bool = True, skip=None) -> Ite
         yield head, length, body
 
 
+_MEMBER = "<4s6sH2sHII"  # magic, method and flags; time, level, system; extra field: length, name, length, sizes
+_MEMBER_SIZE = struct.calcsize(_MEMBER)
+_START = 8 << 10
+
+
+def member(raw: bytes, level: int = 4) -> bytes:
+    """A gzip member whose extra field says how long it is, compressed and not."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(raw) + packer.flush()
+    size = _MEMBER_SIZE + len(body) + 8
+    return struct.pack(_MEMBER, b"\x1f\x8b\x08\x04", b"\0\0\0\0\0\xff", 12, b"sl", 8, size, len(raw) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
+def _gzip_records(raw, wanted, payload: bool) -> Iterator[tuple[dict, int, bytes | None]]:
+    """As ``records``, of a gzip file."""
+    at = 0
+    while start := raw.read(_START):
+        known = len(start) >= _MEMBER_SIZE and start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl"
+        if not known:
+            raw.seek(at)
+            yield from records(io.BufferedReader(gzip.GzipFile(fileobj=raw)), wanted, payload)
+            return
+        size = struct.unpack_from(_MEMBER, start)[5]
+        try:  # as much as the start holds
+            found = list(records(io.BytesIO(zlib.decompressobj(-15).decompress(start[_MEMBER_SIZE: size - 8])), wanted, payload))
+        except ValueError:
+            raw.seek(at)
+            found = list(records(io.BytesIO(gzip.decompress(raw.read(size))), wanted, payload))
+        yield from found
+        at += size
+        raw.seek(at)
+
+
 def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "/" + path)
 
@@ -165,11 +205,10 @@ class WarcReader(DataSourceReader):
         where, _ = _place(self.path)
         with where.open_input_file(partition.path) as raw:
             if partition.path.endswith(".gz"):
-                f, skip = gzip.GzipFile(fileobj=raw), None
-            else:
-                f = io.BufferedReader(raw, 1 << 16)
-                skip = lambda n: f.seek(n, 1)
-            yield from _batches(records(f, self.wanted, self.payload, skip))
+                yield from _batches(_gzip_records(raw, self.wanted, self.payload))
+                return
+            f = io.BufferedReader(raw, 1 << 16)
+            yield from _batches(records(f, self.wanted, self.payload, lambda n: f.seek(n, 1)))
 
 
 def _batches(found: Iterator[tuple[dict, int, bytes | None]]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +238,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.limit = int(options.get("max_file_bytes", 64 << 20))
+        self.compress = options.get("compress", "true").lower() != "false"
         self.job = uuid.uuid4().hex
 
     def write(self, iterator):
@@ -208,9 +248,9 @@ class WarcWriter(DataSourceArrowWriter):
         for b in iterator:
             for row in b.to_pylist():
                 if out is None:
-                    paths.append(f"{path}/_{self.job}-{uuid.uuid4().hex}.warc")
-                    out = where.open_output_stream(paths[-1])
-                out.write(record(row))
+                    paths.append(f"{path}/_{self.job}-{uuid.uuid4().hex}.warc{'.gz' * self.compress}")
+                    out = where.open_output_stream(paths[-1], compression=None)
+                out.write(member(record(row)) if self.compress else record(row))
                 if out.tell() >= self.limit:
                     out = out.close()
         if out is not None:
@@ -223,7 +263,7 @@ class WarcWriter(DataSourceArrowWriter):
         n = 0
         for m in messages if keep else []:
             for p in m.paths if m else []:
-                where.move(p, f"{path}/part-{n:06d}-{self.job}.warc")
+                where.move(p, f"{path}/part-{n:06d}-{self.job}.warc{'.gz' * self.compress}")
                 n += 1
         for x in where.get_file_info(fs.FileSelector(path)):
             if x.base_name.startswith(f"_{self.job}"):

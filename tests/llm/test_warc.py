@@ -40,9 +40,11 @@ def test_clashing_and_empty(pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_predicates_files_and_payloads(spark, pages, tmp_path):
+@pytest.mark.parametrize("compress", ["true", "false"])
+def test_predicates_files_and_payloads(spark, pages, tmp_path, compress):
     path = str(tmp_path / "a")
-    warc.write_warc(warc.page_records(pages), path, max_file_bytes="2000")
+    warc.write_warc(warc.page_records(pages), path, max_file_bytes="2000", compress=compress)
+    assert all(x.name.endswith(".warc.gz" if compress == "true" else ".warc") for x in (tmp_path / "a").iterdir() if x.name[0] != ".")
     df = warc.read_warc(spark, path)
     assert df.count() == pages.count()
     found = df.filter((F.col("record_type") == "response") & F.col("target_uri").startswith("http://a/1")).select("target_uri", F.decode("payload", "UTF-8").alias("html"))
@@ -62,3 +64,26 @@ def test_gzip_and_broken(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(rec[3][:-6])
     with pytest.raises(Exception, match="truncated"):
         warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_members_are_gzip_and_skipped(tmp_path):
+    import io
+    import os
+
+    noise = [os.urandom(100_000).hex().encode() for _ in range(4)]
+    rec = [warc.record({"record_id": f"<urn:page:{i}>", "record_type": "response", "payload": n, "headers": {"X-Long": "y" * 20_000 if i == 2 else "n"}}) for i, n in enumerate(noise)]
+    raw = b"".join(map(warc.member, rec))
+    assert gzip.decompress(raw) == b"".join(rec)
+
+    class Counted(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.seen += len(out)
+            return out
+
+    f = Counted(raw)
+    got = list(warc._gzip_records(f, lambda h: h["warc-record-id"] == "<urn:page:3>", True))
+    assert [g[2] for g in got] == [noise[3]] and f.seen < len(raw) * 0.8
+    assert [g[1] for g in warc._gzip_records(io.BytesIO(raw), lambda h: True, False)] == [len(n) for n in noise]
