@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstat.functions import scalar as S
+from panelstat.plans.reuse import materialise
 
 
 def unpivot_responses(rows: DataFrame, ids: list[str], case_columns: list[str]) -> DataFrame:
@@ -76,48 +77,41 @@ def parse_survey(rows: DataFrame, case_columns: list[str], cases: DataFrame, as_
     first_blank = F.coalesce(*[F.when(F.length(_text(c)) == 0, F.lit(c)) for c in case_columns]) if case_columns else F.lit(None)
     usable = F.col("problem").isNull()
     timed = usable | (F.col("problem") == "email")
+    note = lambda when, kind, *text: F.when(when, F.struct(F.lit(kind).alias("kind"), F.concat(*text).alias("warning")))
     row_notes = F.array(
-        F.when(
-            (F.col("given_email") != F.col("email")) & (F.length("given_email") > 0),
-            F.concat(where, F.lit(": Email had spaces removed: '"), "given_email", F.lit("' -> '"), "email", F.lit("'")),
-        ),
-        F.when(F.col("problem") == "incomplete", F.concat(where, F.lit(": Skipped - missing name or email"))),
-        F.when(
-            timed & (F.length("recorded") == 0), F.concat(who, F.lit(": Empty timestamp field, using current time"))
-        ).when(
-            timed & F.col("parsed").isNull(),
-            F.concat(who, F.lit(": Could not parse timestamp '"), "recorded", F.lit("', using current time")),
-        ),
-        F.when(F.col("problem") == "email", F.concat(who, F.lit(": Invalid email format '"), "email", F.lit("'"))),
-        F.when(
-            usable & (n_blank > 0) & (n_blank < len(case_columns)),
-            F.when(n_blank == 1, F.concat(who, F.lit(": Empty response for case "), first_blank)).otherwise(
-                F.concat(who, F.lit(": Empty responses for "), n_blank.cast("string"), F.lit(" cases"))
-            ),
-        ),
+        note((F.col("given_email") != F.col("email")) & (F.length("given_email") > 0), "email_spaces", where, F.lit(": spaces taken out of e-mail '"), "given_email", F.lit("'")),
+        note(F.col("problem") == "incomplete", "no_person", where, F.lit(": name or e-mail is missing, row left out")),
+        note(timed & (F.length("recorded") == 0), "timestamp", who, F.lit(": no time given, import time taken")),
+        note(timed & (F.length("recorded") > 0) & F.col("parsed").isNull(), "timestamp", who, F.lit(": unreadable time '"), "recorded", F.lit("', import time taken")),
+        note(F.col("problem") == "email", "bad_email", who, F.lit(": '"), "email", F.lit("' is no e-mail address")),
+        note(usable & (n_blank > 0) & (n_blank < len(case_columns)), "blank", who, F.lit(": no answer to "), n_blank.cast("string"), F.lit(" case(s), first "), first_blank),
     )
-    from_rows = p.select("row", F.explode(F.filter(row_notes, lambda x: x.isNotNull())).alias("warning"))
+    from_rows = p.select("row", F.explode(F.filter(row_notes, lambda x: x.isNotNull())).alias("n")).select("row", "n.*")
     case = F.concat(where, F.lit(", Case "), F.col("case_id"))
-    note = F.when(F.col("_known").isNull(), F.concat(case, F.lit(": Case file not found - response cannot be matched"))).otherwise(
-        F.concat(case, F.lit(", Participant "), "participant_id", F.lit(": Response text does not match either choice"))
+    lost = F.col("_known").isNull()
+    from_cells = missed.select(
+        "row", F.when(lost, "no_case").otherwise("no_choice").alias("kind"),
+        F.when(lost, F.concat(case, F.lit(": unknown case"))).otherwise(F.concat(case, F.lit(", Participant "), "participant_id", F.lit(": answer is neither choice"))).alias("warning"),
     )
-    from_cells = missed.select("row", note.alias("warning"))
     warnings = from_rows.unionByName(from_cells)
     if file_warnings:
-        notes = rows.sparkSession.createDataFrame([(0, w) for w in file_warnings], "row bigint, warning string")
+        notes = rows.sparkSession.createDataFrame([(0, "no_column", w) for w in file_warnings], "row bigint, kind string, warning string")
         warnings = notes.unionByName(warnings.withColumn("row", F.col("row").cast("bigint")))
-    errors = p.filter("problem = 'email'").select("row", F.concat(where, F.lit(": Invalid participant data")).alias("error")).unionByName(
+    errors = p.filter("problem = 'email'").select("row", F.concat(where, F.lit(": unusable participant")).alias("error")).unionByName(
         from_cells.select("row", F.col("warning").alias("error"))
     )
     return Survey(responses, unmatched, participants, warnings, errors)
 
 
-def check_strict(survey: Survey, show: int = 20) -> None:
-    """Raise before anything is written when the survey has errors; only a few texts are fetched."""
-    n = survey.errors.count()
+def check_strict(survey: Survey) -> None:
+    """Raise before anything is written when the survey has errors.
+
+    All of them are in the table that the error names; none reaches the driver.
+    """
+    errors = materialise(survey.errors, "survey-errors")
+    n = errors.count()
     if n:
-        first = [r.error for r in survey.errors.orderBy("row", "error").limit(show).collect()]
-        raise ValueError(f"failed to parse {n} response(s):\n" + "\n".join(first))
+        raise ValueError(f"failed to parse {n} response(s); see {errors.inputFiles()[0].rsplit('/', 1)[0]}")
 
 
 def merge_participants(seen: DataFrame) -> DataFrame:
@@ -153,30 +147,23 @@ def upsert_registry(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-# Phrase that marks a warning and the label it is counted under, first match wins.
-WARNING_TYPES = [
-    ("Email had spaces removed", "Emails with spaces"),
-    ("Invalid email format", "Invalid email formats"),
-    ("Empty timestamp", "Timestamp parsing issues"),
-    ("Could not parse timestamp", "Timestamp parsing issues"),
-    ("Case file not found", "Missing case files"),
-    ("Response text does not match", "Unmatched responses"),
-    ("Empty response", "Empty responses"),
-    ("Skipped - missing", "Missing participant data"),
-    ("not found", "Missing columns"),
-]
+# The label that a kind of warning is reported under.
+WARNING_LABELS = {
+    "bad_email": "Invalid email formats",
+    "blank": "Empty responses",
+    "email_spaces": "Emails with spaces",
+    "no_case": "Missing case files",
+    "no_choice": "Unmatched responses",
+    "no_column": "Missing columns",
+    "no_person": "Missing participant data",
+    "timestamp": "Timestamp parsing issues",
+}
 
 
 def warning_histogram(warnings: DataFrame, top: int | None = 5) -> DataFrame:
     """Most frequent kinds of warning."""
-    kind = None
-    for phrase, label in WARNING_TYPES:
-        hit = F.contains("warning", F.lit(phrase))
-        if label == "Missing columns":
-            hit = hit & F.contains("warning", F.lit("Column"))
-        kind = F.when(hit, label) if kind is None else kind.when(hit, label)
-    out = warnings.groupBy(kind.otherwise("Other issues").alias("kind")).agg(F.count("*").alias("n"))
-    out = out.orderBy(F.desc("n"), "kind")
+    labels = F.create_map(*[F.lit(x) for pair in WARNING_LABELS.items() for x in pair])
+    out = warnings.groupBy("kind").agg(F.count("*").alias("n")).select(labels[F.col("kind")].alias("kind"), "n").orderBy(F.desc("n"), "kind")
     return out.limit(top) if top else out
 
 

@@ -13,45 +13,52 @@ from panelstat.functions.scalar import UUID_PREFIX
 _UUID = re.compile(UUID_PREFIX)
 
 
+# What a head cell can be, and how much a row of such cells tells about the cases: the fuller row is the header.
+TITLED, DESCRIBED, BARE, IMPORT, OTHER = "titled", "described", "bare", "import", "other"
+_TELLS = {TITLED: 3, DESCRIBED: 2, BARE: 1}
+LONG_TEXT = 50
+
+
 def _uuid(cell: str | None) -> str | None:
     m = _UUID.match((cell or "").strip())
     return m.group(1).lower() if m else None
 
 
+def _cell_kind(cell: str | None) -> str:
+    text = (cell or "").strip()
+    if _uuid(text):
+        return TITLED if " - " in text else BARE
+    return IMPORT if text.startswith("{") and "ImportId" in text else OTHER
+
+
 def header_layout(rows: list[list[str]]) -> tuple[list[str], int]:
-    """(headers, index of the first data row) of the three known layouts.
+    """(headers, index of the first data row) from the kinds of the cells in the first three rows.
 
-    One header row; a short and a descriptive row; or both followed by a row of import metadata.
-    The second row is the header when it names cases the first does not, describes them, or holds
-    long texts below bare ids.
+    A column whose first cell is a bare case id and whose second is a long text is described by the latter,
+    unless the first row has titles itself. The second row is the header if it tells more about the cases
+    than the first, or titles them. A third row with import metadata in any cell is no data.
     """
-    if len(rows) < 2:
+    table = [[_cell_kind(c) for c in row] for row in rows[:3]]
+    if len(table) > 1 and TITLED not in table[0]:
+        for i, (above, below) in enumerate(zip(table[0], rows[1])):
+            if above == BARE and len(below or "") > LONG_TEXT and table[1][i] == OTHER:
+                table[1][i] = DESCRIBED
+    tells = [max((_TELLS.get(k, 0) for k in row), default=0) for row in table[:2]]
+    if len(table) < 2 or not (tells[1] > tells[0] or tells[1] == _TELLS[TITLED]):
         return (rows[0] if rows else []), 1
-    top, second = rows[0], rows[1]
-    top_ids = [bool(_uuid(c)) for c in top]
-    bare = any(top_ids) and not any(" - " in (c or "") for c, is_id in zip(top, top_ids) if is_id)
-    long_below = any(is_id and i < len(second) and len(second[i] or "") > 50 for i, is_id in enumerate(top_ids))
-    second_ids = [c for c in second if _uuid(c)]
-    described = any(" - " in c for c in second_ids)
-    if not (described or (bare and long_below) or (second_ids and not any(top_ids))):
-        return top, 1
-    meta = len(rows) > 2 and any((c or "").strip().startswith("{") and "ImportId" in c for c in rows[2][:5] if c)
-    return second, 3 if meta else 2
+    return rows[1], 2 + (len(table) > 2 and IMPORT in table[2])
 
 
 def find_column(name: str, headers: list[str], short: list[str] | None = None) -> int | None:
-    """Index of a column: exact match first, then partial, in the headers and then in the short headers."""
+    """Index of the best column: by header row before short header, whole name before part of it, then position."""
     want = name.lower()
-    tests = [lambda h: h.lower() == want, lambda h: want in h.lower()]
-    for test in tests:
-        for i, h in enumerate(headers):
-            if test(h or ""):
-                return i
-    for test in tests:
-        for i, h in enumerate(short or []):
-            if test(h or "") or (i < len(headers) and test(headers[i] or "")):
-                return i
-    return None
+    found = [
+        (row, have != want, i)
+        for row, cells in enumerate((headers, short or []))
+        for i, have in enumerate((c or "").lower() for c in cells)
+        if want in have
+    ]
+    return min(found)[2] if found else None
 
 
 @dataclass
@@ -98,17 +105,19 @@ def read_survey_csv(spark: SparkSession, path: str, **columns) -> tuple[DataFram
     """(rows, layout) of one export file: row number, person columns and one column per case id.
 
     Quoted cells may span lines and a byte-order mark is dropped. Only the three first rows reach
-    the driver, to decide the layout.
+    the driver, to decide the layout. Row numbers are those of one file, so a folder of files is refused.
     """
     raw = (
         spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    if len(raw.inputFiles()) > 1:
+        raise ValueError(f"{path} has more than one file; read them one by one")
     names = raw.columns
     first = F.regexp_replace(F.col(names[0]), "^﻿", "").alias(names[0])
     raw = raw.select(F.monotonically_increasing_id().alias("_row"), first, *names[1:])
-    head = [[("" if v is None else v) for v in r[1:]] for r in raw.orderBy("_row").take(3)]
+    head = [[("" if v is None else v) for v in r[1:]] for r in raw.limit(3).collect()]
     layout = survey_layout(head, **columns)
     cell = lambda i: F.coalesce(F.col(names[i]), F.lit("")) if i is not None else F.lit("")
     body = raw.filter(F.col("_row") >= layout.first_data_row)
