@@ -30,6 +30,40 @@ def k3(spark, folder):
     return e.join(nxt, "case_id").select(F.col("case_id").alias("a"), "b", R(SIM.cosine("embedding", "other"), 6).alias("similarity"))
 
 
+_ODD = "v AS (SELECT vec_id, label, CASE vec_id%10 WHEN 0 THEN list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i=1 THEN 'nan'::DOUBLE ELSE x END) WHEN 1 THEN list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i=2 THEN 'inf'::DOUBLE ELSE x END) WHEN 2 THEN list_transform(embedding::DOUBLE[], lambda x: 0.0::DOUBLE) ELSE embedding::DOUBLE[] END AS e, vec_id%10>2 AS good FROM embeddings)"
+_ODD_SIMS = f"WITH {_ODD}, s AS (SELECT a.vec_id::varchar AS q, b.vec_id::varchar AS o, a.label AS la, b.label AS lb, CASE WHEN a.good AND b.good THEN list_cosine_similarity(a.e,b.e) ELSE 0.0 END AS sim FROM v a, v b WHERE a.vec_id<>b.vec_id)"
+
+
+def _odd(spark, folder):
+    """The vectors, some of them with NaN, with an infinity or all zero."""
+    e = T.embeddings(spark, folder)
+    kind, x = F.col("case_id").cast("long") % 10, F.transform("embedding", lambda v: v.cast("double"))
+    at = lambda k, value: F.transform(x, lambda v, i: F.when(i == k, F.lit(float(value))).otherwise(v))
+    odd = F.when(kind == 0, at(0, "nan")).when(kind == 1, at(1, "inf")).when(kind == 2, F.transform(x, lambda v: F.lit(0.0))).otherwise(x)
+    return e.withColumn("embedding", odd)
+
+
+@query("k3_similarity_of_odd_vectors", _ODD_SIMS + f" SELECT q::bigint AS a, o::bigint AS b, {r6('sim', 'similarity')} FROM s WHERE o::bigint=q::bigint+1")
+def k3_odd(spark, folder):
+    e = _odd(spark, folder)
+    nxt = e.select((F.col("case_id") - 1).alias("case_id"), F.col("case_id").alias("b"), F.col("embedding").alias("other"))
+    return e.join(nxt, "case_id").select(F.col("case_id").alias("a"), "b", R(SIM.cosine("embedding", "other"), 6).alias("similarity"))
+
+
+@query("k4_top_k_of_odd_vectors", _ODD_SIMS + f""", r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim,12) DESC, o) AS rank FROM s)
+  SELECT q AS query, o AS other, {r6('sim', 'similarity')}, rank FROM r WHERE rank<=5""")
+def k4_odd(spark, folder):
+    e = _odd(spark, folder)
+    return rounded(SIM.top_k_similar(e, e, 5), 6)
+
+
+@query("k5_gate_of_odd_vectors", _ODD_SIMS + f""", m AS (SELECT q, max(sim) AS sim, arg_max(o, sim) AS o FROM s WHERE la=0 AND lb<>0 GROUP BY q)
+  SELECT q AS id, sim<0.4 AS is_diverse, CASE WHEN sim>=0.4 THEN o END AS similar_id, {r6('sim', 'max_similarity')} FROM m""")
+def k5_odd(spark, folder):
+    e = _odd(spark, folder)
+    return rounded(SIM.diversity_gate(e.filter("label = 0"), e.filter("label <> 0"), threshold=0.4), 6)
+
+
 _SIMS = f"WITH {_V}, s AS (SELECT a.vec_id::varchar AS q, b.vec_id::varchar AS o, list_cosine_similarity(a.e,b.e) AS sim FROM v a, v b WHERE a.vec_id<>b.vec_id)"
 
 
@@ -37,7 +71,7 @@ _SIMS = f"WITH {_V}, s AS (SELECT a.vec_id::varchar AS q, b.vec_id::varchar AS o
   SELECT q AS query, o AS other, {r6('sim', 'similarity')}, rank FROM r WHERE rank<=5""")
 def k4(spark, folder):
     e = T.embeddings(spark, folder)
-    out = SIM.top_k_similar(e, e, 5, q_blocks=2)
+    out = SIM.top_k_similar(e, e, 5)
     return rounded(out, 6)
 
 
@@ -58,7 +92,7 @@ def k5_empty(spark, folder):
 
 @query("k7_near_duplicates", _SIMS + f""" SELECT q AS id, arg_max(o, sim) AS nearest_id, {r6('max(sim)', 'similarity')}, count(*) FILTER (sim>=0.35) AS n_similar FROM s GROUP BY q HAVING max(sim)>=0.35""")
 def k7(spark, folder):
-    return rounded(SIM.near_duplicates(T.embeddings(spark, folder), 0.35, q_blocks=2), 6)
+    return rounded(SIM.near_duplicates(T.embeddings(spark, folder), 0.35), 6)
 
 
 @query("k8_projection")

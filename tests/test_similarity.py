@@ -66,6 +66,18 @@ def test_cosine_column(spark):
     assert [r.s for r in df.select(SIM.cosine("a", "b").alias("s")).collect()] == pytest.approx([2**-0.5, 0])
 
 
+def test_odd_vectors_are_like_nothing(spark):
+    rows = [("a", [float("inf"), 1.0]), ("b", [1.0, 0.0]), ("c", [float("nan"), 1.0]), ("d", [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "case_id string, embedding array<double>")
+    best = {r.query: (r.other, round(r.similarity, 3)) for r in SIM.top_k_similar(df, df, 1).collect()}
+    assert best == {"a": ("b", 0.0), "b": ("d", 0.995), "c": ("a", 0.0), "d": ("b", 0.995)}
+    both = df.crossJoin(df.select(F.col("embedding").alias("o"), F.col("case_id").alias("k"))).filter("case_id in ('a', 'c') and k <> case_id")
+    assert {r.s for r in both.select(SIM.cosine("embedding", "o").alias("s")).collect()} == {0.0}
+    ragged = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [1.0])], "case_id string, embedding array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        SIM.top_k_similar(ragged, ragged, 1, c_blocks=1).collect()
+
+
 def test_projection(store):
     vec, df = store
     got = {r.case_id: (r.x, r.y) for r in SIM.project_2d(df).collect()}

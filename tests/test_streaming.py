@@ -39,7 +39,7 @@ def test_tally_and_registry_over_several_imports(spark, tmp_path):
 def test_replayed_upsert_changes_nothing(spark, tmp_path):
     src, log = str(tmp_path / "in"), str(tmp_path / "log")
     batch(spark, 0, 60).repartition(3).write.parquet(src)
-    for attempt in ("s1", "s2"):  # a fresh checkpoint replays every batch into the same folders
+    for attempt in ("s1", "s2"):  # a fresh checkpoint replays every batch beside the first ones
         run(ST.write_upserts(ST.read_events(spark, src, SCHEMA, maxFilesPerTrigger=1), log, str(tmp_path / attempt)))
     got = sorted((r.case_id, r.participant_id, r.event_id) for r in ST.current_responses(spark, log).collect())
     want = sorted((r.case_id, r.participant_id, r.event_id) for r in latest_responses(batch(spark, 0, 60)).collect())
@@ -57,3 +57,28 @@ def test_duplicates_are_dropped_and_hours_counted(spark, tmp_path):
     run(ST.write_changes(hours, str(tmp_path / "h"), str(tmp_path / "hs")))
     got = ST.current(spark, str(tmp_path / "h"), ["start", "rater"])
     assert got.agg(F.sum("n")).first()[0] == 100
+
+
+def test_imports_into_one_log_do_not_erase_each_other(spark, tmp_path):
+    log = str(tmp_path / "log")
+    first, second = batch(spark, 0, 60), batch(spark, 100, 130).withColumn("ts", F.expr("timestamp_ntz'2020-01-01 00:00:00'"))
+    for n, rows in enumerate((first, second)):  # the corrected rows are older by time
+        rows.repartition(3).write.parquet(str(tmp_path / f"in{n}"))
+        run(ST.write_upserts(ST.read_events(spark, str(tmp_path / f"in{n}"), SCHEMA, maxFilesPerTrigger=1), log, str(tmp_path / f"s{n}"), n))
+    got = {(r.case_id, r.participant_id): r.event_id for r in ST.current_responses(spark, log).collect()}
+    want = {(r.case_id, r.participant_id): r.event_id for r in latest_responses(first).collect()}
+    want |= {(r.case_id, r.participant_id): r.event_id for r in latest_responses(second).collect()}
+    assert got == want
+
+
+def test_late_files_are_not_lost(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for lo, hi in ((400, 500), (0, 100), (200, 300), (0, 100)):  # out of order, one twice
+        day = batch(spark, lo, hi).withColumn("ts", F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(cast(event_id as int))"))
+        day.coalesce(1).write.mode("append").parquet(src)
+    stream = ST.read_events(spark, src, SCHEMA, maxFilesPerTrigger=1)
+    run(ST.write_rows(ST.deduplicated(stream), str(tmp_path / "out"), str(tmp_path / "s")))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 300
+    hours = ST.hourly_tally(stream, "rater").select(F.col("window.start").alias("start"), "rater", "n")
+    run(ST.write_changes(hours, str(tmp_path / "h"), str(tmp_path / "hs")))
+    assert ST.current(spark, str(tmp_path / "h"), ["start", "rater"]).agg(F.sum("n")).first()[0] == 400
