@@ -23,6 +23,7 @@ teach and are not held out.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,6 +171,22 @@ class Trie:
         return out
 
 
+def packed(by_order: list[tuple[np.ndarray, np.ndarray]], n_bytes: int) -> dict:
+    """What a trie is made of, small enough to send: differences of sorted grams, and counts, deflated."""
+    squeeze = lambda a: zlib.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    return {"n": n_bytes, "grams": [(len(g), squeeze(np.diff(g, prepend=_U(0))), squeeze(c.astype(np.int64))) for g, c in by_order]}
+
+
+def opened(sent: dict) -> Trie:
+    """The trie of a packed one; a Python worker makes it once and keeps it beside what was sent."""
+    if "trie" not in sent:
+        def spread(n, raw, kind):
+            return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, n).T).view(kind).reshape(n)
+
+        sent["trie"] = Trie([(np.cumsum(spread(n, g, _U), dtype=_U), spread(n, c, np.int64)) if n else (np.zeros(0, _U), np.zeros(0, np.int64)) for n, g, c in sent["grams"]], sent["n"])
+    return sent["trie"]
+
+
 def adaptive_log10(data: bytes, order: int = ORDER) -> float:
     """log10 probability of a byte sequence under a trie that starts empty and learns each byte after it is coded."""
     contexts: dict[bytes, dict[int, int]] = {}
@@ -280,7 +297,7 @@ def _score(sent, ends_known: int):
     """Of one block: per row tokens, known tokens, the sum of log10(count + 0.5) over words, and the model's log10 probability."""
 
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
-        trie = sent.value
+        trie = opened(sent.value)
         asked = [h for h, _ in _block_words(t["text"])]
         distinct = np.unique(np.concatenate(asked or [np.zeros(0, _U)]))
         replies = sorted(zip(answers["_part"].to_pylist(), _joined(answers["_p0"], np.int64), strict=True), key=lambda r: r[0])
@@ -300,8 +317,8 @@ def _score(sent, ends_known: int):
     return score
 
 
-def trie_of(counts: DataFrame, order: int, share: float) -> Trie:
-    """The model of summed (g, n) grams of order + 1 bytes."""
+def trie_of(counts: DataFrame, order: int, share: float) -> dict:
+    """The packed model of summed (g, n) grams of order + 1 bytes."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit((1 << 8 * (k + 1)) - 1).cast("long").alias("m")) for k in range(order + 1)])
     every = counts.select(F.explode(masks).alias("s"), "g", "n").groupBy(F.col("s.k").alias("k"), F.col("g").bitwiseAND(F.col("s.m")).alias("g")).agg(F.sum("n").alias("n"))
@@ -312,7 +329,7 @@ def trie_of(counts: DataFrame, order: int, share: float) -> Trie:
         own, m = g[k == x].view(_U), n[k == x]
         at = np.argsort(own)
         by_order.append((own[at], m[at]))
-    return Trie(by_order, int(total))
+    return packed(by_order, int(total))
 
 
 def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER, share: float = SHARE) -> DataFrame:

@@ -230,11 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, samp
 
 def scorer(spark: SparkSession, model: Model):
     """A function from a text column to its score."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast((model.embeddings, model.weights, model.bias, model.width, model.prior))
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(sent.value.scores(texts), pa.float64())
+        return pa.array(Model(*sent.value).scores(texts), pa.float64())
 
     return scored
 
