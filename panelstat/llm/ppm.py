@@ -173,7 +173,7 @@ class Trie:
 
 def packed(by_order: list[tuple[np.ndarray, np.ndarray]], n_bytes: int) -> dict:
     """What a trie is made of, small enough to send: differences of sorted grams, and counts, deflated."""
-    squeeze = lambda a: zlib.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    squeeze = lambda a: zlib.compress(a.view(np.uint8).reshape(len(a), 8).T.tobytes(), 1)
     return {"n": n_bytes, "grams": [(len(g), squeeze(np.diff(g, prepend=_U(0))), squeeze(c.astype(np.int64))) for g, c in by_order]}
 
 
