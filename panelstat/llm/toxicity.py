@@ -7,8 +7,8 @@ n-grams are shared, a misspelt or inflected word is near the word it comes from.
 
 Embeddings and softmax are trained jointly by gradient steps (AdaGrad) in NumPy, first on whole documents, then in
 rounds on the window of each document that the model finds worst. Training reads a bounded sample: of each label
-at most ``sample`` documents, those with the smallest hash of their id, and of them texts of at
-most ``longest`` bytes. The model has a fixed size; every document is scored in full.
+at most ``sample`` documents of at most ``longest`` bytes, those with the smallest hashes; equal rows teach
+once. The model has a fixed size; every document is scored in full.
 
 Defined cases: a null or empty text scores as a window without words does; labels are 0 or 1, rows without doc_id or
 label teach nothing, and of several labels of a document the largest counts; without examples of both labels every score
@@ -214,17 +214,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, samp
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.filter(train_on) if train_on is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("y"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.filter(F.octet_length("text") <= longest).join(known, "_id").withColumn("_h", F.xxhash64("_id", "text"))
-    chosen = [texts.filter(F.col("y") == k).orderBy("_h", "_id").limit(n) for k, n in enumerate(sample)]
+    own_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    # the sample is chosen without its texts: at most sum(sample) hashes, by which each task then picks its texts
+    rows = docs.select(own_id.alias("_id"), F.xxhash64(own_id, text).alias("_h"), F.octet_length(text).alias("_n"))
+    rows = rows.filter(F.col("_n") <= longest).join(known, "_id")
+    chosen = [rows.filter(F.col("y") == k).select("_h", "_id", "y").distinct().orderBy("_h", "_id").limit(n) for k, n in enumerate(sample)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
+    texts = docs.select(own_id.alias("_i"), text.alias("text")).withColumn("_x", F.xxhash64("_i", "text"))
+    texts = texts.join(chosen, (F.col("_x") == F.col("_h")) & (F.col("_i") == F.col("_id"))).select("_h", "text", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)))
+        rows = sorted({r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)})
         model = train(pa.array([r[1] for r in rows], pa.string()), np.array([r[2] for r in rows]), **options)
         kept = (model.embeddings.astype(np.float32), model.weights, model.bias, model.width, model.prior)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(kept)], pa.binary())], names=["model"])
 
-    found = chosen[0].unionByName(chosen[1]).select("_h", "text", "y").coalesce(1).mapInArrow(learn, "model binary").collect()
+    found = texts.repartition(1).mapInArrow(learn, "model binary").collect()
     return Model(*pickle.loads(found[0][0])) if found else train(pa.array([], pa.string()), np.zeros(0))
 
 
