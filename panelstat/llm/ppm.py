@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstat.llm import words as W
-from panelstat.llm.arrays import blobs, grouped, parts
+from panelstat.llm.arrays import parts
 from panelstat.llm.common import cut, n_blocks, text_bytes
 
-ORDER, SHARE = 6, 2e-7
+ORDER, SHARE = 5, 2e-7
 BLOCK_BYTES, PART_WORDS = 16 << 20, 1 << 18
 END = 10
 _U = np.uint64
@@ -171,19 +171,24 @@ class Trie:
         return out
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """64-bit numbers deflated byte plane by byte plane; small ones cost little."""
+    return zlib.compress(a.view(np.uint8).reshape(len(a), 8).T.tobytes(), 1)
+
+
+def _spread(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
 def packed(by_order: list[tuple[np.ndarray, np.ndarray]], n_bytes: int) -> dict:
     """What a trie is made of, small enough to send: differences of sorted grams, and counts, deflated."""
-    squeeze = lambda a: zlib.compress(a.view(np.uint8).reshape(len(a), 8).T.tobytes(), 1)
-    return {"n": n_bytes, "grams": [(len(g), squeeze(np.diff(g, prepend=_U(0))), squeeze(c.astype(np.int64))) for g, c in by_order]}
+    return {"n": n_bytes, "grams": [(_squeezed(np.diff(g, prepend=_U(0))), _squeezed(c.astype(np.int64))) for g, c in by_order]}
 
 
 def opened(sent: dict) -> Trie:
     """The trie of a packed one; a Python worker makes it once and keeps it beside what was sent."""
     if "trie" not in sent:
-        def spread(n, raw, kind):
-            return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, n).T).view(kind).reshape(n)
-
-        sent["trie"] = Trie([(np.cumsum(spread(n, g, _U), dtype=_U), spread(n, c, np.int64)) if n else (np.zeros(0, _U), np.zeros(0, np.int64)) for n, g, c in sent["grams"]], sent["n"])
+        sent["trie"] = Trie([(np.cumsum(_spread(g, _U), dtype=_U), _spread(c, np.int64)) for g, c in sent["grams"]], sent["n"])
     return sent["trie"]
 
 
@@ -250,12 +255,18 @@ def _count(bits: int, gram_bits: int, order: int):
             gs.append(g)
             cs.append(c)
         g, c = _summed(np.concatenate(gs), np.concatenate(cs))
-        by_part = np.argsort(W._mixed(g))
-        g, c = g[by_part], c[by_part]
-        part, at = parts(W._mixed(g), gram_bits)
-        spans = list(zip(at[:-1], at[1:], strict=True))
-        gram_rows = pa.table([pa.array(part, pa.int64()), pa.array(np.full(len(part), -1)), pa.array([g[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([c[a:b].tobytes() for a, b in spans], pa.binary())], names=["_part", "_block", "_p0", "_p1"])
-        out = pa.concat_tables([blobs(block, bits, h, h, n), gram_rows])
+        part = (W._mixed(g) >> _U(64 - gram_bits)).astype(np.int64)
+        own = [(p, g[part == p], c[part == p]) for p in np.unique(part).tolist()]
+        gram_rows = pa.table([
+            pa.array([p for p, _, _ in own], pa.int64()), pa.array(np.full(len(own), -1)),
+            pa.array([_squeezed(np.diff(x, prepend=_U(0))) for _, x, _ in own], pa.binary()), pa.array([_squeezed(y) for _, _, y in own], pa.binary()),
+        ], names=["_part", "_block", "_p0", "_p1"])
+        which, at = parts(h, bits)
+        word_rows = pa.table([
+            pa.array(which, pa.int64()), pa.array(np.full(len(which), block)),
+            pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([_squeezed(n[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+        ], names=["_part", "_block", "_p0", "_p1"])
+        out = pa.concat_tables([word_rows, gram_rows])
         tokens = np.zeros(out.num_rows, np.int64)
         ends = np.zeros(out.num_rows, np.int64)
         if len(tokens):
@@ -274,22 +285,19 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(n, at)
 
 
-def _joined(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in column]
-
-
 def _answer(t: pa.Table) -> pa.Table:
     """Of one partition of words: to each block the counts of its words over all blocks, and how many are known."""
-    hs, ns = _joined(t["_p0"], _U), _joined(t["_p1"], np.int64)
-    h, n = _summed(np.concatenate(hs), np.concatenate(ns))
-    rows = [n[np.searchsorted(h, x)].tobytes() for x in hs]
+    hs = [np.frombuffer(x.as_py(), _U) for x in t["_p0"]]
+    h, n = _summed(np.concatenate(hs), np.concatenate([_spread(x.as_py(), np.int64) for x in t["_p1"]]))
+    rows = [_squeezed(n[np.searchsorted(h, x)]) for x in hs]
     known = np.zeros(len(rows), np.int64)
     known[0] = (n > 0).sum()
     return pa.table([t["_block"].combine_chunks(), t["_part"].combine_chunks(), pa.array(rows, pa.binary()), pa.array(known)], names=["_block", "_part", "_p0", "_known"])
 
 
 def _gram_counts(t: pa.Table) -> pa.Table:
-    g, n = _summed(np.concatenate(_joined(t["_p0"], _U)), np.concatenate(_joined(t["_p1"], np.int64)))
+    gs = [np.cumsum(_spread(x.as_py(), _U), dtype=_U) for x in t["_p0"]]
+    g, n = _summed(np.concatenate(gs), np.concatenate([_spread(x.as_py(), np.int64) for x in t["_p1"]]))
     return pa.table([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
 
 
@@ -300,7 +308,7 @@ def _score(sent, ends_known: int):
         trie = opened(sent.value)
         asked = [h for h, _ in _block_words(t["text"])]
         distinct = np.unique(np.concatenate(asked or [np.zeros(0, _U)]))
-        replies = sorted(zip(answers["_part"].to_pylist(), _joined(answers["_p0"], np.int64), strict=True), key=lambda r: r[0])
+        replies = sorted(((p, _spread(x, np.int64)) for p, x in zip(answers["_part"].to_pylist(), answers["_p0"].to_pylist(), strict=True)), key=lambda r: r[0])
         counts = np.concatenate([r[1] for r in replies] or [np.zeros(0, np.int64)])
         n_tokens, n_known, base, model = [], [], [], []
         for h, rows in _block_words(t["text"]):
@@ -340,11 +348,11 @@ def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER, sha
     if not 0 < order < 7:
         raise ValueError("order must be 1 to 6")
     spark, size = docs.sparkSession, text_bytes(docs)
-    blocks = 2 * n_blocks(spark, size, 2 * BLOCK_BYTES)
+    blocks = n_blocks(spark, size, BLOCK_BYTES)
     bits = max(5, int(size / 30 / PART_WORDS).bit_length())
     learn = F.coalesce(train, F.lit(False)) if train is not None else F.lit(True)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), learn.alias("train"))
-    dealt = slim.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks // 2, "_block")
+    dealt = slim.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "_block")
     sent = cut(dealt.groupBy("_block").applyInArrow(_count(bits, 5, order), "_part long, _block long, _p0 binary, _p1 binary, _words long, _ends long"), "ppm-counts")
     words, ends = sent.agg(F.coalesce(F.sum("_words"), F.lit(0)), F.coalesce(F.sum("_ends"), F.lit(0))).first()
     gram_rows = sent.filter("_block < 0").select("_part", "_p0", "_p1")
