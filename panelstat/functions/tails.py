@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -51,11 +52,6 @@ def t_two_sided(r: float, n: float) -> float | None:
     return beta_inc(df / 2, 0.5, df / (df + t2))
 
 
-def chi2_3_sf(x: float) -> float:
-    """Upper tail of chi-square with three degrees of freedom."""
-    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
-
-
 def _each(fn, *cols):
     return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in zip(*cols)], dtype="float64")
 
@@ -65,12 +61,36 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return _each(t_two_sided, r, n)
 
 
+def _erfc(x: np.ndarray) -> np.ndarray:
+    """erfc of non-negative numbers: a series of positive terms, and a continued fraction where that would cancel."""
+    out = np.full(len(x), np.nan)
+    small = x < 2
+    v = x[small]
+    term, total = v.copy(), v.copy()
+    for k in range(1, 60):
+        term = term * 2 * v * v / (2 * k + 1)
+        total = total + term
+    out[small] = 1 - 2 / math.sqrt(math.pi) * np.exp(-v * v) * total
+    v = np.minimum(x[x >= 2], 40.0)
+    tail = np.zeros(len(v))
+    for k in range(80, 0, -1):
+        tail = k / 2 / (v + tail)
+    out[x >= 2] = np.exp(-v * v) / math.sqrt(math.pi) / (v + tail)
+    return out
+
+
+def chi2_3_sf(x) -> np.ndarray:
+    v = np.atleast_1d(np.asarray(x, float))
+    return _erfc(np.sqrt(v / 2)) + np.sqrt(2 * v / math.pi) * np.exp(-v / 2)
+
+
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p."""
-    return _each(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
+    return pd.Series(_erfc(np.abs(z.to_numpy(float)) / math.sqrt(2)))
 
 
 @F.pandas_udf(DoubleType())
 def chi2_3_p(x: pd.Series) -> pd.Series:
-    return _each(chi2_3_sf, x)
+    """Upper tail of chi-square with three degrees of freedom."""
+    return pd.Series(chi2_3_sf(x.to_numpy(float)))

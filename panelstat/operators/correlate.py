@@ -60,7 +60,7 @@ def entropy_pairs(summary: DataFrame, reference: str) -> DataFrame:
     return own.select("case_id", "rater", F.col("entropy").alias("y")).join(ref, "case_id")
 
 
-def entropy_correlation_matrix(summary: DataFrame, n_blocks: int = 1) -> DataFrame:
+def entropy_correlation_matrix(summary: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """Pearson correlation of every pair of raters' entropies over shared cases."""
     m = pair_moments(summary, "case_id", "rater", "entropy", n_blocks)
     r = _pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])

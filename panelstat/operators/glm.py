@@ -92,7 +92,7 @@ def long_weights(fits: DataFrame, keys: list[str], attributes: list[str] = ATTRI
 
 
 def leverage_errors(design: DataFrame, fits: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
-    """Leverage-adjusted (HC3) standard errors per rater.
+    """(rater, attribute, beta, std_error, p_value) with leverage-adjusted (HC3) errors.
 
     Leverage needs the trials of each case, so the cases are joined with their rater's fit and the
     products of the scaled scores are summed on the map side; nothing per case is shuffled twice.
@@ -107,6 +107,7 @@ def leverage_errors(design: DataFrame, fits: DataFrame, attributes: list[str] =
     rows = rows.withColumn("g", F.col("n") * (F.col("p1") - F.col("mu")) / (1 - h))
     meat = rows.groupBy("rater").agg(
         F.first("inverse").alias("inv"),
+        F.first("beta").alias("beta"),
         *[F.sum(x[i] * x[j] * F.col("g") * F.col("g")).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)],
     )
     m = lambda i, j: F.col(f"m{min(i, j)}{max(i, j)}")
@@ -114,8 +115,9 @@ def leverage_errors(design: DataFrame, fits: DataFrame, attributes: list[str] =
         sum((F.col("inv")[a * k + i] * m(i, j) * F.col("inv")[j * k + a] for i in range(k) for j in range(k)), F.lit(0.0))
         for a in range(k)
     ]
-    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.sqrt(v).alias("std_error")) for a, v in zip(attributes, var)])
-    return meat.select("rater", F.explode(pairs).alias("p")).select("rater", "p.attribute", "p.std_error")
+    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col("beta")[i].alias("beta"), F.sqrt(v).alias("std_error")) for i, (a, v) in enumerate(zip(attributes, var))])
+    out = meat.select("rater", F.explode(pairs).alias("p")).select("rater", "p.*")
+    return out.withColumn("p_value", normal_p(F.try_divide("beta", "std_error")))
 
 
 def goodness_of_fit(fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -66,7 +66,7 @@ def agreement_rate(summary: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def agreement_matrix(summary: DataFrame, n_blocks: int = 1) -> DataFrame:
+def agreement_matrix(summary: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """Agreement of every pair of raters over the cases both decided (A5)."""
     vote = F.when(F.col("majority") == "choice_1", 1).when(F.col("majority") == "choice_2", -1)
     m = pair_moments(summary.withColumn("vote", vote), "case_id", "rater", "vote", n_blocks)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelstat.functions import irls
 from panelstat.functions.scalar import hash_u32
 from panelstat.operators import glm, profiles
 from panelstat.plans.positions import dense_position
@@ -143,13 +144,84 @@ def paired_difference(samples: DataFrame, key: str, a: str, b: str, value: str,
     return one(a, "va").join(one(b, "vb"), ["b", *rest]).select("b", *rest, (F.col("va") - F.col("vb")).alias("difference"))
 
 
+def _cell_draws(n_samples: int):
+    """Arrow function: per (rater, cell), trials and successes summed over its cases for every draw."""
+    step = max(1, SUM_LIMIT // (2 * n_samples))
+
+    def emit(index, sums):
+        for lo in range(0, len(index), 256):
+            names, part = list(index)[lo : lo + 256], sums[:, lo : min(lo + 256, len(index))]
+            flat = [pa.array(part[m].ravel()) for m in range(2)]
+            at = pa.array(np.arange(len(names) + 1, dtype=np.int32) * n_samples)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r for r, _ in names], pa.string()), pa.array([list(c) for _, c in names], pa.list_(pa.float64())),
+                 pa.ListArray.from_arrays(at, flat[0]), pa.ListArray.from_arrays(at, flat[1])],
+                names=["rater", "cell", "trials", "successes"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict = {}
+        sums = np.zeros((2, 0, n_samples))
+        for batch in batches:
+            raters, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            n, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            draws = pa.concat_arrays([batch.column(4)])
+            at, flat = draws.offsets.to_numpy(), draws.flatten().to_numpy()
+            for i, item in enumerate(zip(raters, map(tuple, cells))):
+                k = index.setdefault(item, len(index))
+                if k >= sums.shape[1]:
+                    sums = np.concatenate([sums, np.zeros((2, max(64, sums.shape[1]), n_samples))], axis=1)
+                times = np.bincount(flat[at[i] : at[i + 1]], minlength=n_samples)
+                sums[0, k] += n[i] * times
+                sums[1, k] += s[i] * times
+                if len(index) >= step:
+                    yield from emit(index, sums)
+                    index, sums = {}, np.zeros((2, 0, n_samples))
+        yield from emit(index, sums)
+
+    return run
+
+
+def _fit_draws(n_samples: int, step: int = 128):
+    """Grouped Arrow function: one rater's fits for all draws that have data."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cells, which = np.unique(np.array(table["cell"].to_pylist()), axis=0, return_inverse=True)
+        sums = np.zeros((2, len(cells), n_samples))
+        for m, name in enumerate(("trials", "successes")):
+            np.add.at(sums[m], which.ravel(), table[name].combine_chunks().flatten().to_numpy().reshape(-1, n_samples))
+        draws = np.nonzero(sums[0].sum(axis=0))[0]
+        beta = np.zeros((len(draws), cells.shape[1]))
+        share = sums[1].sum(axis=0) / np.maximum(sums[0].sum(axis=0), 1)
+        for lo in range(0, len(draws), step):
+            own = draws[lo : lo + step]
+            x = np.broadcast_to(cells, (len(own), *cells.shape))
+            beta[lo : lo + step] = irls.fit(x, sums[0][:, own].T, sums[1][:, own].T)[0]
+        constant = (share[draws] <= 0) | (share[draws] >= 1)
+        varies = ((sums[0][:, draws] > 0) & (cells != 0).any(axis=1)[:, None]).any(axis=0)
+        beta[constant | ~varies] = 0.0
+        rater = table["rater"][0].as_py()
+        return pa.table({"rater": [rater] * len(draws), "b": pa.array(draws, pa.int32()), "beta": pa.array(list(beta), pa.list_(pa.float64()))})
+
+    return run
+
+
 def bootstrap_weights(
     design: DataFrame, positions: DataFrame, n_samples: int, seed: int, attributes: list[str] = ATTRIBUTES
 ) -> DataFrame:
-    """(rater, b, beta...): value weights refitted on every draw; draws without data drop out."""
-    draws = bootstrap_draws(positions, n_samples, seed)
-    cells = glm.design_cells(design.join(draws, "case_id"), ["rater", "b"], attributes, weight="weight")
-    return glm.fit_cells(cells, ["rater", "b"], "base", attributes)
+    """(rater, b, beta): value weights refitted on every draw; draws without data drop out.
+
+    A case meets the numbers of its draws once, as an array. Tasks sum trials and successes per rater,
+    cell and draw, so what is shuffled is at most 5 ** attributes arrays a rater and task, and one rater's cells
+    meet in one fit: draws never become rows before they are results. Constant answers give zeros.
+    """
+    drawn = _drawn(positions, n_samples, seed).groupBy("idx").agg(F.collect_list("b").alias("draws"))
+    by_case = positions.select(F.col("pos").alias("idx"), "case_id").join(drawn, "idx").select("case_id", "draws")
+    cell = F.array(*[F.col(f"d_{a}").cast("double") for a in attributes])
+    rows = design.select("case_id", "rater", cell.alias("cell"), F.col("n").cast("double").alias("n"), F.col("c1").cast("double").alias("c1"))
+    rows = rows.join(by_case, "case_id").select("rater", "cell", "n", "c1", "draws")
+    parts = rows.mapInArrow(_cell_draws(n_samples), "rater string, cell array<double>, trials array<double>, successes array<double>")
+    return parts.groupBy("rater").applyInArrow(_fit_draws(n_samples), "rater string, b int, beta array<double>")
 
 
 def _member_positions(members: DataFrame, group: str) -> DataFrame:

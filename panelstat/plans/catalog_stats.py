@@ -23,14 +23,20 @@ from panelstat.sources import tables as T
 
 TEMPERATURE = 0.262
 SEED = 42
-DRAWS = 50
-PERMUTATIONS = 100
+DRAWS = 1000
+PERMUTATIONS = 10_000
 
 
 def r6(expr: str, name: str) -> str:
     return f"round({expr},6)+0.0 AS {name}"
 
 
+def erfc_sql(x: str) -> str:
+    """1 - erf by the series of positive terms; beyond 6 it is below 1e-16."""
+    terms = f"list_sum(list_transform(range(0, 200), lambda k: exp(2*k*ln(2) + (2*k+1)*ln({x}) + lgamma(k+1) - lgamma(2*k+2))))"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x}<1e-12 THEN 1.0 WHEN {x}>6 THEN 0.0 ELSE 1 - 2/sqrt(pi())*exp(-({x})*({x}))*{terms} END"
+
+
 def clean(x: str) -> str:
     return f"round({x},12)"
 
@@ -172,7 +178,8 @@ def a22(spark, folder):
     return rounded(long.select("rater", "attribute", "beta", "std_error"), 6)
 
 
-@query("a22_weight_p_values")
+@query("a22_weight_p_values", with_ctes("sand") + f"""SELECT rater, attribute, {r6('beta', 'beta')}, {r6('se', 'std_error')}, 'converged' AS status,
+  round({erfc_sql('x')},6)+0.0 AS p_value FROM (SELECT rater, t.attribute, t.beta, t.se, abs(t.beta/nullif(t.se,0))/sqrt(2) AS x FROM sand, LATERAL (VALUES {_ERR}) t(attribute, beta, se))""")
 def a22_p(spark, folder):
     return rounded(G.long_weights(fits(spark, folder, sandwich=True), ["rater"]), 6)
 
@@ -180,6 +187,12 @@ def a22_p(spark, folder):
 @query("a22_leverage_errors", with_ctes("lev") + f"""SELECT rater, t.attribute, {r6('t.se', 'std_error')}
   FROM lev, LATERAL (VALUES {_ERR}) t(attribute, beta, se)""")
 def a22_hc3(spark, folder):
+    return rounded(G.leverage_errors(design(spark, folder), fits(spark, folder)).select("rater", "attribute", "std_error"), 6)
+
+
+@query("a22_leverage_p_values", with_ctes("fit", "lev") + f"""SELECT rater, attribute, {r6('beta', 'beta')}, {r6('se', 'std_error')}, round({erfc_sql('x')},6)+0.0 AS p_value FROM
+  (SELECT rater, t.attribute, t.beta, t.se, abs(t.beta/nullif(t.se,0))/sqrt(2) AS x FROM (SELECT fit.*, lev.* EXCLUDE (rater, b0, b1, b2, b3) FROM fit JOIN lev ON lev.rater=fit.rater), LATERAL (VALUES {_ERR}) t(attribute, beta, se))""")
+def a22_hc3_p(spark, folder):
     return rounded(G.leverage_errors(design(spark, folder), fits(spark, folder)), 6)
 
 
@@ -204,7 +217,11 @@ def a24(spark, folder):
     return rounded(G.lrt_uniform_null(cells(spark, folder), ["rater"]).drop("p_value"), 6)
 
 
-@query("a24_uniform_null_p_values")
+@query("a24_uniform_null_p_values", with_ctes("fit", "fit1", extra=_GOF + """,
+  lik1 AS (SELECT rater, sum(successes*eta - trials*ln(1+exp(eta))) AS ll1 FROM
+    (SELECT *, b0*(x0+x1+x2+x3) AS eta FROM cells JOIN fit1 USING (rater)) GROUP BY rater),
+  ts AS (SELECT rater, greatest(2*(ll-ll1),0.0) AS lrt, ll1+k AS ln, ll+k AS la, sqrt(greatest(2*(ll-ll1),0.0)/2) AS x FROM lik JOIN lik1 USING (rater))""") +
+  f"""SELECT rater, {r6('lrt', 'lrt')}, {r6('ln', 'll_null')}, {r6('la', 'll_alt')}, 3 AS df, round({erfc_sql('x')} + sqrt(2*lrt/pi())*exp(-lrt/2),6)+0.0 AS p_value FROM ts""")
 def a24_p(spark, folder):
     return rounded(G.lrt_uniform_null(cells(spark, folder), ["rater"]), 6)
 
@@ -330,7 +347,14 @@ def a30(spark, folder):
         "attribute", F.col("u").cast("double").alias("u"), "n1", "n2")
 
 
-@query("a31_significance")
+_MWP = _MW + """, ms AS (SELECT attribute, v, count(*) AS t, count(*) FILTER (g) AS k, min(r) AS r FROM mr GROUP BY ALL),
+  mu AS (SELECT attribute, sum(k*r)::double AS r1, sum(k)::double AS n1, sum(t)::double AS n, sum(t::double**3-t) AS ties FROM ms GROUP BY attribute),
+  mz AS (SELECT attribute, r1-n1*(n1+1)/2 AS u, n1, n-n1 AS n2, greatest(abs(r1-n1*(n1+1)/2-n1*(n-n1)/2)-0.5,0.0)/sqrt(n1*(n-n1)/12*((n+1)-ties/(n*(n-1)))) AS z FROM mu),
+  mp AS (SELECT *, """ + erfc_sql("z/sqrt(2)") + """ AS p, 0.05/(SELECT count(*) FROM mz) AS bonferroni FROM mz)"""
+
+
+@query("a31_significance", with_ctes("prof", extra=_MWP) + f"""SELECT attribute, {r9('u', 'u')}, {r9('z', 'z')}, n1::bigint AS n1, n2::bigint AS n2, {r9('p', 'p')}, {r9('bonferroni', 'bonferroni')},
+  CASE WHEN p<bonferroni THEN 'corrected' WHEN p<0.05 THEN 'nominal' ELSE 'none' END AS significance FROM mp""")
 def a31(spark, folder):
     tests = C.mann_whitney(_group_shares(spark, folder), ["attribute"], "group", "models", "share")
     return rounded(P.significance(tests))
@@ -338,7 +362,7 @@ def a31(spark, folder):
 
 _AGENT = """ag AS (SELECT f.rater, f.b0, f.b1, f.b2, f.b3, CASE WHEN f.rater LIKE 'human/%' THEN 'humans' ELSE 'models' END AS grp FROM fit f),
   tv AS (SELECT rater, """ + ", ".join(f"exp(avg(value) FILTER (attribute='{a}')) AS e{i}" for i, a in enumerate(ATTRS)) + """ FROM pref GROUP BY rater),
-  tt AS (SELECT (10.0**(-1.5+2.5*i/9))::double AS t FROM range(10) r(i)),
+  tt AS (SELECT (10.0**(-1.5+2.5*i/49))::double AS t FROM range(50) r(i)),
   sc AS (SELECT grp, t, """ + ", ".join(f"e{i}/(e0+e1+e2+e3) AS p{i}" for i in range(4)) + ", " + \
   ", ".join(f"exp((b{i}-greatest(b0,b1,b2,b3))/t) AS q{i}" for i in range(4)) + """ FROM ag JOIN tv USING (rater), tt),
   l AS (SELECT grp, t, p0, p1, p2, p3 FROM sc), rr AS (SELECT grp, t, """ + ", ".join(f"p{i}" for i in range(4)) + ", " + \
@@ -354,7 +378,7 @@ def _agents(spark, folder):
     return fits(spark, folder).select("rater", "beta", group.alias("group")).join(true, "rater")
 
 
-TEMPS = [10.0 ** (-1.5 + 2.5 * i / 9) for i in range(10)]
+TEMPS = [10.0 ** (-1.5 + 2.5 * i / 49) for i in range(50)]
 _J35 = "greatest((" + "+".join(
     f"CASE WHEN p{i}>0 THEN p{i}*log2(p{i}/((p{i}+s{i})/2)) ELSE 0 END + CASE WHEN s{i}>0 THEN s{i}*log2(s{i}/((p{i}+s{i})/2)) ELSE 0 END" for i in range(4)) + ")/2, 0.0)"
 
@@ -440,15 +464,16 @@ _BF = newton("bfit", "bcells", ["rater", "b"], O.XS)
 WEIGHT_DRAWS = 10
 
 
-@query("r3_bootstrap_weights", with_ctes("positions", "own", "wide", extra=f"""dr AS MATERIALIZED {draws_sql('positions', WEIGHT_DRAWS, str(SEED), 'case_id')},
-  md AS (SELECT o.case_id, o.rater, x0, x1, x2, x3, c1::double AS c1, valid::double AS n FROM own o JOIN wide USING (case_id) WHERE valid>0 AND rater LIKE 'model/%'),
+@query("r3_bootstrap_weights", with_ctes("positions", "summary", "wide", extra=f"""dr AS MATERIALIZED {draws_sql('positions', WEIGHT_DRAWS, str(SEED), 'case_id')},
+  md AS (SELECT o.case_id, o.rater, x0, x1, x2, x3, c1::double AS c1, valid::double AS n FROM summary o JOIN wide USING (case_id) WHERE valid>0),
   bd AS (SELECT * FROM md JOIN dr USING (case_id)), bcells AS MATERIALIZED ({cells_sql('bd', 'rater, b', 'weight')}), """ + join_ctes(_BF)) +
   f"SELECT rater, b, t.attribute, {r6('t.beta', 'beta')} FROM bfit, LATERAL (VALUES {_LONG}) t(attribute, beta)")
 def r3(spark, folder):
-    d = G.design_matrix(T.model_summary(spark, folder), T.tags(spark, folder))
-    fit = RS.bootstrap_weights(d, case_positions(T.cases(spark, folder)), WEIGHT_DRAWS, SEED)
-    long = G.long_weights(fit, ["rater", "b"]).select("rater", F.col("b").cast("bigint").alias("b"), "attribute", "beta")
-    return rounded(long, 6)
+    """Every rater. Ten draws here, because the SQL fits each of them by itself; the operator takes any number."""
+    fit = RS.bootstrap_weights(design(spark, folder), case_positions(T.cases(spark, folder)), WEIGHT_DRAWS, SEED)
+    names = F.array(*[F.lit(a) for a in ATTRIBUTES])
+    long = fit.select("rater", F.col("b").cast("bigint").alias("b"), F.explode(F.arrays_zip(names.alias("attribute"), "beta")).alias("z"))
+    return rounded(long.select("rater", "b", "z.attribute", "z.beta"), 6)
 
 
 _MP = """mpos AS (SELECT grp, member, row_number() OVER (PARTITION BY grp ORDER BY md5(member), member)-1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM members)"""

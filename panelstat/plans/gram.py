@@ -102,54 +102,71 @@ def _add_products(total: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         total[m] += p.T @ q
 
 
+def _lines(left: "_Side", right: "_Side", t: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+    """The moments of one block pair, one line per pair of items."""
+    a = np.array(list(left.index), dtype=object)
+    b = a if same else np.array(list(right.index), dtype=object)
+    i, j = np.nonzero(t[0])
+    if same:
+        keep = a[i] < b[j]
+        i, j = i[keep], j[keep]
+    swap = a[i] > b[j]
+    n, sx, sy, sxx, syy, sxy = (m[i, j] for m in t)
+    cols = [
+        np.where(swap, b[j], a[i]), np.where(swap, a[i], b[j]), n.astype(np.int64),
+        np.where(swap, sy, sx), np.where(swap, sx, sy), np.where(swap, syy, sxx), np.where(swap, sxx, syy), sxy,
+    ]
+    names = ["item_a", "item_b", "n", "sx", "sy", "sxx", "syy", "sxy"]
+    types = [pa.string(), pa.string(), pa.int64()] + [pa.float64()] * 5
+    for start in range(0, len(i), 50_000):
+        arrays = [pa.array(c[start : start + 50_000], t_) for c, t_ in zip(cols, types)]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sides, totals = {}, {}
+    """Sums of one block pair at a time: rows come in the order of their pair, so a task never holds two."""
+    now, left, right, total = None, _Side(), _Side(), None
     for batch in batches:
         pair_ids = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], axis=1)
-        for lo, hi in np.unique(pair_ids, axis=0):
+        for lo, hi in np.unique(pair_ids, axis=0).tolist():
+            if (lo, hi) != now:
+                if total is not None:
+                    yield from _lines(left, right, total, now[0] == now[1])
+                now, left, right, total = (lo, hi), _Side(), _Side(), None
             part = batch.filter(pa.array((pair_ids == (lo, hi)).all(axis=1)))
-            left, right = sides.setdefault((lo, hi, 0), _Side()), sides.setdefault((lo, hi, 1), _Side())
             for start in range(0, part.num_rows, 4096):
                 piece = part.slice(start, 4096)
                 col = pa.concat_arrays([piece.column("a")])
                 if lo == hi:
-                    totals[(lo, hi)] = _same_block(left, totals.get((lo, hi)), col)
+                    total = _same_block(left, total, col)
                     continue
                 x = left.dense(col, piece.num_rows)
                 y = right.dense(pa.concat_arrays([piece.column("b")]), piece.num_rows)
-                t = _grow(totals.get((lo, hi)), (len(left.index), len(right.index)))
-                _add_products(t, x, y)
-                totals[(lo, hi)] = t
-    for (lo, hi), t in totals.items():
-        a = np.array(list(sides[(lo, hi, 0)].index), dtype=object)
-        b = a if lo == hi else np.array(list(sides[(lo, hi, 1)].index), dtype=object)
-        i, j = np.nonzero(t[0])
-        if lo == hi:
-            keep = a[i] < b[j]
-        else:
-            keep = np.ones(len(i), dtype=bool)
-        i, j = i[keep], j[keep]
-        swap = a[i] > b[j]
-        n, sx, sy, sxx, syy, sxy = (m[i, j] for m in t)
-        cols = [
-            np.where(swap, b[j], a[i]), np.where(swap, a[i], b[j]), n.astype(np.int64),
-            np.where(swap, sy, sx), np.where(swap, sx, sy), np.where(swap, syy, sxx), np.where(swap, sxx, syy), sxy,
-        ]
-        names = ["item_a", "item_b", "n", "sx", "sy", "sxx", "syy", "sxy"]
-        types = [pa.string(), pa.string(), pa.int64()] + [pa.float64()] * 5
-        for start in range(0, len(i), 50_000):
-            arrays = [pa.array(c[start : start + 50_000], t_) for c, t_ in zip(cols, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def pair_moments(cells: DataFrame, by: str, item: str, value: str, n_blocks: int = 1) -> DataFrame:
+                total = _grow(total, (len(left.index), len(right.index)))
+                _add_products(total, x, y)
+    if total is not None:
+        yield from _lines(left, right, total, now[0] == now[1])
+
+
+# items whose moments with each other one task holds: 6 x 1000 x 1000 numbers, 48 MB
+BLOCK_ITEMS = 1000
+
+
+def item_blocks(cells: DataFrame, item: str) -> int:
+    """Blocks of about BLOCK_ITEMS items each."""
+    return max(1, -(-cells.select(item).distinct().count() // BLOCK_ITEMS))
+
+
+def pair_moments(cells: DataFrame, by: str, item: str, value: str, n_blocks: int | None = None) -> DataFrame:
     """For every pair of items a < b, moments of their values over the groups that hold both.
 
     Each group becomes one row of a sparse matrix and every task adds up the products of its rows,
     so what is shuffled is one line per pair and task rather than one line per pair and group.
-    ``n_blocks`` splits the items by hash when they are too many for one dense block (about a
-    thousand); the products of the block pairs together cover every pair of items exactly once.
+    ``n_blocks`` splits the items by hash, by default into blocks of about a thousand as counted; the
+    products of the block pairs together cover every pair of items exactly once.
     """
+    if n_blocks is None:
+        n_blocks = item_blocks(cells, item)
     block = F.pmod(F.xxhash64(item), F.lit(n_blocks)).cast("int")
     rows = (
         cells.filter(F.col(value).isNotNull())
@@ -165,7 +182,7 @@ def pair_moments(cells: DataFrame, by: str, item: str, value: str, n_blocks: int
     else:
         l = rows.select(by, F.col("block").alias("lo"), F.col("v").alias("a"))
         r = rows.select(by, F.col("block").alias("hi"), F.col("v").alias("b"))
-        pairs = l.join(r, by).filter("lo <= hi").select("lo", "hi", "a", "b")
+        pairs = l.join(r, by).filter("lo <= hi").select("lo", "hi", "a", "b").sortWithinPartitions("lo", "hi")
     parts = pairs.mapInArrow(_moments, _OUT)
     return parts.groupBy("item_a", "item_b").agg(
         F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")]

@@ -176,3 +176,12 @@ def test_entropy_values(spark):
     df = spark.createDataFrame([(0, 0), (0, 4), (4, 4), (1, 4)], "k int, n int")
     got = [r.e for r in df.select(binary_entropy("k", "n").alias("e")).collect()]
     assert got[:3] == [0, 0, 0] and got[3] == pytest.approx(-(0.25 * math.log2(0.25) + 0.75 * math.log2(0.75)))
+
+
+def test_pair_moments_in_blocks(spark):
+    """Blocks are taken one after the other, whatever number of items there is."""
+    from panelstat.plans.gram import pair_moments
+
+    cells = spark.range(400).select((F.col("id") % 20).alias("c"), F.concat(F.lit("r"), (F.col("id") % 37).cast("string")).alias("i"), (F.col("id") % 11).cast("double").alias("v")).distinct().cache()
+    read = lambda **kw: sorted(map(tuple, pair_moments(cells, "c", "i", "v", **kw).collect()))
+    assert read() == read(n_blocks=1) == read(n_blocks=5) and len(read()) > 100

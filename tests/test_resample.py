@@ -89,6 +89,21 @@ def test_bootstrap_weights(spark):
         assert np.allclose(fits[b], newton(X, c1 * w, n * w)[0], atol=1e-7)
 
 
+def test_bootstrap_weights_at_the_full_number(spark, monkeypatch):
+    monkeypatch.setattr(RS, "SUM_LIMIT", 20_000)  # partial sums are handed on often
+    rows = make(3, n_cases=30, raters=("r0", "r1"), trials=(4, 12))
+    design = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    pos = dense_position(design, "case_id")
+    fits = {(r.rater, r.b): r.beta for r in RS.bootstrap_weights(design, pos, 1000, 11).collect()}
+    assert len(fits) == 2000
+    X, c1, n = arrays(rows, "r1")
+    at = {r[0]: i for i, r in enumerate(x for x in rows if x[1] == "r1")}
+    for b, d in enumerate(draws_of(pos, 1000, 11)):
+        if b % 97 == 0:
+            w = np.bincount([at[c] for c in d], minlength=30)
+            assert np.allclose(fits["r1", b], newton(X, c1 * w, n * w)[0], atol=1e-6)
+
+
 @pytest.fixture(scope="module")
 def panel(spark):
     rng = np.random.default_rng(4)
