@@ -42,6 +42,24 @@ def write_registry(participants: DataFrame, path: str, mode: str = "overwrite")
     participants.select("participant_id", "name", "email", "expertise", iso("first_seen"), iso("last_seen")).write.mode(mode).json(path)
 
 
+def write_registry_object(participants: DataFrame, file: str) -> None:
+    """The interchange form: one JSON object keyed by participant id in one named file.
+
+    The format is a single document, so it is one row of one task; ``write_registry`` makes the form that can be split.
+    """
+    spark = participants.sparkSession
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    entry = F.struct("participant_id", F.struct("name", "email", "expertise", iso("first_seen"), iso("last_seen")))
+    folder = f"{file}.parts"
+    participants.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(path(folder)) if x.getPath().getName().startswith("part-"))
+    fs.delete(path(file), False)
+    fs.rename(part, path(file))
+    fs.delete(path(folder), True)
+
+
 def read_case_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Case records, leniently: malformed ones are left out, file and its time are kept.
 
