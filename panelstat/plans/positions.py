@@ -11,8 +11,8 @@ def dense_position(ids: DataFrame, key: str, bucket: Column | None = None) -> Da
 
     Keys are split into buckets, numbered inside each bucket and shifted by the size of the buckets
     before. Without ``bucket`` the order is that of the MD5 of the key with its first three hex
-    digits as bucket: at most 4096 equally likely buckets whatever the keys look like. A caller
-    whose keys are already uniform passes an order-preserving prefix and gets key order.
+    digits as bucket: at most 4096 equally likely buckets whatever the keys look like. With an
+    order-preserving ``bucket`` the order is that of the keys.
     """
     if bucket is None:
         digest = F.md5(F.col(key).cast("string"))
@@ -36,6 +36,22 @@ def dense_position(ids: DataFrame, key: str, bucket: Column | None = None) -> Da
     )
 
 
+# keys that are looked at to bound the ranges, and how many of them a range has
+_LOOK, _PER_RANGE = 1024, 16
+
+
+def ordered_position(ids: DataFrame, key: str) -> DataFrame:
+    """(key, pos, n) in key order, whatever the keys look like.
+
+    The keys are split into about 64 ranges of near-equal size, bounded by keys of a fixed-size sample (those
+    with the smallest hashes). The bounds decide only how even the ranges are, not the positions.
+    """
+    sample = ids.select(key).dropna().distinct().orderBy(F.xxhash64(key)).limit(_LOOK)
+    bounds = sorted(r[0] for r in sample.collect())[::_PER_RANGE]
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    return dense_position(ids, key, bucket)
+
+
 def case_positions(cases: DataFrame) -> DataFrame:
-    """Positions in case_id order; case ids are UUIDs, so their first digits are uniform."""
-    return dense_position(cases, "case_id", F.substring("case_id", 1, 3))
+    """Positions in case_id order."""
+    return ordered_position(cases, "case_id")

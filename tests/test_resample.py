@@ -203,3 +203,12 @@ def test_histogram(spark):
     got = {r.bin: r.n for r in RS.histogram(df, "v", 4).collect()}
     assert got == {0: 1, 1: 2, 2: 1, 3: 1}
     assert {r.bin: r.n for r in RS.histogram(df.filter("v = 1"), "v", 4).collect()} == {0: 2}
+
+
+def test_positions_of_ids_with_one_prefix(spark):
+    from panelstat.plans.positions import case_positions
+
+    ids = [f"case_{i * 7:05}" for i in range(3000)]
+    df = spark.createDataFrame([(i,) for i in ids + ids[:10]], "case_id string").repartition(3)
+    assert {r.case_id: (r.pos, r.n) for r in case_positions(df).collect()} == {x: (k, 3000) for k, x in enumerate(sorted(ids))}
+    assert case_positions(df.limit(0)).count() == 0
