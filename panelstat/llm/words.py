@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
