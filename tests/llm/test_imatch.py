@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from panelstat.llm import imatch
 

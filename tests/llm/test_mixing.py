@@ -2,7 +2,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from panelstat.llm import mixing
 

@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from panelstat.llm import simhash
 from panelstat.llm import words as W
