@@ -19,7 +19,7 @@ are null. Equal rows stay rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -226,7 +226,7 @@ class _Forest:
         self.label = to[self.label]
 
 
-def _links(most: int):
+def _links(most: int, named: bool = False):
     """Of one partition of ball values: edges that join all signatures which share a value and differ in at most ``most`` bits."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _links(most: int):
         s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        ids, which = np.unique(_node(s0, s1), return_inverse=True)
+        ids, which = np.unique(np.concatenate([np.asarray(g[3]) for g in got] or [np.zeros(0, np.int64)]) if named else _node(s0, s1), return_inverse=True)
         at = which[order]
         s0, s1 = s0[order], s1[order]
         forest = _Forest(len(ids))
@@ -270,7 +270,12 @@ def near_copies(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most: in
     values = balls.select(F.col("centre").bitwiseXOR(F.col("flip")).alias("value"), "s0", "s1")
     parts = n_blocks(docs.sparkSession, classes.count() * bands * (BAND_BITS + 1), 1 << 20)
     edges = cut(values.repartition(parts, "value").mapInArrow(_links(most), "a long, b long"), "simhash-links")
-    member = classes.select("node", "first_id").join(components(edges).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    return _grouped(own, classes, components(edges))
+
+
+def _grouped(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, component_id, node, root) of every row of ``own``; nodes without a root are their own."""
+    member = classes.select("node", "first_id").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     member = member.select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = member.join(smallest, "root").select(F.col("node").alias("_n"), "component_id", "root")
@@ -282,14 +287,8 @@ def first_of_each(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most:
 
     Groups without any doc_id keep their first row by text.
     """
-    found = cut(near_copies(docs, width, bands, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "simhash-firsts")
-    found = found.withColumnRenamed("doc_id", "_id")
-    rows = found.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    own_id = F.col("doc_id").cast("long")
-    plain = docs.join(rows.filter("_n = 1 and _id is not null").select("_id"), own_id == F.col("_id"), "left_semi")
 
-    @F.arrow_udf("long")
-    def node_of(texts: pa.Array) -> pa.Array:
+    def nodes(texts: pa.Array) -> np.ndarray:
         out = []
         for _, _, data, offsets in W.chunks(texts):
             data = W.lowered(data)
@@ -297,7 +296,22 @@ def first_of_each(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most:
             h = W.hashes(data, starts, ends)
             out += [signature(h[x:y], width, 0) for x, y in zip(first[:-1], first[1:], strict=True)]
         s = np.array(out, np.uint64).reshape(len(out), -1)
-        return pa.array(_node(s[:, 0], s[:, 1]))
+        return _node(s[:, 0], s[:, 1])
+
+    return _firsts(docs, near_copies(docs, width, bands, most), nodes)
+
+
+def _firsts(docs: DataFrame, grouped: DataFrame, nodes: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The first row of each group; ``nodes`` gives the nodes of texts."""
+    found = cut(grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "simhash-firsts")
+    found = found.withColumnRenamed("doc_id", "_id")
+    rows = found.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    own_id = F.col("doc_id").cast("long")
+    plain = docs.join(rows.filter("_n = 1 and _id is not null").select("_id"), own_id == F.col("_id"), "left_semi")
+
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        return pa.array(nodes(texts))
 
     # ids that several such rows share: the node tells which group a row belongs to
     shared = docs.join(rows.filter("_n > 1 or _id is null").select("_id"), own_id.eqNullSafe(F.col("_id")), "left_semi")
@@ -306,3 +320,77 @@ def first_of_each(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most:
     first = F.row_number().over(Window.partitionBy("_own", "root").orderBy("_text", F.xxhash64("_doc")))
     shared = shared.join(groups, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n"))).withColumn("_first", first).filter("_first = 1").select("_doc.*")
     return plain.unionByName(shared)
+
+
+# Near copies by their shingle sets: equal minima find.
+
+ROWS, GROUPS = 5, 25  # a pair of likeness 0.8 shares no value of 25 with probability (1 - 0.8 ** 5) ** 25 = 5e-5
+SKETCH, FAR = 128, 30  # bits that differ with probability (1 - likeness) / 2: more than 30 at likeness 0.8 has probability 2e-6
+_FACTORS = W._mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDE) -> Iterator[list[np.ndarray]]:
+    """Chunk by chunk, the distinct shingles of each row, ascending."""
+    for _, _, data, offsets in W.chunks(texts):
+        data = W.lowered(data)
+        starts, ends, first = W.spans(data, offsets)
+        h = W.hashes(data, starts, ends)
+        whole = W.windows(h, width)
+        yield [np.unique(whole[x: y - width + 1] if y - x >= width else W.windows(h[x:y], y - x)) if y > x else h[:0] for x, y in zip(first[:-1], first[1:], strict=True)]
+
+
+def _set_node(s: np.ndarray) -> int:
+    return int(_node(s.sum(dtype=np.uint64, keepdims=True), W._mixed(s).sum(dtype=np.uint64, keepdims=True))[0])
+
+
+def _minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The least of each set under SKETCH orders of all hashes; sets without any have zeros."""
+    out = np.zeros((len(sets), SKETCH), np.uint64)
+    full = np.array([len(s) > 0 for s in sets], bool)
+    if full.any():
+        flat = np.concatenate(sets)
+        at = np.append(0, np.cumsum([len(s) for s in sets]))[:-1][full]
+        for k, factor in enumerate(_FACTORS):
+            out[full, k] = np.minimum.reduceat(flat * factor, at)
+    return out
+
+
+def sketches(docs: DataFrame, width: int = WIDE) -> DataFrame:
+    """The rows of ``docs`` as doc_id, node, s0 and s1 (a bit of each minimum), values (of ROWS minima each) and shingles."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = 0
+            for sets in shingle_sets(b.column(1), width):
+                least = _minima(sets)
+                bits = np.packbits((W._mixed(least) & np.uint64(1)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+                values = np.zeros((len(sets), GROUPS), np.uint64) + np.arange(1, GROUPS + 1, dtype=np.uint64)
+                for r in range(ROWS):
+                    values = W._mixed(values ^ least[:, r: GROUPS * ROWS: ROWS])
+                values = [v if len(s) else v[:0] for v, s in zip(values.view(np.int64), sets, strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(done, len(sets)), pa.array([_set_node(s) for s in sets], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]),
+                    pa.array(values, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ], names=["doc_id", "node", "s0", "s1", "values", "shingles"])
+                done += len(sets)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, values array<long>, shingles array<long>")
+
+
+def alike(docs: DataFrame, width: int = WIDE, far: int = FAR) -> DataFrame:
+    """(doc_id, component_id, node, root) of every row: documents that share a value and whose sketches differ in at most ``far`` bits are linked."""
+    own = cut(sketches(docs, width).drop("shingles"), "shingle-sketches")
+    classes = cut(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("s0", "s1", "values")]), "shingle-classes")
+    values = classes.select(F.explode("values").alias("value"), "s0", "s1", "node")
+    parts = n_blocks(docs.sparkSession, classes.count() * GROUPS, 1 << 20)
+    edges = cut(values.repartition(parts, "value").mapInArrow(_links(far, True), "a long, b long"), "shingle-links")
+    return _grouped(own, classes, components(edges))
+
+
+def first_alike(docs: DataFrame, width: int = WIDE, far: int = FAR) -> DataFrame:
+    """The rows of ``docs``, one of each group of ``alike`` documents, chosen as by ``first_of_each``."""
+
+    def nodes(texts: pa.Array) -> np.ndarray:
+        return np.array([_set_node(s) for sets in shingle_sets(texts, width) for s in sets], np.int64)
+
+    return _firsts(docs, alike(docs, width, far), nodes)
