@@ -226,7 +226,7 @@ class _Forest:
         self.label = to[self.label]
 
 
-def _links(most: int, named: bool = False):
+def _links(most: int):
     """Of one partition of ball values: edges that join all signatures which share a value and differ in at most ``most`` bits."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _links(most: int, named: bool = False):
         s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        ids, which = np.unique(np.concatenate([np.asarray(g[3]) for g in got] or [np.zeros(0, np.int64)]) if named else _node(s0, s1), return_inverse=True)
+        ids, which = np.unique(_node(s0, s1), return_inverse=True)
         at = which[order]
         s0, s1 = s0[order], s1[order]
         forest = _Forest(len(ids))
@@ -322,8 +322,9 @@ def _firsts(docs: DataFrame, grouped: DataFrame, nodes: Callable[[pa.Array], np.
     return plain.unionByName(shared)
 
 
-# Near copies by their shingle sets: equal minima find.
+# Near copies by their shingle sets: equal minima find, the sets themselves judge.
 
+SHARE = 0.8
 ROWS, GROUPS = 5, 25  # a pair of likeness 0.8 shares no value of 25 with probability (1 - 0.8 ** 5) ** 25 = 5e-5
 SKETCH, FAR = 128, 30  # bits that differ with probability (1 - likeness) / 2: more than 30 at likeness 0.8 has probability 2e-6
 _FACTORS = W._mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -377,20 +378,124 @@ def sketches(docs: DataFrame, width: int = WIDE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, values array<long>, shingles array<long>")
 
 
-def alike(docs: DataFrame, width: int = WIDE, far: int = FAR) -> DataFrame:
-    """(doc_id, component_id, node, root) of every row: documents that share a value and whose sketches differ in at most ``far`` bits are linked."""
-    own = cut(sketches(docs, width).drop("shingles"), "shingle-sketches")
-    classes = cut(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("s0", "s1", "values")]), "shingle-classes")
-    values = classes.select(F.explode("values").alias("value"), "s0", "s1", "node")
-    parts = n_blocks(docs.sparkSession, classes.count() * GROUPS, 1 << 20)
-    edges = cut(values.repartition(parts, "value").mapInArrow(_links(far, True), "a long, b long"), "shingle-links")
-    return _grouped(own, classes, components(edges))
+def _offer(forests: list[_Forest], a: np.ndarray, b: np.ndarray) -> None:
+    """Each pair to the first forest in which it joins two trees."""
+    n = len(forests[0].label)
+    for f in forests:
+        if not len(a):
+            return
+        before = len(f.edges)
+        f.add(a, b)
+        used = np.array([x * n + y for x, y in f.edges[before:]], np.int64)
+        keep = ~np.isin(a * n + b, used)
+        a, b = a[keep], b[keep]
+
+
+def _proposals(trees: int, far: int):
+    """Of one partition of values: pairs to judge, as ``trees`` forests over the members of each value.
+
+    Rows are members (value, node a, sketch; tried 0 and label b after the first round) and pairs judged before (tried 1:
+    a, b). Members with one label are joined already; without labels none are. A value is left when its last forest has become one tree.
+    """
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[np.asarray(c, np.int64) for c in b.columns] for b in batches]
+        value, a, s0, s1, *more = (np.concatenate(c) for c in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 4
+        tried, b = more or (np.zeros(len(a), np.int64), a)
+        own = np.flatnonzero(tried == 0)
+        own = own[np.lexsort((a[own], value[own]))]
+        n = len(own)
+        if not n:
+            return
+        key, node, label, t0, t1 = value[own], a[own], b[own], s0[own].view(np.uint64), s1[own].view(np.uint64)
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
+        order = np.lexsort((np.arange(n), label, group))
+        new = np.append(True, (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1]))
+        joined = np.empty(n, np.int64)
+        joined[order] = order[new][np.cumsum(new) - 1]
+        forests = [_Forest(n) for _ in range(trees)]
+        for f in forests:
+            f.label = joined.copy()
+        place = _node(key.view(np.uint64), node.view(np.uint64))
+        by = np.argsort(place)
+        old = np.flatnonzero(tried == 1)
+        ends = [by[np.searchsorted(place[by], _node(value[old].view(np.uint64), x[old].view(np.uint64)))] for x in (a, b)]
+        judged = np.minimum(*ends) * n + np.maximum(*ends)
+
+        def offer(x: np.ndarray, y: np.ndarray) -> None:
+            near = np.bitwise_count(t0[x] ^ t0[y]).astype(np.int64) + np.bitwise_count(t1[x] ^ t1[y]) <= far
+            near &= joined[x] != joined[y]
+            x, y = x[near], y[near]
+            fresh = ~np.isin(x * n + y, judged)
+            _offer(forests, x[fresh], y[fresh])
+
+        head = at[group]
+        rest = np.flatnonzero(head != np.arange(n))
+        offer(head[rest], rest)
+        left, step = rest, 1  # pairs with the head are done
+        while True:
+            if step & (step - 1) == 0:
+                last = forests[-1].label
+                whole = np.minimum.reduceat(last, at) == np.maximum.reduceat(last, at)
+                left = left[~whole[group[left]]]
+            left = left[left + step < n]
+            left = left[group[left] == group[left + step]]
+            if not len(left):
+                break
+            offer(left, left + step)
+            step += 1
+        x, y = (np.array([e[i] for f in forests for e in f.edges], np.int64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(node[x]), pa.array(node[y])], names=["value", "a", "b"])
+
+    return propose
+
 
+def _judged(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
+    """(a, b, same): whether the shingle sets of two nodes are alike to ``share`` or more."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(own.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+    return both.select("a", "b", (F.col("n") >= F.lit(share) * (F.col("m") - F.col("n")) - 1e-9).alias("same"))
 
-def first_alike(docs: DataFrame, width: int = WIDE, far: int = FAR) -> DataFrame:
+
+def alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
+    """(doc_id, component_id, node, root) of every row: documents whose sets of shingles are alike to ``share`` or more are linked.
+
+    Pairs that share a value and differ in at most ``far`` bits of their sketches are candidates. The members of a
+    value propose a forest of them, the sets judge it, and values with refused pairs propose again, sixteen
+    times as many forests each time, until all candidates that are not joined have been refused.
+    """
+    own = cut(sketches(docs, width), "shingle-sketches")
+    classes = cut(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("s0", "s1", "values")]), "shingle-classes")
+    values = classes.select(F.explode("values").alias("value"), "node", "s0", "s1")
+    parts = n_blocks(docs.sparkSession, classes.count() * GROUPS, 1 << 20)
+    members, refused, linked, trees = values.withColumn("label", F.col("node")), None, None, 1
+    while True:
+        rows = members.select("value", F.col("node").alias("a"), "s0", "s1", *([] if refused is None else [F.lit(0).cast("long").alias("tried"), F.col("label").alias("b")]))
+        if refused is not None:
+            none = F.lit(0).cast("long")
+            rows = rows.unionByName(refused.select("value", "a", none.alias("s0"), none.alias("s1"), F.lit(1).cast("long").alias("tried"), "b"))
+        found = cut(rows.repartition(parts, "value").mapInArrow(_proposals(trees, far), "value long, a long, b long"), "shingle-pairs")
+        judged = cut(_judged(found.select("a", "b").distinct(), own, share), "shingle-judged")
+        same = judged.filter("same").select("a", "b")
+        linked = same if linked is None else linked.unionByName(same)
+        roots = components(linked)
+        no = cut(found.join(judged.filter("not same").select("a", "b"), ["a", "b"]).select("value", "a", "b"), "shingle-refused")
+        if no.isEmpty():
+            return _grouped(own, classes, roots)
+        open_ = no.select("value").distinct()
+        refused = no if refused is None else refused.join(open_, "value", "left_semi").unionByName(no)
+        own_label = roots.select(F.col("node").alias("_n"), "root")
+        members = values.join(open_, "value", "left_semi").join(own_label, F.col("node") == F.col("_n"), "left").select("value", "node", "s0", "s1", F.coalesce("root", "node").alias("label"))
+        trees *= 16
+
+
+def first_alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
     """The rows of ``docs``, one of each group of ``alike`` documents, chosen as by ``first_of_each``."""
 
     def nodes(texts: pa.Array) -> np.ndarray:
         return np.array([_set_node(s) for sets in shingle_sets(texts, width) for s in sets], np.int64)
 
-    return _firsts(docs, alike(docs, width, far), nodes)
+    return _firsts(docs, alike(docs, share, width, far), nodes)

@@ -51,3 +51,38 @@ def linked(spark, made):
 def test_edits_in_one_place_are_found(spark):
     made = pairs(0.8, 0.9)
     assert all(linked(spark, made))
+
+
+def test_less_alike_texts_stay_apart(spark):
+    made = pairs(0.6, 0.79)
+    assert not any(linked(spark, made))
+
+
+def test_families_as_brute_force(spark):
+    """Texts of one template with likenesses on both sides of 0.8: refused pairs must not hide others."""
+    rnd, texts = random.Random(11), []
+    for _ in range(4):
+        base = [f"t{rnd.randrange(5000)}" for _ in range(200)]
+        texts += [changed(rnd, base, rnd.choice(["replaced", "appended", "scattered"]), rnd.randint(1, 30)) for _ in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (None, " ".join(texts[0]))]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if likeness(texts[i], texts[j]) >= 0.8:
+                u, v = find(i), find(j)
+                root[max(u, v)] = min(u, v)
+    want = {i: find(i) for i in range(len(texts))} | {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002, None: find(0)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike(df).collect()} == want
+    assert 4 < len({want[i] for i in range(len(texts))}) < len(texts)
+    assert sorted((r["doc_id"] for r in simhash.first_alike(df).collect()), key=str) == sorted({v for v in want.values()}, key=str)
+
+
+def test_no_documents(no_docs):
+    assert simhash.first_alike(no_docs).count() == 0
