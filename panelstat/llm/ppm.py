@@ -6,10 +6,13 @@ escape's too. In the shorter context the bytes of the longer one are excluded, b
 none of them. Below the empty context the bytes left are equally likely.
 
 Pretrained: the counts of all (order + 1)-grams of the training documents are summed by Spark; counts of shorter
-grams are sums of these. Grams with at least ``share`` of all training bytes are kept, which are at most 1 / share of
-each length however large the corpus, so the model may be sent to all tasks. Bytes with a kept gram are looked
-up in a hash table; only the others go through escapes. As a byte seen after a long context is seen after its
-suffixes too, exclusions are sums that the model holds for each context.
+grams are sums of these. All grams are kept, unless ``share`` asks for at least that share of all training bytes, so the
+model grows with the corpus and no task holds it. It lies in partitions by the last KEY bytes of the context: a
+partition has whatever follows its contexts of that length or longer. Blocks of documents send the distinct grams they
+hold, partitions add them up and answer with their probabilities. Only grams of up to KEY bytes, of which no
+corpus has more than 256 ** KEY, are sent to all tasks. Seen grams are looked up in a hash table; only the others go
+through escapes. As a byte seen after a long context is seen after its suffixes too, exclusions are sums that the
+model holds for each context.
 
 Adaptive: each document alone, from an empty trie that learns as it goes.
 
@@ -35,7 +38,8 @@ from panelstat.llm import words as W
 from panelstat.llm.arrays import parts
 from panelstat.llm.common import cut, n_blocks, text_bytes
 
-ORDER, SHARE = 5, 2e-7
+ORDER, SHARE = 5, 0.0
+KEY, PART_BYTES = 3, 16 << 20
 BLOCK_BYTES, PART_WORDS = 16 << 20, 1 << 18
 END = 10
 _U = np.uint64
@@ -107,9 +111,12 @@ class HashTable:
 
 
 class Trie:
-    """Contexts of each length with their counts, from sorted (gram, count) arrays by context length."""
+    """Contexts of each length with their counts, from sorted (gram, count) arrays by context length.
 
-    def __init__(self, by_order: list[tuple[np.ndarray, np.ndarray]], n_bytes: int):
+    ``seen`` has, for lengths whose contexts are not themselves among the shorter grams, all contexts and how often each was seen.
+    """
+
+    def __init__(self, by_order: list[tuple[np.ndarray, np.ndarray]], n_bytes: int, seen: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
         self.order = len(by_order) - 1
         self.grams = by_order
         self.contexts = []
@@ -118,7 +125,9 @@ class Trie:
             at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(g) else np.zeros(0, np.int64)
             kept = np.add.reduceat(c, at) if len(g) else c
             total = np.full(len(at), n_bytes)
-            if k:  # how often the context itself was seen, whatever followed
+            if seen and k in seen:
+                total = seen[k][1][np.searchsorted(seen[k][0], ctx[at])]
+            elif k:  # how often the context itself was seen, whatever followed
                 where, found = self._find(by_order[k - 1][0], ctx[at])
                 total = np.where(found, by_order[k - 1][1][where], 0) if len(by_order[k - 1][0]) else np.zeros(len(at), np.int64)
             total = np.maximum(total, kept)
@@ -181,15 +190,41 @@ def _spread(raw: bytes, kind) -> np.ndarray:
 
 
 def packed(by_order: list[tuple[np.ndarray, np.ndarray]], n_bytes: int) -> dict:
-    """What a trie is made of, small enough to send: differences of sorted grams, and counts, deflated."""
+    """Short grams and the training bytes, small enough to send: differences of sorted grams, and counts, deflated."""
     return {"n": n_bytes, "grams": [(_squeezed(np.diff(g, prepend=_U(0))), _squeezed(c.astype(np.int64))) for g, c in by_order]}
 
 
-def opened(sent: dict) -> Trie:
-    """The trie of a packed one; a Python worker makes it once and keeps it beside what was sent."""
-    if "trie" not in sent:
-        sent["trie"] = Trie([(np.cumsum(_spread(g, _U), dtype=_U), _spread(c, np.int64)) for g, c in sent["grams"]], sent["n"])
-    return sent["trie"]
+def opened(sent: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The grams of what ``packed`` made; a Python worker opens them once and keeps them beside what was sent."""
+    if "open" not in sent:
+        sent["open"] = [(np.cumsum(_spread(g, _U), dtype=_U), _spread(c, np.int64)) for g, c in sent["grams"]]
+    return sent["open"]
+
+
+def _shorter(g: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the last ``size`` bytes of grams."""
+    return _summed(g & _U((1 << 8 * size) - 1), n)
+
+
+def _gram_parts(g: np.ndarray, bits: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of sorted grams by partition, the partitions that occur and where each begins (one end more)."""
+    part = (W._mixed((g >> _U(8)) & _U((1 << 8 * key) - 1)) >> _U(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return order, part[at], np.append(at, len(part))
+
+
+def _part_trie(g: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], n_bytes: int, order: int, share: float) -> Trie:
+    """The trie of the contexts of one partition, from all its grams of order + 1 bytes and the short grams of all partitions."""
+    floor, seen, by_order = share * n_bytes, {}, list(low)
+    for k in range(len(low), order + 1):
+        own, m = _shorter(g, n, k + 1)
+        if k > len(low):
+            ctx, times = _summed(own >> _U(8), m)
+            seen[k] = ctx, np.where(ctx & _U(255), times, 0)  # the zeros before a row are not bytes
+        by_order.append((own, m))
+    return Trie([(x[m >= floor], m[m >= floor]) for x, m in by_order], n_bytes, seen)
 
 
 def adaptive_log10(data: bytes, order: int = ORDER) -> float:
@@ -236,7 +271,11 @@ def _block_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _count(bits: int, gram_bits: int, order: int):
-    """Of one block: its distinct words with their counts in training rows, and the grams of these."""
+    """Of one block: its distinct words and grams with their counts in training rows, and those of grams of KEY bytes.
+
+    Rows of words have their block's number, rows of grams one less than its negative; short grams are of partition -1.
+    """
+    key = min(KEY, order)
 
     def count(t: pa.Table) -> pa.Table:
         train = np.asarray(t["train"].combine_chunks(), bool)
@@ -249,16 +288,20 @@ def _count(bits: int, gram_bits: int, order: int):
             hs.append(distinct)
             ns.append(np.bincount(which, known, len(distinct)).astype(np.int64))
         h, n = _summed(np.concatenate(hs), np.concatenate(ns))
-        gs, cs, kept = [np.zeros(0, _U)], [np.zeros(0, np.int64)], t["text"].filter(pa.array(train))
-        for data, first in sequences(kept):
+        gs, cs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for data, first in sequences(t["text"].filter(pa.array(train))):
             g, c = np.unique(grams(data, first, order), return_counts=True)
             gs.append(g)
             cs.append(c)
+        for data, first in sequences(t["text"].filter(pa.array(~train))):
+            gs.append(np.unique(grams(data, first, order)))
+            cs.append(np.zeros(len(gs[-1]), np.int64))
         g, c = _summed(np.concatenate(gs), np.concatenate(cs))
-        part = (W._mixed(g) >> _U(64 - gram_bits)).astype(np.int64)
-        own = [(p, g[part == p], c[part == p]) for p in np.unique(part).tolist()]
+        low, m = _shorter(g[c > 0], c[c > 0], key)
+        place, which, at = _gram_parts(g, gram_bits, key)
+        own = [(-1, low, m)] + [(p, g[place[x:y]], c[place[x:y]]) for p, x, y in zip(which.tolist(), at[:-1], at[1:], strict=True)]
         gram_rows = pa.table([
-            pa.array([p for p, _, _ in own], pa.int64()), pa.array(np.full(len(own), -1)),
+            pa.array([p for p, _, _ in own], pa.int64()), pa.array(np.full(len(own), -1 - block)),
             pa.array([_squeezed(np.diff(x, prepend=_U(0))) for _, x, _ in own], pa.binary()), pa.array([_squeezed(y) for _, _, y in own], pa.binary()),
         ], names=["_part", "_block", "_p0", "_p1"])
         which, at = parts(h, bits)
@@ -268,10 +311,10 @@ def _count(bits: int, gram_bits: int, order: int):
         ], names=["_part", "_block", "_p0", "_p1"])
         out = pa.concat_tables([word_rows, gram_rows])
         tokens = np.zeros(out.num_rows, np.int64)
-        ends = np.zeros(out.num_rows, np.int64)
+        ends, size = np.zeros(out.num_rows, np.int64), np.zeros(out.num_rows, np.int64)
         if len(tokens):
-            tokens[0], ends[0] = n.sum(), train.sum()
-        return out.append_column("_words", pa.array(tokens)).append_column("_ends", pa.array(ends))
+            tokens[0], ends[0], size[0] = n.sum(), train.sum(), c.sum()
+        return out.append_column("_words", pa.array(tokens)).append_column("_ends", pa.array(ends)).append_column("_bytes", pa.array(size))
 
     return count
 
@@ -292,52 +335,67 @@ def _answer(t: pa.Table) -> pa.Table:
     rows = [_squeezed(n[np.searchsorted(h, x)]) for x in hs]
     known = np.zeros(len(rows), np.int64)
     known[0] = (n > 0).sum()
-    return pa.table([t["_block"].combine_chunks(), t["_part"].combine_chunks(), pa.array(rows, pa.binary()), pa.array(known)], names=["_block", "_part", "_p0", "_known"])
+    return pa.table([t["_block"].combine_chunks(), t["_part"].combine_chunks(), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary()), pa.array(known)], names=["_block", "_part", "_p0", "_p1", "_known"])
+
+
+def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x, y in zip(b.column(0), b.column(1), strict=True):
+            g = np.cumsum(_spread(x.as_py(), _U), dtype=_U)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(_spread(y.as_py(), np.int64))], names=["g", "n"])
+
+
+def _gram_answer(sent, order: int, share: float):
+    """Of one partition of grams: to each block the log10 probabilities of its grams, as numbers of distinct ones."""
 
+    def answer(t: pa.Table) -> pa.Table:
+        gs = [np.cumsum(_spread(x.as_py(), _U), dtype=_U) for x in t["_p0"]]
+        g, n = _summed(np.concatenate(gs), np.concatenate([_spread(x.as_py(), np.int64) for x in t["_p1"]]))
+        logs = _part_trie(g[n > 0], n[n > 0], opened(sent.value), sent.value["n"], order, share).log10(g)
+        which, values = [], []
+        for x in gs:
+            v, own = np.unique(logs[np.searchsorted(g, x)], return_inverse=True)
+            which.append(_squeezed(own.astype(np.int64)))
+            values.append(_squeezed(v))
+        block, part = (np.asarray(t[c].combine_chunks(), np.int64) for c in ("_block", "_part"))
+        return pa.table([pa.array(-1 - block), pa.array(-1 - part), pa.array(which, pa.binary()), pa.array(values, pa.binary()), pa.array(np.zeros(len(gs), np.int64))], names=["_block", "_part", "_p0", "_p1", "_known"])
 
-def _gram_counts(t: pa.Table) -> pa.Table:
-    gs = [np.cumsum(_spread(x.as_py(), _U), dtype=_U) for x in t["_p0"]]
-    g, n = _summed(np.concatenate(gs), np.concatenate([_spread(x.as_py(), np.int64) for x in t["_p1"]]))
-    return pa.table([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+    return answer
 
 
-def _score(sent, ends_known: int):
+def _score(ends_known: int, gram_bits: int, order: int):
     """Of one block: per row tokens, known tokens, the sum of log10(count + 0.5) over words, and the model's log10 probability."""
 
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
-        trie = opened(sent.value)
         asked = [h for h, _ in _block_words(t["text"])]
         distinct = np.unique(np.concatenate(asked or [np.zeros(0, _U)]))
-        replies = sorted(((p, _spread(x, np.int64)) for p, x in zip(answers["_part"].to_pylist(), answers["_p0"].to_pylist(), strict=True)), key=lambda r: r[0])
-        counts = np.concatenate([r[1] for r in replies] or [np.zeros(0, np.int64)])
+        replies = sorted(zip(answers["_part"].to_pylist(), answers["_p0"].to_pylist(), answers["_p1"].to_pylist(), strict=True), key=lambda r: r[0])
+        counts = np.concatenate([_spread(x, np.int64) for p, x, _ in replies if p >= 0] or [np.zeros(0, np.int64)])
+        g = np.unique(np.concatenate([np.unique(grams(data, first, order)) for data, first in sequences(t["text"])] or [np.zeros(0, _U)]))
+        place, _, _ = _gram_parts(g, gram_bits, min(KEY, order))
+        logs = np.zeros(len(g))
+        logs[place] = np.concatenate([_spread(v, np.float64)[_spread(x, np.int64)] for p, x, v in reversed(replies) if p < 0] or [np.zeros(0)])
+        table = HashTable(g, logs)
         n_tokens, n_known, base, model = [], [], [], []
         for h, rows in _block_words(t["text"]):
             c = counts[np.searchsorted(distinct, h)] if len(h) else np.zeros(0, np.int64)
-            logs, known = np.append(0.0, np.log10(c + 0.5)), np.append(0, np.cumsum(c > 0))
+            words, known = np.append(0.0, np.log10(c + 0.5)), np.append(0, np.cumsum(c > 0))
             n_tokens.append(np.diff(rows) + 1)
             n_known.append(known[rows[1:]] - known[rows[:-1]] + int(ends_known > 0))
-            base.append(np.array([logs[a + 1: b + 1].sum() for a, b in zip(rows[:-1], rows[1:], strict=True)]))
+            base.append(np.array([words[a + 1: b + 1].sum() for a, b in zip(rows[:-1], rows[1:], strict=True)]))
         for data, first in sequences(t["text"]):
-            model.append(np.add.reduceat(trie.log10(grams(data, first, trie.order)), first[:-1]))
+            model.append(np.add.reduceat(table(grams(data, first, order))[0], first[:-1]))
         cols = [np.concatenate(x or [np.zeros(0)]) for x in (n_tokens, n_known, base, model)]
         return pa.table([t["doc_id"], t["train"], pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float)), pa.array(cols[3].astype(float))], names=["doc_id", "train", "n_tokens", "n_known", "_base", "score"])
 
     return score
 
 
-def trie_of(counts: DataFrame, order: int, share: float) -> dict:
-    """The packed model of summed (g, n) grams of order + 1 bytes."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit((1 << 8 * (k + 1)) - 1).cast("long").alias("m")) for k in range(order + 1)])
-    every = counts.select(F.explode(masks).alias("s"), "g", "n").groupBy(F.col("s.k").alias("k"), F.col("g").bitwiseAND(F.col("s.m")).alias("g")).agg(F.sum("n").alias("n"))
-    kept = every.filter(F.col("n") >= share * total).toArrow()  # at most 1 / share of each length
-    k, g, n = (np.asarray(kept[c].combine_chunks(), np.int64) if kept.num_rows else np.zeros(0, np.int64) for c in ("k", "g", "n"))
-    by_order = []
-    for x in range(order + 1):
-        own, m = g[k == x].view(_U), n[k == x]
-        at = np.argsort(own)
-        by_order.append((own[at], m[at]))
-    return packed(by_order, int(total))
+def short_grams(counts: DataFrame, key: int, n_bytes: int) -> dict:
+    """The packed grams of 1 to ``key`` bytes, from (g, n) of ``key`` bytes in any number of rows."""
+    got = counts.groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** key
+    g, n = (np.asarray(got[c].combine_chunks(), np.int64) if got.num_rows else np.zeros(0, np.int64) for c in ("g", "n"))
+    return packed([_shorter(g.view(_U), n, k + 1) for k in range(key)], n_bytes)
 
 
 def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER, share: float = SHARE) -> DataFrame:
@@ -349,18 +407,20 @@ def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER, sha
         raise ValueError("order must be 1 to 6")
     spark, size = docs.sparkSession, text_bytes(docs)
     blocks = n_blocks(spark, size, BLOCK_BYTES)
-    bits = max(5, int(size / 30 / PART_WORDS).bit_length())
+    bits, gram_bits = max(5, int(size / 30 / PART_WORDS).bit_length()), max(5, int(size / PART_BYTES).bit_length())
     learn = F.coalesce(train, F.lit(False)) if train is not None else F.lit(True)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), learn.alias("train"))
     dealt = slim.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "_block")
-    sent = cut(dealt.groupBy("_block").applyInArrow(_count(bits, 5, order), "_part long, _block long, _p0 binary, _p1 binary, _words long, _ends long"), "ppm-counts")
-    words, ends = sent.agg(F.coalesce(F.sum("_words"), F.lit(0)), F.coalesce(F.sum("_ends"), F.lit(0))).first()
-    gram_rows = sent.filter("_block < 0").select("_part", "_p0", "_p1")
-    trie = spark.sparkContext.broadcast(trie_of(gram_rows.groupBy("_part").applyInArrow(_gram_counts, "g long, n long"), order, share))
+    sent = cut(dealt.groupBy("_block").applyInArrow(_count(bits, gram_bits, order), "_part long, _block long, _p0 binary, _p1 binary, _words long, _ends long, _bytes long"), "ppm-counts")
+    words, ends, n_bytes = sent.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("_words", "_ends", "_bytes")]).first()
+    low = sent.filter("_part < 0").select("_p0", "_p1").mapInArrow(_short_counts, "g long, n long")
+    short = spark.sparkContext.broadcast(short_grams(low, min(KEY, order), int(n_bytes)))
+    reply = "_block long, _part long, _p0 binary, _p1 binary, _known long"
+    scored = sent.filter("_block < 0 and _part >= 0").select("_part", "_block", "_p0", "_p1").groupBy("_part").applyInArrow(_gram_answer(short, order, share), reply)
     asked = sent.filter("_block >= 0").select("_part", "_block", "_p0", "_p1")
-    answers = cut(asked.groupBy("_part").applyInArrow(_answer, "_block long, _part long, _p0 binary, _known long"), "ppm-answers")
+    answers = cut(asked.groupBy("_part").applyInArrow(_answer, reply).unionByName(scored), "ppm-answers")
     known = answers.agg(F.coalesce(F.sum("_known"), F.lit(0))).first()[0] + (1 if ends else 0)
     n = words + ends
-    out = dealt.groupBy("_block").cogroup(answers.drop("_known").groupBy("_block")).applyInArrow(_score(trie, ends), "doc_id long, train boolean, n_tokens long, n_known long, _base double, score double")
+    out = dealt.groupBy("_block").cogroup(answers.drop("_known").groupBy("_block")).applyInArrow(_score(ends, gram_bits, order), "doc_id long, train boolean, n_tokens long, n_known long, _base double, score double")
     base = F.col("_base") + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (known + 1))))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
