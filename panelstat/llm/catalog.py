@@ -121,7 +121,7 @@ def _held_out(parts: int) -> Column:
 
 @_query()
 def op6_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return ppm.scores(table(spark, folder, "documents"), ~_held_out(5))
+    return ppm.scores(table(spark, folder, "documents"), ~_held_out(5), order=6)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:

@@ -27,7 +27,7 @@ teach and are not held out.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -288,15 +288,7 @@ def _count(bits: int, gram_bits: int, order: int):
             hs.append(distinct)
             ns.append(np.bincount(which, known, len(distinct)).astype(np.int64))
         h, n = _summed(np.concatenate(hs), np.concatenate(ns))
-        gs, cs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for data, first in sequences(t["text"].filter(pa.array(train))):
-            g, c = np.unique(grams(data, first, order), return_counts=True)
-            gs.append(g)
-            cs.append(c)
-        for data, first in sequences(t["text"].filter(pa.array(~train))):
-            gs.append(np.unique(grams(data, first, order)))
-            cs.append(np.zeros(len(gs[-1]), np.int64))
-        g, c = _summed(np.concatenate(gs), np.concatenate(cs))
+        g, c = _folded(pair for known in (True, False) for pair in _chunk_grams(t["text"].filter(pa.array(train == known)), order, known))
         low, m = _shorter(g[c > 0], c[c > 0], key)
         place, which, at = _gram_parts(g, gram_bits, key)
         own = [(-1, low, m)] + [(p, g[place[x:y]], c[place[x:y]]) for p, x, y in zip(which.tolist(), at[:-1], at[1:], strict=True)]
@@ -328,6 +320,28 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(n, at)
 
 
+def _chunk_grams(texts: pa.Array, order: int, known: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunk by chunk the distinct grams with their counts, or with 0 if the texts are not to be learned."""
+    for data, first in sequences(texts):
+        g, c = np.unique(grams(data, first, order), return_counts=True)
+        yield g, c if known else np.zeros(len(g), np.int64)
+
+
+def _folded(pairs: Iterable[tuple[np.ndarray, np.ndarray]], most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of sorted counts, added up whenever ``most`` or more wait and they are half of what is known."""
+    known, waiting, n = (np.zeros(0, _U), np.zeros(0, np.int64)), [], 0
+    for pair in pairs:
+        waiting.append(pair)
+        n += len(pair[0])
+        if n >= max(most, len(known[0]) // 2):
+            known, waiting, n = _merged([known, *waiting]), [], 0
+    return _merged([known, *waiting])
+
+
+def _merged(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+
+
 def _answer(t: pa.Table) -> pa.Table:
     """Of one partition of words: to each block the counts of its words over all blocks, and how many are known."""
     hs = [np.frombuffer(x.as_py(), _U) for x in t["_p0"]]
@@ -371,11 +385,13 @@ def _score(ends_known: int, gram_bits: int, order: int):
         distinct = np.unique(np.concatenate(asked or [np.zeros(0, _U)]))
         replies = sorted(zip(answers["_part"].to_pylist(), answers["_p0"].to_pylist(), answers["_p1"].to_pylist(), strict=True), key=lambda r: r[0])
         counts = np.concatenate([_spread(x, np.int64) for p, x, _ in replies if p >= 0] or [np.zeros(0, np.int64)])
-        g = np.unique(np.concatenate([np.unique(grams(data, first, order)) for data, first in sequences(t["text"])] or [np.zeros(0, _U)]))
+        g, _ = _folded(_chunk_grams(t["text"], order, False))
         place, _, _ = _gram_parts(g, gram_bits, min(KEY, order))
-        logs = np.zeros(len(g))
-        logs[place] = np.concatenate([_spread(v, np.float64)[_spread(x, np.int64)] for p, x, v in reversed(replies) if p < 0] or [np.zeros(0)])
-        table = HashTable(g, logs)
+        logs, done = np.zeros(len(g)), 0
+        for _, x, v in reversed([r for r in replies if r[0] < 0]):
+            own = _spread(v, np.float64)[_spread(x, np.int64)]
+            logs[place[done: done + len(own)]] = own
+            done += len(own)
         n_tokens, n_known, base, model = [], [], [], []
         for h, rows in _block_words(t["text"]):
             c = counts[np.searchsorted(distinct, h)] if len(h) else np.zeros(0, np.int64)
@@ -384,7 +400,8 @@ def _score(ends_known: int, gram_bits: int, order: int):
             n_known.append(known[rows[1:]] - known[rows[:-1]] + int(ends_known > 0))
             base.append(np.array([words[a + 1: b + 1].sum() for a, b in zip(rows[:-1], rows[1:], strict=True)]))
         for data, first in sequences(t["text"]):
-            model.append(np.add.reduceat(table(grams(data, first, order))[0], first[:-1]))
+            own, which = np.unique(grams(data, first, order), return_inverse=True)
+            model.append(np.add.reduceat(logs[np.searchsorted(g, own)][which], first[:-1]))
         cols = [np.concatenate(x or [np.zeros(0)]) for x in (n_tokens, n_known, base, model)]
         return pa.table([t["doc_id"], t["train"], pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float)), pa.array(cols[3].astype(float))], names=["doc_id", "train", "n_tokens", "n_known", "_base", "score"])
 
