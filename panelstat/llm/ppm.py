@@ -353,10 +353,8 @@ def _answer(t: pa.Table) -> pa.Table:
 
 
 def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x, y in zip(b.column(0), b.column(1), strict=True):
-            g = np.cumsum(_spread(x.as_py(), _U), dtype=_U)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(_spread(y.as_py(), np.int64))], names=["g", "n"])
+    g, n = _folded((np.cumsum(_spread(x.as_py(), _U), dtype=_U), _spread(y.as_py(), np.int64)) for b in batches for x, y in zip(b.column(0), b.column(1), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
 
 
 def _gram_answer(sent, order: int, share: float):
