@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import imatch, mixing, packing, ppm, sharding, simhash, substring, toxicity, vptree, warc
+from panelstat.llm import bpe, imatch, mixing, packing, ppm, sharding, simhash, substring, toxicity, vptree, warc
 from panelstat.llm.common import table
 
 QUERIES: dict = {}
@@ -133,3 +133,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = toxicity.score(docs, learn_toxicity(docs, table(spark, folder, "labels")))
     return out.select("doc_id", _held_out(3).alias("held_out"), "score", "predicted")
+
+
+@_query()
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    out = bpe.round_trip(table(spark, folder, "documents"))
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))

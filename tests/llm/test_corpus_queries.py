@@ -20,6 +20,7 @@ COLUMNS = {
     8: {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     9: {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     10: {"doc_id": "bigint", "shard": "string", "shard_bytes": "bigint"},
+    11: {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 NAMES = {int(n[2:].split("_")[0]): n for n in QUERIES}
 
@@ -34,7 +35,7 @@ def duck():
 
 
 def test_all_are_there():
-    assert sorted(NAMES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(NAMES) == list(range(1, 1 + len(COLUMNS))) and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("n", sorted(NAMES))
@@ -43,7 +44,7 @@ def test_columns_and_rows(spark, duck, n):
     types = dict(df.dtypes)
     assert COLUMNS[n].items() <= types.items()
     rows = [r.asDict() for r in df.collect()]
-    if n in (2, 4, 6, 7, 8, 9, 10):
+    if n in (2, 4, 6, 7, 8, 9, 10, 11, 13):
         assert sorted(r["doc_id"] for r in rows) == sorted(x for (x,) in duck.execute("select doc_id from documents").fetchall())
     if NAMES[n] in ORACLES:
         res = duck.execute(ORACLES[NAMES[n]])
