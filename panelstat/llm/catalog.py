@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import bpe, imatch, mixing, packing, ppm, sharding, simhash, substring, toxicity, vptree, warc
+from panelstat.llm import alignment, bpe, imatch, mixing, packing, ppm, sharding, simhash, substring, toxicity, vptree, warc
 from panelstat.llm.common import table
 
 QUERIES: dict = {}
@@ -140,3 +140,9 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = bpe.round_trip(table(spark, folder, "documents"))
     digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@_query()
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.align(table(spark, folder, "documents"), {"groups_sha256": digest})[0]
