@@ -19,13 +19,18 @@ Equal rows, also of one doc_id, are documents of their own; null ids stay. Other
 
 from __future__ import annotations
 
+import heapq
 import json
+import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 import tokenizers
@@ -39,7 +44,7 @@ from panelstat.llm.common import cut
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-BLOCK, ROWS = 16 << 20, 2 << 20  # characters of a block, and of the texts whose rows leave a task at a time
+BLOCK, CHUNK = 16 << 20, 1 << 20  # characters of a block, and bytes of the texts that are aligned at a time
 KNOWN, LONG = 1 << 17, 64  # segments that a worker keeps from block to block, and the characters of the longest that it keeps
 
 # printing characters that no version of Unicode counts as white space
@@ -79,87 +84,114 @@ class Aligner:
         self.index: dict[str, int] = {}
         self.figures: list[tuple[int, int, int, int]] = []  # tokens of both, groups, links; the first is -1 if the bytes differ
         self.text: list[str] = []
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []  # numbers of the pairs linked, and how often
+        self.links: list[tuple[bytes, bytes]] = []  # numbers of the pairs linked (32 bits), and how often (64 bits)
+        self.uses: list[int] = []
         self.pair: dict[int, int] = {}
         self.code: list[int] = []  # of each pair: the first id in the upper 32 bits, the second in the lower
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
         """Both id lists cut where tokens of both end."""
-        ends_a, ends_b, at = {}, {}, 0
-        for k, i in enumerate(a, 1):
-            at += self.a_len[i]
-            ends_a[at] = k
-        at = 0
-        for k, i in enumerate(b, 1):
-            at += self.b_len[i]
-            ends_b[at] = k
+        ends_a = dict(zip(accumulate(map(self.a_len.__getitem__, a)), count(1), strict=False))
+        ends_b = dict(zip(accumulate(map(self.b_len.__getitem__, b)), count(1), strict=False))
         out, x, y = [], 0, 0
         for end in sorted(ends_a.keys() & ends_b.keys()):
-            out.append((a[x: ends_a[end]], b[y: ends_b[end]]))
-            x, y = ends_a[end], ends_b[end]
+            i, j = ends_a[end], ends_b[end]
+            out.append((a[x:i], b[y:j]))
+            x, y = i, j
         return out
 
+    def _number(self, code: int) -> int:
+        k = self.pair.get(code)
+        if k is None:
+            k = self.pair[code] = len(self.code)
+            self.code.append(code)
+        return k
+
+    def _add(self, segment: str, figures: tuple[int, int, int, int], text: str, links: dict[int, int], uses: int) -> None:
+        self.index[segment] = len(self.figures)
+        self.figures.append(figures)
+        self.text.append(text)
+        self.links.append((array("i", map(self._number, links)).tobytes(), array("q", links.values()).tobytes()))
+        self.uses.append(uses)
+
     def learn(self, segments: list[str]) -> None:
         """Encode and align segments that are not known yet. Each begins with a space."""
         both = zip(segments, self.a.encode_batch_fast(segments, add_special_tokens=False), self.b.encode([s[1:] for s in segments], num_threads=1), strict=True)
         for segment, own, b in both:
             a, raw = own.ids, segment.encode()
             if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-                figures, groups = (-1, 0, 0, 0), []
-            else:
-                groups = self.groups(a, b)
-                figures = len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups)
-            links: dict[int, int] = {}
+                self._add(segment, (-1, 0, 0, 0), "", {}, 0)
+                continue
+            groups, links, n_links, text = self.groups(a, b), {}, 0, []
             for x, y in groups:
+                n_links += len(x) * len(y)
+                if len(x) == 1 == len(y):
+                    code = x[0] << 32 | y[0]
+                    links[code] = links.get(code, 0) + 1
+                    text.append(f"{x[0]}|{y[0]}")
+                    continue
                 # a long run that the two cut out of step is one group: its pairs are counted, not written out
                 for i, n in Counter(x).items():
                     for j, m in Counter(y).items():
-                        code = i << 32 | j
-                        k = self.pair.setdefault(code, len(self.code))
-                        if k == len(self.code):
-                            self.code.append(code)
-                        links[k] = links.get(k, 0) + n * m
-            self.index[segment] = len(self.figures)
-            self.figures.append(figures)
-            self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-            self.links.append((np.array(list(links), np.int32), np.array(list(links.values()), np.int64)))
-
-    def align(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens of A, of B, groups, links, the groups as text, numbers of the distinct pairs, how often each is linked)."""
-        segments = _BREAK.split(" " + text) if text else []
-        missing = [s for s in dict.fromkeys(segments) if s not in self.index]
-        if missing:
-            self.learn(missing)
-        which = [self.index[s] for s in segments]
-        distinct, times = np.unique(np.array(which, np.int64), return_counts=True)
-        figures = np.array([self.figures[i] for i in distinct], np.int64).reshape(-1, 4)
-        if not len(which) or (figures[:, 0] < 0).any():
-            return 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64)
-        own = [self.links[i] for i in distinct]
-        pairs, at = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
-        n = np.zeros(len(pairs), np.int64)
-        np.add.at(n, at, np.concatenate([x for _, x in own]) * np.repeat(times, [len(k) for k, _ in own]))
-        return *(times @ figures).tolist(), ";".join([self.text[i] for i in which]), pairs, n
+                        links[i << 32 | j] = links.get(i << 32 | j, 0) + n * m
+                text.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+            self._add(segment, (len(a), len(b), len(groups), n_links), ";".join(text), links, 0)
+
+    def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text (tokens of A, of B, groups, links, the groups as text, numbers of the distinct pairs, how often each is linked)."""
+        cut_texts = [_BREAK.split(" " + text) if text else [] for text in texts]
+        self.learn([s for s in dict.fromkeys(chain.from_iterable(cut_texts)) if s not in self.index])
+        for segments in cut_texts:
+            times = Counter(map(self.index.__getitem__, segments))
+            distinct, n = list(times), np.fromiter(times.values(), np.int64, len(times))
+            figures = np.array([self.figures[i] for i in distinct], np.int64).reshape(-1, 4)
+            for i, k in times.items():
+                self.uses[i] += k
+            if not segments or (figures[:, 0] < 0).any():
+                yield 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64)
+                continue
+            own = [self.links[i] for i in distinct]
+            k = np.frombuffer(b"".join([x for x, _ in own]), np.int32)
+            m = np.frombuffer(b"".join([x for _, x in own]), np.int64) * np.repeat(n, [len(x) // 4 for x, _ in own])
+            order = np.argsort(k, kind="stable")
+            k, m = k[order], m[order]
+            at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            yield *(n @ figures).tolist(), ";".join([self.text[self.index[s]] for s in segments]), k[at], np.add.reduceat(m, at)
 
     def trim(self) -> None:
-        """Between blocks: long segments go, and all if there are very many, so that memory does not grow with the corpus."""
-        if len(self.index) > KNOWN or sum(len(s) for s in self.index if len(s) > LONG) > KNOWN:
-            self.forget()
+        """Between blocks, if there are more than KNOWN segments or long ones: keep those met most often, so that memory does not grow with the corpus."""
+        if len(self.index) <= KNOWN and sum(len(s) for s in self.index if len(s) > LONG) <= KNOWN:
+            return
+        kept = heapq.nlargest(KNOWN // 2, ((u, s) for s, u in zip(self.index, self.uses, strict=True) if len(s) <= LONG))
+        old, figures, text, links, code = self.index, self.figures, self.text, self.links, self.code
+        self.forget()
+        for uses, s in kept:
+            k, n = (np.frombuffer(x, t).tolist() for x, t in zip(links[old[s]], (np.int32, np.int64), strict=True))
+            self._add(s, figures[old[s]], text[old[s]], dict(zip([code[i] for i in k], n, strict=True)), uses // 2)
 
 
 DOCS = "_block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, _pairs binary, _times binary, _codes binary, _docs binary"
 
 
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about CHUNK bytes of text, or one row."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    at = np.cumsum(size + 100) // CHUNK
+    edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+    yield from zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True)
+
+
 def _aligned(sent):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if "aligner" not in own:
             own["aligner"] = Aligner(own["byte_bpe"], own["piece_bpe"])
         aligner = own["aligner"]
         names = [x.split()[0] for x in DOCS.split(", ")]
         types = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * 4
-        block, size, rows, held = (TaskContext.get().partitionId() << 32), 0, [], 0
-        counts: dict[int, int] = {}
+        block, size, rows = TaskContext.get().partitionId() << 32, 0, []
+        counts: Counter[int] = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -170,19 +202,16 @@ def _aligned(sent):
             return block, None, 0, 0, 0, 0, "", k.tobytes(), None, codes.tobytes(), np.array([counts[i] for i in k.tolist()], np.int64).tobytes()
 
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                text = text.as_py() or ""
-                *figures, groups, pairs, n = aligner.align(text)
-                rows.append((block, doc.as_py(), *figures, groups, pairs.tobytes(), n.tobytes(), None, None))
-                for k in pairs.tolist():
-                    counts[k] = counts.get(k, 0) + 1
-                size, held = size + len(text) + 100, held + len(text) + 100
+            for first, end in _chunks(b.column(1)):
+                texts = [x.as_py() or "" for x in b.column(1)[first:end]]
+                for doc, (*figures, groups, pairs, n) in zip(b.column(0)[first:end], aligner.align(texts), strict=True):
+                    rows.append((block, doc.as_py(), *figures, groups, pairs.tobytes(), n.tobytes(), None, None))
+                    counts.update(pairs.tolist())
+                size += sum(map(len, texts)) + 100 * len(texts)
                 if size >= BLOCK:
                     rows.append(closing())
-                if size >= BLOCK or held >= ROWS:
-                    yield out()
-                    rows.clear()
-                    held = 0
+                yield out()
+                rows.clear()
                 if size >= BLOCK:
                     counts.clear()
                     aligner.trim()

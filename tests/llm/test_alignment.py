@@ -76,7 +76,7 @@ def brute(plain, texts):
 def test_segments_as_whole_texts(plain, aligner, pieces):
     text = "".join(pieces).encode(errors="ignore").decode()
     want = plain.groups(text)
-    n_a, n_b, n_groups, n_links, groups, pairs, times = aligner.align(text)
+    n_a, n_b, n_groups, n_links, groups, pairs, times = next(aligner.align([text]))
     assert groups == shown(want) and n_groups == len(want)
     assert (n_a, n_b) == (sum(len(a) for a, _ in want), sum(len(b) for _, b in want))
     own = Counter({(aligner.code[k] >> 32, aligner.code[k] & 0xFFFFFFFF): n for k, n in zip(pairs.tolist(), times.tolist())})
@@ -85,13 +85,13 @@ def test_segments_as_whole_texts(plain, aligner, pieces):
 
 def test_other_space_mark_has_no_tokens(plain, aligner):
     for text in ("a ▁b", "▁"):
-        assert plain.groups(text) == [] and aligner.align(text)[:5] == (0, 0, 0, 0, "")
+        assert plain.groups(text) == [] and next(aligner.align([text]))[:5] == (0, 0, 0, 0, "")
 
 
 def test_long_run_out_of_step(aligner):
     aligner.forget()
-    text = "x" * 400_000
-    n_a, n_b, n_groups, n_links, groups, pairs, times = aligner.align(text)
+    text = "?" * 100_003
+    n_a, n_b, n_groups, n_links, groups, pairs, times = next(aligner.align([text]))
     sizes = [[side.count(",") + 1 for side in g.split("|")] for g in groups.split(";")]
     assert n_groups == len(sizes) and [n_a, n_b] == np.sum(sizes, 0).tolist()
     assert n_links == sum(a * b for a, b in sizes) == times.sum() and n_links > 100_000_000 and len(pairs) < 100
@@ -115,7 +115,7 @@ def test_many_blocks(spark, plain, monkeypatch):
     texts = ["".join(rnd.choice(PIECES + [f" w{rnd.randint(0, 50)}" for _ in range(20)]) for _ in range(rnd.randint(0, 60))) for _ in range(120)]
     texts += ["x" * 3000, " " * 3000, "ab " * 3000, None, ""]
     monkeypatch.setattr(alignment, "BLOCK", 700)
-    monkeypatch.setattr(alignment, "ROWS", 300)
+    monkeypatch.setattr(alignment, "CHUNK", 300)
     monkeypatch.setattr(alignment, "KNOWN", 40)
     got, _ = collected(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     want, _ = brute(plain, texts)
