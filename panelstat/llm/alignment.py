@@ -4,10 +4,13 @@ A text is encoded by both, and every token has an end, the number of bytes up to
 go into a dictionary from end to index; the ends that both dictionaries have, sorted, cut both lists of ids into
 groups. Within a group every token of one side is linked to every token of the other.
 
-Texts are aligned segment by segment. A segment begins with a space that follows a printing character (ASCII
-or Latin, and one follows the spaces), and both tokenizers end a token there: the first splits such places before it
-merges, and no piece of the second holds a space after another character, which is checked when it is loaded. So
-segments can be aligned apart, each distinct one once for a block of texts, and a very long text is never encoded whole.
+Long texts are encoded in parts. A part begins with a space that follows a printing character (ASCII or Latin, and
+one follows the spaces), and both tokenizers end a token there: the first splits such places before it merges, and
+no piece of the second holds a space after another character, which is checked when it is loaded.
+
+If the merges of the first vocabulary are in the order of their ids, rank by rank they are what the tiktoken library applies,
+several times as fast; it encodes the texts whose characters are all below U+0250, where no version of Unicode moves letters, numbers or
+white space. All other texts, and other vocabularies, are encoded by the tokenizers library.
 
 Corpus counts: every block of texts has its distinct pairs with the number of documents that hold them; these
 rows, one for each block and pair however often the pair occurs, are summed by pair, the highest sum of each first id is
@@ -19,37 +22,38 @@ Equal rows, also of one doc_id, are documents of their own; null ids stay. Other
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain, count
+from itertools import accumulate, count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from panelstat.llm.bpe import read_bounded
+from panelstat.llm.bpe import encode_text, read_bounded
 from panelstat.llm.common import cut
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-BLOCK, CHUNK = 16 << 20, 1 << 20  # characters of a block, and bytes of the texts that are aligned at a time
-KNOWN, LONG = 1 << 17, 64  # segments that a worker keeps from block to block, and the characters of the longest that it keeps
+BLOCK, CHUNK = 8 << 20, 1 << 20  # bytes of the texts of a block, and of those that are aligned at a time
+PART, LARGE = 1 << 16, 1 << 12  # characters of a part; links of a group whose pairs are counted instead of written out
 
 # printing characters that no version of Unicode counts as white space
-_PRINT = r"!-~¡-ɏ"
+_PRINT = r"!-~\u00a1-\u024f"
 _BREAK = re.compile(f"(?<=[{_PRINT}])(?= +[{_PRINT}])")
+_WIDE = re.compile(r"[^\x00-\u024f]")
 _HEX = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -60,117 +64,138 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def split(text: str, size: int = PART) -> list[str]:
+    """The text after a space, in parts that both tokenizers encode apart as in the whole."""
+    text, at, out = " " + text, 0, []
+    while len(text) - at > size:
+        found = _BREAK.search(text, at + size)
+        if not found:
+            break
+        out.append(text[at: found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
+class Aligned(NamedTuple):
+    """Texts aligned: tokens of both, groups, links and the groups as text of each; and their distinct pairs, row by row, in ascending order."""
+
+    figures: np.ndarray
+    groups: list[str]
+    row: np.ndarray
+    code: np.ndarray
+    times: np.ndarray
+
+
 class Aligner:
-    """Two tokenizers and the segments that they have met."""
+    """Two tokenizers. A pair of ids is one number, ``a * n_pieces + b``."""
 
     def __init__(self, byte_bpe: str, piece_bpe: bytes):
-        self.a = tokenizers.Tokenizer.from_str(byte_bpe)
-        self.a.encode_special_tokens = True
         if json.loads(byte_bpe).get("normalizer"):
             raise ValueError("the byte-level vocabulary must not normalise texts")
+        self.a = tokenizers.Tokenizer.from_str(byte_bpe)
+        self.a.encode_special_tokens = True
         letters = byte_letters()
-        size = self.a.get_vocab_size(with_added_tokens=True)
-        names = [self.a.id_to_token(i) or "" for i in range(size)]
+        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
         self.a_bytes = [bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x in names]
+        self.ranked = self._ranked(json.loads(byte_bpe), self.a_bytes)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_bpe)
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
+        self.n_pieces = self.b.vocab_size()
+        pieces = [self.b.id_to_piece(i) for i in range(self.n_pieces)]
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
             raise ValueError("a piece holds a space after another character")
-        self.b_bytes = [bytes([int(_HEX.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = [bytes([int(_HEX.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.figures: list[tuple[int, int, int, int]] = []  # tokens of both, groups, links; the first is -1 if the bytes differ
-        self.text: list[str] = []
-        self.links: list[tuple[bytes, bytes]] = []  # numbers of the pairs linked (32 bits), and how often (64 bits)
-        self.uses: list[int] = []
-        self.pair: dict[int, int] = {}
-        self.code: list[int] = []  # of each pair: the first id in the upper 32 bits, the second in the lower
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Both id lists cut where tokens of both end."""
+        # every id as text with what may follow it: another of its side, the other side, the next group
+        ids = [str(i) for i in range(max(len(names), self.n_pieces))]
+        self.shown = [f"{i}{end}" for end in (",", "|", ";") for i in ids]
+        self.n_ids = len(ids)
+
+    @staticmethod
+    def _ranked(vocabulary: dict, tokens: list[bytes]) -> tiktoken.Encoding | None:
+        """The merges as ranks, if they are in the order of their ids and the texts are split by the plain pattern."""
+        split_by = vocabulary.get("pre_tokenizer") or {}
+        ids, merges = vocabulary["model"]["vocab"], vocabulary["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        if split_by.get("type") != "ByteLevel" or split_by.get("add_prefix_space") or not split_by.get("use_regex", True):
+            return None
+        if [ids.get(x + y) for x, y in pairs] != list(range(256, 256 + len(pairs))) or sorted(tokens[:256]) != [bytes([b]) for b in range(256)]:
+            return None
+        ranks = {tokens[i]: i for i in range(256 + len(pairs))}
+        return tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """The ids of each text by both; none if they do not stand for its bytes."""
+        parts = [split(t) if t else [] for t in texts]
+        plain = [self.ranked is not None and not _WIDE.search(t) for t in texts]
+        by_a = iter(self.a.encode_batch_fast([p for own, known in zip(parts, plain, strict=True) if not known for p in own], add_special_tokens=False))
+        by_b = iter(self.b.encode([p[1:] for own in parts for p in own], num_threads=1))
+        for own, known in zip(parts, plain, strict=True):
+            a = [i for p in own for i in (encode_text(self.ranked, p) if known else next(by_a).ids)]
+            b = [i for _ in own for i in next(by_b)]
+            raw = "".join(own).encode()
+            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+            yield (a, b) if same else ([], [])
+
+    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        """How many ids of each side there are up to the end of each group."""
         ends_a = dict(zip(accumulate(map(self.a_len.__getitem__, a)), count(1), strict=False))
         ends_b = dict(zip(accumulate(map(self.b_len.__getitem__, b)), count(1), strict=False))
-        out, x, y = [], 0, 0
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            i, j = ends_a[end], ends_b[end]
-            out.append((a[x:i], b[y:j]))
-            x, y = i, j
-        return out
-
-    def _number(self, code: int) -> int:
-        k = self.pair.get(code)
-        if k is None:
-            k = self.pair[code] = len(self.code)
-            self.code.append(code)
-        return k
-
-    def _add(self, segment: str, figures: tuple[int, int, int, int], text: str, links: dict[int, int], uses: int) -> None:
-        self.index[segment] = len(self.figures)
-        self.figures.append(figures)
-        self.text.append(text)
-        self.links.append((array("i", map(self._number, links)).tobytes(), array("q", links.values()).tobytes()))
-        self.uses.append(uses)
-
-    def learn(self, segments: list[str]) -> None:
-        """Encode and align segments that are not known yet. Each begins with a space."""
-        both = zip(segments, self.a.encode_batch_fast(segments, add_special_tokens=False), self.b.encode([s[1:] for s in segments], num_threads=1), strict=True)
-        for segment, own, b in both:
-            a, raw = own.ids, segment.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-                self._add(segment, (-1, 0, 0, 0), "", {}, 0)
-                continue
-            groups, links, n_links, text = self.groups(a, b), {}, 0, []
-            for x, y in groups:
-                n_links += len(x) * len(y)
-                if len(x) == 1 == len(y):
-                    code = x[0] << 32 | y[0]
-                    links[code] = links.get(code, 0) + 1
-                    text.append(f"{x[0]}|{y[0]}")
-                    continue
-                # a long run that the two cut out of step is one group: its pairs are counted, not written out
-                for i, n in Counter(x).items():
-                    for j, m in Counter(y).items():
-                        links[i << 32 | j] = links.get(i << 32 | j, 0) + n * m
-                text.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            self._add(segment, (len(a), len(b), len(groups), n_links), ";".join(text), links, 0)
-
-    def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
-        """Of each text (tokens of A, of B, groups, links, the groups as text, numbers of the distinct pairs, how often each is linked)."""
-        cut_texts = [_BREAK.split(" " + text) if text else [] for text in texts]
-        self.learn([s for s in dict.fromkeys(chain.from_iterable(cut_texts)) if s not in self.index])
-        for segments in cut_texts:
-            times = Counter(map(self.index.__getitem__, segments))
-            distinct, n = list(times), np.fromiter(times.values(), np.int64, len(times))
-            figures = np.array([self.figures[i] for i in distinct], np.int64).reshape(-1, 4)
-            for i, k in times.items():
-                self.uses[i] += k
-            if not segments or (figures[:, 0] < 0).any():
-                yield 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64)
-                continue
-            own = [self.links[i] for i in distinct]
-            k = np.frombuffer(b"".join([x for x, _ in own]), np.int32)
-            m = np.frombuffer(b"".join([x for _, x in own]), np.int64) * np.repeat(n, [len(x) // 4 for x, _ in own])
-            order = np.argsort(k, kind="stable")
-            k, m = k[order], m[order]
-            at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            yield *(n @ figures).tolist(), ";".join([self.text[self.index[s]] for s in segments]), k[at], np.add.reduceat(m, at)
-
-    def trim(self) -> None:
-        """Between blocks, if there are more than KNOWN segments or long ones: keep those met most often, so that memory does not grow with the corpus."""
-        if len(self.index) <= KNOWN and sum(len(s) for s in self.index if len(s) > LONG) <= KNOWN:
-            return
-        kept = heapq.nlargest(KNOWN // 2, ((u, s) for s, u in zip(self.index, self.uses, strict=True) if len(s) <= LONG))
-        old, figures, text, links, code = self.index, self.figures, self.text, self.links, self.code
-        self.forget()
-        for uses, s in kept:
-            k, n = (np.frombuffer(x, t).tolist() for x, t in zip(links[old[s]], (np.int32, np.int64), strict=True))
-            self._add(s, figures[old[s]], text[old[s]], dict(zip([code[i] for i in k], n, strict=True)), uses // 2)
-
-
-DOCS = "_block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, _pairs binary, _times binary, _codes binary, _docs binary"
+        common = sorted(ends_a.keys() & ends_b.keys())
+        return list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
+
+    def align(self, texts: list[str]) -> Aligned:
+        ids_a, ids_b, cuts_a, cuts_b, figures = [], [], [], [], []
+        for a, b in self.encode(texts):
+            x, y = self.cuts(a, b)
+            figures.append((len(a), len(b), len(x), 0))
+            for whole, own in ((ids_a, a), (ids_b, b), (cuts_a, x), (cuts_b, y)):
+                whole.append(np.array(own, np.int64))
+        figures = np.array(figures, np.int64).reshape(-1, 4)
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (ids_a, ids_b))
+        before = np.cumsum(figures, axis=0) - figures
+        # ends and sizes of all groups in the ids of all texts
+        row = np.repeat(np.arange(len(texts)), figures[:, 2])
+        end_a, end_b = (np.concatenate([*x, np.zeros(0, np.int64)]) + before[row, k] for k, x in enumerate((cuts_a, cuts_b)))
+        n_a, n_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+        np.add.at(figures[:, 3], row, n_a * n_b)
+        return Aligned(figures, self._texts(figures, a, b, end_a, end_b, n_a, n_b), *self._pairs(row, a, b, end_a - n_a, end_b - n_b, n_a, n_b))
+
+    def _texts(self, figures, a, b, end_a, end_b, n_a, n_b) -> list[str]:
+        """Of each text its groups as ``a1,a2|b1;a3|b2,b3``: ids of A and B in order."""
+        group = np.arange(len(n_a))
+        seq = np.empty(len(a) + len(b), np.int64)
+        side, other = a.copy(), b.copy()
+        side[end_a - 1] += self.n_ids
+        other[end_b - 1] += 2 * self.n_ids
+        seq[np.arange(len(a)) + (end_b - n_b)[np.repeat(group, n_a)]] = side
+        seq[np.arange(len(b)) + end_a[np.repeat(group, n_b)]] = other
+        at = np.append(0, np.cumsum(figures[:, 0] + figures[:, 1]))
+        return ["".join(map(self.shown.__getitem__, seq[x:y].tolist()))[:-1] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def _pairs(self, row, a, b, at_a, at_b, n_a, n_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, code, times) of the distinct pairs linked in each text."""
+        size = n_a * n_b
+        plain = np.flatnonzero(size <= LARGE)
+        group = np.repeat(plain, size[plain])
+        place = np.arange(len(group)) - np.repeat(np.cumsum(size[plain]) - size[plain], size[plain])
+        rows = [row[group]]
+        codes = [a[at_a[group] + place // n_b[group]] * self.n_pieces + b[at_b[group] + place % n_b[group]]]
+        times = [np.ones(len(group), np.int64)]
+        for g in np.flatnonzero(size > LARGE):
+            # a long run that the two cut out of step is one group
+            x, n = np.unique(a[at_a[g]: at_a[g] + n_a[g]], return_counts=True)
+            y, m = np.unique(b[at_b[g]: at_b[g] + n_b[g]], return_counts=True)
+            codes.append(np.add.outer(x * self.n_pieces, y).ravel())
+            times.append(np.multiply.outer(n, m).ravel())
+            rows.append(np.full(len(codes[-1]), row[g]))
+        rows, codes, times = (np.concatenate(x) for x in (rows, codes, times))
+        order = np.lexsort((codes, rows)) if len(rows) else np.zeros(0, np.int64)
+        rows, codes, times = rows[order], codes[order], times[order]
+        at = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1]))) if len(rows) else order
+        return rows[at], codes[at], np.add.reduceat(times, at) if len(at) else times
+
+
+DOCS = "_block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, _pairs binary, _times binary, _kind string, _codes binary, _docs binary"
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -181,76 +206,76 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True)
 
 
+def _block(number: int, ids: list[pa.Array], aligned: list[Aligned]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block's documents, their pairs as numbers of the block's distinct ones, and a row of these."""
+    codes, pairs = np.unique(np.concatenate([x.code for x in aligned]), return_inverse=True)
+    pairs, docs, done = pairs.astype(np.int32), np.bincount(pairs, minlength=len(codes)).astype(np.int64), 0
+    kind = np.min_scalar_type(max((int(x.times.max()) for x in aligned if len(x.times)), default=0))
+    names = [x.split()[0] for x in DOCS.split(", ")]
+    for own, x in zip(ids, aligned, strict=True):
+        n = len(own)
+        at = np.searchsorted(x.row, np.arange(n + 1))
+        both = [[y[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for y in (pairs[done: done + len(x.code)], x.times.astype(kind))]
+        done += len(x.code)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, number)), own, *[pa.array(c) for c in x.figures.T], pa.array(x.groups, pa.string()), *[pa.array(c, pa.binary()) for c in both],
+            pa.array([kind.str] * n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+        ], names=names)
+    last = [number, None, 0, 0, 0, 0, None, None, None, None, codes.tobytes(), docs.tobytes()]
+    types = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * 2 + [pa.string()] + [pa.binary()] * 2
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last, types, strict=True)], names=names)
+
+
 def _aligned(sent):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if "aligner" not in own:
             own["aligner"] = Aligner(own["byte_bpe"], own["piece_bpe"])
-        aligner = own["aligner"]
-        names = [x.split()[0] for x in DOCS.split(", ")]
-        types = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * 4
-        block, size, rows = TaskContext.get().partitionId() << 32, 0, []
-        counts: Counter[int] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-        def closing() -> tuple:
-            k = np.array(sorted(counts), np.int32)
-            codes = np.array([aligner.code[i] for i in k.tolist()], np.int64)
-            return block, None, 0, 0, 0, 0, "", k.tobytes(), None, codes.tobytes(), np.array([counts[i] for i in k.tolist()], np.int64).tobytes()
-
+        number, size, ids, aligned = TaskContext.get().partitionId() << 32, 0, [], []
         for b in batches:
             for first, end in _chunks(b.column(1)):
                 texts = [x.as_py() or "" for x in b.column(1)[first:end]]
-                for doc, (*figures, groups, pairs, n) in zip(b.column(0)[first:end], aligner.align(texts), strict=True):
-                    rows.append((block, doc.as_py(), *figures, groups, pairs.tobytes(), n.tobytes(), None, None))
-                    counts.update(pairs.tolist())
+                ids.append(b.column(0)[first:end])
+                aligned.append(own["aligner"].align(texts))
                 size += sum(map(len, texts)) + 100 * len(texts)
                 if size >= BLOCK:
-                    rows.append(closing())
-                yield out()
-                rows.clear()
-                if size >= BLOCK:
-                    counts.clear()
-                    aligner.trim()
-                    block, size = block + 1, 0
+                    yield from _block(number, ids, aligned)
+                    number, size, ids, aligned = number + 1, 0, [], []
         if size:
-            rows.append(closing())
-        if rows:
-            yield out()
-        aligner.trim()
+            yield from _block(number, ids, aligned)
 
     return each
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for block, k, codes, docs in zip(*b.columns, strict=True):
-            k, codes, docs = (np.frombuffer(x.as_py(), t) for x, t in ((k, np.int32), (codes, np.int64), (docs, np.int64)))
-            for at in range(0, len(k), 1 << 16):
-                own = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(k[own]), block.as_py())), pa.array(k[own]), pa.array((codes[own] >> 32).astype(np.int32)),
-                    pa.array((codes[own] & 0xFFFFFFFF).astype(np.int32)), pa.array(docs[own]),
-                ], names=["_block", "_k", "a", "b", "n"])
+def _block_pairs(n_pieces: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, codes, docs in zip(*b.columns, strict=True):
+                codes, docs = np.frombuffer(codes.as_py(), np.int64), np.frombuffer(docs.as_py(), np.int64)
+                for at in range(0, len(codes), 1 << 16):
+                    own = codes[at: at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(own), block.as_py())), pa.array(np.arange(at, at + len(own), dtype=np.int32)),
+                        pa.array((own // n_pieces).astype(np.int32)), pa.array((own % n_pieces).astype(np.int32)), pa.array(docs[at: at + (1 << 16)]),
+                    ], names=["_block", "_k", "a", "b", "n"])
+
+    return each
 
 
 def _joined(keep: list[str]):
     """Documents of one block and the figures of its pairs: the links of each document."""
 
     def join(docs: pa.Table, known: pa.Table) -> pa.Table:
-        k = np.asarray(known["_k"].combine_chunks(), np.int64) if known.num_rows else np.zeros(0, np.int64)
-        order = np.argsort(k)
-        k = k[order]
-        count = np.asarray(known["n"].combine_chunks(), np.int64)[order] if len(k) else k
-        best = np.asarray(known["best"].combine_chunks(), np.int64)[order] if len(k) else k
+        n, best = np.zeros(known.num_rows, np.int64), np.zeros(known.num_rows, np.int64)
+        if known.num_rows:
+            k = np.asarray(known["_k"].combine_chunks(), np.int64)
+            n[k], best[k] = (np.asarray(known[c].combine_chunks(), np.int64) for c in ("n", "best"))
         sums, bests = [], []
-        for pairs, times in zip(docs["_pairs"], docs["_times"], strict=True):
-            at = np.searchsorted(k, np.frombuffer(pairs.as_py(), np.int32))
-            times = np.frombuffer(times.as_py(), np.int64)
-            sums.append(int(times @ count[at]))
+        for pairs, times, kind in zip(docs["_pairs"], docs["_times"], docs["_kind"], strict=True):
+            at = np.frombuffer(pairs.as_py(), np.int32)
+            times = np.frombuffer(times.as_py(), kind.as_py()).astype(np.int64)
+            sums.append(int(times @ n[at]))
             bests.append(int(times @ best[at]))
         return docs.select(keep).append_column("n_best", pa.array(bests, pa.int64())).append_column("count_sum", pa.array(sums, pa.int64()))
 
@@ -276,15 +301,16 @@ def align(docs: DataFrame, derived: dict[str, Column] | None = None, byte_bpe: s
     Second: (a, b, n, best), every linked pair of ids with the number of documents that hold it, and whether no other pair of
     ``a`` has more.
     """
+    n_pieces = sentencepiece.SentencePieceProcessor(model_file=piece_bpe).vocab_size()
     staged = _stage(docs, byte_bpe, piece_bpe)
     derived = derived or {}
     staged = cut(staged.select(*[c for c in staged.columns if c != "groups" and c not in derived], *[c.alias(name) for name, c in derived.items()]), "alignment")
-    own = cut(staged.filter("_codes is not null").select("_block", "_pairs", "_codes", "_docs").mapInArrow(_pairs, "_block long, _k int, a int, b int, n long"), "alignment-pairs")
+    own = cut(staged.filter("_codes is not null").select("_block", "_codes", "_docs").mapInArrow(_block_pairs(n_pieces), "_block long, _k int, a int, b int, n long"), "alignment-pairs")
     counts = own.groupBy("a", "b").agg(F.sum("n").alias("n"))
     highest = counts.groupBy("a").agg(F.max("n").alias("_most"))
     counts = cut(counts.join(highest, "a").select("a", "b", "n", (F.col("n") == F.col("_most")).alias("best")), "alignment-counts")
     known = own.drop("n").join(counts, ["a", "b"]).select("_block", "_k", "n", F.col("best").cast("long").alias("best"))
     docs = staged.filter("_codes is null").drop("_codes", "_docs")
-    keep = [c for c in docs.columns if c not in ("_block", "_pairs", "_times")]
+    keep = [c for c in docs.columns if c not in ("_block", "_pairs", "_times", "_kind")]
     schema = StructType([docs.schema[c] for c in keep]).add("n_best", "long").add("count_sum", "long")
     return docs.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(_joined(keep), schema), counts

@@ -71,30 +71,55 @@ def brute(plain, texts):
     return [(sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(x.values()), sum(c for p, c in x.items() if n[p] == most[p[0]]), sum(c * n[p] for p, c in x.items()), shown(g)) for g, x in zip(all_groups, links)], n
 
 
+def pairs_of(aligner, got):
+    return [Counter({(c // aligner.n_pieces, c % aligner.n_pieces): n for r, c, n in zip(got.row.tolist(), got.code.tolist(), got.times.tolist()) if r == i}) for i in range(len(got.groups))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=80))
+def test_both_engines_agree(plain, aligner, text):
+    assert aligner.ranked is not None
+    assert alignment.encode_text(aligner.ranked, text) == plain.a.encode(text, add_special_tokens=False).ids
+
+
+def test_engines_agree_on_documents(spark, plain, aligner):
+    texts = [" " + r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r[0] and not alignment._WIDE.search(r[0])]
+    assert len(texts) > 500
+    assert [alignment.encode_text(aligner.ranked, t) for t in texts] == [x.ids for x in plain.a.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=40))
-def test_segments_as_whole_texts(plain, aligner, pieces):
+@given(st.lists(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=40), max_size=4))
+def test_as_whole_texts(plain, aligner, texts):
+    texts = ["".join(pieces).encode(errors="ignore").decode() for pieces in texts]
+    got = aligner.align(texts)
+    want = [plain.groups(t) for t in texts]
+    assert got.groups == [shown(g) for g in want]
+    links = [Counter((i, j) for a, b in g for i in a for j in b) for g in want]
+    assert pairs_of(aligner, got) == links
+    assert got.figures.tolist() == [[sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(x.values())] for g, x in zip(want, links)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=60), st.integers(1, 20))
+def test_parts_encode_as_the_whole(plain, pieces, size):
     text = "".join(pieces).encode(errors="ignore").decode()
-    want = plain.groups(text)
-    n_a, n_b, n_groups, n_links, groups, pairs, times = next(aligner.align([text]))
-    assert groups == shown(want) and n_groups == len(want)
-    assert (n_a, n_b) == (sum(len(a) for a, _ in want), sum(len(b) for _, b in want))
-    own = Counter({(aligner.code[k] >> 32, aligner.code[k] & 0xFFFFFFFF): n for k, n in zip(pairs.tolist(), times.tolist())})
-    assert own == Counter((i, j) for a, b in want for i in a for j in b) and n_links == sum(own.values())
+    parts = alignment.split(text, size)
+    assert "".join(parts) == " " + text
+    assert [i for p in parts for i in plain.a.encode(p, add_special_tokens=False).ids] == plain.a.encode(" " + text, add_special_tokens=False).ids
+    assert [i for p in parts for i in plain.b.encode(p[1:])] == plain.b.encode(text)
 
 
 def test_other_space_mark_has_no_tokens(plain, aligner):
-    for text in ("a ▁b", "▁"):
-        assert plain.groups(text) == [] and next(aligner.align([text]))[:5] == (0, 0, 0, 0, "")
+    got = aligner.align(["a \u2581b", "\u2581"])
+    assert got.groups == ["", ""] and not got.figures.any() and plain.groups("\u2581") == []
 
 
 def test_long_run_out_of_step(aligner):
-    aligner.forget()
-    text = "?" * 100_003
-    n_a, n_b, n_groups, n_links, groups, pairs, times = next(aligner.align([text]))
-    sizes = [[side.count(",") + 1 for side in g.split("|")] for g in groups.split(";")]
-    assert n_groups == len(sizes) and [n_a, n_b] == np.sum(sizes, 0).tolist()
-    assert n_links == sum(a * b for a, b in sizes) == times.sum() and n_links > 100_000_000 and len(pairs) < 100
+    got = aligner.align(["?" * 100_003, "a"])
+    sizes = [[side.count(",") + 1 for side in g.split("|")] for g in got.groups[0].split(";")]
+    assert got.figures[0].tolist() == [*np.sum(sizes, 0).tolist(), len(sizes), sum(a * b for a, b in sizes)]
+    assert got.figures[0, 3] == got.times[got.row == 0].sum() > 100_000_000 and (got.row == 0).sum() < 100
 
 
 def collected(docs):
@@ -116,7 +141,7 @@ def test_many_blocks(spark, plain, monkeypatch):
     texts += ["x" * 3000, " " * 3000, "ab " * 3000, None, ""]
     monkeypatch.setattr(alignment, "BLOCK", 700)
     monkeypatch.setattr(alignment, "CHUNK", 300)
-    monkeypatch.setattr(alignment, "KNOWN", 40)
+    monkeypatch.setattr(alignment, "LARGE", 3)
     got, _ = collected(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     want, _ = brute(plain, texts)
     assert sorted(got) == [(i, *w) for i, w in enumerate(want)]
