@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import alignment, bpe, imatch, mixing, packing, ppm, sharding, simhash, substring, toxicity, vptree, warc
+from panelstat.llm import alignment, bpe, imatch, mixing, negatives, packing, ppm, sharding, simhash, substring, toxicity, vptree, warc
 from panelstat.llm.common import table
 
 QUERIES: dict = {}
@@ -142,6 +142,26 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
+OP12_SQL = f"""
+with e as (select row_number() over () r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor({negatives.SCALE} * x::double)) q
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r ar, a.vec_id anchor_id, c.r, c.vec_id, a.l = c.l same, case when len(a.q) > 0 then list_inner_product(a.q, c.q)::bigint else 0 end score
+  from e a join e c on a.vec_id % 100 = 0 and a.r <> c.r and len(a.q) = len(c.q)),
+p as (select ar, anchor_id, r, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by ar order by score desc, vec_id) <= {negatives.N_POSITIVES}),
+n as (select p.anchor_id, positive_id, positive_score, s.vec_id negative_id, s.score negative_score,
+    row_number() over (partition by p.ar, p.r order by s.score desc, s.vec_id)::int as rank
+  from p join s on p.ar = s.ar and not s.same and {negatives.LOW} * positive_score <= 100 * s.score and 100 * s.score <= {negatives.HIGH} * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= {negatives.N_NEGATIVES}
+"""
+
+
+@_query(OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label")
+    relabel = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, folder, "embeddings"), relabel=relabel)
+
+
 @_query()
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
