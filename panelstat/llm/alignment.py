@@ -25,9 +25,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, count
 from typing import NamedTuple
 
 import numpy as np
@@ -104,7 +102,7 @@ class Aligner:
         if any("\u2581" in p.lstrip("\u2581") for p in pieces):
             raise ValueError("a piece holds a space after another character")
         self.b_bytes = [bytes([int(_HEX.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_len, self.b_len = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         # every id as text with what may follow it: another of its side, the other side, the next group
         ids = [str(i) for i in range(max(len(names), self.n_pieces))]
         self.shown = [f"{i}{end}" for end in (",", "|", ";") for i in ids]
@@ -123,25 +121,26 @@ class Aligner:
         ranks = {tokens[i]: i for i in range(256 + len(pairs))}
         return tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text by both; none if they do not stand for its bytes."""
         parts = [split(t) if t else [] for t in texts]
         plain = [self.ranked is not None and not _WIDE.search(t) for t in texts]
         by_a = iter(self.a.encode_batch_fast([p for own, known in zip(parts, plain, strict=True) if not known for p in own], add_special_tokens=False))
         by_b = iter(self.b.encode([p[1:] for own in parts for p in own], num_threads=1))
         for own, known in zip(parts, plain, strict=True):
-            a = [i for p in own for i in (encode_text(self.ranked, p) if known else next(by_a).ids)]
-            b = [i for _ in own for i in next(by_b)]
-            raw = "".join(own).encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            yield (a, b) if same else ([], [])
-
-    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+            by_part = [(encode_text(self.ranked, p) if known else next(by_a).ids, next(by_b)) for p in own]
+            a, b = by_part[0] if len(by_part) == 1 else ([i for x, _ in by_part for i in x], [i for _, x in by_part for i in x])
+            a, b, raw = np.array(a, np.int64), np.array(b, np.int64), "".join(own).encode()
+            # tokens of bytes can leave some out, but never change one
+            same = self.a_len[a].sum() == len(raw) and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw
+            yield (a, b) if same else (a[:0], b[:0])
+
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many ids of each side there are up to the end of each group."""
-        ends_a = dict(zip(accumulate(map(self.a_len.__getitem__, a)), count(1), strict=False))
-        ends_b = dict(zip(accumulate(map(self.b_len.__getitem__, b)), count(1), strict=False))
+        ends_a = dict(zip(np.cumsum(self.a_len[a]).tolist(), range(1, len(a) + 1), strict=True))
+        ends_b = dict(zip(np.cumsum(self.b_len[b]).tolist(), range(1, len(b) + 1), strict=True))
         common = sorted(ends_a.keys() & ends_b.keys())
-        return list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
+        return tuple(np.fromiter(map(ends.__getitem__, common), np.int64, len(common)) for ends in (ends_a, ends_b))
 
     def align(self, texts: list[str]) -> Aligned:
         ids_a, ids_b, cuts_a, cuts_b, figures = [], [], [], [], []
@@ -149,7 +148,7 @@ class Aligner:
             x, y = self.cuts(a, b)
             figures.append((len(a), len(b), len(x), 0))
             for whole, own in ((ids_a, a), (ids_b, b), (cuts_a, x), (cuts_b, y)):
-                whole.append(np.array(own, np.int64))
+                whole.append(own)
         figures = np.array(figures, np.int64).reshape(-1, 4)
         a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (ids_a, ids_b))
         before = np.cumsum(figures, axis=0) - figures
@@ -178,21 +177,21 @@ class Aligner:
         plain = np.flatnonzero(size <= LARGE)
         group = np.repeat(plain, size[plain])
         place = np.arange(len(group)) - np.repeat(np.cumsum(size[plain]) - size[plain], size[plain])
-        rows = [row[group]]
-        codes = [a[at_a[group] + place // n_b[group]] * self.n_pieces + b[at_b[group] + place % n_b[group]]]
-        times = [np.ones(len(group), np.int64)]
+        codes = a[at_a[group] + place // n_b[group]] * self.n_pieces + b[at_b[group] + place % n_b[group]]
+        span = len(self.a_bytes) * self.n_pieces  # rows of a chunk times this stay far below 64 bits
+        keys = np.sort(row[group] * span + codes)
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+        keys, times = keys[at], np.diff(np.append(at, len(keys)))
         for g in np.flatnonzero(size > LARGE):
             # a long run that the two cut out of step is one group
             x, n = np.unique(a[at_a[g]: at_a[g] + n_a[g]], return_counts=True)
             y, m = np.unique(b[at_b[g]: at_b[g] + n_b[g]], return_counts=True)
-            codes.append(np.add.outer(x * self.n_pieces, y).ravel())
-            times.append(np.multiply.outer(n, m).ravel())
-            rows.append(np.full(len(codes[-1]), row[g]))
-        rows, codes, times = (np.concatenate(x) for x in (rows, codes, times))
-        order = np.lexsort((codes, rows)) if len(rows) else np.zeros(0, np.int64)
-        rows, codes, times = rows[order], codes[order], times[order]
-        at = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1]))) if len(rows) else order
-        return rows[at], codes[at], np.add.reduceat(times, at) if len(at) else times
+            more = np.concatenate([keys, row[g] * span + np.add.outer(x * self.n_pieces, y).ravel()])
+            n = np.concatenate([times, np.multiply.outer(n, m).ravel()])
+            keys, which = np.unique(more, return_inverse=True)
+            times = np.zeros(len(keys), np.int64)
+            np.add.at(times, which, n)
+        return keys // span, keys % span, times
 
 
 DOCS = "_block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, _pairs binary, _times binary, _kind string, _codes binary, _docs binary"
@@ -208,8 +207,9 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _block(number: int, ids: list[pa.Array], aligned: list[Aligned]) -> Iterator[pa.RecordBatch]:
     """The rows of a block's documents, their pairs as numbers of the block's distinct ones, and a row of these."""
-    codes, pairs = np.unique(np.concatenate([x.code for x in aligned]), return_inverse=True)
-    pairs, docs, done = pairs.astype(np.int32), np.bincount(pairs, minlength=len(codes)).astype(np.int64), 0
+    codes = np.unique(np.concatenate([x.code for x in aligned]))
+    pairs = np.concatenate([np.searchsorted(codes, x.code) for x in aligned]).astype(np.int32)
+    docs, done = np.bincount(pairs, minlength=len(codes)).astype(np.int64), 0
     kind = np.min_scalar_type(max((int(x.times.max()) for x in aligned if len(x.times)), default=0))
     names = [x.split()[0] for x in DOCS.split(", ")]
     for own, x in zip(ids, aligned, strict=True):
