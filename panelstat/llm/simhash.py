@@ -143,60 +143,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return fps.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-# Near copies by similarity: long signatures judge, short ones find.
-
-WIDE, BANDS, BAND_BITS = 5, 4, 32
-MOST = 26  # of 128 bits: similarity 0.8 of shingle sets comes to 19 or 20, with a standard deviation of 4
-
-
-def _signs(h: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
-    """n SimHashes of 64 bits from independent hashes of the features."""
-    out = np.zeros(n, np.uint64)
-    for k in range(n):
-        own = W._mixed(h ^ W._mixed(np.array([k + 1], np.uint64)))
-        total = np.zeros(64)
-        for a in range(0, len(own), 1 << 14):
-            bits = np.unpackbits(own[a: a + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            total += bits.sum(axis=0, dtype=np.int32) * 2.0 - len(bits) if weights is None else (2 * weights[a: a + (1 << 14)]) @ bits - weights[a: a + (1 << 14)].sum()
-        out[k] = np.packbits(total > 0).view(">u8")[0]
-    return out
-
+# Near copies by their shingle sets: equal minima find families, the sets themselves judge.
 
-def signature(words: np.ndarray, width: int = WIDE, bands: int = BANDS) -> np.ndarray:
-    """Of a text's word hashes: two words of 64 bits over its distinct shingles, then the bands over its words, two to a number.
-
-    Words weigh the logarithm of one more than their count, so that neither a repeated word nor a common one decides alone.
-    """
-    shingles = np.unique(W.windows(words, width)) if len(words) >= width else np.unique(W.windows(words, len(words))) if len(words) else words
-    distinct, counts = np.unique(words, return_counts=True)
-    return np.concatenate([_signs(shingles, None, 2), _signs(distinct, np.log1p(counts).astype(np.float32), -(-bands // 2))])
+WIDE, SHARE = 5, 0.8
+ROWS, GROUPS = 5, 25  # a pair of likeness 0.8 shares no value of 25 with probability (1 - 0.8 ** 5) ** 25 = 5e-5
+SKETCH, FAR = 128, 30  # bits that differ with probability (1 - likeness) / 2: more than 30 at likeness 0.8 has probability 2e-6
+MEMBERS, VALUE_ROWS = 1 << 13, 1 << 19  # members of a value that one task compares, and rows of a partition of values
+FAMILY, SHINGLES, OFTEN = 1 << 11, 1 << 20, 16  # members and shingles of a block of a family; holders of a shingle that are paired one by one
+_FACTORS = W._mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _node(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return W._mixed(a ^ W._mixed(b + np.uint64(1))).view(np.int64)
 
 
-def signatures(docs: DataFrame, width: int = WIDE, bands: int = BANDS) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) as doc_id, node, s0, s1 and an array of bands."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for _, _, data, offsets in W.chunks(b.column(1)):
-                data = W.lowered(data)
-                starts, ends, first = W.spans(data, offsets)
-                h = W.hashes(data, starts, ends)
-                rows += [signature(h[x:y], width, bands) for x, y in zip(first[:-1], first[1:], strict=True)]
-            s = np.array(rows, np.uint64).reshape(len(rows), -1)
-            short = np.stack([(s[:, 2 + k // 2] >> np.uint64(32 * (k % 2))) & np.uint64(0xFFFFFFFF) for k in range(bands)], 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(_node(s[:, 0], s[:, 1])), pa.array(s[:, 0].view(np.int64)), pa.array(s[:, 1].view(np.int64)),
-                pa.array(list(short), pa.list_(pa.int64())),
-            ], names=["doc_id", "node", "s0", "s1", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, bands array<long>")
-
-
 class _Forest:
     """Joins nodes and keeps the edges that joined two trees."""
 
@@ -226,110 +186,6 @@ class _Forest:
         self.label = to[self.label]
 
 
-def _links(most: int):
-    """Of one partition of ball values: edges that join all signatures which share a value and differ in at most ``most`` bits."""
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(c, np.int64) for c in b.columns] for b in batches]
-        key, s0, s1 = (np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)]) for i in range(3))
-        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        ids, which = np.unique(_node(s0, s1), return_inverse=True)
-        at = which[order]
-        s0, s1 = s0[order], s1[order]
-        forest = _Forest(len(ids))
-        left, step = np.arange(len(key)), 1
-        while True:
-            left = left[left + step < len(key)]
-            left = left[key[left] == key[left + step]]
-            if not len(left):
-                break
-            near = left[np.bitwise_count(s0[left] ^ s0[left + step]).astype(np.int64) + np.bitwise_count(s1[left] ^ s1[left + step]) <= most]
-            forest.add(at[near], at[near + step])
-            step += 1
-        a, b = (np.array([e[i] for e in forest.edges], np.int64) for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-
-    return links
-
-
-def near_copies(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most: int = MOST) -> DataFrame:
-    """(doc_id, component_id, node, root) of every row: documents whose shingle sets are about 0.8 alike, or more, are linked.
-
-    Linked are signatures (128-bit SimHash over distinct shingles) that differ in at most ``most`` bits and of whose bands
-    (32-bit SimHash over words) one differs in at most 2. Every band emits all values within 1 bit, values meet in the
-    shuffle, and their partition compares the signatures that met. Of all links it hands on a forest: enough to
-    join the same documents, and never more edges than it has signatures, however many copies met.
-    """
-    own = cut(signatures(docs, width, bands), "simhash-signatures")
-    classes = own.groupBy("node").agg(F.min(F.struct("s0", "s1", "bands")).alias("s"), F.min("doc_id").alias("first_id"))
-    classes = cut(classes.select("node", "s.*", "first_id"), "simhash-classes")
-    flips = F.array(*[F.lit(f).cast("long") for f in [0, *[1 << b for b in range(BAND_BITS)]]])
-    balls = classes.select("s0", "s1", F.posexplode("bands").alias("k", "band")).select("s0", "s1", F.shiftleft(F.col("k").cast("long"), BAND_BITS).bitwiseOR(F.col("band")).alias("centre"), F.explode(flips).alias("flip"))
-    values = balls.select(F.col("centre").bitwiseXOR(F.col("flip")).alias("value"), "s0", "s1")
-    parts = n_blocks(docs.sparkSession, classes.count() * bands * (BAND_BITS + 1), 1 << 20)
-    edges = cut(values.repartition(parts, "value").mapInArrow(_links(most), "a long, b long"), "simhash-links")
-    return _grouped(own, classes, components(edges))
-
-
-def _grouped(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, component_id, node, root) of every row of ``own``; nodes without a root are their own."""
-    member = classes.select("node", "first_id").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    member = member.select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(smallest, "root").select(F.col("node").alias("_n"), "component_id", "root")
-    return own.join(member, F.col("node") == F.col("_n")).select("doc_id", "component_id", "node", "root")
-
-
-def first_of_each(docs: DataFrame, width: int = WIDE, bands: int = BANDS, most: int = MOST) -> DataFrame:
-    """The rows of ``docs``, one of each group of near copies: that with the smallest doc_id, of equal ids the first by text.
-
-    Groups without any doc_id keep their first row by text.
-    """
-
-    def nodes(texts: pa.Array) -> np.ndarray:
-        out = []
-        for _, _, data, offsets in W.chunks(texts):
-            data = W.lowered(data)
-            starts, ends, first = W.spans(data, offsets)
-            h = W.hashes(data, starts, ends)
-            out += [signature(h[x:y], width, 0) for x, y in zip(first[:-1], first[1:], strict=True)]
-        s = np.array(out, np.uint64).reshape(len(out), -1)
-        return _node(s[:, 0], s[:, 1])
-
-    return _firsts(docs, near_copies(docs, width, bands, most), nodes)
-
-
-def _firsts(docs: DataFrame, grouped: DataFrame, nodes: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The first row of each group; ``nodes`` gives the nodes of texts."""
-    found = cut(grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "simhash-firsts")
-    found = found.withColumnRenamed("doc_id", "_id")
-    rows = found.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    own_id = F.col("doc_id").cast("long")
-    plain = docs.join(rows.filter("_n = 1 and _id is not null").select("_id"), own_id == F.col("_id"), "left_semi")
-
-    @F.arrow_udf("long")
-    def node_of(texts: pa.Array) -> pa.Array:
-        return pa.array(nodes(texts))
-
-    # ids that several such rows share: the node tells which group a row belongs to
-    shared = docs.join(rows.filter("_n > 1 or _id is null").select("_id"), own_id.eqNullSafe(F.col("_id")), "left_semi")
-    shared = shared.select(F.struct("*").alias("_doc"), own_id.alias("_own"), node_of("text").alias("_node"), F.col("text").alias("_text"))
-    groups = found.select("_id", F.col("node").alias("_n"), "root").distinct()
-    first = F.row_number().over(Window.partitionBy("_own", "root").orderBy("_text", F.xxhash64("_doc")))
-    shared = shared.join(groups, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n"))).withColumn("_first", first).filter("_first = 1").select("_doc.*")
-    return plain.unionByName(shared)
-
-
-# Near copies by their shingle sets: equal minima find, the sets themselves judge.
-
-SHARE = 0.8
-ROWS, GROUPS = 5, 25  # a pair of likeness 0.8 shares no value of 25 with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-SKETCH, FAR = 128, 30  # bits that differ with probability (1 - likeness) / 2: more than 30 at likeness 0.8 has probability 2e-6
-_FACTORS = W._mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
-
-
 def shingle_sets(texts: pa.Array, width: int = WIDE) -> Iterator[list[np.ndarray]]:
     """Chunk by chunk, the distinct shingles of each row, ascending."""
     for _, _, data, offsets in W.chunks(texts):
@@ -357,7 +213,7 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDE) -> DataFrame:
-    """The rows of ``docs`` as doc_id, node, s0 and s1 (a bit of each minimum), values (of ROWS minima each) and shingles."""
+    """The rows of ``docs`` as doc_id, node, s0 and s1 (a bit of each minimum), values (of ROWS minima each), shingles and n (how many)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,131 +227,213 @@ def sketches(docs: DataFrame, width: int = WIDE) -> DataFrame:
                 values = [v if len(s) else v[:0] for v, s in zip(values.view(np.int64), sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(done, len(sets)), pa.array([_set_node(s) for s in sets], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]),
-                    pa.array(values, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ], names=["doc_id", "node", "s0", "s1", "values", "shingles"])
+                    pa.array(values, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
+                ], names=["doc_id", "node", "s0", "s1", "values", "shingles", "n"])
                 done += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, values array<long>, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, values array<long>, shingles array<long>, n long")
 
 
-def _offer(forests: list[_Forest], a: np.ndarray, b: np.ndarray) -> None:
-    """Each pair to the first forest in which it joins two trees."""
-    n = len(forests[0].label)
-    for f in forests:
-        if not len(a):
-            return
-        before = len(f.edges)
-        f.add(a, b)
-        used = np.array([x * n + y for x, y in f.edges[before:]], np.int64)
-        keep = ~np.isin(a * n + b, used)
-        a, b = a[keep], b[keep]
-
+def _links(far: int):
+    """Of one partition of values (value, node, sketch): a forest of the members that share a value and whose sketches differ in at most ``far`` bits."""
 
-def _proposals(trees: int, far: int):
-    """Of one partition of values: pairs to judge, as ``trees`` forests over the members of each value.
-
-    Rows are members (value, node a, sketch; tried 0 and label b after the first round) and pairs judged before (tried 1:
-    a, b). Members with one label are joined already; without labels none are. A value is left when its last forest has become one tree.
-    """
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[np.asarray(c, np.int64) for c in b.columns] for b in batches]
-        value, a, s0, s1, *more = (np.concatenate(c) for c in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 4
-        tried, b = more or (np.zeros(len(a), np.int64), a)
-        own = np.flatnonzero(tried == 0)
-        own = own[np.lexsort((a[own], value[own]))]
-        n = len(own)
-        if not n:
-            return
-        key, node, label, t0, t1 = value[own], a[own], b[own], s0[own].view(np.uint64), s1[own].view(np.uint64)
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        value, node, s0, s1 = (np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)]) for i in range(4))
+        order = np.lexsort((node, value))
+        value, node, s0, s1 = value[order], node[order], s0[order].view(np.uint64), s1[order].view(np.uint64)
+        n = len(value)
+        at = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if n else np.zeros(0, np.int64)
         group = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
-        order = np.lexsort((np.arange(n), label, group))
-        new = np.append(True, (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1]))
-        joined = np.empty(n, np.int64)
-        joined[order] = order[new][np.cumsum(new) - 1]
-        forests = [_Forest(n) for _ in range(trees)]
-        for f in forests:
-            f.label = joined.copy()
-        place = _node(key.view(np.uint64), node.view(np.uint64))
-        by = np.argsort(place)
-        old = np.flatnonzero(tried == 1)
-        ends = [by[np.searchsorted(place[by], _node(value[old].view(np.uint64), x[old].view(np.uint64)))] for x in (a, b)]
-        judged = np.minimum(*ends) * n + np.maximum(*ends)
+        ids, which = np.unique(node, return_inverse=True)
+        forest = _Forest(len(ids))
 
         def offer(x: np.ndarray, y: np.ndarray) -> None:
-            near = np.bitwise_count(t0[x] ^ t0[y]).astype(np.int64) + np.bitwise_count(t1[x] ^ t1[y]) <= far
-            near &= joined[x] != joined[y]
-            x, y = x[near], y[near]
-            fresh = ~np.isin(x * n + y, judged)
-            _offer(forests, x[fresh], y[fresh])
+            near = np.bitwise_count(s0[x] ^ s0[y]).astype(np.int64) + np.bitwise_count(s1[x] ^ s1[y]) <= far
+            forest.add(which[x[near]], which[y[near]])
 
         head = at[group]
-        rest = np.flatnonzero(head != np.arange(n))
-        offer(head[rest], rest)
-        left, step = rest, 1  # pairs with the head are done
-        while True:
-            if step & (step - 1) == 0:
-                last = forests[-1].label
-                whole = np.minimum.reduceat(last, at) == np.maximum.reduceat(last, at)
+        left = np.flatnonzero(head != np.arange(n))
+        offer(head[left], left)
+        step = 1
+        while len(left):
+            if step & (step - 1) == 0:  # values whose members are all joined are done
+                label = forest.label[which]
+                whole = np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at)
                 left = left[~whole[group[left]]]
             left = left[left + step < n]
             left = left[group[left] == group[left + step]]
-            if not len(left):
-                break
             offer(left, left + step)
             step += 1
-        x, y = (np.array([e[i] for f in forests for e in f.edges], np.int64) for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(node[x]), pa.array(node[y])], names=["value", "a", "b"])
+        a, b = (np.array([e[i] for e in forest.edges], np.int64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    return links
 
-    return propose
 
+def shared(sets: list[np.ndarray], often: int = OFTEN, columns: int = 1 << 12) -> np.ndarray:
+    """How many members each pair of sets has in common (above the diagonal).
 
-def _judged(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
-    """(a, b, same): whether the shingle sets of two nodes are alike to ``share`` or more."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(own.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-    return both.select("a", "b", (F.col("n") >= F.lit(share) * (F.col("m") - F.col("n")) - 1e-9).alias("same"))
+    A member that few sets hold is counted pair by pair; one that many hold, such as a template's, is a bit of each
+    set, and common bits are counted.
+    """
+    n = len(sets)
+    flat, who = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    holders = np.diff(np.append(at, len(flat)))
+    out = np.zeros((n, n), np.int32)
+    few = np.repeat((holders > 1) & (holders <= often), holders)
+    own, member = who[few], np.repeat(np.arange(len(at)), holders)[few]
+    pairs = []
+    for k in range(1, often):
+        near = np.flatnonzero(member[k:] == member[:-k]) if len(member) > k else member[:0]
+        if not len(near):
+            break
+        pairs.append(own[near] * n + own[near + k])
+    if pairs:
+        which, times = np.unique(np.concatenate(pairs), return_counts=True)
+        out.ravel()[which] += times.astype(np.int32)
+    many = np.flatnonzero(holders > often)
+    for first in range(0, len(many), columns):
+        some = many[first: first + columns]
+        held = np.zeros((n, -(-len(some) // 64) * 64), bool)
+        places = np.repeat(at[some], holders[some]) + np.arange(holders[some].sum()) - np.repeat(np.cumsum(holders[some]) - holders[some], holders[some])
+        held[who[places], np.repeat(np.arange(len(some)), holders[some])] = True
+        bits = np.packbits(held, axis=1).view(np.uint64)
+        step = max(1, (1 << 21) // bits.size)
+        for x in range(0, n, step):
+            out[x: x + step, x:] += np.bitwise_count(bits[x: x + step, None] & bits[None, x:]).sum(axis=2, dtype=np.int32)
+    return out
+
+
+def alike_forest(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """Edges that join all sets whose likeness (common of all members) is ``share`` or more."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    both = shared(sets)
+    linked = np.zeros((n, n), bool)
+    for x in range(n):
+        linked[x, x + 1:] = both[x, x + 1:] >= share * (sizes[x] + sizes[x + 1:] - both[x, x + 1:]) - 1e-9
+    forest = _Forest(n)
+    linked |= linked.T
+    while True:
+        # every set takes one of its links to another tree, so that links of the same trees are not walked one by one
+        open_ = linked & (forest.label[:, None] != forest.label)
+        x = np.flatnonzero(open_.any(axis=1))
+        if not len(x):
+            return forest.edges
+        forest.add(x, open_[x].argmax(axis=1))
+
+
+def _judge(share: float):
+    """Of some meetings of families' blocks: a forest of the sets that are alike in each."""
+
+    def judge(t: pa.Table) -> pa.Table:
+        key = [np.asarray(t[c].combine_chunks(), np.int64) for c in ("root", "i", "j")]
+        node = np.asarray(t["node"].combine_chunks(), np.int64)
+        order = np.lexsort((node, *key[::-1]))
+        same = np.ones(max(len(order) - 1, 0), bool)
+        for k in key:
+            same &= k[order][1:] == k[order][:-1]
+        at = np.append(np.flatnonzero(np.append(True, ~same)), len(order)) if len(order) else np.zeros(1, np.int64)
+        a, b = [], []
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            if y - x > 1:
+                rows = order[x:y]
+                sets = [np.asarray(t["shingles"][int(r)].values, np.int64) for r in rows]
+                edges = np.array(alike_forest(sets, share), np.int64).reshape(-1, 2)
+                a.append(node[rows[edges[:, 0]]])
+                b.append(node[rows[edges[:, 1]]])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
+
+    return judge
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def families(classes: DataFrame, far: int = FAR) -> DataFrame:
+    """(node, root) of the nodes that could be alike: those joined by pairs that share a value and differ in at most ``far`` bits.
+
+    A value with over MEMBERS nodes is split into blocks, and every two of its blocks meet.
+    """
+    spark = classes.sparkSession
+    values = classes.select(F.explode("values").alias("value"), "node", "s0", "s1")
+    parts = n_blocks(spark, classes.count() * GROUPS, VALUE_ROWS)
+    hot = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MEMBERS), "shingle-hot-values").withColumnRenamed("value", "_v")
+    split = values.join(hot, F.col("value") == F.col("_v"), "left").withColumn("_n", F.ceil(F.coalesce("_n", F.lit(1)) / MEMBERS))
+    split = split.withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_n"))).select("value", "node", "s0", "s1", "_n", "_i", _every(F.col("_n")).alias("_j"))
+    meeting = F.when(F.col("_n") == 1, F.col("value")).otherwise(F.xxhash64("value", F.least("_i", "_j"), F.greatest("_i", "_j")))
+    rows = split.select(meeting.alias("value"), "node", "s0", "s1").repartition(parts, "value")
+    return components(cut(rows.mapInArrow(_links(far), "a long, b long"), "shingle-candidates"))
 
 
 def alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
     """(doc_id, component_id, node, root) of every row: documents whose sets of shingles are alike to ``share`` or more are linked.
 
-    Pairs that share a value and differ in at most ``far`` bits of their sketches are candidates. The members of a
-    value propose a forest of them, the sets judge it, and values with refused pairs propose again, sixteen
-    times as many forests each time, until all candidates that are not joined have been refused.
+    Sets that share a value and whose sketches differ in at most ``far`` bits make families. Every family's sets come
+    together once and are judged exactly, all against all; what a task hands on is a forest of the alike ones. A family over
+    FAMILY sets or SHINGLES shingles is split into blocks, and every two of its blocks meet, so no task holds more than two.
     """
-    own = cut(sketches(docs, width), "shingle-sketches")
-    classes = cut(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("s0", "s1", "values")]), "shingle-classes")
-    values = classes.select(F.explode("values").alias("value"), "node", "s0", "s1")
-    parts = n_blocks(docs.sparkSession, classes.count() * GROUPS, 1 << 20)
-    members, refused, linked, trees = values.withColumn("label", F.col("node")), None, None, 1
-    while True:
-        rows = members.select("value", F.col("node").alias("a"), "s0", "s1", *([] if refused is None else [F.lit(0).cast("long").alias("tried"), F.col("label").alias("b")]))
-        if refused is not None:
-            none = F.lit(0).cast("long")
-            rows = rows.unionByName(refused.select("value", "a", none.alias("s0"), none.alias("s1"), F.lit(1).cast("long").alias("tried"), "b"))
-        found = cut(rows.repartition(parts, "value").mapInArrow(_proposals(trees, far), "value long, a long, b long"), "shingle-pairs")
-        judged = cut(_judged(found.select("a", "b").distinct(), own, share), "shingle-judged")
-        same = judged.filter("same").select("a", "b")
-        linked = same if linked is None else linked.unionByName(same)
-        roots = components(linked)
-        no = cut(found.join(judged.filter("not same").select("a", "b"), ["a", "b"]).select("value", "a", "b"), "shingle-refused")
-        if no.isEmpty():
-            return _grouped(own, classes, roots)
-        open_ = no.select("value").distinct()
-        refused = no if refused is None else refused.join(open_, "value", "left_semi").unionByName(no)
-        own_label = roots.select(F.col("node").alias("_n"), "root")
-        members = values.join(open_, "value", "left_semi").join(own_label, F.col("node") == F.col("_n"), "left").select("value", "node", "s0", "s1", F.coalesce("root", "node").alias("label"))
-        trees *= 16
+    spark = docs.sparkSession
+    own = cut(sketches(docs, width).withColumn("_row", F.monotonically_increasing_id()), "shingle-sketches")
+    first = own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in ("s0", "s1", "values", "n")])
+    classes = cut(first, "shingle-classes")
+    member = families(classes, far).withColumnRenamed("node", "_node")
+    member = cut(classes.select("node", "_row", "n").join(member, F.col("node") == F.col("_node")).select("node", "_row", "n", "root"), "shingle-families")
+    total = member.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY), F.ceil(F.sum("n") / SHINGLES), F.lit(1))
+    sizes = member.groupBy("root").agg(blocks.alias("_blocks")).withColumnRenamed("root", "_root")
+    met = member.join(sizes, F.col("root") == F.col("_root")).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    met = met.select("_row", "root", "_i", _every(F.col("_blocks")).alias("_j")).select(F.col("_row").alias("_r"), "root", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
+    bins = n_blocks(spark, total, 4 * SHINGLES)
+    sets = own.select("_row", "node", "shingles").join(met, F.col("_row") == F.col("_r")).select("root", "i", "j", "node", "shingles")
+    judged = sets.withColumn("_bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(bins))).groupBy("_bin").applyInArrow(_judge(share), "a long, b long")
+    return _grouped(own, classes, components(judged))
+
+
+def _grouped(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, component_id, node, root) of every row of ``own``; nodes without a root are their own."""
+    member = classes.select("node", "first_id").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    member = member.select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    member = member.join(smallest, "root").select(F.col("node").alias("_n"), "component_id", "root")
+    return own.join(member, F.col("node") == F.col("_n")).select("doc_id", "component_id", "node", "root")
 
 
 def first_alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
-    """The rows of ``docs``, one of each group of ``alike`` documents, chosen as by ``first_of_each``."""
+    """The rows of ``docs``, one of each group of ``alike`` documents: that with the smallest doc_id, of equal ids the first by text.
+
+    Groups without any doc_id keep their first row by text.
+    """
 
     def nodes(texts: pa.Array) -> np.ndarray:
         return np.array([_set_node(s) for sets in shingle_sets(texts, width) for s in sets], np.int64)
 
     return _firsts(docs, alike(docs, share, width, far), nodes)
+
+
+def _firsts(docs: DataFrame, grouped: DataFrame, nodes: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The first row of each group; ``nodes`` gives the nodes of texts."""
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = cut(grouped.filter(is_first), "simhash-firsts").withColumnRenamed("doc_id", "_id")
+    # an id says which row stays only if no other row has it
+    ids = grouped.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max(is_first).alias("_first"))
+    rows = cut(ids.filter("_first").select("_id", "_n"), "simhash-first-ids")
+    own_id = F.col("doc_id").cast("long")
+    plain = docs.join(rows.filter("_n = 1 and _id is not null").select("_id"), own_id == F.col("_id"), "left_semi")
+
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        return pa.array(nodes(texts))
+
+    # ids that several such rows share: the node tells which group a row belongs to
+    shared = docs.join(rows.filter("_n > 1 or _id is null").select("_id"), own_id.eqNullSafe(F.col("_id")), "left_semi")
+    shared = shared.select(F.struct("*").alias("_doc"), own_id.alias("_own"), node_of("text").alias("_node"), F.col("text").alias("_text"))
+    groups = found.select("_id", F.col("node").alias("_n"), "root").distinct()
+    first = F.row_number().over(Window.partitionBy("_own", "root").orderBy("_text", F.xxhash64("_doc")))
+    shared = shared.join(groups, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n"))).withColumn("_first", first).filter("_first = 1").select("_doc.*")
+    return plain.unionByName(shared)

@@ -84,5 +84,29 @@ def test_families_as_brute_force(spark):
     assert sorted((r["doc_id"] for r in simhash.first_alike(df).collect()), key=str) == sorted({v for v in want.values()}, key=str)
 
 
+def test_split_values_and_families(spark, monkeypatch):
+    """Blocks that meet pairwise give what one task gives."""
+    rnd, texts = random.Random(12), []
+    for _ in range(3):
+        base = [f"t{rnd.randrange(5000)}" for _ in range(120)]
+        texts += [changed(rnd, base, rnd.choice(["replaced", "scattered"]), rnd.randint(1, 9)) for _ in range(40)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    whole = {tuple(r) for r in simhash.alike(df).select("doc_id", "component_id").collect()}
+    assert 3 < len({c for _, c in whole}) < len(texts)
+    for name, value in (("MEMBERS", 7), ("FAMILY", 10), ("SHINGLES", 900), ("OFTEN", 3)):
+        monkeypatch.setattr(simhash, name, value)
+    assert {tuple(r) for r in simhash.alike(df).select("doc_id", "component_id").collect()} == whole
+
+
+def test_large_family(spark):
+    """20,000 near copies of one text, in families of a few thousand members a block."""
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(changed(rnd, base, "scattered", rnd.randint(1, 4)))) for i in range(20_000)] + [(50_000, " ".join(reversed(base)))]
+    got = simhash.alike(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    # four edits of single words leave 180 of 216 shingles to the text that has one
+    assert {r[0]: r[1] for r in got.groupBy("component_id").count().collect()} == {0: 20_000, 50_000: 1}
+
+
 def test_no_documents(no_docs):
     assert simhash.first_alike(no_docs).count() == 0

@@ -1,101 +1,53 @@
-import random
-
 import numpy as np
-import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from panelstat.llm import simhash
-from panelstat.llm import words as W
 
 
-def words_of(text):
-    for _, _, data, offsets in W.chunks(pa.array([text], pa.string())):
-        data = W.lowered(data)
-        starts, ends, _ = W.spans(data, offsets)
-        return W.hashes(data, starts, ends)
+def test_forest_joins_what_the_edges_join():
+    rnd = np.random.default_rng(0)
+    forest = simhash._Forest(200)
+    a, b = rnd.integers(0, 200, 300), rnd.integers(0, 200, 300)
+    for k in range(0, 300, 50):
+        forest.add(a[k:k + 50], b[k:k + 50])
+    whole = simhash._Forest(200)
+    whole.add(a, b)
+    assert len(forest.edges) == len(whole.edges) and len(set(forest.label)) == 200 - len(forest.edges) == len(set(whole.label))
+
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 40), st.sampled_from([2, 3, 16]), st.sampled_from([64, 4096]))
+def test_common_members_as_brute_force(seed, n, often, columns):
+    rnd = np.random.default_rng(seed)
+    common = rnd.integers(-(2**62), 2**62, 90)
+    sets = [np.unique(np.concatenate([rnd.choice(common, rnd.integers(0, 80)), rnd.integers(0, 60, rnd.integers(0, 9))])) for _ in range(n)]
+    got = simhash.shared(sets, often, columns)
+    for i in range(n):
+        for j in range(i + 1, n):
+            assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
 
-def brute(rows):
-    """Components by all pairs of signatures."""
-    s = [simhash.signature(words_of(r[1])) for r in rows]
-    band = lambda x, k: int(x[2 + k // 2]) >> 32 * (k % 2) & 0xFFFFFFFF
-    root = list(range(len(rows)))
+
+@pytest.mark.parametrize("share", [0.5, 0.8, 1.0])
+def test_forest_of_alike_sets(share):
+    rnd = np.random.default_rng(4)
+    base = [np.arange(k * 1000, k * 1000 + 40) for k in range(4)]
+    sets = [np.unique(np.where(rnd.random(40) < rnd.choice([0, 0.05, 0.2]), rnd.integers(10**6, 10**9, 40), base[rnd.integers(4)])) for _ in range(80)]
+    root = list(range(80))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(rows)):
+    for i in range(80):
         for j in range(i):
-            d = sum((int(s[i][k]) ^ int(s[j][k])).bit_count() for k in (0, 1))
-            if d <= simhash.MOST and any((band(s[i], k) ^ band(s[j], k)).bit_count() <= 2 for k in range(simhash.BANDS)):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if n >= share * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
                 root[find(i)] = find(j)
-    group = {}
-    for i, r in enumerate(rows):
-        group.setdefault(find(i), []).append(r)
-    return list(group.values())
-
-
-def edited(rnd, words, share):
-    return [rnd.choice(["new", "other", "word"]) + str(rnd.randrange(10**6)) if rnd.random() < share else w for w in words]
-
-
-@pytest.fixture(scope="module")
-def corpus():
-    rnd = random.Random(8)
-    rows = []
-    for i in range(25):
-        base = [f"v{int(rnd.paretovariate(0.7)) % 5000}" for _ in range(rnd.randint(60, 400))]
-        rows.append((10 * i, " ".join(base), "s"))
-        for k in range(rnd.choice([0, 1, 8])):
-            rows.append((10 * i + 1 + k, " ".join(edited(rnd, base, rnd.choice([0, 0.01, 0.02, 0.1]))), "s"))
-    return rows + [(900, None, "s"), (901, "", "t"), (902, "a b", "s"), (903, "A  B", "s"), (904, "a b c", "s")]
-
-
-def test_as_brute_force(spark, corpus):
-    want = {}
-    for g in brute(corpus):
-        want |= {r[0]: min(x[0] for x in g) for r in g}
-    df = spark.createDataFrame(corpus, "doc_id long, text string, root string").repartition(3)
-    assert {r[0]: r[1] for r in simhash.near_copies(df).collect()} == want
-    assert len(set(want.values())) < len(want) - 30 and want[903] == 902 and want[904] == 904
-
-
-def test_similar_texts_are_found_and_others_left_alone(spark):
-    rnd = random.Random(5)
-    base = [[f"u{int(rnd.paretovariate(0.7)) % 9000}" for _ in range(300)] for _ in range(60)]
-    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(1000 + i, " ".join(edited(rnd, b, 0.012))) for i, b in enumerate(base)]
-    got = {r[0]: r[1] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    like = lambda a, b: len(a & b) / len(a | b)
-    shingles = lambda t: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)}
-    close = [i for i in range(60) if like(shingles(rows[i][1]), shingles(rows[60 + i][1])) >= 0.8]
-    assert len(close) > 50 and sum(got[1000 + i] == i for i in close) >= 0.95 * len(close)
-    assert all(got[i] == i for i in range(60))
-
-
-def test_one_of_each_stays(spark, corpus, clashing, no_docs):
-    more = corpus + [(0, corpus[0][1], "s"), (None, corpus[0][1], "s"), (None, "alone without an id " * 9, "s"), (None, "alone without an id " * 9, "t"), (77777, corpus[0][1], "x"), (902, "quite another text of some words " * 4, "s")]
-    df = spark.createDataFrame(more, "doc_id long, text string, root string").repartition(3)
-    kept = simhash.first_of_each(df)
-    assert kept.columns == df.columns
-    rows = [tuple(r) for r in kept.collect()]
-    groups = brute(more)
-    assert len(rows) == len(groups)
-    for g in groups:
-        ids = [r[0] for r in g if r[0] is not None]
-        mine = [r for r in rows if r in g]
-        assert len(mine) >= 1 and (mine[0][0] == min(ids) if ids else mine[0][0] is None)
-    assert simhash.first_of_each(clashing).columns == clashing.columns
-    assert simhash.first_of_each(no_docs).count() == 0
-
-
-def test_forest_joins_what_the_edges_join():
-    rnd = np.random.default_rng(0)
-    forest = simhash._Forest(200)
-    a, b = rnd.integers(0, 200, 300), rnd.integers(0, 200, 300)
-    for k in range(0, 300, 50):
-        forest.add(a[k:k + 50], b[k:k + 50])
-    whole = simhash._Forest(200)
-    whole.add(a, b)
-    assert len(forest.edges) == len(whole.edges) and len(set(forest.label)) == 200 - len(forest.edges) == len(set(whole.label))
+    edges = simhash.alike_forest(sets, share)
+    forest = simhash._Forest(80)
+    forest.add(*np.array(edges).reshape(-1, 2).T)
+    assert len(edges) == len(forest.edges) == 80 - len({find(i) for i in range(80)})
+    assert all(find(a) == find(b) for a, b in edges)
