@@ -200,6 +200,12 @@ def _set_node(s: np.ndarray) -> int:
     return int(_node(s.sum(dtype=np.uint64, keepdims=True), W._mixed(s).sum(dtype=np.uint64, keepdims=True))[0])
 
 
+def _shortened(s: np.ndarray) -> np.ndarray:
+    """The distinct upper halves of ascending hashes. Two texts of n words have a false common one with probability n ** 2 / 2 ** 32."""
+    upper = (s >> np.uint64(32)).astype(np.uint32)
+    return upper[np.append(True, upper[1:] != upper[:-1])].view(np.int32) if len(s) else upper.view(np.int32)
+
+
 def _minima(sets: list[np.ndarray]) -> np.ndarray:
     """The least of each set under SKETCH orders of all hashes; sets without any have zeros."""
     out = np.zeros((len(sets), SKETCH), np.uint64)
@@ -224,14 +230,15 @@ def sketches(docs: DataFrame, width: int = WIDE) -> DataFrame:
                 values = np.zeros((len(sets), GROUPS), np.uint64) + np.arange(1, GROUPS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     values = W._mixed(values ^ least[:, r: GROUPS * ROWS: ROWS])
+                short = [_shortened(s) for s in sets]
                 values = [v if len(s) else v[:0] for v, s in zip(values.view(np.int64), sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(done, len(sets)), pa.array([_set_node(s) for s in sets], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]),
-                    pa.array(values, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(values, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32())), pa.array([len(s) for s in short], pa.int64()),
                 ], names=["doc_id", "node", "s0", "s1", "values", "shingles", "n"])
                 done += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, values array<long>, shingles array<long>, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, values array<long>, shingles array<int>, n long")
 
 
 def _links(far: int):
@@ -341,7 +348,7 @@ def _judge(share: float):
         for x, y in zip(at[:-1], at[1:], strict=True):
             if y - x > 1:
                 rows = order[x:y]
-                sets = [np.asarray(t["shingles"][int(r)].values, np.int64) for r in rows]
+                sets = [np.asarray(t["shingles"][int(r)].values, np.int32) for r in rows]
                 edges = np.array(alike_forest(sets, share), np.int64).reshape(-1, 2)
                 a.append(node[rows[edges[:, 0]]])
                 b.append(node[rows[edges[:, 1]]])
@@ -390,7 +397,8 @@ def alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = F
     met = member.join(sizes, F.col("root") == F.col("_root")).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_blocks")))
     met = met.select("_row", "root", "_i", _every(F.col("_blocks")).alias("_j")).select(F.col("_row").alias("_r"), "root", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
     bins = n_blocks(spark, total, 4 * SHINGLES)
-    sets = own.select("_row", "node", "shingles").join(met, F.col("_row") == F.col("_r")).select("root", "i", "j", "node", "shingles")
+    # sort and merge at every size: the sets are as large as the texts, and the families grow with them
+    sets = own.select("_row", "node", "shingles").hint("merge").join(met.hint("merge"), F.col("_row") == F.col("_r")).select("root", "i", "j", "node", "shingles")
     judged = sets.withColumn("_bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(bins))).groupBy("_bin").applyInArrow(_judge(share), "a long, b long")
     return _grouped(own, classes, components(judged))
 
@@ -424,7 +432,9 @@ def _firsts(docs: DataFrame, grouped: DataFrame, nodes: Callable[[pa.Array], np.
     ids = grouped.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max(is_first).alias("_first"))
     rows = cut(ids.filter("_first").select("_id", "_n"), "simhash-first-ids")
     own_id = F.col("doc_id").cast("long")
-    plain = docs.join(rows.filter("_n = 1 and _id is not null").select("_id"), own_id == F.col("_id"), "left_semi")
+    plain = docs.join(rows.filter("_n = 1 and _id is not null").select("_id").hint("merge"), own_id == F.col("_id"), "left_semi")
+    if rows.filter("_n > 1 or _id is null").isEmpty():
+        return plain
 
     @F.arrow_udf("long")
     def node_of(texts: pa.Array) -> pa.Array:
