@@ -27,6 +27,7 @@ def op9_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+OP10_LIMIT = 64 << 10  # bytes of a shard: several splits on every table
 OP10_SQL = f"""
 with recursive r as (
   select doc_id, coalesce(strlen(text), 0) n_bytes, lpad(bin(('0x' || substr(sha256(cast(doc_id as varchar)), 1, 15))::bigint), 60, '0') b
@@ -36,20 +37,20 @@ with recursive r as (
   union all
   select t.shard || x.bit, t.depth + 1
   from t, (values ('0'), ('1')) x(bit)
-  where t.depth < 60 and (select sum(n_bytes) > {sharding.LIMIT} and count(*) > 1 from r where starts_with(r.b, t.shard))
+  where t.depth < 60 and (select sum(n_bytes) > {OP10_LIMIT} and count(*) > 1 from r where starts_with(r.b, t.shard))
 ), s as (
   select t.shard, t.depth, sum(n_bytes) shard_bytes, count(*) shard_rows
   from t join r on starts_with(r.b, t.shard) group by all
 )
-select r.doc_id, r.n_bytes::bigint n_bytes, s.shard, s.depth::int depth, s.shard_rows::bigint shard_rows, s.shard_bytes::bigint shard_bytes, s.shard_bytes <= {sharding.LIMIT} fits
-from r join s on starts_with(r.b, s.shard) where s.shard_bytes <= {sharding.LIMIT} or s.shard_rows = 1
-  and not exists (select 1 from s up where up.depth < s.depth and starts_with(s.shard, up.shard) and (up.shard_bytes <= {sharding.LIMIT} or up.shard_rows = 1))
+select r.doc_id, r.n_bytes::bigint n_bytes, s.shard, s.depth::int depth, s.shard_rows::bigint shard_rows, s.shard_bytes::bigint shard_bytes, s.shard_bytes <= {OP10_LIMIT} fits
+from r join s on starts_with(r.b, s.shard) where s.shard_bytes <= {OP10_LIMIT} or s.shard_rows = 1
+  and not exists (select 1 from s up where up.depth < s.depth and starts_with(s.shard, up.shard) and (up.shard_bytes <= {OP10_LIMIT} or up.shard_rows = 1))
 """
 
 
 @_query(OP10_SQL)
 def op10_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return sharding.assign(table(spark, folder, "documents"))
+    return sharding.assign(table(spark, folder, "documents"), limit=OP10_LIMIT)
 
 
 @_query()
@@ -90,12 +91,11 @@ def op5_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-with v as (select vec_id, min(embedding::double[]) v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
-  group by vec_id),
-p as (select q.vec_id query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) score
-  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
-r as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from p)
+with v as (select row_number() over () place, vec_id, embedding::double[] v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select q.place, q.vec_id query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) score
+  from v q join v c on q.vec_id % 100 = 0 and q.place <> c.place and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by place order by score, vec_id)::int as rank from p)
 select query_id, rank, vec_id, score from r where rank <= {vptree.K}
 """
 
@@ -121,7 +121,7 @@ def _held_out(parts: int) -> Column:
 
 @_query()
 def op6_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return ppm.scores(table(spark, folder, "documents"), ~_held_out(5), order=6)
+    return ppm.scores(table(spark, folder, "documents"), ~_held_out(5))
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:

@@ -33,5 +33,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == size:
             break
         size = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -107,6 +107,8 @@ def tilt(hist: DataFrame, targets: DataFrame, max_rate: int = MAX_RATE, steps: i
         ).coalesce(1), "tilt")
         if not state.agg(F.max("miss")).first()[0]:
             break
+    else:
+        raise RuntimeError(f"the dual was not solved in {steps} steps")
     return state.select("source", "mean_size", "lam", "saturated")
 
 

@@ -1,12 +1,11 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
 The model is a trie of byte contexts up to ``order``. In a context, every distinct byte gives half a count to the escape
-(PPM's method D), which leads to the next shorter context; counts that the model does not keep (below) are the
-escape's too. In the shorter context the bytes of the longer one are excluded, because the escape has said it is
+(PPM's method D), which leads to the next shorter context. In the shorter context the bytes of the longer one are excluded, because the escape has said it is
 none of them. Below the empty context the bytes left are equally likely.
 
 Pretrained: the counts of all (order + 1)-grams of the training documents are summed by Spark; counts of shorter
-grams are sums of these. All grams are kept, unless ``share`` asks for at least that share of all training bytes, so the
+grams are sums of these. All grams are kept, so the
 model grows with the corpus and no task holds it. It lies in partitions by the last KEY bytes of the context: a
 partition has whatever follows its contexts of that length or longer. Blocks of documents send the distinct grams they
 hold, partitions add them up and answer with their probabilities. Only grams of up to KEY bytes, of which no
@@ -38,7 +37,7 @@ from panelstat.llm import words as W
 from panelstat.llm.arrays import parts
 from panelstat.llm.common import cut, n_blocks, text_bytes
 
-ORDER, SHARE = 5, 0.0
+ORDER = 6
 KEY, PART_BYTES = 3, 16 << 20
 BLOCK_BYTES, PART_WORDS = 16 << 20, 1 << 18
 END = 10
@@ -215,16 +214,16 @@ def _gram_parts(g: np.ndarray, bits: int, key: int) -> tuple[np.ndarray, np.ndar
     return order, part[at], np.append(at, len(part))
 
 
-def _part_trie(g: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], n_bytes: int, order: int, share: float) -> Trie:
+def _part_trie(g: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], n_bytes: int, order: int) -> Trie:
     """The trie of the contexts of one partition, from all its grams of order + 1 bytes and the short grams of all partitions."""
-    floor, seen, by_order = share * n_bytes, {}, list(low)
+    seen, by_order = {}, list(low)
     for k in range(len(low), order + 1):
         own, m = _shorter(g, n, k + 1)
         if k > len(low):
             ctx, times = _summed(own >> _U(8), m)
             seen[k] = ctx, np.where(ctx & _U(255), times, 0)  # the zeros before a row are not bytes
         by_order.append((own, m))
-    return Trie([(x[m >= floor], m[m >= floor]) for x, m in by_order], n_bytes, seen)
+    return Trie(by_order, n_bytes, seen)
 
 
 def adaptive_log10(data: bytes, order: int = ORDER) -> float:
@@ -357,13 +356,13 @@ def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
 
 
-def _gram_answer(sent, order: int, share: float):
+def _gram_answer(sent, order: int):
     """Of one partition of grams: to each block the log10 probabilities of its grams, as numbers of distinct ones."""
 
     def answer(t: pa.Table) -> pa.Table:
         gs = [np.cumsum(_spread(x.as_py(), _U), dtype=_U) for x in t["_p0"]]
         g, n = _summed(np.concatenate(gs), np.concatenate([_spread(x.as_py(), np.int64) for x in t["_p1"]]))
-        logs = _part_trie(g[n > 0], n[n > 0], opened(sent.value), sent.value["n"], order, share).log10(g)
+        logs = _part_trie(g[n > 0], n[n > 0], opened(sent.value), sent.value["n"], order).log10(g)
         which, values = [], []
         for x in gs:
             v, own = np.unique(logs[np.searchsorted(g, x)], return_inverse=True)
@@ -383,7 +382,12 @@ def _score(ends_known: int, gram_bits: int, order: int):
         distinct = np.unique(np.concatenate(asked or [np.zeros(0, _U)]))
         replies = sorted(zip(answers["_part"].to_pylist(), answers["_p0"].to_pylist(), answers["_p1"].to_pylist(), strict=True), key=lambda r: r[0])
         counts = np.concatenate([_spread(x, np.int64) for p, x, _ in replies if p >= 0] or [np.zeros(0, np.int64)])
-        g, _ = _folded(_chunk_grams(t["text"], order, False))
+        # one pass over the texts: the distinct grams of every chunk, and which of them each byte ends
+        chunks = []
+        for data, first in sequences(t["text"]):
+            own, which = np.unique(grams(data, first, order), return_inverse=True)
+            chunks.append((own, which.astype(np.uint32), first))
+        g, _ = _folded((own, np.zeros(len(own), np.int64)) for own, _, _ in chunks)
         place, _, _ = _gram_parts(g, gram_bits, min(KEY, order))
         logs, done = np.zeros(len(g)), 0
         for _, x, v in reversed([r for r in replies if r[0] < 0]):
@@ -397,8 +401,7 @@ def _score(ends_known: int, gram_bits: int, order: int):
             n_tokens.append(np.diff(rows) + 1)
             n_known.append(known[rows[1:]] - known[rows[:-1]] + int(ends_known > 0))
             base.append(np.array([words[a + 1: b + 1].sum() for a, b in zip(rows[:-1], rows[1:], strict=True)]))
-        for data, first in sequences(t["text"]):
-            own, which = np.unique(grams(data, first, order), return_inverse=True)
+        for own, which, first in chunks:
             model.append(np.add.reduceat(logs[np.searchsorted(g, own)][which], first[:-1]))
         cols = [np.concatenate(x or [np.zeros(0)]) for x in (n_tokens, n_known, base, model)]
         return pa.table([t["doc_id"], t["train"], pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float)), pa.array(cols[3].astype(float))], names=["doc_id", "train", "n_tokens", "n_known", "_base", "score"])
@@ -413,7 +416,7 @@ def short_grams(counts: DataFrame, key: int, n_bytes: int) -> dict:
     return packed([_shorter(g.view(_U), n, k + 1) for k in range(key)], n_bytes)
 
 
-def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER, share: float = SHARE) -> DataFrame:
+def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     train: which rows to learn from (a condition on doc_id; all by default).
@@ -431,10 +434,11 @@ def scores(docs: DataFrame, train: Column | None = None, order: int = ORDER, sha
     low = sent.filter("_part < 0").select("_p0", "_p1").mapInArrow(_short_counts, "g long, n long")
     short = spark.sparkContext.broadcast(short_grams(low, min(KEY, order), int(n_bytes)))
     reply = "_block long, _part long, _p0 binary, _p1 binary, _known long"
-    scored = sent.filter("_block < 0 and _part >= 0").select("_part", "_block", "_p0", "_p1").groupBy("_part").applyInArrow(_gram_answer(short, order, share), reply)
+    scored = sent.filter("_block < 0 and _part >= 0").select("_part", "_block", "_p0", "_p1").groupBy("_part").applyInArrow(_gram_answer(short, order), reply)
     asked = sent.filter("_block >= 0").select("_part", "_block", "_p0", "_p1")
-    answers = cut(asked.groupBy("_part").applyInArrow(_answer, reply).unionByName(scored), "ppm-answers")
-    known = answers.agg(F.coalesce(F.sum("_known"), F.lit(0))).first()[0] + (1 if ends else 0)
+    words_known = cut(asked.groupBy("_part").applyInArrow(_answer, reply), "ppm-answers")
+    answers = words_known.unionByName(scored)  # the grams' answers are read once and go straight to their blocks
+    known = words_known.agg(F.coalesce(F.sum("_known"), F.lit(0))).first()[0] + (1 if ends else 0)
     n = words + ends
     out = dealt.groupBy("_block").cogroup(answers.drop("_known").groupBy("_block")).applyInArrow(_score(ends, gram_bits, order), "doc_id long, train boolean, n_tokens long, n_known long, _base double, score double")
     base = F.col("_base") + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (known + 1))))

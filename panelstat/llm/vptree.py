@@ -1,6 +1,6 @@
 """Nearest neighbours with a vantage-point tree per shard.
 
-Vectors are dealt to shards by a hash of their id, so a shard holds about ``shard_rows`` vectors whatever repeats.
+Vectors are dealt to shards by a hash of their place, so a shard holds about ``shard_rows`` vectors whatever repeats.
 Queries are dealt to blocks the same way. Every (shard, block) pair is one group: it builds the
 shard's tree, takes the block's queries through it together, and returns each query's nearest there. The best of
 all shards are the answer. Queries meet all rows, but pairs are never rows.
@@ -12,8 +12,8 @@ exact, a larger one leaves out more.
 
 Distances are Euclidean, summed over the components in order in double precision; ties go to the smaller id.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no
-part; only vectors of a query's own dimension are its candidates; of rows that share an id the least vector counts;
-with fewer than k candidates all are returned.
+part; only vectors of a query's own dimension are its candidates; rows that share an id are
+rows of their own, each a candidate for the others and, if a query, with an answer of its own; with fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelstat.llm.common import cut
+
 SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 4_096, 128
 K = 10
 FACTOR = 1.0
@@ -42,8 +44,8 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class VPTree:
     """Nodes as tuples: a leaf has its rows, an inner node its vantage point, two children and their spans of distances."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        self.x, self.ids, self.leaf = x, ids, leaf
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF, places: np.ndarray | None = None):
+        self.x, self.ids, self.leaf, self.places = x, ids, leaf, ids if places is None else places
         self.seen = 0
         self.root = self._node(np.arange(len(x)))
 
@@ -57,11 +59,11 @@ class VPTree:
         near, far = order[: len(rows) // 2], order[len(rows) // 2:]
         return at, self._node(rows[near]), self._node(rows[far]), (d[near].min(), d[near].max()), (d[far].min(), d[far].max())
 
-    def nearest(self, q: np.ndarray, q_ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of each query's k nearest rows with another id; missing ones are at infinity."""
+    def nearest(self, q: np.ndarray, q_places: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of each query's k nearest rows at another place; missing ones are at infinity."""
         self.best_d = np.full((len(q), k), np.inf)
         self.best_i = np.full((len(q), k), np.iinfo(np.int64).max)
-        self.q, self.q_ids, self.k, self.factor = q, q_ids, k, factor
+        self.q, self.q_places, self.k, self.factor = q, q_places, k, factor
         self._visit(self.root, np.arange(len(q)))
         return self.best_i, self.best_d
 
@@ -86,7 +88,7 @@ class VPTree:
     def _leaf(self, rows: np.ndarray, who: np.ndarray) -> None:
         self.seen += len(rows) * len(who)
         d = distances(self.q[who], self.x[rows])
-        d[self.q_ids[who][:, None] == self.ids[rows][None, :]] = np.inf
+        d[self.q_places[who][:, None] == self.places[rows][None, :]] = np.inf
         better = (d <= self.best_d[who, -1:]).any(axis=1)
         who, d = who[better], d[better]
         if not len(who):
@@ -107,13 +109,13 @@ def _matrix(t: pa.Table) -> np.ndarray:
 def _cell(k: int, factor: float):
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
         ids, found = np.zeros(0, np.int64), np.zeros((0, k))
-        who = np.zeros(0, np.int64)
+        who, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if queries.num_rows and rows.num_rows:
-            who = np.asarray(queries["id"].combine_chunks(), np.int64)
-            tree = VPTree(_matrix(rows), np.asarray(rows["id"].combine_chunks(), np.int64))
-            ids, found = tree.nearest(_matrix(queries), who, k, factor)
+            who, place = (np.asarray(queries[c].combine_chunks(), np.int64) for c in ("id", "place"))
+            tree = VPTree(_matrix(rows), np.asarray(rows["id"].combine_chunks(), np.int64), places=np.asarray(rows["place"].combine_chunks(), np.int64))
+            ids, found = tree.nearest(_matrix(queries), place, k, factor)
         ok = np.isfinite(found).ravel()
-        return pa.table([pa.array(np.repeat(who, k)[ok]), pa.array(ids.ravel()[ok]), pa.array(found.ravel()[ok])], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(np.repeat(place, k)[ok]), pa.array(np.repeat(who, k)[ok]), pa.array(ids.ravel()[ok]), pa.array(found.ravel()[ok])], names=["place", "query_id", "vec_id", "score"])
 
     return search
 
@@ -124,14 +126,16 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     own = own.filter(F.col("id").isNotNull() & F.coalesce(
         F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)))
-    own = own.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    # a row's place is its number in the written table, so it is the same on both sides of the search
+    own = cut(own.withColumn("place", F.monotonically_increasing_id()), "vectors")
     n, n_queries = own.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / block_rows))
-    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts))
+    deal = lambda parts: F.pmod(F.xxhash64("place"), F.lit(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))
     cell = ["dim", "shard", "block"]
-    rows = own.select("id", "v", F.size("v").alias("dim"), deal(shards).alias("shard"), every(blocks).alias("block"))
-    queries = own.filter("q").select("id", "v", F.size("v").alias("dim"), every(shards).alias("shard"), deal(blocks).alias("block"))
-    found = queries.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(_cell(k, float(factor)), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rows = own.select("place", "id", "v", F.size("v").alias("dim"), deal(shards).alias("shard"), every(blocks).alias("block"))
+    queries = own.filter("q").select("place", "id", "v", F.size("v").alias("dim"), every(shards).alias("shard"), deal(blocks).alias("block"))
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # columns of its own, not those of the other side
+    found = queries.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(_cell(k, float(factor)), "place long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

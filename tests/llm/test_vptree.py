@@ -27,16 +27,23 @@ def distance(a, b):
 
 
 def brute(rows, k=10):
-    ok = {r[0]: r[1] for r in rows if r[0] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])}
+    ok = [r[:2] for r in rows if r[0] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])]
     out = []
-    for q in ok:
+    for a, (q, own) in enumerate(ok):
         if q % 20:
             continue
-        near = sorted((distance(v, ok[q]), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))
+        near = sorted((distance(v, own), i) for b, (i, v) in enumerate(ok) if a != b and len(v) == len(own))
         out += [(q, r + 1, i, d) for r, (d, i) in enumerate(near[:k])]
     return sorted(out)
 
 
+def test_rows_of_one_id(spark):
+    """Each is a candidate for the other, and each query has its own answer."""
+    rows = [(20, [1.0, 0.0], 0), (20, [5.0, 0.0], 0), (20, [5.0, 0.0], 0), (21, [2.0, 0.0], 0)]
+    got = vptree.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=2).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 2) and len(got) == 6 and min(r["score"] for r in got) == 0
+
+
 @pytest.mark.parametrize("shard_rows, block_rows", [(1000, 1000), (70, 5)])
 def test_as_brute_force(spark, shard_rows, block_rows):
     rows = vectors()
