@@ -70,6 +70,55 @@ def fit(X, n, s, ridge=None, max_iter=100, tol=1e-14):
     return beta, info, _loglik(predict(beta), n, s), done
 
 
+def fit_shared(cells, n, s, start=None, max_iter=30):
+    """Coefficients of many fits on the same cells (C, P) with trials and successes (G, C): plain Newton steps as matrix products.
+
+    Fits whose steps do not settle that way, and those of designs without full rank, are made by ``fit``.
+    """
+    P = cells.shape[1]
+    products = (cells[:, :, None] * cells[:, None, :]).reshape(len(cells), P * P)
+    beta = np.zeros((len(n), P)) if start is None else np.broadcast_to(start, (len(n), P)).copy()
+    live = np.arange(len(n))
+    settled = np.zeros(len(n), bool)
+    for _ in range(max_iter):
+        if not len(live):
+            break
+        mu = 0.5 * (1.0 + np.tanh(0.5 * (beta[live] @ cells.T)))
+        info = ((n[live] * mu * (1.0 - mu)) @ products).reshape(-1, P, P)
+        sound = np.linalg.cond(info) < 1e9
+        live, mu, info = live[sound], mu[sound], info[sound]
+        if not len(live):
+            break
+        step = np.linalg.solve(info, ((s[live] - n[live] * mu) @ cells)[:, :, None])[:, :, 0]
+        beta[live] += step
+        done = np.abs(step).max(axis=1) <= 1e-10
+        settled[live[done]] = True
+        live = live[~done & (np.abs(beta[live]).max(axis=1) < 50)]
+    rest = np.flatnonzero(~settled)
+    if len(rest):
+        beta[rest] = fit(np.broadcast_to(cells, (len(rest), *cells.shape)), n[rest], s[rest])[0]
+    return beta
+
+
+SEPARATED = 1e-8
+
+
+def separated(X, n, info):
+    """Which fits have no finite maximum: along some direction of the design the outcomes are told apart.
+
+    Newton's steps then push the fitted shares of all cells that the direction moves to 0 or 1. So the information along it, relative to
+    that of shares at one half or the like, falls below any bound, while a finite maximum keeps it above the inverse of the trials.
+    Directions that no cell moves do not count. Covers complete and quasi-complete separation.
+    """
+    whole = (X.transpose(0, 2, 1) * n[:, None, :]) @ X
+    size, axes = np.linalg.eigh(whole)
+    moved = size > 1e-10 * np.maximum(size[:, -1:], 1e-300)
+    scale = np.where(moved, 1 / np.sqrt(np.where(moved, size, 1.0)), 0.0)
+    inner = axes.transpose(0, 2, 1) @ info @ axes * scale[:, :, None] * scale[:, None, :]
+    inner = inner + np.eye(X.shape[2]) * ~moved[:, None, :]
+    return np.linalg.eigvalsh(inner)[:, 0] < SEPARATED
+
+
 def _dense(col: pa.ListArray, lo: int, hi: int):
     """Pad the cell lists of rows lo..hi-1 to one dense block."""
     part = pa.concat_arrays([col.slice(lo, hi - lo)])

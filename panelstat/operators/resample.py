@@ -7,6 +7,7 @@ low positions by less than n / 2**32.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelstat.functions import irls
 from panelstat.functions.scalar import hash_u32
-from panelstat.operators import glm, profiles
+from panelstat.operators import profiles
 from panelstat.plans.positions import dense_position
 from panelstat.plans.reuse import materialise
 from panelstat.schema import ATTRIBUTES
@@ -44,8 +45,38 @@ def bootstrap_draws(positions: DataFrame, n_samples: int, seed: int, key: str =
     return drawn.join(names, "idx").select("b", key, "weight")
 
 
-# numbers a task holds at a time while it sums values over draws
-SUM_LIMIT = 10_000_000
+# numbers a task holds at a time while it sums values over draws; items of a block of values
+SUM_LIMIT, BLOCK = 10_000_000, 512
+
+
+def add_products(sums: np.ndarray, local: np.ndarray, code: np.ndarray, case: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
+    """Add x and 1 of the entries (item ``local[code]``, case), weighted by the draws ``w`` (cases, draws), to ``sums`` (2, items, draws).
+
+    A block of items by cases, mostly filled where raters answer most cases, is two matrix products. Entries of thinly
+    filled blocks are added one by one.
+    """
+    if not len(case):
+        return
+    low = case.min()
+    w = w[low : case.max() + 1]
+    order = np.argsort(code, kind="stable")
+    code, case, x = code[order], case[order] - low, x[order]
+    for first in range(0, len(local), BLOCK):
+        lo, hi = np.searchsorted(code, [first, first + BLOCK])
+        item, at, own = code[lo:hi] - first, case[lo:hi], x[lo:hi]
+        names = local[first : first + BLOCK]
+        if (hi - lo) * 64 >= len(names) * len(w):
+            block = np.zeros((2, len(names), len(w)))
+            np.add.at(block[0], (item, at), own)
+            np.add.at(block[1], (item, at), 1.0)
+            for m in range(2):
+                sums[m][names] += block[m] @ w
+        else:
+            for part in range(0, hi - lo, BLOCK):
+                i, a, v = item[part : part + BLOCK], at[part : part + BLOCK], own[part : part + BLOCK]
+                heads = np.flatnonzero(np.diff(i, prepend=-1))
+                sums[0][names[i[heads]]] += np.add.reduceat(v[:, None] * w[a], heads, axis=0)
+                sums[1][names[i[heads]]] += np.add.reduceat(w[a], heads, axis=0)
 
 
 def _weighted_sums(n_samples: int):
@@ -68,7 +99,7 @@ def _weighted_sums(n_samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[str, int] = {}
         sums = np.zeros((2, 0, n_samples))
-        step = max(1, SUM_LIMIT // n_samples)
+        step = max(1 << 16, SUM_LIMIT // n_samples)
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 piece = batch.slice(start, 2048)
@@ -85,13 +116,8 @@ def _weighted_sums(n_samples: int):
                         grown = np.zeros((2, 2 * len(index), n_samples))
                         grown[:, : sums.shape[1]] = sums
                         sums = grown
-                    item = local[part.indices.to_numpy()]
-                    order = np.argsort(item, kind="stable")
-                    item, at = item[order], rows[lo : lo + step][order]
-                    x = flat.slice(lo, step).field(1).to_numpy(zero_copy_only=False)[order]
-                    first = np.concatenate([[0], np.nonzero(np.diff(item))[0] + 1])
-                    sums[0][item[first]] += np.add.reduceat(x[:, None] * w[at], first, axis=0)
-                    sums[1][item[first]] += np.add.reduceat(w[at], first, axis=0)
+                    x = flat.slice(lo, step).field(1).to_numpy(zero_copy_only=False)
+                    add_products(sums, local, part.indices.to_numpy(), rows[lo : lo + step], x, w)
                 if len(index) * n_samples > SUM_LIMIT:
                     yield from emit(index, sums)
                     index, sums = {}, np.zeros((2, 0, n_samples))
@@ -191,17 +217,19 @@ def _fit_draws(n_samples: int, step: int = 128):
         for m, name in enumerate(("trials", "successes")):
             np.add.at(sums[m], which.ravel(), table[name].combine_chunks().flatten().to_numpy().reshape(-1, n_samples))
         draws = np.nonzero(sums[0].sum(axis=0))[0]
-        beta = np.zeros((len(draws), cells.shape[1]))
+        beta, apart, done = np.zeros((len(draws), cells.shape[1])), np.zeros(len(draws), bool), np.zeros(len(draws), bool)
         share = sums[1].sum(axis=0) / np.maximum(sums[0].sum(axis=0), 1)
         for lo in range(0, len(draws), step):
             own = draws[lo : lo + step]
-            x = np.broadcast_to(cells, (len(own), *cells.shape))
-            beta[lo : lo + step] = irls.fit(x, sums[0][:, own].T, sums[1][:, own].T)[0]
+            x, n = np.broadcast_to(cells, (len(own), *cells.shape)), sums[0][:, own].T
+            beta[lo : lo + step], info, _, done[lo : lo + step] = irls.fit(x, n, sums[1][:, own].T)
+            apart[lo : lo + step] = irls.separated(x, n, info)
         constant = (share[draws] <= 0) | (share[draws] >= 1)
         varies = ((sums[0][:, draws] > 0) & (cells != 0).any(axis=1)[:, None]).any(axis=0)
-        beta[constant | ~varies] = 0.0
+        status = np.select([constant, ~varies, apart, done], ["constant_outcome", "constant_design", "separated", "converged"], "not_converged")
+        beta[constant | ~varies | apart] = 0.0
         rater = table["rater"][0].as_py()
-        return pa.table({"rater": [rater] * len(draws), "b": pa.array(draws, pa.int32()), "beta": pa.array(list(beta), pa.list_(pa.float64()))})
+        return pa.table({"rater": [rater] * len(draws), "b": pa.array(draws, pa.int32()), "beta": pa.array(list(beta), pa.list_(pa.float64())), "status": pa.array(status.tolist(), pa.string())})
 
     return run
 
@@ -209,7 +237,7 @@ def _fit_draws(n_samples: int, step: int = 128):
 def bootstrap_weights(
     design: DataFrame, positions: DataFrame, n_samples: int, seed: int, attributes: list[str] = ATTRIBUTES
 ) -> DataFrame:
-    """(rater, b, beta): value weights refitted on every draw; draws without data drop out.
+    """(rater, b, beta, status): value weights refitted on every draw; draws without data drop out.
 
     A case meets the numbers of its draws once, as an array. Tasks sum trials and successes per rater,
     cell and draw, so what is shuffled is at most 5 ** attributes arrays a rater and task, and one rater's cells
@@ -221,7 +249,7 @@ def bootstrap_weights(
     rows = design.select("case_id", "rater", cell.alias("cell"), F.col("n").cast("double").alias("n"), F.col("c1").cast("double").alias("c1"))
     rows = rows.join(by_case, "case_id").select("rater", "cell", "n", "c1", "draws")
     parts = rows.mapInArrow(_cell_draws(n_samples), "rater string, cell array<double>, trials array<double>, successes array<double>")
-    return parts.groupBy("rater").applyInArrow(_fit_draws(n_samples), "rater string, b int, beta array<double>")
+    return parts.groupBy("rater").applyInArrow(_fit_draws(n_samples), "rater string, b int, beta array<double>, status string")
 
 
 def _member_positions(members: DataFrame, group: str) -> DataFrame:
@@ -400,6 +428,78 @@ def permutation_test_means(values: DataFrame, groups: tuple[str, str], n_permuta
     )
 
 
+# draws of panels that one task fits
+PANEL_CHUNK = 250
+
+
+def _panel_fits(n_samples: int, seed, chunk: int, n_attributes: int):
+    """Grouped Arrow function: one chunk of draws of a panel, with the cells of all its members.
+
+    A draw's pooled votes are the sums over its distinct members, so leaving one out subtracts that member's cells. Draws
+    with the same distinct members are fitted once.
+    """
+
+    def fits(cells: np.ndarray, n: np.ndarray, s: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        beta = irls.fit_shared(cells, n, s, start)
+        hits, total = s.sum(axis=1), n.sum(axis=1)
+        varies = ((n > 0) & (cells != 0).any(axis=1)).any(axis=1)
+        beta[(hits <= 0) | (hits >= total) | ~varies] = 0.0
+        return beta
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        members = table.select(["member", "pos"]).group_by(["member", "pos"]).aggregate([]).sort_by("pos")
+        names, n_members = members["member"].to_pylist(), members.num_rows
+        cells, which = np.unique(np.array(table["cell"].to_pylist(), float).reshape(table.num_rows, n_attributes), axis=0, return_inverse=True)
+        votes = np.zeros((2, n_members, len(cells)))
+        pos = table["pos"].to_numpy()
+        for m, c in enumerate(("trials", "successes")):
+            np.add.at(votes[m], (pos, which.ravel()), table[c].to_numpy())
+        lo = key[0].as_py() * chunk
+        draws = range(lo, min(lo + chunk, n_samples))
+        copies = np.zeros((len(draws), n_members), np.int64)
+        for i, b in enumerate(draws):
+            slots = [int(hashlib.md5(f"{seed}|{b}|{k}".encode()).hexdigest()[:8], 16) % n_members for k in range(n_members)]
+            copies[i] = np.bincount(slots, minlength=n_members)
+        panels, panel_of = np.unique(copies > 0, axis=0, return_inverse=True)
+        out: list[tuple[list, ...]] = []
+        for k, has in enumerate(panels):
+            own = np.flatnonzero(has)
+            whole = votes[:, own].sum(axis=1)
+            left = np.maximum(whole[:, None] - votes[:, own], 0.0)
+            n, s = (np.concatenate([left[m], whole[m][None]]) for m in range(2))
+            some = whole[0] > 0
+            # a panel without one member is near the whole panel
+            full = fits(cells[some], n[-1:, some], s[-1:, some])
+            beta = np.concatenate([fits(cells[some], n[:-1, some], s[:-1, some], full), full])
+            kept = np.flatnonzero(n.sum(axis=1) > 0)
+            for i in np.flatnonzero(panel_of.ravel() == k):
+                out += [(lo + int(i), names[own[j]] if j < len(own) else None, int(copies[i, own[j]]) if j < len(own) else 1, beta[j].tolist()) for j in kept.tolist()]
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        types = [pa.int32(), pa.string(), pa.int64(), pa.list_(pa.float64())]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["b", "member", "copies", "beta"])
+
+    return run
+
+
+def panel_fits(member_cells: DataFrame, panel: DataFrame, n_samples: int, seed: int, attributes: list[str] = ATTRIBUTES, chunk: int = PANEL_CHUNK) -> DataFrame:
+    """(b, member, copies, beta): the fits of every drawn panel without any copy of each member, and of the whole panel (member null).
+
+    A task fits a chunk of draws. It holds the design cells of all members (at most 5 ** attributes each) and makes its draws itself,
+    so no draws, members of draws or their cells are rows. A panel that one member alone makes up has no fit without it.
+    """
+    _check(n_samples)
+    pos = dense_position(panel, "member").select("member", "pos")
+    cell = F.array(*[F.col(f"d_{a}").cast("double") for a in attributes])
+    own = member_cells.select(F.col("rater").alias("_rater"), cell.alias("cell"), F.col("trials").cast("double").alias("trials"), F.col("successes").cast("double").alias("successes"))
+    rows = pos.join(own, F.col("member") == F.col("_rater"), "left").select(
+        "member", "pos", F.coalesce("cell", F.array(*[F.lit(0.0) for _ in attributes])).alias("cell"),
+        F.coalesce("trials", F.lit(0.0)).alias("trials"), F.coalesce("successes", F.lit(0.0)).alias("successes"),
+    )
+    n_chunks = -(-n_samples // chunk)
+    spread = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    return spread.groupBy("_chunk").applyInArrow(_panel_fits(n_samples, seed, chunk, len(attributes)), "b int, member string, copies bigint, beta array<double>")
+
+
 def panel_reference(
     member_cells: DataFrame, profiles_by_member: DataFrame, panel: DataFrame, raters: DataFrame,
     n_samples: int, seed: int, temperature: float, attributes: list[str] = ATTRIBUTES,
@@ -407,32 +507,14 @@ def panel_reference(
     """Leave-one-out panel bootstrap (R8): (b, kind, id, copies, jsd).
 
     Every member of a drawn panel is compared with the consensus of the panel without any copy of
-    that member, and every rater with the consensus of the whole drawn panel. A panel's pooled votes
-    are the sums of its distinct members' design cells, so leaving one out is a subtraction on at
-    most 5 ** attributes cells; votes are never read again.
+    that member, and every rater with the consensus of the whole drawn panel.
     """
-    d = [f"d_{a}" for a in attributes]
-    sums = ["trials", "successes", "squares", "binomial", "saturated"]
-    pos = dense_position(panel, "member")
-    drawn = bootstrap_draws(pos, n_samples, seed, "member")
-    cells = member_cells.select(F.col("rater").alias("member"), *d, *sums, "n_cases")
-    whole = drawn.join(cells, "member").groupBy("b", *d).agg(*[F.sum(c).alias(c) for c in sums], F.sum("n_cases").alias("n_cases"))
-    left_out = drawn.select("b", "member").join(whole, "b")
-    own = cells.select("member", *d, *[F.col(c).alias(f"_{c}") for c in sums])
-    rest = left_out.join(own, ["member", *d], "left").select(
-        "b", "member", *d, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in sums], "n_cases"
-    )
-    both = rest.filter("trials > 0").unionByName(whole.withColumn("member", F.lit("*")))
-    fits = glm.fit_cells(both, ["b", "member"], "base", attributes)
-    consensus = materialise(
-        profiles.value_profiles(fits, temperature).select("b", "member", F.col("profile").alias("panel")), "panels"
-    )
-    mine = profiles_by_member.select(F.col("rater").alias("member"), "profile")
-    loo = consensus.filter("member <> '*'").join(mine, "member").join(drawn, ["b", "member"]).select(
-        "b", F.lit("member").alias("kind"), F.col("member").alias("id"), F.col("weight").alias("copies"),
-        profiles.jsd("profile", "panel").alias("jsd"),
-    )
-    full = consensus.filter("member = '*'").select("b", "panel")
+    fits = panel_fits(member_cells, panel, n_samples, seed, attributes)
+    consensus = materialise(fits.select("b", "member", "copies", profiles.softmax("beta", temperature).alias("panel")), "panels")
+    mine = profiles_by_member.select(F.col("rater").alias("id"), "profile")
+    left_out = consensus.filter("member is not null").withColumnRenamed("member", "id").join(mine, "id")
+    loo = left_out.select("b", F.lit("member").alias("kind"), "id", "copies", profiles.jsd("profile", "panel").alias("jsd"))
+    full = consensus.filter("member is null").select("b", "panel")
     theirs = raters.select(F.col("rater").alias("id"), "profile", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("b"))
     vs_full = theirs.join(full, "b").select(
         "b", F.lit("rater").alias("kind"), "id", F.lit(1).cast("bigint").alias("copies"), profiles.jsd("profile", "panel").alias("jsd")

@@ -24,7 +24,7 @@ from panelstat.sources import tables as T
 TEMPERATURE = 0.262
 SEED = 42
 DRAWS = 1000
-PERMUTATIONS = 10_000
+PERMUTATIONS = JSD_DRAWS = PANEL_DRAWS = 10_000
 
 
 def r6(expr: str, name: str) -> str:
@@ -460,20 +460,13 @@ def r5(spark, folder):
     return rounded(d).withColumn("b", F.col("b").cast("bigint"))
 
 
-_BF = newton("bfit", "bcells", ["rater", "b"], O.XS)
-WEIGHT_DRAWS = 10
-
-
-@query("r3_bootstrap_weights", with_ctes("positions", "summary", "wide", extra=f"""dr AS MATERIALIZED {draws_sql('positions', WEIGHT_DRAWS, str(SEED), 'case_id')},
-  md AS (SELECT o.case_id, o.rater, x0, x1, x2, x3, c1::double AS c1, valid::double AS n FROM summary o JOIN wide USING (case_id) WHERE valid>0),
-  bd AS (SELECT * FROM md JOIN dr USING (case_id)), bcells AS MATERIALIZED ({cells_sql('bd', 'rater, b', 'weight')}), """ + join_ctes(_BF)) +
-  f"SELECT rater, b, t.attribute, {r6('t.beta', 'beta')} FROM bfit, LATERAL (VALUES {_LONG}) t(attribute, beta)")
+@query("r3_bootstrap_weights", None)
 def r3(spark, folder):
-    """Every rater. Ten draws here, because the SQL fits each of them by itself; the operator takes any number."""
-    fit = RS.bootstrap_weights(design(spark, folder), case_positions(T.cases(spark, folder)), WEIGHT_DRAWS, SEED)
+    """Every rater at the full number of draws. No SQL fits that many; tests hold the operator against single fits."""
+    fit = RS.bootstrap_weights(design(spark, folder), case_positions(T.cases(spark, folder)), DRAWS, SEED)
     names = F.array(*[F.lit(a) for a in ATTRIBUTES])
-    long = fit.select("rater", F.col("b").cast("bigint").alias("b"), F.explode(F.arrays_zip(names.alias("attribute"), "beta")).alias("z"))
-    return rounded(long.select("rater", "b", "z.attribute", "z.beta"), 6)
+    long = fit.select("rater", F.col("b").cast("bigint").alias("b"), "status", F.explode(F.arrays_zip(names.alias("attribute"), "beta")).alias("z"))
+    return rounded(long.select("rater", "b", "status", "z.attribute", "z.beta"), 6)
 
 
 _MP = """mpos AS (SELECT grp, member, row_number() OVER (PARTITION BY grp ORDER BY md5(member), member)-1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM members)"""
@@ -481,7 +474,7 @@ _MP = """mpos AS (SELECT grp, member, row_number() OVER (PARTITION BY grp ORDER
 
 def _side(g: str) -> str:
     return f"""(SELECT b, member, count(*) AS w FROM (SELECT s.b, {u32(f"'{SEED}|{g}|' || s.b || '|' || p.pos")} % p.n AS idx
-      FROM mpos p, range({DRAWS}) s(b) WHERE p.grp='{g}') d JOIN mpos q ON q.pos=d.idx AND q.grp='{g}' GROUP BY ALL)"""
+      FROM mpos p, range({JSD_DRAWS}) s(b) WHERE p.grp='{g}') d JOIN mpos q ON q.pos=d.idx AND q.grp='{g}' GROUP BY ALL)"""
 
 
 def _side_mean(g: str) -> str:
@@ -494,7 +487,7 @@ def _side_mean(g: str) -> str:
   FROM sm_models m JOIN sm_humans h USING (b)""")
 def r6_query(spark, folder):
     p = shared_profs(spark, folder)
-    out = RS.bootstrap_mean_jsd(p, members(p), GROUPS, DRAWS, SEED)
+    out = RS.bootstrap_mean_jsd(p, members(p), GROUPS, JSD_DRAWS, SEED)
     return rounded(out, 6).withColumn("b", F.col("b").cast("bigint"))
 
 
@@ -539,9 +532,6 @@ def a43(spark, folder):
     return RS.histogram(RS.permutation_null_jsd(p, members(p), GROUPS, PERMUTATIONS, SEED), "statistic")
 
 
-PANEL_DRAWS = 5
-
-
 def _reference(spark, folder):
     c = materialise(cells(spark, folder), "cells")
     p = materialise(P.value_profiles(G.fit_cells(c, ["rater"]), TEMPERATURE).select("rater", "profile"), "profiles")
@@ -552,28 +542,12 @@ def _reference(spark, folder):
     return materialise(out, "reference"), p
 
 
-_LOO_FIT = newton("lfit", "lcells", ["b", "member"], O.XS)
-_LOO = f"""hpos AS (SELECT member, row_number() OVER (ORDER BY md5(member), member)-1 AS pos, count(*) OVER () AS n FROM members WHERE grp='humans'),
-  hd AS MATERIALIZED {draws_sql('hpos', PANEL_DRAWS, str(SEED), 'member')},
-  whole AS MATERIALIZED (SELECT b, x0, x1, x2, x3, sum(trials) AS trials, sum(successes) AS successes FROM hd JOIN cells ON cells.rater=hd.member GROUP BY ALL),
-  lcells AS MATERIALIZED (SELECT w.b, h.member, w.x0, w.x1, w.x2, w.x3, w.trials-coalesce(c.trials,0) AS trials, w.successes-coalesce(c.successes,0) AS successes
-    FROM hd h JOIN whole w USING (b) LEFT JOIN cells c ON c.rater=h.member AND c.x0=w.x0 AND c.x1=w.x1 AND c.x2=w.x2 AND c.x3=w.x3
-    UNION ALL SELECT b, '*', x0, x1, x2, x3, trials, successes FROM whole), """ + join_ctes(_LOO_FIT) + f""",
-  lprof AS ({softmax_sql('lfit', 'b, member', TEMPERATURE)}),
-  ref AS MATERIALIZED (SELECT l.b, 'member' AS kind, l.member AS id, h.weight AS copies, {jsd_sql('p', 'l')} AS jsd FROM lprof l JOIN prof p ON p.rater=l.member JOIN hd h ON h.b=l.b AND h.member=l.member
-    UNION ALL SELECT l.b, 'rater', p.rater, 1, {jsd_sql('p', 'l')} FROM lprof l, prof p WHERE l.member='*' AND p.rater LIKE 'model/%')"""
-
-
-@query("r8_panel_reference", with_ctes("cells", "prof", "members", extra=_LOO) + f"SELECT b, kind, id, copies, {r6('jsd', 'jsd')} FROM ref")
+@query("r8_panel_reference", None)
 def r8(spark, folder):
     return rounded(_reference(spark, folder)[0], 6).withColumn("b", F.col("b").cast("bigint"))
 
 
-@query("a29_calibration", with_ctes("cells", "prof", "members", extra=_LOO + f""",
-  obs AS (SELECT a.rater AS id, {jsd_sql('a', 'b')} AS jsd FROM prof a, prof b WHERE b.rater='human_consensus' AND a.rater LIKE 'model/%')""") +
-  f"""SELECT obs.id, {r6('obs.jsd', 'observed_jsd')}, {r6("(SELECT quantile_cont(jsd,0.025) FROM ref WHERE kind='rater' AND ref.id=obs.id)", 'ci_low')},
-  {r6("(SELECT quantile_cont(jsd,0.975) FROM ref WHERE kind='rater' AND ref.id=obs.id)", 'ci_high')},
-  {r9("(SELECT sum(copies) FILTER (round(ref.jsd,12)>=round(obs.jsd,12))/sum(copies) FROM ref WHERE kind='member')", 'p_value')} FROM obs""")
+@query("a29_calibration", None)
 def a29(spark, folder):
     reference, p = _reference(spark, folder)
     obs = P.to_reference(p, CONSENSUS).filter(F.col("rater").startswith("model/"))
@@ -581,8 +555,7 @@ def a29(spark, folder):
     return rounded(out, observed_jsd=6, ci_low=6, ci_high=6, p_value=9)
 
 
-@query("a29_reference_cut", with_ctes("cells", "prof", "members", extra=_LOO + """,
-  ex AS (SELECT jsd FROM ref, range(copies::bigint) r(i) WHERE kind='member')""") + f"SELECT {r6('quantile_cont(jsd,0.95)', 'cut')}, count(*) AS n_values, {r6('avg(jsd)', 'mean')} FROM ex")
+@query("a29_reference_cut", None)
 def a29_cut(spark, folder):
     return rounded(RS.reference_cut(_reference(spark, folder)[0]), 6)
 

@@ -212,3 +212,107 @@ def test_positions_of_ids_with_one_prefix(spark):
     df = spark.createDataFrame([(i,) for i in ids + ids[:10]], "case_id string").repartition(3)
     assert {r.case_id: (r.pos, r.n) for r in case_positions(df).collect()} == {x: (k, 3000) for k, x in enumerate(sorted(ids))}
     assert case_positions(df.limit(0)).count() == 0
+
+
+def apart(x, trials, successes):
+    """Whether some direction tells successes and failures apart, by all directions at right angles to a cell and between two of these."""
+    rows = x[trials > 0][:, :2]
+    share = (successes[trials > 0] / trials[trials > 0])
+    normals = [v for a, b in rows.tolist() for v in ((-b, a), (b, -a)) if a or b]
+    unit = sorted({round(float(np.arctan2(v[1], v[0])), 12) for v in normals})
+    angles = unit + [(a + b) / 2 for a, b in zip(unit, unit[1:] + [unit[0] + 2 * np.pi])]
+    for t in angles:
+        z = rows @ np.array([np.cos(t), np.sin(t)])
+        z[np.abs(z) < 1e-9] = 0
+        if z.any() and (z[share == 1] >= 0).all() and (z[share == 0] <= 0).all() and not z[(share > 0) & (share < 1)].any():
+            return True
+    return False
+
+
+def test_separated_draws_at_the_full_number(spark):
+    """Few cases of two attributes: many draws are constant, completely or quasi-completely separated."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(9):
+        d = rng.integers(-2, 3, 2)
+        n = int(rng.integers(1, 4))
+        rows.append((f"c{i}", "r", int(d[0]), int(d[1]), 0, 0, 0.0, int(rng.choice([0, n, n, rng.integers(0, n + 1)])), n))
+    design = spark.createDataFrame(rows, SCHEMA)
+    pos = dense_position(design, "case_id")
+    got = {r.b: r for r in RS.bootstrap_weights(design, pos, 1000, 5).collect()}
+    X, c1, n = arrays(rows, "r")
+    at = {r[0]: i for i, r in enumerate(rows)}
+    seen = {}
+    for b, d in enumerate(draws_of(pos, 1000, 5)):
+        w = np.bincount([at[c] for c in d], minlength=9)
+        cells = np.unique(X, axis=0)
+        trials = np.array([(n * w)[(X == c).all(axis=1)].sum() for c in cells])
+        successes = np.array([(c1 * w)[(X == c).all(axis=1)].sum() for c in cells])
+        if successes.sum() in (0, trials.sum()):
+            want = "constant_outcome"
+        elif not cells[trials > 0].any():
+            want = "constant_design"
+        else:
+            want = "separated" if apart(cells, trials, successes) else "converged"
+        assert got[b].status == want, (b, cells, trials, successes)
+        if want == "converged":
+            beta = np.array(got[b].beta)  # a maximum, and the least of all where the design leaves a choice
+            assert np.abs(cells.T @ (successes - trials / (1 + np.exp(-cells @ beta)))).max() < 1e-6
+            used = cells[trials > 0]
+            assert np.allclose(np.linalg.pinv(used) @ used @ beta, beta, atol=1e-6)
+        else:
+            assert got[b].beta == [0.0] * 4
+        seen[want] = seen.get(want, 0) + 1
+    assert seen["separated"] > 50 and seen["converged"] > 50, seen
+
+
+def test_many_cells_by_products_and_one_by_one(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(RS, "BLOCK", 64)
+    for n, cases, items in ((5000, 40, 30), (300, 500, 2000), (0, 5, 5)):
+        code, case, x = rng.integers(0, items, n), rng.integers(0, cases, n), rng.normal(size=n)
+        w, local = rng.integers(0, 3, (cases, 7)).astype(float), rng.permutation(items)
+        sums = np.zeros((2, items, 7))
+        RS.add_products(sums, local, code, case, x, w)
+        want = np.zeros((2, items, 7))
+        for c, k, v in zip(code, case, x):
+            want[0, local[c]] += v * w[k]
+            want[1, local[c]] += w[k]
+        assert np.allclose(sums, want)
+
+
+def test_shared_cells_fit_as_single_fits():
+    from panelstat.functions import irls
+
+    rng = np.random.default_rng(2)
+    for cells in (rng.integers(-2, 3, (30, 4)).astype(float), np.hstack([rng.integers(-2, 3, (30, 2)), np.zeros((30, 2))])):
+        n = rng.integers(0, 9, (40, 30)).astype(float)
+        s = np.floor(rng.random((40, 30)) * (n + 1))
+        want = irls.fit(np.broadcast_to(cells, (40, 30, 4)), n, s)[0]
+        for start in (None, want.mean(axis=0)):
+            assert np.allclose(irls.fit_shared(cells, n, s, start), want, atol=1e-7)
+
+
+def test_panels_at_the_full_number(spark):
+    """10,000 draws of a panel of seven: every fit against one made by itself, and the draws' copies."""
+    raters = tuple(f"h{i}" for i in range(7))
+    rows = make(9, n_cases=25, raters=raters, trials=(4, 9))
+    design = spark.createDataFrame(rows, SCHEMA)
+    cells = G.design_cells(design, ["rater"])
+    panel = design.select(F.col("rater").alias("member")).distinct()
+    got = RS.panel_fits(cells, panel, 10_000, 3).collect()
+    X = arrays(rows, "h0")[0]
+    vote = {r: arrays(rows, r)[1:] for r in raters}
+    fits = {}
+
+    def fit(ids):
+        if ids not in fits:
+            fits[ids] = newton(X, sum(vote[i][0] for i in ids), sum(vote[i][1] for i in ids))[0]
+        return fits[ids]
+
+    draws = draws_of(dense_position(panel, "member"), 10_000, 3, "member")
+    assert len(got) == sum(1 + (len(set(d)) if len(set(d)) > 1 else 0) for d in draws)
+    for r in got:
+        d = draws[r.b]
+        assert r.copies == (1 if r.member is None else d.count(r.member))
+        assert np.allclose(r.beta, fit(frozenset(d) - {r.member}), atol=1e-7)
