@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelstat.functions import scalar as S
 from panelstat.operators import hooks as H
+from panelstat.operators import lsh as LSH
 from panelstat.operators import merge as J
 from panelstat.operators import review as RV
 from panelstat.operators import similarity as SIM
@@ -95,6 +96,12 @@ def k7(spark, folder):
     return rounded(SIM.near_duplicates(T.embeddings(spark, folder), 0.35), 6)
 
 
+@query("k7_near_duplicates_lsh")
+def k7_lsh(spark, folder):
+    """No SQL: pairs that meet in no band are missing; tests hold it against the exact form."""
+    return rounded(LSH.near_duplicates_lsh(T.embeddings(spark, folder), 0.35), 6)
+
+
 @query("k8_projection")
 def k8(spark, folder):
     return rounded(SIM.project_2d(T.embeddings(spark, folder)), 4)
