@@ -347,18 +347,48 @@ def bootstrap_mean_jsd(profs: DataFrame, members: DataFrame, groups: tuple[str,
     return out.withColumn("difference", F.col("mean_a") - F.col("mean_b"))
 
 
+# hash digits that a permutation's histogram tells apart
+_DIGITS = 3
+
+
+def _thresholds(rows: DataFrame, n_first: int) -> DataFrame:
+    """(perm, last): the ``n_first``-th smallest ``at`` of every permutation.
+
+    A histogram of the leading hash digits, at most 16 ** _DIGITS counts a permutation, tells which digits hold it and
+    how many come before; only the rows of those digits, a 4096th of the panel, are sorted.
+    """
+    digits = F.substring(F.col("at.order"), 1, _DIGITS)
+    counts = rows.groupBy("perm", digits.alias("digits")).agg(F.count("*").alias("n"))
+    bars = counts.groupBy("perm").agg(F.array_sort(F.collect_list(F.struct("digits", "n"))).alias("bars"))
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("string").alias("digits"))
+
+    def step(found, bar):
+        reached = found["before"] + bar["n"] >= n_first
+        return F.when(found["digits"].isNotNull(), found).when(reached, F.struct(found["before"].alias("before"), bar["digits"].alias("digits"))).otherwise(
+            F.struct((found["before"] + bar["n"]).alias("before"), F.lit(None).cast("string").alias("digits")))
+
+    opened = bars.select("perm", F.aggregate("bars", start, step).alias("open")).select("perm", "open.digits", "open.before")
+    inside = rows.withColumn("digits", digits).join(opened, ["perm", "digits"])
+    kept = inside.groupBy("perm").agg(F.array_sort(F.collect_list("at")).alias("at"), F.max("before").alias("before"))
+    return kept.select("perm", F.get("at", (n_first - 1 - F.col("before")).cast("int")).alias("last"))
+
+
 def _relabelled(members: DataFrame, groups: tuple[str, str], n_permutations: int, seed: int) -> DataFrame:
     """(perm, group, member, first): random split of the pooled positions into groups of the old sizes.
 
-    A member that is in both groups occupies two positions.
+    A member that is in both groups occupies two positions. The first group gets the positions with the smallest hashes,
+    those up to a threshold that is found by selection: no permutation is ordered as a whole.
     """
     _check(n_permutations)
     pool = members.filter(F.col("group").isin(*groups)).select("group", "member")
-    n_first = pool.filter(F.col("group") == groups[0]).agg(F.count("*")).scalar()
+    n_first = pool.filter(F.col("group") == groups[0]).count()
     rows = pool.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), "group", "member"))
-    rank = F.row_number().over(Window.partitionBy("perm").orderBy(order, "group", "member"))
-    return rows.withColumn("rn", rank).withColumn("first", F.col("rn") <= n_first).drop("rn")
+    rows = rows.withColumn("at", F.struct(order.alias("order"), "group", "member"))
+    if not n_first:
+        return rows.drop("at").withColumn("first", F.lit(False))
+    labelled = rows.join(_thresholds(rows, n_first), "perm").withColumn("first", F.col("at") <= F.col("last"))
+    return labelled.select("perm", "group", "member", "first")
 
 
 def _mean_gap(sums: DataFrame, members: DataFrame, groups: tuple[str, str], by: str) -> DataFrame:

@@ -316,3 +316,21 @@ def test_panels_at_the_full_number(spark):
         d = draws[r.b]
         assert r.copies == (1 if r.member is None else d.count(r.member))
         assert np.allclose(r.beta, fit(frozenset(d) - {r.member}), atol=1e-7)
+
+
+@pytest.mark.parametrize("sizes", [(1, 40), (17, 24), (40, 1), (0, 5), (5, 0)])
+def test_labels_are_the_smallest_hashes(spark, sizes):
+    rows = [("a", f"m{i}") for i in range(sizes[0])] + [("b", f"m{i}") for i in range(sizes[1])] + [("other", "m0")]
+    members = spark.createDataFrame(rows, "group string, member string")
+    got = {}
+    for r in RS._relabelled(members, ("a", "b"), 6, 3).collect():
+        got.setdefault(r.perm, set()).add((r.group, r.member, r.first))
+    for perm in range(6):
+        pool = sorted((hashlib.md5(f"3|{perm}|{g}|{m}".encode()).hexdigest(), g, m) for g, m in rows if g != "other")
+        assert got[perm] == {(g, m, i < sizes[0]) for i, (_, g, m) in enumerate(pool)}
+
+
+def test_no_permutation_is_ordered_as_a_whole(spark):
+    members = spark.createDataFrame([("a", "x"), ("b", "y")], "group string, member string")
+    plan = RS._relabelled(members, ("a", "b"), 6, 3)._jdf.queryExecution().toString()
+    assert "Window" not in plan
