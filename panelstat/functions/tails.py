@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,3 +95,82 @@ def normal_p(z: pd.Series) -> pd.Series:
 def chi2_3_p(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with three degrees of freedom."""
     return pd.Series(chi2_3_sf(x.to_numpy(float)))
+
+
+# sizes up to which null distributions are counted: the smaller of two samples, and the items of a ranking
+EXACT_SAMPLE, EXACT_ITEMS = 8, 33
+# values of U that are counted at most
+EXACT_VALUES = 2_000_000
+
+
+@lru_cache(maxsize=64)
+def _rank_sum_counts(n1: int, n2: int) -> tuple[int, ...]:
+    """How many of the C(n1 + n2, n1) samples have U = 0, 1, ... n1 * n2: the Gaussian binomial's coefficients.
+
+    It is the product over i of (1 - q^(n2 + i)) / (1 - q^i), whole numbers throughout; only the lower half is made.
+    """
+    few, many = sorted((n1, n2))
+    counts = [1] + [0] * (few * many // 2)
+    for i in range(1, few + 1):
+        for u in range(len(counts) - 1, many + i - 1, -1):
+            counts[u] -= counts[u - many - i]
+        for u in range(i, len(counts)):
+            counts[u] += counts[u - i]
+    return tuple(counts)
+
+
+def rank_sum_p(u: float, n1: float, n2: float, ties: float, z: float) -> float | None:
+    """Two-sided p of U: exact without ties if a sample has at most EXACT_SAMPLE values, else normal from z.
+
+    It is normal as well if U could take over EXACT_VALUES values. An empty sample has no p.
+    """
+    n1, n2 = int(n1), int(n2)
+    if not n1 or not n2:
+        return None
+    if ties or min(n1, n2) > EXACT_SAMPLE or n1 * n2 > EXACT_VALUES:
+        return None if math.isnan(z) else float(_erfc(np.array([abs(z) / math.sqrt(2)]))[0])
+    low = int(min(u, n1 * n2 - u))
+    return min(1.0, 2 * sum(_rank_sum_counts(n1, n2)[: low + 1]) / math.comb(n1 + n2, n1))
+
+
+@F.pandas_udf(DoubleType())
+def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    rows = zip(u, n1, n2, ties, z.fillna(float("nan")))
+    return pd.Series([None if pd.isna(r[0]) else rank_sum_p(*r) for r in rows], dtype="float64")
+
+
+@lru_cache(maxsize=64)
+def _inversion_counts(n: int) -> tuple[int, ...]:
+    """How many of the n! orders have 0, 1, ... inversions."""
+    counts = [1]
+    for i in range(2, n + 1):
+        wide = [0] * (len(counts) + i - 1)
+        for k in range(i):
+            for j, c in enumerate(counts):
+                wide[j + k] += c
+        counts = wide
+    return tuple(counts)
+
+
+def rank_correlation_p(n: float, discordant: float, s: float, tx: float, ty: float, x0: float, y0: float, x1: float, y1: float) -> float | None:
+    """Two-sided p of Kendall's S = concordant - discordant.
+
+    tx, x0 and x1 sum t(t-1)/2, t(t-1)(t-2) and t(t-1)(2t+5) over the groups of t equal x, the others those of y. Exact
+    without ties up to EXACT_ITEMS items, else normal with the tie-corrected variance. A constant side has no p.
+    """
+    pairs = n * (n - 1) / 2
+    if n < 2 or tx == pairs or ty == pairs:
+        return None
+    if not tx and not ty and n <= EXACT_ITEMS:
+        few = int(min(discordant, pairs - discordant))
+        return min(1.0, 2 * sum(_inversion_counts(int(n))[: few + 1]) / math.factorial(int(n)))
+    var = (2 * pairs * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / (2 * pairs)
+    var += x0 * y0 / (9 * 2 * pairs * (n - 2)) if n > 2 else 0.0
+    return float(_erfc(np.array([abs(s) / math.sqrt(2 * var)]))[0])
+
+
+@F.pandas_udf(DoubleType())
+def kendall_p(
+    n: pd.Series, discordant: pd.Series, s: pd.Series, tx: pd.Series, ty: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series
+) -> pd.Series:
+    return _each(rank_correlation_p, n, discordant, s, tx, ty, x0, y0, x1, y1)

@@ -91,8 +91,11 @@ def linear_trend(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def mann_whitney(values: DataFrame, by: list[str], group: str, first: str, value: str) -> DataFrame:
-    """U of the first group against the rest per ``by``, with the tie-corrected normal p."""
-    from panelstat.functions.tails import normal_p
+    """U of the first group against the rest per ``by``, with its p.
+
+    The p is exact without ties if one side has at most 8 values, else the tie-corrected normal one.
+    """
+    from panelstat.functions.tails import mann_whitney_p
 
     v = values.select(*by, (F.col(group) == first).cast("int").alias("g"), F.col(value).alias("v"))
     ranks = average_rank(v, by, "v")
@@ -110,9 +113,8 @@ def mann_whitney(values: DataFrame, by: list[str], group: str, first: str, value
     n1, n = F.col("n1"), F.col("n")
     n2 = n - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    var = n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    var = n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0)))
     # continuity correction of one half
     z = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.sqrt(F.nullif(var, F.lit(0.0)))
-    return s.select(*by, u.alias("u"), z.alias("z"), n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2")).withColumn(
-        "p", normal_p("z")
-    )
+    out = s.select(*by, u.alias("u"), z.alias("z"), n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), "ties")
+    return out.withColumn("p", mann_whitney_p("u", "n1", "n2", "ties", "z")).drop("ties")

@@ -179,6 +179,30 @@ def tension_pairs(tags: DataFrame) -> DataFrame:
     return per_case.select("case_id", F.explode(pairs).alias("p")).select("case_id", "p.x", "p.y")
 
 
+@F.udtf(returnType="x string, y string")
+class TensionPairs:
+    """Table function: attribute pairs x < y of one case whose differences have opposite signs.
+
+    Takes the attributes and the differences as two arrays; null arrays, null and zero differences give no pair.
+    """
+
+    def eval(self, attributes: list, deltas: list):
+        signs = sorted((a, d > 0) for a, d in zip(attributes or [], deltas or []) if a is not None and d)
+        for i, (x, up) in enumerate(signs):
+            for y, other in signs[i + 1 :]:
+                if up != other:
+                    yield x, y
+
+
+def tension_pairs_lateral(tags: DataFrame) -> DataFrame:
+    """``tension_pairs`` by a lateral call of the table function, for callers that hold a case's differences as arrays."""
+    cell = F.struct("attribute", F.col("delta").cast("double").alias("delta"))
+    per_case = tags.groupBy("case_id").agg(F.collect_list(cell).alias("v"))  # at most one entry per attribute
+    arrays = per_case.select("case_id", F.col("v.attribute").alias("attributes"), F.col("v.delta").alias("deltas"))
+    pairs = TensionPairs(F.col("attributes").outer(), F.col("deltas").outer())
+    return arrays.lateralJoin(pairs).select("case_id", "x", "y")
+
+
 def tension_matrix(pairs: DataFrame, attributes: list[str]) -> DataFrame:
     """Symmetric co-occurrence counts as a wide matrix."""
     both = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))

@@ -90,16 +90,6 @@ def significance(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFra
     return out.withColumn("significance", cls)
 
 
-def kendall_tau(values: DataFrame, by: list[str], key: str, x: str, y: str, n_blocks: int = 4) -> DataFrame:
-    """Kendall's tau-b between two scores over the items of each group."""
-    pairs = block_pairs(values.select(*by, key, F.col(x).alias("x"), F.col(y).alias("y")), key, n_blocks, on=by)
-    sx, sy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    s = pairs.groupBy(*by).agg(
-        F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"), F.count("*").alias("n_pairs")
-    )
-    return s.select(*by, (F.col("s") / F.sqrt(F.nullif(F.col("nx") * F.col("ny"), F.lit(0.0)))).alias("tau"), "n_pairs")
-
-
 def temperature_sweep(agents: DataFrame, temperatures: list[float], group: str | None = None) -> DataFrame:
     """Mean, spread and standard error of the divergence between true and recovered profiles per temperature.
 

@@ -123,6 +123,11 @@ def a14(spark, folder):
     return M.tension_pairs(T.tags(spark, folder))
 
 
+@query("a14_tension_udtf", with_ctes("tension") + "SELECT case_id, x, y FROM tension")
+def a14_udtf(spark, folder):
+    return M.tension_pairs_lateral(T.tags(spark, folder))
+
+
 @query("a15_tension_matrix", with_ctes("tension", extra="""
   both_ways AS (SELECT x, y FROM tension UNION ALL SELECT y, x FROM tension)""") +
   "SELECT x AS attribute, " + ", ".join(f"count(*) FILTER (y='{a}') AS {a}" for a in ATTRIBUTES) + " FROM both_ways GROUP BY x")

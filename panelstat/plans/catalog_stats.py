@@ -10,6 +10,7 @@ from panelstat.operators import glm as G
 from panelstat.operators import merge as J
 from panelstat.operators import metrics as M
 from panelstat.operators import profiles as P
+from panelstat.operators import rankpairs as RP
 from panelstat.operators import resample as RS
 from panelstat.operators import summary as SM
 from panelstat.plans import oracle as O
@@ -326,7 +327,18 @@ def a34(spark, folder):
     """Shares against refusal rates, with one rater on the exclusion list."""
     shares = P.long_profiles(profs(spark, folder), ["rater"]).filter(F.col("rater") != "model/m7F")
     values = shares.join(M.refusal_rate(summary(spark, folder)), "rater")
-    return rounded(P.kendall_tau(values, ["attribute"], "rater", "share", "refusal_rate"), 6)
+    return rounded(RP.kendall_tau(values, ["attribute"], "share", "refusal_rate").select("attribute", "tau", "n_pairs"), 6)
+
+
+@query("a34_base_against_marginal")
+def a34_marginal(spark, folder):
+    """Shares of the plain fit against those of the fit with interactions, the pooled rater left out; no SQL for the penalised fits."""
+    m = _marginal(spark, folder).filter(F.col("rater") != CONSENSUS)
+    names = F.array(*[F.lit(a) for a in ATTRIBUTES])
+    z = m.select(F.explode(F.arrays_zip(names.alias("attribute"), F.col("base"), F.col("marginal"))).alias("z"))
+    # equal to 12 digits is tied
+    values = z.select("z.attribute", F.round("z.base", 12).alias("base"), F.round("z.marginal", 12).alias("marginal"))
+    return rounded(RP.kendall_tau(values, ["attribute"], "base", "marginal"), 6)
 
 
 _MW = """mv AS (SELECT t.attribute, rater LIKE 'model/%' AS g, round(t.share,12) AS v FROM prof, LATERAL (VALUES """ + _SHARES + """) t(attribute, share)
@@ -347,6 +359,13 @@ def a30(spark, folder):
         "attribute", F.col("u").cast("double").alias("u"), "n1", "n2")
 
 
+@query("a30_mann_whitney_exact")
+def a30_exact(spark, folder):
+    """The two groups inside each of eight panels, small enough for exact p; tests hold those against every relabelling."""
+    shares = _group_shares(spark, folder).withColumn("panel", F.pmod(F.crc32(F.col("member")), F.lit(8)))
+    return rounded(C.mann_whitney(shares, ["panel", "attribute"], "group", "models", "share").select("panel", "attribute", "u", "n1", "n2", "p"))
+
+
 _MWP = _MW + """, ms AS (SELECT attribute, v, count(*) AS t, count(*) FILTER (g) AS k, min(r) AS r FROM mr GROUP BY ALL),
   mu AS (SELECT attribute, sum(k*r)::double AS r1, sum(k)::double AS n1, sum(t)::double AS n, sum(t::double**3-t) AS ties FROM ms GROUP BY attribute),
   mz AS (SELECT attribute, r1-n1*(n1+1)/2 AS u, n1, n-n1 AS n2, greatest(abs(r1-n1*(n1+1)/2-n1*(n-n1)/2)-0.5,0.0)/sqrt(n1*(n-n1)/12*((n+1)-ties/(n*(n-1)))) AS z FROM mu),

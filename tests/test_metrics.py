@@ -1,9 +1,11 @@
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelstat.functions import tails
 from panelstat.operators import correlate as C
 from panelstat.operators import merge as J
 from panelstat.operators import metrics as M
@@ -101,6 +103,38 @@ def test_spearman_with_ties(spark):
     assert len(got) == 1 and got[0].rho == pytest.approx(want) and 0 < got[0].p < 1
 
 
+@pytest.mark.parametrize("n1, n2", [(1, 1), (1, 9), (3, 5), (5, 4), (2, 8)])
+def test_exact_rank_sum_p(n1, n2):
+    """Against every split of the ranks, for every U."""
+    every = [sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(range(n1 + n2), n1)]
+    for u in range(n1 * n2 + 1):
+        far = max(u, n1 * n2 - u)
+        want = min(1.0, 2 * sum(v >= far for v in every) / len(every))
+        assert tails.rank_sum_p(float(u), n1, n2, 0.0, 9.9) == pytest.approx(want, rel=1e-14)
+
+
+def test_rank_sum_p_table_and_choice(spark):
+    # critical values of the two-sided 5 % table: 13 for 8 and 8, 2 for 5 and 5, 0 for 4 and 4 at 2/70
+    assert tails.rank_sum_p(13.0, 8, 8, 0.0, 0.0) <= 0.05 < tails.rank_sum_p(14.0, 8, 8, 0.0, 0.0)
+    assert tails.rank_sum_p(2.0, 5, 5, 0.0, 0.0) <= 0.05 < tails.rank_sum_p(3.0, 5, 5, 0.0, 0.0)
+    assert tails.rank_sum_p(0.0, 4, 4, 0.0, 0.0) == pytest.approx(2 / 70)
+    normal = 0.04999579029644087  # two-sided at 1.96
+    assert tails.rank_sum_p(0.0, 9, 9, 0.0, 1.96) == pytest.approx(normal) == tails.rank_sum_p(0.0, 4, 4, 6.0, 1.96)
+    assert tails.rank_sum_p(0.0, 0, 4, 0.0, float("nan")) is None
+    rows = [("t", "A", v) for v in (1.0, 2.0, 3.0)] + [("t", "B", v) for v in (4.0, 5.0, 6.0)] + [("one", "B", 1.0)]
+    df = spark.createDataFrame(rows, "k string, g string, v double")
+    got = {r.k: (r.u, r.p) for r in C.mann_whitney(df, ["k"], "g", "A", "v").collect()}
+    assert got == {"t": (0.0, pytest.approx(2 / 20)), "one": (0.0, None)}
+
+
+def test_tension_table_function(spark):
+    rows = [("c1", "a", 1), ("c1", "b", -2), ("c1", "c", 0), ("c1", "d", 1), ("c1", "e", -1), ("c2", "a", 1), ("c3", "a", None), ("c3", "b", 1)]
+    tags = spark.createDataFrame(rows, "case_id string, attribute string, delta int")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(M.tension_pairs_lateral(tags)) == key(M.tension_pairs(tags)) == [("c1", "a", "b"), ("c1", "a", "e"), ("c1", "b", "d"), ("c1", "d", "e")]
+    assert M.tension_pairs_lateral(tags.limit(0)).count() == 0
+
+
 def test_mann_whitney(spark):
     a, b = [1.0, 4.0, 6.0, 6.0], [2.0, 6.0, 7.0, 8.0, 9.0]
     u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)

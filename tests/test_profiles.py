@@ -75,18 +75,6 @@ def test_to_reference(profiles):
     assert len(got) == len(rows) - 1 and got["one"] == pytest.approx(js(vec["one"], vec["flat"]))
 
 
-def test_kendall(spark):
-    x, y = [1, 2, 2, 4, 3], [2, 1, 3, 4, 4]
-    s = nx = ny = 0
-    for i in range(5):
-        for j in range(i):
-            a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
-            s, nx, ny = s + a * b, nx + abs(a), ny + abs(b)
-    df = spark.createDataFrame([("g", str(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k string, r string, x double, y double")
-    got = P.kendall_tau(df, ["k"], "r", "x", "y").first()
-    assert got.tau == pytest.approx(s / math.sqrt(nx * ny)) and got.n_pairs == 10
-
-
 def test_block_pairs_within_groups(spark):
     df = spark.createDataFrame([(g, f"k{i}") for g in "ab" for i in range(9)], "g string, k string")
     got = [(r.g, r.a.k, r.b.k) for r in block_pairs(df, "k", 4, on=["g"]).collect()]
