@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstat.functions.scalar import UUID_PREFIX
@@ -101,24 +101,69 @@ def survey_layout(
     return SurveyLayout(start, at["name"], at["email"], at["expertise"], at["timestamp"], cases, notes)
 
 
+HEAD_FOLDER, ROWS_FOLDER = "0-head", "1-rows"
+
+
+def write_survey_csv(rows: DataFrame, head: list[list[str]], path: str, order: str = "row", n_files: int | None = None) -> None:
+    """Survey rows, one column per header cell, as many part files in the order of ``order``; the head rows in a file of their own.
+
+    The column ``order`` is not written. Files are named so that their paths sort as the rows do, and the rows meet by range,
+    so no task holds more than its share. Nulls are written as empty cells.
+    """
+    spark = rows.sparkSession
+    cells = [c for c in rows.columns if c != order]
+    if any(len(r) != len(cells) for r in head):
+        raise ValueError("every head row needs one cell per column")
+    save = lambda df, folder: df.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).mode("overwrite").csv(f"{path}/{folder}")
+    top = spark.createDataFrame([tuple(r) for r in head], ", ".join(f"`{c}` string" for c in cells)).coalesce(1)
+    save(top, HEAD_FOLDER)
+    dealt = rows.repartitionByRange(n_files, order) if n_files else rows.repartitionByRange(order)
+    save(dealt.sortWithinPartitions(order).select(*cells), ROWS_FOLDER)
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
+    """``_row``, counted from 0 over all files in the order of their paths, in place of ``_file``.
+
+    A file is read by one task in its own order; the rows of the files before it are added. The order of files is a window
+    over one row per file.
+    """
+    inside = F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = raw.groupBy("_file").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = raw.withColumn("_inside", inside).join(offsets, "_file")
+    return placed.withColumn("_row", F.col("_before") + F.col("_inside")).drop("_file", "_at", "_inside", "_before")
+
+
 def read_survey_csv(spark: SparkSession, path: str, **columns) -> tuple[DataFrame, SurveyLayout]:
-    """(rows, layout) of one export file: row number, person columns and one column per case id.
+    """(rows, layout) of an export: row number, person columns and one column per case id.
 
-    Quoted cells may span lines and a byte-order mark is dropped. Only the three first rows reach
-    the driver, to decide the layout. Row numbers are those of one file, so a folder of files is refused.
+    An export is one file, or a folder of files that continue each other in the order of their paths, as
+    ``write_survey_csv`` makes them. Quoted cells may span lines, so a file is read by one task; a byte-order mark is
+    dropped. Only the three first rows reach the driver, to decide the layout. Row numbers are those of the whole export.
     """
-    raw = (
-        spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    if len(raw.inputFiles()) > 1:
-        raise ValueError(f"{path} has more than one file; read them one by one")
-    names = raw.columns
-    first = F.regexp_replace(F.col(names[0]), "^﻿", "").alias(names[0])
-    raw = raw.select(F.monotonically_increasing_id().alias("_row"), first, *names[1:])
-    head = [[("" if v is None else v) for v in r[1:]] for r in raw.limit(3).collect()]
+    reader = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("recursiveFileLookup", True)
+    files = sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
+    head, names = [], []
+    for file in files:  # ends with the file that holds the third row
+        first = reader.csv(file)
+        if len(first.columns) > len(names):
+            names = first.columns
+        head += [["" if v is None else v for v in r] for r in first.limit(3 - len(head)).collect()]
+        if len(head) == 3:
+            break
+    if head:
+        head[0][0] = head[0][0].removeprefix("\ufeff")
     layout = survey_layout(head, **columns)
+    raw = reader.schema(", ".join(f"`{c}` string" for c in names)).csv(path)
+    first = F.regexp_replace(F.col(names[0]), "^\ufeff", "").alias(names[0])
+    if len(files) == 1:
+        raw = raw.select(F.monotonically_increasing_id().alias("_row"), first, *names[1:])
+    else:
+        place = [F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")]
+        raw = _numbered(raw.select(*place, first, *names[1:]))
     cell = lambda i: F.coalesce(F.col(names[i]), F.lit("")) if i is not None else F.lit("")
     body = raw.filter(F.col("_row") >= layout.first_data_row)
     body = body.filter(F.exists(F.array(*names), lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0))

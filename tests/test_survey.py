@@ -4,7 +4,7 @@ import pytest
 
 from panelstat.functions.scalar import PARTICIPANT_PREFIX
 from panelstat.operators import survey as SV
-from panelstat.sources.survey_csv import find_column, header_layout, read_survey_csv, survey_layout
+from panelstat.sources.survey_csv import find_column, header_layout, read_survey_csv, survey_layout, write_survey_csv
 
 A = "0075b71f-ec8f-4884-8297-5119de2e4b0e"
 B = "1175b71f-ec8f-4884-8297-5119de2e4b0e"
@@ -109,3 +109,25 @@ def test_import_statistics(spark, cases):
     known = spark.createDataFrame([("p",)], "participant_id string")
     r = SV.import_statistics(resp, cases, people, known).first()
     assert (r.cases_updated, r.responses_saved, r.participants_added) == (2, 3, 1)
+
+
+@pytest.mark.parametrize("n_files", [1, 3, 8])
+def test_survey_in_many_files(spark, tmp_path, n_files):
+    """Row numbers are those of one file, cells with line breaks, quotes and commas stay whole, blank rows keep their place."""
+    case = "00000001-0000-4000-8000-000000000000"
+    head = [["QID"] * 4, ["Name", "Email", "Recorded Date", f"{case} - a"]]
+    said = [(i, f"n{i}", 'a "b", c\nd' if i % 3 else "", None, None if i % 5 == 0 else " x") for i in range(40)]
+    said[7] = (7, None, None, None, None)
+    rows = spark.createDataFrame(said, "row int, name string, email string, recorded string, answer string").repartition(5)
+    path = str(tmp_path / f"s{n_files}")
+    write_survey_csv(rows, head, path, n_files=n_files)
+    got, layout = read_survey_csv(spark, path)
+    assert layout.first_data_row == 2 and layout.cases == {3: case}
+    want = sorted((i + 3, n or "", e or "", a or "") for i, n, e, _, a in said if i != 7)
+    assert sorted((r.row, r.name, r.email, r[case]) for r in got.collect()) == want
+    files = [p for p in (tmp_path / f"s{n_files}" / "1-rows").glob("part-*")]
+    assert len(files) == n_files
+    write_survey_csv(rows.limit(0), head, path)
+    assert read_survey_csv(spark, path)[0].count() == 0
+    with pytest.raises(ValueError, match="one cell per column"):
+        write_survey_csv(rows, [["Name"]], path)
