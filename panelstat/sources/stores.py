@@ -18,24 +18,48 @@ def _times(df: DataFrame) -> DataFrame:
     )
 
 
-def read_registry(spark: SparkSession, path: str, rows: bool = False) -> DataFrame:
+def read_registry(spark: SparkSession, path: str, rows: bool = False, entry_lines: bool = False) -> DataFrame:
     """Participants of a registry; a missing one is empty (S3).
 
-    The interchange form is one JSON object keyed by participant id; ``rows`` reads the splittable
-    one-line-per-participant form that ``write_registry`` makes.
+    The interchange form is one JSON object keyed by participant id. ``entry_lines`` reads such an object with one entry a
+    line, which ``write_registry_parts`` makes, in pieces of any size; JSON has no bare line breaks inside its strings, so a
+    line is an entry, and a line that is none fails the job. Any other layout of the object is read as one row. ``rows``
+    reads the one-line-per-participant form of ``write_registry``.
     """
     try:
         if rows:
             return _times(spark.read.schema(_REGISTRY_ROW).json(path))
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.option("recursiveFileLookup", entry_lines).text(path, wholetext=not entry_lines)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return _times(spark.createDataFrame([], _REGISTRY_ROW))
-    entries = text.select(F.explode(F.from_json("value", f"map<string, {REGISTRY_ENTRY}>")).alias("participant_id", "e"))
+    if entry_lines:
+        entry = F.regexp_replace(F.trim("value"), r"^[{,]|,$", "")
+        text = text.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value")).filter(~F.col("value").isin("{}", "{}}"))
+    parsed = F.from_json("value", f"map<string, {REGISTRY_ENTRY}>", {"mode": "FAILFAST"} if entry_lines else {})
+    entries = text.select(F.explode(parsed).alias("participant_id", "e"))
     return _times(entries.select("participant_id", "e.*"))
 
 
+def write_registry_parts(participants: DataFrame, path: str) -> None:
+    """The keyed object as files that continue each other in the order of their paths, an entry a line.
+
+    The first file opens the object with the entry of the least id, the rows are written by all tasks, the last file closes
+    it: put together, the files are one JSON document. Ids are unique. ``read_registry(entry_lines=True)`` reads it in parts.
+    """
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    body = F.struct("name", "email", "expertise", iso("first_seen"), iso("last_seen"))
+    whole = F.to_json(F.create_map(F.col("participant_id"), body))
+    entries = participants.select("participant_id", whole.alias("w")).selectExpr("participant_id", "substring(w, 2, length(w) - 2) AS entry")
+    least = entries.agg(F.min("participant_id").alias("least"), F.min_by("entry", "participant_id").alias("entry"))
+    save = lambda df, folder: df.write.mode("overwrite").text(f"{path}/{folder}")
+    save(least.select(F.concat(F.lit("{"), F.coalesce("entry", F.lit(""))).alias("value")).coalesce(1), "0-open")
+    rest = entries.filter(F.col("participant_id") != least.select("least").scalar())
+    save(rest.select(F.concat(F.lit(","), "entry").alias("value")), "1-entries")
+    save(participants.sparkSession.range(1).select(F.lit("}").alias("value")).coalesce(1), "2-close")
+
+
 def write_registry(participants: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One line per participant with ISO times."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)

@@ -111,3 +111,31 @@ def test_evaluations(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"username": "ann", "reviewed_case_ids": ["c"]}))
     assert {r.evaluator for r in ST.read_evaluations(spark, str(tmp_path / "ev")).collect()} == {"ann", "bo"}
     assert ST.read_sessions(spark, str(tmp_path / "s.json")).first().reviewed_case_ids == ["c"]
+
+
+def test_registry_object_in_parts(spark, tmp_path):
+    """The files together are the one JSON document; lines are entries whatever the texts hold; nobody is lost."""
+    said = [(f"participant_{i:08x}", f'n{i} "q", {{x}}\nline' if i % 2 else None, f"e{i}@x.org", "", "2024-01-02 03:04:05.000006", None) for i in range(50)]
+    rows = spark.createDataFrame(said, "participant_id string, name string, email string, expertise string, first_seen string, last_seen string")
+    people = rows.withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for n, some in ((50, people.repartition(6)), (1, people.limit(1)), (0, people.limit(0))):
+        path = tmp_path / f"r{n}"
+        ST.write_registry_parts(some, str(path))
+        parts = sorted(p for p in path.rglob("part-*"))
+        whole = json.loads("".join(p.read_text() for p in parts))
+        assert len(whole) == n and key(ST.read_registry(spark, str(path), entry_lines=True)) == key(some)
+        (tmp_path / f"one{n}.json").write_text(json.dumps(whole))
+        assert key(ST.read_registry(spark, str(tmp_path / f"one{n}.json"))) == key(some)
+    assert len(list((tmp_path / "r50" / "1-entries").glob("part-*"))) > 1
+    bad = tmp_path / "bad.json"
+    bad.write_text('{"a": {"name": "x"}\n,"b": {"name"\n}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ST.read_registry(spark, str(bad), entry_lines=True).collect()
+
+
+def test_registry_object_in_one_file(spark, tmp_path):
+    people = spark.createDataFrame([("p1", "Ann", "a@x.org", "", None, None)], "participant_id string, name string, email string, expertise string, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    file = tmp_path / "registry.json"
+    ST.write_registry_object(people, str(file))
+    assert list(json.loads(file.read_text())) == ["p1"] and ST.read_registry(spark, str(file)).collect() == people.collect()
