@@ -35,6 +35,7 @@ RATES = (1 / 64, 1 / 128, 1 / 256, 1 / 512)
 PER_RATE = 8
 MAX_LEXICON = 4_000_000
 BLOCK_BYTES = 16 << 20
+RANGES = 1 << 14  # at most so many ranges of ids; a range is sorted and read as a stream, so it may be long
 _U = np.uint64
 FLUSH = 1 << 20
 
@@ -135,15 +136,16 @@ def with_edits(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFra
     The document that follows is the next in descending doc_id, null ids last, equal ids by text; after
     the last comes the first. Documents are dealt to ranges of ids whose first ids are real ones; a range's first row goes to the range
     before as well, so every row meets the one that follows it and texts are shuffled once. The ids that
-    bound the ranges come from a sample, which decides no more than how even the ranges are.
+    bound the ranges come from a sample of about 16 ids a range, which decides no more than how even the ranges are.
+    Rows of one id are one range, whatever their number.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n, size, top = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), F.max("doc_id")).first()
-    blocks = n_blocks(spark, size or 0, BLOCK_BYTES)
+    blocks = min(RANGES, n_blocks(spark, size or 0, BLOCK_BYTES))
     every = 16
     sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (every * blocks)))) == 0).select("doc_id").dropna().distinct()
-    ids = sorted((r[0] for r in sample.collect()), reverse=True)  # about 16 ids for each 16 MB of text
+    ids = sorted((r[0] for r in sample.collect()), reverse=True)  # about 16 ids a range
     firsts = np.array(sorted({*ids[every // 2::every], *([top] if top is not None else [])}, reverse=True), np.int64)
     lex = spark.sparkContext.broadcast(lexicon(own, low, high))
     # range k holds ids from firsts[k] down to above firsts[k + 1]; null ids end the last range

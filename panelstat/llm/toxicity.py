@@ -7,8 +7,9 @@ n-grams are shared, a misspelt or inflected word is near the word it comes from.
 
 Embeddings and softmax are trained jointly by gradient steps (AdaGrad) in NumPy, first on whole documents, then in
 rounds on the window of each document that the model finds worst. Training reads a bounded sample: of each label
-at most ``sample`` documents of at most ``longest`` bytes, those with the smallest hashes; equal rows teach
-once. The model has a fixed size; every document is scored in full.
+at most ``sample`` documents, those with the smallest hashes; equal rows teach once. A document of more than ``longest``
+bytes teaches by one piece of that many bytes, cut between words: a clean one by any (its hash decides), a toxic one by the piece that a
+model of the others finds worst, as its label may come from any place. The model has a fixed size; every document is scored in full.
 
 Defined cases: a null or empty text scores as a window without words does; labels are 0 or 1, rows without doc_id or
 label teach nothing, and of several labels of a document the largest counts; without examples of both labels every score
@@ -18,6 +19,7 @@ is the share of toxic ones (0 without any).
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstat.llm import words as W
+from panelstat.llm.common import cut
 
 BITS, DIM, WIDTH = 18, 8, 6
 GRAMS = (3, 4, 5)
@@ -206,22 +209,64 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, dim: int = DIM,
     return model
 
 
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _piece(data: bytes, start: int, size: int) -> str:
+    """Whole words among ``size`` bytes from ``start``; a part of a word only if it alone is longer."""
+    part = data[start: start + size]
+    spaces = [m.start() for m in _SPACES.finditer(part)]
+    a, z = 0, len(part)
+    if spaces and start and not _SPACES.match(data, start - 1):
+        a = spaces[0]
+    if spaces and start + size < len(data) and not _SPACES.match(data, start + size):
+        z = spaces[-1]
+    return part[a:max(a, z)].decode(errors="ignore")
+
+
+def pieces(text: str, size: int) -> list[str]:
+    """Pieces of at most ``size`` bytes that overlap by half; a text that is no longer is its only piece."""
+    data = text.encode()
+    return [text] if len(data) <= size else [_piece(data, a, size) for a in range(0, len(data) - size // 2, max(1, size // 2))]
+
+
+def _excerpts(texts: DataFrame, longest: int, model: Model | None = None) -> DataFrame:
+    """(_h, text, y) with each long text cut to its worst piece, or to the one its hash names if there is no model."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = pieces(text, longest)
+                out.append(own[h % len(own) if model is None or len(own) == 1 else int(model.scores(pa.array(own, pa.string())).argmax())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], names=["_h", "text", "y"])
+
+    if model is not None:
+        sent = texts.sparkSession.sparkContext.broadcast((model.embeddings, model.weights, model.bias, model.width, model.prior))
+
+        def by_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal model
+            model = Model(*sent.value)
+            yield from each(batches)
+
+    return texts.select("_h", "text", "y").mapInArrow(each if model is None else by_model, "_h long, text string, y int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, sample: tuple[int, int] = SAMPLE, longest: int = LONGEST, **options) -> Model:
     """A model from labels (doc_id, toxic) of documents for which ``train_on`` (a condition on doc_id) holds.
 
-    sample: at most so many clean and toxic documents. They are trained on in one task.
+    sample: at most so many clean and toxic documents. They are trained on in one task, each by at most ``longest`` bytes.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.filter(train_on) if train_on is not None else known
-    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("y"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
     own_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
     # the sample is chosen without its texts: at most sum(sample) hashes, by which each task then picks its texts
-    rows = docs.select(own_id.alias("_id"), F.xxhash64(own_id, text).alias("_h"), F.octet_length(text).alias("_n"))
-    rows = rows.filter(F.col("_n") <= longest).join(known, "_id")
+    rows = docs.select(own_id.alias("_id"), F.xxhash64(own_id, text).alias("_h")).join(known, "_id")
     chosen = [rows.filter(F.col("y") == k).select("_h", "_id", "y").distinct().orderBy("_h", "_id").limit(n) for k, n in enumerate(sample)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     texts = docs.select(own_id.alias("_i"), text.alias("text")).withColumn("_x", F.xxhash64("_i", "text"))
-    texts = texts.join(chosen, (F.col("_x") == F.col("_h")) & (F.col("_i") == F.col("_id"))).select("_h", "text", "y")
+    texts = cut(texts.join(chosen, (F.col("_x") == F.col("_h")) & (F.col("_i") == F.col("_id"))).select("_h", "text", "y"), "toxicity-sample")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)})
@@ -229,8 +274,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, samp
         kept = (model.embeddings.astype(np.float32), model.weights, model.bias, model.width, model.prior)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(kept)], pa.binary())], names=["model"])
 
-    found = texts.repartition(1).mapInArrow(learn, "model binary").collect()
-    return Model(*pickle.loads(found[0][0])) if found else train(pa.array([], pa.string()), np.zeros(0))
+    def model_of(examples: DataFrame) -> Model:
+        found = examples.repartition(1).mapInArrow(learn, "model binary").collect()
+        return Model(*pickle.loads(found[0][0])) if found else train(pa.array([], pa.string()), np.zeros(0))
+
+    open_ = (F.col("y") == 1) & (F.octet_length("text") > longest)
+    sure, hidden = _excerpts(texts.filter(~open_), longest), texts.filter(open_)
+    model = model_of(sure)
+    if hidden.isEmpty():
+        return model
+    if model.prior is not None:  # no toxic document is short enough to begin with
+        model = model_of(sure.unionByName(_excerpts(hidden, longest)))
+    return model_of(sure.unionByName(_excerpts(hidden, longest, model if model.prior is None else None)))
 
 
 def scorer(spark: SparkSession, model: Model):

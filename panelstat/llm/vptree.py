@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelstat.llm.common import cut
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 4_096, 128
+SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 32_768, 128
 K = 10
 FACTOR = 1.0
 

@@ -79,3 +79,68 @@ def test_fit_and_filter(spark):
     none = toxicity.fit(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_pieces():
+    text = " ".join(f"wörd{i}" for i in range(300))
+    got = toxicity.pieces(text, 100)
+    words = text.split()
+    assert {w for p in got for w in p.split()} == set(words) and all(len(p.encode()) <= 100 for p in got)
+    for p in got:
+        k = words.index(p.split()[0])
+        assert p.split() == words[k: k + len(p.split())]
+    runs = {tuple(p.split()[i: i + 4]) for p in got for i in range(len(p.split()) - 3)}
+    assert {tuple(words[i: i + 4]) for i in range(297)} <= runs
+    assert toxicity.pieces("", 5) == [""] and toxicity.pieces("short", 5) == ["short"]
+    assert "".join(toxicity.pieces("é" * 50, 20)).strip("é") == ""
+
+
+@pytest.mark.parametrize("some_short", [True, False])
+def test_long_documents_teach_too(spark, some_short):
+    """Toxic words that only long documents have are learnt if they stand near known ones, wherever in the text."""
+    rnd = random.Random(8)
+    filler = lambda n: [rnd.choice(["an", "the", "orha", "string", "table"]) for _ in range(n)]
+    rows = []
+    for i, text, y in make(5, 600):
+        words = text.split()
+        if i % 2 or not some_short:
+            words = [w for w in words if not any(b in w for b in BAD)] + filler(600 if some_short else 80)
+            if y:
+                at = rnd.randrange(len(words))
+                words[at:at] = ["scum", "zugqat", "idiot"]
+        rows.append((i, " ".join(words), y))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, longest=2_000 if some_short else 400)
+    # where the three always come together, any of them may carry the label
+    bad = model.scores(pa.array(["the orha scum ing string", "the orha zugqat an zugqat string"] if some_short else ["the orha scum zugqat idiot string"]))
+    good = model.scores(pa.array(["the orha table an ing string", "re ble an the"]))
+    assert bad.min() >= toxicity.THRESHOLD > good.max()
+
+
+def test_a_long_document_gives_its_worst_piece(spark):
+    rows = make(0, 400)
+    model = toxicity.train(pa.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    texts = ["the orha reing " * n + "idiot scum " + "an ing ble " * (3000 - n) for n in (0, 1, 999, 3000)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, "short idiot", ""])], "_h long, text string, y int")
+    got = {r[0]: r[1] for r in toxicity._excerpts(df, 500, model).collect()}
+    assert all("idiot" in got[i] and len(got[i]) <= 500 for i in range(4)) and got[4] == "short idiot" and got[5] == ""
+
+
+def test_scores_by_hand():
+    """The score of a text is that of its worst window, by plain sums over hashed n-grams."""
+    rnd = np.random.default_rng(5)
+    model = toxicity.Model(rnd.normal(size=(1 << 10, 3)).astype(np.float32), rnd.normal(size=(3, 2)), rnd.normal(size=2), 6)
+    for text in ("one", "one two two three", " ".join(f"w{i} x" for i in range(9)), "É é a"):
+        low = [w.decode() for w in text.encode().lower().split()]
+        words = [w for k, w in enumerate(low) if not k or low[k - 1] != w]
+        bag = []
+        for w in words:
+            b = toxicity.bags(pa.array([w]), 10)
+            bag.append(b.ids)
+            n = len(w.encode()) + 2
+            assert len(b.ids) == sum(max(0, n - g + 1) for g in toxicity.GRAMS) + 1
+        spans = [bag[a: a + 6] for a in range(max(1, len(bag) - 5))]
+        z = [model.embeddings[np.concatenate(s)].astype(float).mean(0) @ model.weights + model.bias for s in spans]
+        want = max(np.exp(v[1]) / np.exp(v).sum() for v in z)
+        assert model.scores(pa.array([text]))[0] == pytest.approx(want, rel=1e-6)
