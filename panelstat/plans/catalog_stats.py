@@ -91,7 +91,17 @@ def a11(spark, folder):
     return rounded(C.spearman(_model_pairs(spark, folder), ["rater"]).drop("p"))
 
 
-@query("a11_entropy_rank_p_values")
+def t_tail_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t for whole degrees of freedom, by its finite sums of powers of a cosine."""
+    a = f"atan(abs({t})/sqrt({df}))"
+    even = f"list_sum(list_transform(range(0, ({df}//2)::bigint), lambda k: exp(lgamma(2*k+1) - 2*k*ln(2) - 2*lgamma(k+1) + 2*k*ln(cos({a})))))"
+    odd = f"list_sum(list_transform(range(1, (({df}+1)//2)::bigint), lambda k: exp(2*(k-1)*ln(2) + 2*lgamma(k) - lgamma(2*k) + (2*k-1)*ln(cos({a})))))"
+    return f"CASE WHEN {df}%2=0 THEN 1 - sin({a})*{even} ELSE 1 - 2/pi()*({a} + sin({a})*coalesce({odd}, 0)) END"
+
+
+@query("a11_entropy_rank_p_values", with_ctes("summary", extra=_PAIRS + f", sp AS ({_spearman_sql('ep', 'rater')})") +
+       f"""SELECT rater, {r9('rho', 'rho')}, n, {r9('CASE WHEN rho IS NULL THEN NULL WHEN abs(rho)>=1 THEN 0.0 ELSE ' + t_tail_sql('t', 'df') + ' END', 'p')}
+  FROM (SELECT *, n-2 AS df, rho*sqrt((n-2)/nullif(1-rho*rho, 0)) AS t FROM sp WHERE n>=3)""")
 def a11_p(spark, folder):
     return rounded(C.spearman(_model_pairs(spark, folder), ["rater"]))
 
