@@ -139,3 +139,13 @@ def test_registry_object_in_one_file(spark, tmp_path):
     file = tmp_path / "registry.json"
     ST.write_registry_object(people, str(file))
     assert list(json.loads(file.read_text())) == ["p1"] and ST.read_registry(spark, str(file)).collect() == people.collect()
+
+
+def test_summaries_keep_the_sessions_partitions(spark, tmp_path):
+    """Native keys have few bytes, by which adaptive execution joins partitions; the ids that follow have ten times as many."""
+    from panelstat.sources import tables
+
+    spark.range(300).selectExpr("id % 30 l_partkey", "int(id % 7 + 1) l_linenumber", "'O' l_linestatus", "'A' l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    s = tables.model_summary(spark, str(tmp_path))
+    assert s.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert s.agg({"runs_completed": "sum"}).first()[0] == 300
