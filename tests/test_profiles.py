@@ -96,3 +96,14 @@ def test_significance(spark):
     got = {r.k: r.significance for r in P.significance(df).collect()}
     assert got == {"a": "corrected", "b": "nominal", "c": "nominal", "d": "none"}
     assert P.significance(df).agg(F.max("bonferroni")).first()[0] == pytest.approx(0.0125)
+
+
+def test_mean_within_group_makes_no_pair_rows(spark, profiles):
+    rows, df = profiles
+    members = df.select(F.when(F.col("rater") < "r5", "g").otherwise("h").alias("group"), F.col("rater").alias("member"))
+    members = members.union(spark.createDataFrame([("alone", "r1"), ("h", "nobody")], "group string, member string"))
+    want = {tuple(r) for r in P.mean_within_group(P.jsd_matrix(df), members).selectExpr("group", "round(mean_jsd, 9)", "n_pairs").collect()}
+    blocks = P.mean_within_group(df, members)
+    assert {tuple(r) for r in blocks.selectExpr("group", "round(mean_jsd, 9)", "n_pairs").collect()} == want
+    totals = {r.rater: r.total for r in P.divergence_totals(df, "rater", n_blocks=3).collect()}
+    assert sum(totals.values()) / 2 == pytest.approx(sum(r.jsd for r in P.jsd_matrix(df).collect()))
