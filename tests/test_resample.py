@@ -334,3 +334,44 @@ def test_no_permutation_is_ordered_as_a_whole(spark):
     members = spark.createDataFrame([("a", "x"), ("b", "y")], "group string, member string")
     plan = RS._relabelled(members, ("a", "b"), 6, 3)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def _operators(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_and_slots_are_no_rows(spark, positions):
+    """Slots, and draws of an item before the result, were rows that were shuffled."""
+    values = spark.createDataFrame([("r", f"c{i}", float(i)) for i in range(40)], "rater string, case_id string, value double")
+    assert "Generate" not in _operators(RS.bootstrap_draws(positions, 4, 1))
+    assert _operators(RS.bootstrap_means(values, positions, ["rater"], 4, 1)).count("Generate") == 1  # the result's
+
+
+def test_draws_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(RS, "DRAW_BLOCK", 7)
+    pos = dense_position(spark.range(40).select(F.concat(F.lit("c"), "id").alias("case_id")), "case_id").cache()
+    got = {(r.b, r.case_id): r.weight for r in RS.bootstrap_draws(pos, 300, 9).collect()}
+    assert got == {(b, c): w for b, d in enumerate(draws_of(pos, 300, 9)) for c, w in zip(*np.unique(d, return_counts=True))}
+
+
+@pytest.mark.parametrize("sizes", [(3, 30), (30, 3), (20, 20)])
+def test_null_of_sparse_and_dense_labels(spark, monkeypatch, sizes):
+    """Labels reach the statistic as lists per position; before, positions times permutations were rows."""
+    monkeypatch.setattr(RS, "PAIR_DRAWS", 7)
+    rng = np.random.default_rng(1)
+    prof = {f"{g}{i}": rng.dirichlet(np.ones(4)) for g, n in zip("ab", sizes) for i in range(n)}
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in prof.items()], "rater string, profile array<double>")
+    members = spark.createDataFrame([(k[0].upper(), k) for k in prof], "group string, member string")
+    null = RS.permutation_null_jsd(df, members, ("A", "B"), 30, 5)
+    assert "Generate [explode(sequence(0, 29" not in _operators(null)
+    got = {r.perm: r.statistic for r in null.collect()}
+    for p in range(30):
+        order = [m for _, _, m in sorted((hashlib.md5(f"5|{p}|{k[0].upper()}|{k}".encode()).hexdigest(), k[0], k) for k in prof)]
+        assert got[p] == pytest.approx(abs(mean_js(prof, order[: sizes[0]]) - mean_js(prof, order[sizes[0] :])))
+
+
+def test_labels_are_made_in_many_tasks(spark):
+    """R9's members come out of a shuffle by the same keys; a repetition of it would leave one task."""
+    members = spark.createDataFrame([("a", f"m{i}") for i in range(20)] + [("b", "y")], "group string, member string").distinct()
+    lists, n_first, n_second = RS._first_group(members, ("a", "b"), 6, 3)
+    assert (n_first, n_second) == (20, 1) and lists.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
