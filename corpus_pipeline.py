@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are alike to 0.8 or more."""
+    """One document of each group of texts whose SimHash fingerprints differ in at most 3 bits or whose five-word shingles are alike to 0.8 or more."""
     return simhash.first_alike(docs)
 
 

@@ -127,6 +127,11 @@ def close_pairs(fps: DataFrame, radius: int = RADIUS, blanks: int = BLANKS) -> D
     return left.hint("merge").join(right.hint("merge"), "value").filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & (F.col("value") == first)).select("a", "b")
 
 
+def linked(fps: DataFrame, radius: int = RADIUS, blanks: int = BLANKS) -> DataFrame:
+    """The pairs of ``close_pairs`` among the distinct fingerprints ``fp``, written once."""
+    return cut(close_pairs(fps, radius, blanks), "simhash-pairs")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blanks: int = BLANKS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), n_links.
 
@@ -134,7 +139,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     """
     fps = cut(fingerprints(docs, width), "simhash")
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    pairs = cut(close_pairs(classes.select("fp"), radius, blanks), "simhash-pairs")
+    pairs = linked(classes.select("fp"), radius, blanks)
     roots = components(pairs)
     links = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -143,7 +148,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return fps.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-# Near copies by their shingle sets: equal minima find families, the sets themselves judge.
+# Near copies by their fingerprints and, besides, by their shingle sets: equal minima find families, the sets themselves judge.
 
 WIDE, SHARE = 5, 0.8
 ROWS, GROUPS = 5, 25  # a pair of likeness 0.8 shares no value of 25 with probability (1 - 0.8 ** 5) ** 25 = 5e-5
@@ -219,7 +224,7 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDE) -> DataFrame:
-    """The rows of ``docs`` as doc_id, node, s0 and s1 (a bit of each minimum), values (of ROWS minima each), shingles and n (how many)."""
+    """The rows of ``docs`` as doc_id, fp (SimHash), node, s0 and s1 (a bit of each minimum), values (of ROWS minima each), shingles and n (how many)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,13 +237,14 @@ def sketches(docs: DataFrame, width: int = WIDE) -> DataFrame:
                     values = W._mixed(values ^ least[:, r: GROUPS * ROWS: ROWS])
                 short = [_shortened(s) for s in sets]
                 values = [v if len(s) else v[:0] for v, s in zip(values.view(np.int64), sets, strict=True)]
+                fps = np.array([simhash(shingle_hashes(x.as_py(), SHINGLE)) for x in b.column(1).slice(done, len(sets))], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(done, len(sets)), pa.array([_set_node(s) for s in sets], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]),
+                    b.column(0).slice(done, len(sets)), pa.array(fps, pa.int64()), pa.array([_set_node(s) for s in sets], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]),
                     pa.array(values, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32())), pa.array([len(s) for s in short], pa.int64()),
-                ], names=["doc_id", "node", "s0", "s1", "values", "shingles", "n"])
+                ], names=["doc_id", "fp", "node", "s0", "s1", "values", "shingles", "n"])
                 done += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, node long, s0 long, s1 long, values array<long>, shingles array<int>, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long, node long, s0 long, s1 long, values array<long>, shingles array<int>, n long")
 
 
 def _links(far: int):
@@ -378,8 +384,8 @@ def families(classes: DataFrame, far: int = FAR) -> DataFrame:
     return components(cut(rows.mapInArrow(_links(far), "a long, b long"), "shingle-candidates"))
 
 
-def alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
-    """(doc_id, component_id, node, root) of every row: documents whose sets of shingles are alike to ``share`` or more are linked.
+def _judged(docs: DataFrame, share: float, width: int, far: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sketches, their classes by node, and edges (a, b) that join all nodes alike to ``share`` or more.
 
     Sets that share a value and whose sketches differ in at most ``far`` bits make families. Every family's sets come
     together once and are judged exactly, all against all; what a task hands on is a forest of the alike ones. A family over
@@ -400,9 +406,26 @@ def alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = F
     # sort and merge at every size: the sets are as large as the texts, and the families grow with them
     sets = own.select("_row", "node", "shingles").hint("merge").join(met.hint("merge"), F.col("_row") == F.col("_r")).select("root", "i", "j", "node", "shingles")
     judged = sets.withColumn("_bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(bins))).groupBy("_bin").applyInArrow(_judge(share), "a long, b long")
+    return own, classes, judged
+
+
+def alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
+    """(doc_id, component_id, node, root) of every row: documents whose sets of shingles are alike to ``share`` or more are linked."""
+    own, classes, judged = _judged(docs, share, width, far)
     return _grouped(own, classes, components(judged))
 
 
+def near_copies(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
+    """(doc_id, component_id, node, root) of every row: documents are linked by their fingerprints, as in ``near_duplicates``, or as in ``alike``."""
+    own, classes, judged = _judged(docs, share, width, far)
+    held = cut(own.select("fp", "node").distinct(), "simhash-nodes")
+    one = cut(held.groupBy("fp").agg(F.min("node").alias("one")), "simhash-classes")
+    same = held.join(one, "fp").filter("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    ends = [one.select(F.col("fp").alias(c), F.col("one").alias(f"_{c}")) for c in "ab"]
+    close = linked(one.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return _grouped(own, classes, components(judged.unionByName(same).unionByName(close)))
+
+
 def _grouped(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, component_id, node, root) of every row of ``own``; nodes without a root are their own."""
     member = classes.select("node", "first_id").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
@@ -413,7 +436,7 @@ def _grouped(own: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def first_alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: int = FAR) -> DataFrame:
-    """The rows of ``docs``, one of each group of ``alike`` documents: that with the smallest doc_id, of equal ids the first by text.
+    """The rows of ``docs``, one of each group of ``near_copies``: that with the smallest doc_id, of equal ids the first by text.
 
     Groups without any doc_id keep their first row by text.
     """
@@ -421,7 +444,7 @@ def first_alike(docs: DataFrame, share: float = SHARE, width: int = WIDE, far: i
     def nodes(texts: pa.Array) -> np.ndarray:
         return np.array([_set_node(s) for sets in shingle_sets(texts, width) for s in sets], np.int64)
 
-    return _firsts(docs, alike(docs, share, width, far), nodes)
+    return _firsts(docs, near_copies(docs, share, width, far), nodes)
 
 
 def _firsts(docs: DataFrame, grouped: DataFrame, nodes: Callable[[pa.Array], np.ndarray]) -> DataFrame:

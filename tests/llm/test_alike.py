@@ -110,3 +110,14 @@ def test_large_family(spark):
 
 def test_no_documents(no_docs):
     assert simhash.first_alike(no_docs).count() == 0
+
+
+def test_fingerprints_link_what_sets_do_not(spark):
+    """A line that fills most of two texts decides their fingerprints; their sets of shingles have little in common."""
+    line = ["red", "green", "blue", "black", "white"]
+    own = [[f"{k}{i}" for i in range(30)] for k in "pq"]
+    rows = [(i, " ".join(line * 100 + own[i])) for i in range(2)] + [(2, " ".join(own[0] + own[1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike(df).collect()} == {0: 0, 1: 1, 2: 2}
+    assert sorted(r["doc_id"] for r in simhash.first_alike(df).collect()) == [0, 2]
