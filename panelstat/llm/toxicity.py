@@ -86,7 +86,9 @@ def _grams(letters: np.ndarray, begin: np.ndarray, end: np.ndarray, bits: int) -
 
 
 def bags(texts: pa.Array, bits: int = BITS) -> Bags:
-    ids, words, docs, n_ids, n_words = [], [], [np.zeros(1, np.int64)], 0, 0
+    words, docs, n_ids, n_words = [], [np.zeros(1, np.int64)], 0, 0
+    # a word has at most three ids a byte; they are written in place, so there is no second copy of them all
+    ids = np.empty(3 * sum(len(data) for _, _, data, _ in W.chunks(texts)), np.int32)
     for _, _, data, offsets in W.chunks(texts):
         letters, begin, end, rows = _padded(data, offsets)
         docs.append(rows[1:] + n_words)
@@ -100,10 +102,21 @@ def bags(texts: pa.Array, bits: int = BITS) -> Bags:
             of.append(np.arange(len(begin)) if ok is None else word[ok])
         of = np.concatenate(of)
         order = np.argsort(of, kind="stable")
-        ids.append(np.concatenate(got)[order].astype(np.int32))
+        ids[n_ids: n_ids + len(order)] = np.concatenate(got)[order]
         words.append(n_ids + np.searchsorted(of[order], np.arange(len(begin))))
         n_ids += len(order)
-    return Bags(np.concatenate(ids or [np.zeros(0, np.int32)]), np.append(np.concatenate(words or [np.zeros(0, np.int64)]), n_ids).astype(np.int64), np.concatenate(docs))
+    return Bags(ids[:n_ids], np.append(np.concatenate(words or [np.zeros(0, np.int64)]), n_ids).astype(np.int64), np.concatenate(docs))
+
+
+def _word_sums(table: np.ndarray, b: Bags, size: int = 1 << 20) -> np.ndarray:
+    """What the ids of each word add up to; about ``size`` ids are looked up at a time."""
+    out = np.zeros(len(b.words) - 1)
+    first = 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(b.words, b.words[first] + size, "right")) - 1)
+        out[first:last] = np.add.reduceat(table[b.ids[b.words[first]: b.words[last]]], b.words[first:last] - b.words[first])
+        first = last
+    return out
 
 
 def _worst(sums: np.ndarray, counts: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +128,8 @@ def _worst(sums: np.ndarray, counts: np.ndarray, rows: np.ndarray, width: int) -
     best[short] = (s[rows[short + 1]] - s[rows[short]]) / (c[rows[short + 1]] - c[rows[short]])
     at[short] = rows[short]
     if len(sums) >= width:
-        average = (s[width:] - s[:-width]) / np.maximum(c[width:] - c[:-width], 1)
+        average, n_ids = s[width:] - s[:-width], c[width:] - c[:-width]
+        np.divide(average, np.maximum(n_ids, 1, out=n_ids), out=average)
         for i in np.flatnonzero(n > width):
             own = average[rows[i]: rows[i + 1] - width + 1]
             k = int(own.argmax())
@@ -199,8 +213,7 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, dim: int = DIM,
         _steps(model, grad2, b, b.docs[:-1], b.docs[1:], y, weight, rate, rnd, 128)
     counts = np.diff(b.words)
     for _ in range(rounds):
-        sums = np.add.reduceat(model.table()[b.ids], b.words[:-1]) if len(counts) else np.zeros(0)
-        _, at = _worst(sums, counts, b.docs, width)
+        _, at = _worst(_word_sums(model.table(), b), counts, b.docs, width)
         some = np.flatnonzero(at >= 0)
         first = at[some]
         last = np.minimum(first + width, b.docs[1:][some])

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -144,3 +145,22 @@ def test_scores_by_hand():
         z = [model.embeddings[np.concatenate(s)].astype(float).mean(0) @ model.weights + model.bias for s in spans]
         want = max(np.exp(v[1]) / np.exp(v).sum() for v in z)
         assert model.scores(pa.array([text]))[0] == pytest.approx(want, rel=1e-6)
+
+
+def test_training_holds_the_ids_once():
+    """The ids of all words are four bytes each; looking them up, or putting them together, made two and three copies more."""
+    texts = pa.array([" ".join(f"{i * k % 9973:07}{k:05}" for k in range(400)) for i in range(1000)])
+    y, size = np.arange(len(texts)) % 2, sum(len(t.as_py()) for t in texts)
+    tracemalloc.start()
+    model = toxicity.train(texts, y, bits=10, whole_passes=1, rounds=1, passes=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.prior is None and peak < 20 * size + (48 << 20)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_sums_of_words_do_not_depend_on_blocks(size):
+    b, table = toxicity.bags(pa.array([r[1] for r in make(4, 40)] + ["", None, "a", "a bb a " * 9])), np.random.default_rng(1).normal(size=1 << toxicity.BITS)
+    assert (toxicity._word_sums(table, b, size) == np.add.reduceat(table[b.ids], b.words[:-1])).all()
+    none = toxicity.bags(pa.array(["", None], pa.string()))
+    assert len(none.ids) == 0 and len(toxicity._word_sums(table, none)) == 0
