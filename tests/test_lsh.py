@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelstat.operators import similarity as SIM
-from panelstat.operators.lsh import band_plan, near_duplicates_lsh
+from panelstat.operators import lsh
+from panelstat.operators.lsh import all_meet, band_plan, near_duplicates_lsh
 
 SCHEMA = "case_id string, embedding array<double>, rep string"
 
@@ -77,3 +78,19 @@ def test_odd_rows(spark):
 def test_a_band_shuffles_rows_not_pairs(spark):
     plan = near_duplicates_lsh(frame(spark, families(20, 0.9, 6)))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_low_thresholds_send_no_vector_to_every_band(spark, monkeypatch):
+    """At 0.35 each vector went to 394 bands, its 394 values beside it, on 100,000 vectors; now to 7 blocks, for the same rows."""
+    bits, bands = band_plan(100_000, 0.35, 0.95)
+    assert bands > 300 and all_meet(100_000, bits, bands) and not all_meet(10**6, *band_plan(10**6, 0.8, 0.95))
+    df = frame(spark, families(400, 0.5, 7, dims=16) + [("copy1", [1.0] * 16), ("copy2", [1.0] * 16), ("zero1", [0.0] * 16), ("zero2", [0.0] * 16), ("nan1", [math.nan] * 16), ("nan2", [math.nan] * 16)])
+    bits, bands = band_plan(802, 0.35, 0.95)
+    by_bands = near_duplicates_lsh(df, 0.35, bits=bits, bands=bands)
+    sent = near_duplicates_lsh(df, 0.35)
+    assert "bands" in by_bands._jdf.queryExecution().toString() and "bands" not in sent._jdf.queryExecution().toString()
+    expected = rows(by_bands)
+    assert rows(sent) == expected and len(expected) > 700
+    monkeypatch.setattr(lsh, "_BLOCK_NUMBERS", 0)
+    monkeypatch.setattr(lsh, "_BLOCK_ROWS", 100)
+    assert rows(near_duplicates_lsh(df, 0.35)) == expected
