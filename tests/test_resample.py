@@ -318,6 +318,45 @@ def test_panels_at_the_full_number(spark):
         assert np.allclose(r.beta, fit(frozenset(d) - {r.member}), atol=1e-7)
 
 
+def test_fits_without_light_members_are_steps():
+    from panelstat.functions import irls
+
+    rng = np.random.default_rng(4)
+    cells = np.unique(rng.integers(-2, 3, (80, 4)), axis=0).astype(float)
+    own_n = rng.integers(0, 2, (400, len(cells))) * rng.integers(1, 3, (400, len(cells))).astype(float)
+    own_n[:3] *= [[500.0], [100.0], [0.0]]  # two that weigh much, one without votes
+    own_s = np.floor(rng.random(own_n.shape) * (own_n + 1))
+    n, s = own_n.sum(axis=0), own_s.sum(axis=0)
+    who, at = np.nonzero(own_n)
+    beta = irls.fit_shared(cells, n[None], s[None])[0]
+    got, settled = irls.fit_without(cells, n, s, beta, who, at, own_n[who, at], own_s[who, at], 400)
+    assert not settled[:2].any() and settled[2:].mean() > 0.9
+    want = irls.fit(np.broadcast_to(cells, (400, *cells.shape)), n - own_n, s - own_s)[0]
+    assert np.allclose(got[settled], want[settled], atol=1e-9, rtol=0) and np.abs(want - beta).max() > 1e-4
+    apart = np.where(cells[:, 0] > 0, n, 0.0)  # outcomes told apart: nothing to step from
+    assert not irls.fit_without(cells, n, apart, irls.fit_shared(cells, n[None], apart[None])[0], who, at, own_n[who, at], apart[at], 400)[1].any()
+
+
+def test_panel_of_light_and_heavy_members(spark):
+    from panelstat.functions import irls
+
+    raters = tuple(f"h{i:02d}" for i in range(60))
+    rows = make(5, n_cases=60, raters=raters, trials=(1, 3))
+    rows = [(*r[:7], r[7] * (300 if r[1] == "h00" else 1), r[8] * (300 if r[1] == "h00" else 1)) for r in rows]
+    design = spark.createDataFrame(rows, SCHEMA)
+    panel = design.select(F.col("rater").alias("member")).distinct()
+    fits = RS.panel_fits(G.design_cells(design, ["rater"]), panel, 40, 3, chunk=2)
+    assert fits.rdd.getNumPartitions() > 20  # a chunk of draws a group, not all in one task
+    X = arrays(rows, "h00")[0]
+    vote = {r: arrays(rows, r)[1:] for r in raters}
+    draws = draws_of(dense_position(panel, "member"), 40, 3, "member")
+    got = fits.collect()
+    assert len(got) == sum(1 + len(set(d)) for d in draws)
+    pooled = [np.sum([vote[i] for i in set(draws[r.b]) - {r.member}], axis=0) for r in got]
+    want = irls.fit_shared(X, np.array([p[1] for p in pooled], float), np.array([p[0] for p in pooled], float))
+    assert np.allclose([r.beta for r in got], want, atol=1e-8)
+
+
 @pytest.mark.parametrize("sizes", [(1, 40), (17, 24), (40, 1), (0, 5), (5, 0)])
 def test_labels_are_the_smallest_hashes(spark, sizes):
     rows = [("a", f"m{i}") for i in range(sizes[0])] + [("b", f"m{i}") for i in range(sizes[1])] + [("other", "m0")]
