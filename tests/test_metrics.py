@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,31 @@ def test_pair_moments_in_blocks(spark):
     cells = spark.range(400).select((F.col("id") % 20).alias("c"), F.concat(F.lit("r"), (F.col("id") % 37).cast("string")).alias("i"), (F.col("id") % 11).cast("double").alias("v")).distinct().cache()
     read = lambda **kw: sorted(map(tuple, pair_moments(cells, "c", "i", "v", **kw).collect()))
     assert read() == read(n_blocks=1) == read(n_blocks=5) and len(read()) > 100
+
+
+def test_pair_moments_of_short_and_long_groups(spark, monkeypatch):
+    """With several blocks short groups go pair by pair and never meet as blocks; sums that are handed on early add up."""
+    from panelstat.plans import gram
+
+    rng = np.random.default_rng(6)
+    rows = [(f"c{i}", f"r{j}", float(rng.normal())) for i in range(60) for j in rng.choice(90, 30 if i % 20 == 0 else 6, replace=False)]
+    df = spark.createDataFrame(rows, "g string, r string, v double")
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r, v) for c, r, v in rows if c == g)
+        for i, (a, x) in enumerate(own):
+            for b, y in own[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + np.array([1, x, y, x * x, y * y, x * y])
+    read = lambda: {(r.item_a, r.item_b): np.array(r[2:]) for r in pair_moments(df, "g", "r", "v", 5).collect()}
+    for limit in (10, 128):
+        monkeypatch.setattr(gram, "SHORT_GROUP", limit)
+        got = read()
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    batch = pa.RecordBatch.from_arrays([pa.array([[{"item": r, "value": v} for c, r, v in rows if c == g] for g in sorted({r[0] for r in rows})])], names=["a"])
+    monkeypatch.setattr(gram, "PAIR_SUMS", 40)
+    sums, lines = {}, 0
+    for out in gram._short_moments(iter([batch.slice(i, 3) for i in range(0, 60, 3)])):
+        for r in out.to_pylist():
+            sums[r["item_a"], r["item_b"]] = sums.get((r["item_a"], r["item_b"]), 0) + np.array(list(r.values())[2:])
+            lines += 1
+    assert lines > len(want) and sums.keys() == want.keys() and all(np.allclose(sums[k], want[k]) for k in want)
