@@ -414,3 +414,122 @@ def test_labels_are_made_in_many_tasks(spark):
     members = spark.createDataFrame([("a", f"m{i}") for i in range(20)] + [("b", "y")], "group string, member string").distinct()
     lists, n_first, n_second = RS._first_group(members, ("a", "b"), 6, 3)
     assert (n_first, n_second) == (20, 1) and lists.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("level", [0.0, 0.05, 0.5, 0.95, 0.999, 1.0])
+def test_cut_is_the_percentile_without_one_task_for_all_values(spark, level):
+    """The percentile held every distinct value, 9.5 million at sf0.1, in one task."""
+    rng = np.random.default_rng(3)
+    for values in (rng.random(300) ** 4, np.round(rng.random(300), 1), np.full(9, 0.25), [0.2], [0.1, 0.3], [float("nan"), 0.5, float("inf"), 0.5, -0.25], []):
+        rows = [(i % 7, "member", f"m{i}", int(rng.integers(1, 4)), float(x)) for i, x in enumerate(values)] + [(0, "member", "none", 2, None), (0, "rater", "r", 1, 0.9)]
+        ref = spark.createDataFrame(rows, "b int, kind string, id string, copies bigint, jsd double")
+        want = ref.filter("kind = 'member'").agg(F.percentile("jsd", F.lit(level), F.col("copies"))).first()[0]
+        cut = RS.reference_cut(ref, level)
+        got = cut.first()
+        assert got.cut == (None if want is None else pytest.approx(want, rel=1e-12, nan_ok=True)) and got.n_values == sum(r[3] for r in rows[:-1])
+        assert "percentile(" not in _operators(cut)
+
+
+@pytest.mark.parametrize("alpha", [0.1, 1.0])
+def test_sums_of_draws_by_factors_are_those_of_pairs(monkeypatch, alpha):
+    """Every draw is summed without pairs; before, a member went to every block of pairs with all its draws."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.dirichlet(np.ones(4) * alpha, 300), np.eye(4), np.full((2, 4), 0.25)])
+    a, f = P.factors(p)(0, len(p))
+    want = P.divergences(p, p)
+    assert f.shape[1] < 200 and np.abs(a[:, None] + a - f @ f.T - want).max() < 1.1e-11
+    part = P.factors(p)(100, 150)
+    assert np.allclose(part[1], f[100:150], atol=1e-9) and (part[0] == a[100:150]).all()
+    order = rng.permutation(len(p))
+    table = pa.table({"pos": order, "n": [len(p)] * len(p), "profile": list(p[order])})
+    sums = {}
+    for name, found in (("factors", P.factors), ("pairs", lambda p: None)):
+        monkeypatch.setattr(P, "factors", found)
+        for rows in (table, table.take(list(range(0, 306, 2)) + [0, 2])):  # all; some without a profile and two that come twice
+            sums.setdefault(name, []).append(RS._draw_sums(40, "7|x", 30)((pa.scalar(1),), rows))
+    for own, pairs, rows in zip(sums["factors"], sums["pairs"], (table, table.take(list(range(0, 306, 2)) + [0, 2]))):
+        at = rows["pos"].to_numpy()
+        assert own["b"].to_pylist() == list(range(30, 40)) == pairs["b"].to_pylist()
+        for b, s, t in zip(own["b"].to_pylist(), own["s"].to_pylist(), pairs["s"].to_pylist()):
+            w = np.bincount([u32("7|x", b, k) % len(p) for k in range(len(p))], minlength=len(p))[at].astype(float)
+            assert s == pytest.approx(w @ want[np.ix_(at, at)] @ w / 2, rel=1e-9) == pytest.approx(t, rel=1e-9)
+
+
+def test_no_member_goes_to_blocks_with_its_draws(panel):
+    _, df, members = panel
+    plan = _operators(RS.bootstrap_mean_jsd(df, members, ("A", "B"), 600, 3))
+    assert "_lo" not in plan and "draws" not in plan
+
+
+def test_factors_that_do_not_end_are_none(monkeypatch):
+    p = np.random.default_rng(2).dirichlet(np.ones(4), 200)
+    assert P.factors(np.where(p == p[0, 0], np.nan, p)) is None
+    monkeypatch.setattr(P, "FACTORS", 20)
+    assert P.factors(p) is None
+
+
+def test_digests_are_those_of_hashlib():
+    from panelstat.functions import digests
+
+    heads = [b"x" * size + b"%d|" % b for size in (0, 3, 41, 53, 60) for b in (0, 7, 12, 345)]
+    assert (digests.numbered(heads, 1200) == [[int(hashlib.md5(h + b"%d" % k).hexdigest()[:8], 16) for k in range(1200)] for h in heads]).all()
+    tails, seen = [("ä" * k).encode() for k in range(40)], 0
+    for at, where, high, low in digests.digests(heads, tails):
+        for i, j in np.ndindex(high.shape):
+            assert f"{int(high[i, j]):016x}{int(low[i, j]):016x}" == hashlib.md5(heads[at[i]] + tails[where[j]]).hexdigest()
+        seen += high.size
+    assert seen == len(heads) * len(tails)
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 1001])
+def test_packed_counts(n):
+    import pyarrow as pa
+
+    from panelstat.plans import counts
+
+    rng = np.random.default_rng(n)
+    for most in (1, 18, 19, 100_000):
+        c = rng.poisson(1.2, (50, n))
+        c[7, 0], c[-1, -1] = most, 3
+        packed = pa.chunked_array([pa.array([b"other", *counts.pack(c)], pa.binary())[1:], pa.array([], pa.binary())])
+        assert (counts.unpack(packed, n) == c).all() and counts.unpack(packed.slice(0, 0), n).shape == (0, n)
+    assert n < 1000 or sum(map(len, counts.pack(rng.poisson(1, (50, n))))) < 0.31 * 50 * n  # an array of draws takes four bytes each
+
+
+def test_draws_travel_packed(spark, positions):
+    """A draw of an item took four bytes and more."""
+    out = RS._with_draws(positions, 1000, 9, "case_id")
+    rows = out.collect()
+    assert out.schema["draws"].dataType.simpleString() == "binary" and sum(len(r.draws) for r in rows) < 0.35 * 40_000
+
+
+def test_raters_of_few_and_many_cases_are_fitted_alike(spark, monkeypatch):
+    """Few cases go on with their draws, many are summed; the sums of every cell and draw were shuffled for each rater."""
+    rows = make(4, n_cases=30, raters=("r0", "r1"), trials=(4, 12))
+    rows = [r for i, r in enumerate(rows) if r[1] == "r0" or i % 5 == 0] + [(*r[:1], None, *r[2:]) for r in rows if r[1] == "r0"]
+    design = spark.createDataFrame(rows, SCHEMA)
+    pos = dense_position(design, "case_id")
+    fits = lambda: {(r.rater, r.b): (r.status, r.beta) for r in RS.bootstrap_weights(design, pos, 60, 11).collect()}
+    got = {}
+    for few in (1, 12, 1000):
+        monkeypatch.setattr(RS, "FEW", few)
+        got[few] = fits()
+    assert got[1].keys() == got[12].keys() == got[1000].keys() and {r for r, _ in got[1]} == {"r0", "r1", None}
+    for k, (status, beta) in got[1].items():
+        assert {got[few][k][0] for few in got} == {status} and np.allclose([got[12][k][1], got[1000][k][1]], beta, atol=1e-7)
+        assert k[0] != "r0" or np.allclose(got[1][None, k[1]][1], beta, atol=1e-7)
+
+
+def test_panel_fits_come_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    cells = np.array([[1.0, 0], [0, 1], [-1, 1]])
+    table = pa.table({"member": [f"m{i}" for i in range(6) for _ in cells], "pos": np.repeat(np.arange(6), 3), "cell": [c.tolist() for _ in range(6) for c in cells], "trials": [4.0] * 18, "successes": [1.0, 2.0, 3.0] * 6})
+    monkeypatch.setattr(RS, "PANEL_LINES", 20)
+    parts = list(RS._panel_fits(40, 3, 40, 2)((pa.scalar(0),), iter(table.to_batches())))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) < 60
+    monkeypatch.setattr(RS, "PANEL_LINES", 10_000)
+    (whole,) = RS._panel_fits(40, 3, 40, 2)((pa.scalar(0),), iter(table.to_batches()))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole]))
