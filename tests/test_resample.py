@@ -533,3 +533,12 @@ def test_panel_fits_come_a_few_at_a_time(monkeypatch):
     monkeypatch.setattr(RS, "PANEL_LINES", 10_000)
     (whole,) = RS._panel_fits(40, 3, 40, 2)((pa.scalar(0),), iter(table.to_batches()))
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole]))
+
+
+def test_sums_are_handed_on_in_two_bytes_or_whole():
+    import pyarrow as pa
+
+    for sums in ([0.0, 3, 65535], [1.5, 2], [65536.0, 1], [-1.0, 2], [np.inf, 1], [np.nan, 1]):
+        data = RS._short(np.array(sums))
+        assert np.array_equal(RS._long(pa.py_buffer(data), len(sums)), sums, equal_nan=True)
+    assert len(RS._short(np.arange(1000.0))) == 2000
